@@ -45,5 +45,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_best_fit_packing, op6_sharding, op7_token_counts)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import link_classes
+
+    return link_classes(read_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_best_fit_packing, op6_sharding, op7_token_counts, op9_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
