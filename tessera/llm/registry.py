@@ -39,6 +39,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_report
+
+    return language_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -57,5 +63,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_classes(read_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op6_sharding, op7_token_counts, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_sharding, op7_token_counts, op9_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
