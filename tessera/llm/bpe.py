@@ -8,7 +8,9 @@ outside ASCII, where that argument is not made, go to the library whole.
 
 from __future__ import annotations
 
+import base64
 import re
+from array import array
 
 import numpy as np
 
@@ -16,8 +18,6 @@ import numpy as np
 ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]")
 #: A word with at most one leading space; white space up to the last before a word; one that is left.
 KEEP_SPACE = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-#: For a tokenizer that drops white space.
-DROP_SPACE = re.compile(r"[^ \t-\r]+")
 
 
 def load(path: str):
@@ -27,15 +27,30 @@ def load(path: str):
 
 
 class UnitEncoder:
-    """Maps units to their ids (little-endian uint32 bytes), with a bounded memory of past units."""
+    """Maps units to their ids (little-endian uint32 bytes), with a bounded memory of past units.
 
-    def __init__(self, path: str, keep_space: bool, memory: int = 150_000):
+    The memory has two generations, so that frequent units survive when it is full. `ranks` may name the same
+    vocabulary as merge ranks for tiktoken, which then encodes units not seen before.
+    """
+
+    def __init__(self, path: str, keep_space: bool, memory: int = 400_000, ranks: str | None = None):
         self.library = load(path)
-        self.units_of = (KEEP_SPACE if keep_space else DROP_SPACE).findall
+        self.units_of = KEEP_SPACE.findall if keep_space else str.split  # without ODD_SPACE, split() cuts at ASCII white space
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.keep_space = keep_space
         self.memory = memory
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.by_ranks = self._ranked(ranks) if ranks else None
+
+    @staticmethod
+    def _ranked(path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        return tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
@@ -43,23 +58,44 @@ class UnitEncoder:
 
     def splits(self, text: str) -> bool:
         """Whether the text may be cut at its units."""
-        if not text.isascii() and ODD_SPACE.search(text):
-            return False
-        if text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if ODD_SPACE.search(text):
             return False
         return not (self.keep_space and any(s in text for s in self.special))
 
     def learn(self, units) -> None:
-        """Encode the units not seen before in one call."""
-        new = list({u for u in units if u not in self.known})
+        """Encode the units not seen before."""
+        units = set(units)
+        new = units.difference(self.known)
         if not new:
             return
-        if len(self.known) + len(new) > self.memory:
-            self.known.clear()
-            new = list(set(units))
-        batch = self.library.encode_batch_fast if hasattr(self.library, "encode_batch_fast") else self.library.encode_batch
-        for unit, got in zip(new, batch(new, add_special_tokens=False)):
-            self.known[unit] = np.asarray(got.ids, dtype="<u4").tobytes()
+        if len(self.known) + len(new) > self.memory // 2:
+            self.older, self.known, new = self.known, {}, units
+        if self.older:
+            again = new.intersection(self.older)
+            self.known.update({u: self.older[u] for u in again})
+            new = new.difference(again)
+        if self.by_ranks:
+            encode = self.by_ranks
+            for unit in new:
+                self.known[unit] = array("I", encode(unit)).tobytes()
+        elif self.keep_space:
+            new = list(new)
+            for unit, got in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
+                self.known[unit] = array("I", got.ids).tobytes()
+        else:
+            self._learn_joined(list(new))
+
+    def _learn_joined(self, units: list[str], at_once: int = 2000) -> None:
+        """Units of a tokenizer that drops white space: many as one text, cut apart by their offsets."""
+        for low in range(0, len(units), at_once):
+            some = units[low : low + at_once]
+            got = self.library.encode(" ".join(some), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(u) + 1 for u in some)])
+            token_starts = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            cuts = np.searchsorted(token_starts, starts).tolist()
+            raw = array("I", got.ids).tobytes()
+            for unit, a, b in zip(some, cuts, cuts[1:]):
+                self.known[unit] = raw[4 * a : 4 * b]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -67,3 +103,14 @@ class UnitEncoder:
         self.learn([u for units in cut if units for u in units])
         known = self.known
         return [self.whole(t) if units is None else b"".join([known[u] for u in units]) for t, units in zip(texts, cut)]
+
+
+_encoders: dict[tuple, UnitEncoder] = {}
+
+
+def encoder(path: str, keep_space: bool, ranks: str | None = None) -> UnitEncoder:
+    """The process's own encoder: a Python worker keeps it over its tasks."""
+    key = (path, keep_space, ranks)
+    if key not in _encoders:
+        _encoders[key] = UnitEncoder(path, keep_space, ranks=ranks)
+    return _encoders[key]

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import UnitEncoder
+from .bpe import encoder
 from .common import byte_view, materialize, row_slices, string_column
 
 #: A bin with at most this share of a sequence left over is final.
@@ -101,9 +101,10 @@ def _round(bins: DataFrame, group, capacity: int) -> DataFrame:
     return bins.withColumn("g", group).groupBy("g").applyInPandas(run, "bin bigint, into bigint, at bigint, fill bigint")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, ranks: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one per piece.
 
+    `path` names the tokenizer; `ranks` may name the same vocabulary as merge ranks, which encode faster.
     A null text counts as empty and is the end id alone. Repeated ids are packed as documents of their
     own. No text is shuffled; one row of about 60 bytes per piece is written to the shared folder, and
     pieces of underfull bins alone are joined with the outcome of the rounds.
@@ -113,16 +114,16 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, arrow_kind = None, _Pieces(), None
+        own, held, arrow_kind = None, _Pieces(), None
         next_bin = TaskContext.get().partitionId() << 36
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or UnitEncoder(path, keep_space=True)
+            own = own or encoder(path, keep_space=True, ranks=ranks)
             arrow_kind = batch.column(0).type
             ids, column = batch.column(0).to_pylist(), string_column(batch, "text")
             for low, high in row_slices(byte_view(column)[1], slice_bytes):
-                for doc_id, encoded in zip(ids[low:high], encoder.encode_many(column.slice(low, high - low).to_pylist())):
+                for doc_id, encoded in zip(ids[low:high], own.encode_many(column.slice(low, high - low).to_pylist())):
                     held.add(doc_id, encoded + end, capacity)
                 if len(held.rows) >= LOCAL_ITEMS:
                     out, next_bin = held.packed(arrow_kind, capacity, next_bin)

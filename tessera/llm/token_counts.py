@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import UnitEncoder
+from .bpe import UnitEncoder, encoder
 from .common import byte_view, row_slices, string_column
 
 UNIT = re.compile(r"[^ \t-\r]+")
@@ -90,16 +90,16 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        own = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or UnitEncoder(path, keep_space=False)
+            own = own or encoder(path, keep_space=False)
             column = string_column(batch, "text")
             _, ends = byte_view(column)
             counts: list[int] = []
             for low, high in row_slices(ends, slice_bytes):
-                counts += count_texts(encoder, column.slice(low, high - low).to_pylist())
+                counts += count_texts(own, column.slice(low, high - low).to_pylist())
             tokens = np.asarray(counts, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(ends)), pa.array(tokens), pa.array(tokens > limit)],
