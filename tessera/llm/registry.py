@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, BYTE_RANKS, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,7 +30,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(BYTE_RANKS))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +57,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import link_classes
 
     return link_classes(read_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_sharding, op7_token_counts, op9_jaccard_join)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_report
+
+    return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_sharding, op7_token_counts, op8_quality, op9_jaccard_join, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
