@@ -174,7 +174,9 @@ def parent_steps(steps: DataFrame) -> DataFrame:
     with_last = steps
     for d in range(deepest):
         with_last = with_last.withColumn(f"last_{d}", F.last(F.when(F.col("depth") == d, F.col("step_index")), ignorenulls=True).over(per))
-    parent = F.coalesce(*[F.when(F.col("depth") == d + 1, F.col(f"last_{d}")) for d in range(deepest)]) if deepest else F.lit(None).cast("int")
+    # A step of a lower depth in between closes what was open above it.
+    open_at = lambda d: F.when(F.coalesce(F.greatest(*[F.col(f"last_{x}") for x in range(d)], F.lit(-1)), F.lit(-1)) < F.col(f"last_{d}"), F.col(f"last_{d}"))
+    parent = F.coalesce(*[F.when(F.col("depth") == d + 1, open_at(d) if d else F.col("last_0")) for d in range(deepest)], F.lit(None).cast("int")) if deepest else F.lit(None).cast("int")
     out = with_last.withColumn("parent_step", parent).select(*steps.columns, "parent_step")
     return out.withColumn("sibling_ordinal", F.row_number().over(Window.partitionBy("flow_id", "parent_step").orderBy("step_index")))
 
