@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .oracles import LEAKS, LINKS
 
 BYTE_BPE, BYTE_RANKS, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 
@@ -76,4 +77,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_sharding, op7_token_counts, op8_quality, op9_jaccard_join, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_decontamination": LEAKS, "op9_jaccard_join": LINKS}
