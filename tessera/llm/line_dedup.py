@@ -24,8 +24,8 @@ from .common import materialize, string_column
 
 #: Characters that make a line a run of chunks of its own; the least characters of a removable chunk.
 LONG_LINE, LEAST_CHUNK = 200, 60
-#: A chunk ends at one of DIVISOR line pairs on average, and at MOST lines.
-DIVISOR, MOST = 4, 64
+#: A chunk of two lines or more ends at one of DIVISOR line pairs on average, and at MOST lines.
+DIVISOR, MOST = 2, 64
 #: Bits of the filter of repeated chunk hashes; a fixed size, whatever the corpus.
 FILTER_BITS, PROBES = 1 << 25, 3
 SENTENCE_END = re.compile(r"(?<=[.!?]) +")
