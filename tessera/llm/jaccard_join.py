@@ -23,8 +23,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import materialize, string_column
 from .shingles import mixed, shingle_sets
@@ -90,14 +91,14 @@ def _whole(merge):
 
 
 def describe_sets(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """Rows (doc_id, n, sig, p1, p2, p3): set size, set digest and prefixes under three orders."""
+    """Rows (doc_id, n, sig, end, p1, p2, p3): set size, set digest, and prefixes under three orders; p1 in its order, up to end."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value.astype(np.uint64)
         for batch in batches:
-            sizes, sigs, prefixes = [], [], ([], [], [])
+            sizes, sigs, ends, prefixes = [], [], [], ([], [], [])
             for tokens in shingle_sets(string_column(batch, "text"), size):
                 n = len(tokens)
                 sizes.append(n)
@@ -108,18 +109,21 @@ def describe_sets(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -
                     other = mixed(tokens, k + 2)
                     order = (rank | (other >> np.uint64(8))) if k < 2 else other
                     first = np.argpartition(order, keep - 1)[:keep] if 0 < keep < n else np.arange(keep)
+                    if k == 0:
+                        first = first[np.argsort(order[first])]
+                        ends.append(int(order[first[-1]] >> np.uint64(1)) if keep else 0)
                     out.append(tokens[first].view(np.int64) if k == 0 else (other[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(prefixes[0], pa.list_(pa.int64())), *(pa.array(p, pa.list_(pa.int32())) for p in prefixes[1:])],
-                names=["doc_id", "n", "sig", "p1", "p2", "p3"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(ends, pa.int64()), pa.array(prefixes[0], pa.list_(pa.int64())), *(pa.array(p, pa.list_(pa.int32())) for p in prefixes[1:])],
+                names=["doc_id", "n", "sig", "end", "p1", "p2", "p3"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, sig binary, p1 array<bigint>, p2 array<int>, p3 array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, sig binary, end bigint, p1 array<bigint>, p2 array<int>, p3 array<int>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity.
+    """Pairs (a, b) with the tokens their sets have in common, and whether they reach the similarity.
 
     Each left text meets its partners in the stream of one task: texts of (a, salt) come first, then the
     partners' texts one by one, so that memory holds one set. A left row with many partners is salted.
@@ -135,22 +139,22 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, parts:
         key, own = None, []
         for batch in batches:
             keys, partners = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).to_pylist()
-            a, b = [], []
+            a, b, shared, reached = [], [], [], []
             for at, partner, tokens in zip(keys, partners, shingle_sets(string_column(batch, "text"), size)):
                 if at != key:
                     key, own = at, []
                 if partner is None:
                     own.append(tokens)
                     continue
-                for mine in own:
-                    common = len(np.intersect1d(mine, tokens, assume_unique=True))
-                    if 100 * common >= percent * (len(mine) + len(tokens) - common):
-                        a.append(at[0])
-                        b.append(partner)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(0).type), pa.array(b, batch.column(2).type)], names=["a", "b"])
+                counts = [(len(np.intersect1d(mine, tokens, assume_unique=True)), len(mine)) for mine in own]
+                a.append(at[0])
+                b.append(partner)
+                shared.append(max((n for n, _ in counts), default=0))
+                reached.append(any(100 * n >= percent * (m + len(tokens) - n) for n, m in counts))
+            yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(0).type), pa.array(b, batch.column(2).type), pa.array(shared, pa.int64()), pa.array(reached, pa.bool_())], names=["a", "b", "common", "ok"])
 
-    return stream.mapInArrow(run, pairs.select("a", "b").schema)
+    schema = StructType([*pairs.select("a", "b").schema.fields, StructField("common", LongType()), StructField("ok", BooleanType())])
+    return stream.mapInArrow(run, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,25 +189,39 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     info = materialize(describe_sets(docs, size, percent, ranks), "sets")
 
     real = info.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = real.groupBy("sig").agg(F.min_by(F.struct("n", "p1", "p2", "p3"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
+    classes = real.groupBy("sig").agg(F.min_by(F.struct("n", "end", "p1", "p2", "p3"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
     classes = materialize(classes.select("sig", "id", "s.*"), "classes")
-    rows = classes.select("id", "n", F.explode("p1").alias("token"))
+    rows = classes.select("id", "n", "end", F.size("p1").alias("kept"), F.posexplode("p1").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    members = materialize(rows.join(shared, "token"), "members")  # most tokens have one class and are gone here
+    # Most tokens have one class and are gone here. own: a class's tokens before this one that no other class
+    # has in its prefix. Whoever has this token in its prefix lacks those: it would have them there as well.
+    # every: the same over the whole prefix; whoever's prefix ends later in the order lacks all of those.
+    by_place = Window.partitionBy("id").orderBy("pos")
+    members = rows.join(shared, "token").withColumn("own", F.col("pos") - F.row_number().over(by_place) + 1)
+    members = members.withColumn("every", F.col("kept") - F.count("*").over(Window.partitionBy("id"))).drop("pos", "kept")
+    members = materialize(members, "members")
     needed = members.select("id").distinct()
     texts = materialize(docs.join(needed, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
     prefixes = materialize(classes.join(needed, "id", "left_semi").select("id", "p2", "p3"), "prefixes")
 
+    facts = ["id", "n", "own", "every", "end"]
+
+    def reach(a: str, b: str):
+        """Whether two sets can be similar, each lacking the other's own tokens."""
+        (na, oa, va, ea), (nb, ob, vb, eb) = ([F.col(f"{x}{c}") for c in facts[1:]] for x in (a, b))
+        oa, ob = F.when(eb >= ea, va).otherwise(oa), F.when(ea >= eb, vb).otherwise(ob)
+        return F.least(na - oa, nb - ob) * 100 >= F.greatest(na + ob, nb + oa) * percent
+
     def candidates(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
         """Pairs not tried before that share prefix tokens under the other orders as well."""
-        pairs = pairs.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+        pairs = pairs.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         left, right = (prefixes.select(F.col("id").alias(x), F.col("p2").alias(f"p2{x}"), F.col("p3").alias(f"p3{x}")) for x in "ab")
         joined = pairs.join(left, "a").join(right, "b")
-        return joined.filter(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b").distinct()
+        return joined.filter(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b")
 
-    comps, links, tried = None, None, None
+    comps, known, tried = None, None, None
 
     def labelled(frame: DataFrame) -> DataFrame:
         if comps is None:
@@ -212,34 +230,48 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
 
     def settle(pairs: DataFrame) -> bool:
         """Verifies candidates and closes links; False if there was none."""
-        nonlocal comps, links, tried
+        nonlocal comps, known, tried
         found = materialize(candidates(pairs, tried), "candidates")
         n = found.count()
         if not n:
             return False
         tried = found if tried is None else tried.unionByName(found)
         more = materialize(verified(found, texts, size, percent, max(width, n // 4000)), "verified")
-        links = more if links is None else links.unionByName(more)
-        comps = components(links)
+        known = more if known is None else known.unionByName(more)
+        comps = components(known.filter("ok"))
         return True
 
+    def with_heads(now: DataFrame) -> DataFrame:
+        """Members with their bucket's head: the one with the fewest tokens of its own, most like an original."""
+        heads = now.groupBy("token").agg(F.min(F.struct("own", "id", "n", "every", "end", "c")).alias("h"))
+        return now.join(heads, "token").filter(F.col("c") != F.col("h.c"))
+
     outside = members
     for _ in range(STAR_ROUNDS):
-        now = labelled(outside)
-        heads = now.groupBy("token").agg(F.min(F.struct("id", "n", "c")).alias("h"))
-        star = now.join(heads, "token").filter(F.col("c") != F.col("h.c")).select("token", "id", "n", F.col("h.id").alias("a"), F.col("id").alias("b"), F.col("h.n").alias("na"), F.col("n").alias("nb"))
-        if not settle(star):
+        star = with_heads(labelled(outside)).filter(reach("", "h."))
+        if not settle(star.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))):
             break
         # Members that the head's component has not taken in go on; the rest of the bucket is settled.
-        now = labelled(outside)
-        heads = now.groupBy("token").agg(F.min(F.struct("id", "c")).alias("h"))
-        outside = materialize(now.join(heads, "token").filter(F.col("c") != F.col("h.c")).select("token", "id", "n"), "outside")
+        outside = materialize(with_heads(labelled(outside)).select("token", *facts), "outside")
     # What is left: pairs across components in one bucket, each with one member outside its head's component.
     now = materialize(labelled(members), "labelled")
-    heads = now.groupBy("token").agg(F.min(F.struct("id", "c")).alias("h"))
-    beyond = now.join(heads, "token").filter(F.col("c") != F.col("h.c")).select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    cross = beyond.join(now, "token").filter((F.col("c") != F.col("cx")) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent))
-    settle(cross.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"), F.col("nx").alias("na"), F.col("n").alias("nb")))
+    if known is not None:
+        # How much each member shares with its bucket's head is known by now, where that pair was compared. Two
+        # members share at most what neither lost of the head, and of what they have besides only what isn't own.
+        heads = now.groupBy("token").agg(F.min(F.struct("own", "id", "n")).alias("h")).select("token", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"))
+        counted = known.groupBy("a", "b").agg(F.max("common").alias("common"))
+        both = counted.unionByName(counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "common")).withColumnsRenamed({"a": "head", "b": "id"})
+        now = now.join(heads, "token").join(both, ["head", "id"], "left")
+        now = materialize(now.withColumn("common", F.when(F.col("id") == F.col("head"), F.col("n")).otherwise(F.col("common"))), "labelled")
+    else:
+        now = now.withColumn("head_n", F.lit(None).cast("bigint")).withColumn("common", F.lit(None).cast("bigint"))
+    fields = (*facts, "c", "common")
+    beyond = with_heads(now).select("token", *[F.col(c).alias(f"x_{c}") for c in fields])
+    rest = lambda x: F.col(f"{x}n") - F.col(f"{x}common") - F.col(f"{x}own")
+    most = F.least("common", "x_common") + F.least(rest(""), rest("x_"))
+    possible = most.isNull() | (most * 100 >= (F.col("n") + F.col("x_n") - most) * percent)
+    cross = beyond.join(now, "token").filter((F.col("c") != F.col("x_c")) & reach("", "x_") & possible)
+    settle(cross.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")))
 
     named = classes.select("sig", "id")
     if comps is not None:
