@@ -84,7 +84,7 @@ def token_frequencies(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _whole(merge):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return next(merge(key, iter([frame])))
 
     return run
@@ -191,14 +191,16 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     real = info.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = real.groupBy("sig").agg(F.min_by(F.struct("n", "end", "p1", "p2", "p3"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
     classes = materialize(classes.select("sig", "id", "s.*"), "classes")
-    rows = classes.select("id", "n", "end", F.size("p1").alias("kept"), F.posexplode("p1").alias("pos", "token"))
+    rows = classes.select("id", F.posexplode("p1").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     # Most tokens have one class and are gone here. own: a class's tokens before this one that no other class
     # has in its prefix. Whoever has this token in its prefix lacks those: it would have them there as well.
     # every: the same over the whole prefix; whoever's prefix ends later in the order lacks all of those.
     by_place = Window.partitionBy("id").orderBy("pos")
     members = rows.join(shared, "token").withColumn("own", F.col("pos") - F.row_number().over(by_place) + 1)
-    members = members.withColumn("every", F.col("kept") - F.count("*").over(Window.partitionBy("id"))).drop("pos", "kept")
+    members = members.withColumn("others", F.count("*").over(Window.partitionBy("id")))
+    sizes = classes.select("id", "n", "end", F.size("p1").alias("kept"))  # joined to the few rows left, not carried by all
+    members = members.join(sizes, "id").withColumn("every", F.col("kept") - F.col("others")).drop("pos", "kept", "others")
     members = materialize(members, "members")
     needed = members.select("id").distinct()
     texts = materialize(docs.join(needed, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
