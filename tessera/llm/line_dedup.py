@@ -1,157 +1,251 @@
-"""Line dedup over content-defined chunks of lines.
-
-A text is cut into lines (a long line into its sentences as well), a rolling hash over the hashes of the last
-lines decides where a chunk ends, and a long line is a run of chunks of its own. Where a chunk begins and
-ends so depends on the lines around it alone, and a passage that was moved to another place in another
-document has the same chunks there. A chunk of several lines that occurs more than once in the corpus is
-kept where it occurs first (by document id and place) and removed elsewhere, once its bytes have been
-compared with the kept ones.
+"""Line dedup over content-defined passages.
+
+A text is cut into words (a code point of a script written without spaces is one of its own). A chunk begins at
+every line, and within a line at the words whose hash, taken with the word before, is the least of some WINDOW
+words in a row (winnowing). So chunks have at most WINDOW words, and where they begin depends on the words near by
+alone. A passage runs from where a chunk begins to the first chunk end at least LEAST_WORDS words and LEAST_BYTES
+bytes on, or back from a line's end by as much. A repeated run of 4 * WINDOW - 2 words and one passage (19 words at
+most where LEAST_BYTES doesn't lengthen it), so of 49, holds whole passages wherever it stands in a line; a
+repeated line, or run of lines, is covered from end to end. A passage that occurs more than once in the corpus is
+kept where it occurs first (by document id and place) and removed where else the 128-bit BLAKE2b digests of
+its bytes agree.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, string_column
-
-#: Characters that make a line a run of chunks of its own; the least characters of a removable chunk.
-LONG_LINE, LEAST_CHUNK = 200, 60
-#: A chunk of two lines or more ends at one of DIVISOR line pairs on average, and at MOST lines.
-DIVISOR, MOST = 2, 64
-#: Bits of the filter of repeated chunk hashes; a fixed size, whatever the corpus.
-FILTER_BITS, PROBES = 1 << 25, 3
-SENTENCE_END = re.compile(r"(?<=[.!?]) +")
-
-
-def _sections(text: str) -> Iterator[list[tuple[int, int, int]]]:
-    """Runs of lines (start, end, hash) that chunks don't cross: a long line, or the short lines between."""
-    run: list[tuple[int, int, int]] = []
-    at = 0
-    for line in text.split("\n"):
-        end = at + len(line) + 1
-        if len(line) >= LONG_LINE:
-            if run:
-                yield run
-            run, start = [], at
-            for gap in SENTENCE_END.finditer(line):
-                stop = at + gap.end()
-                run.append((start, stop, zlib.crc32(text[start:stop].strip().encode())))
-                start = stop
-            if start < end:
-                run.append((start, min(end, len(text)), zlib.crc32(text[start:end].strip().encode())))
-            yield run
-            run = []
-        elif line.strip():
-            run.append((at, min(end, len(text)), zlib.crc32(line.strip().encode())))
-        elif run:
-            run[-1] = (run[-1][0], min(end, len(text)), run[-1][2])
-        at = end
-    if run:
-        yield run
+from .common import byte_view, materialize, row_slices, string_column
+
+#: Words in a row of which one begins a chunk; the least words and bytes of a passage.
+WINDOW, LEAST_WORDS, LEAST_BYTES = 8, 12, 60
+#: A text of one line and fewer bytes is left to the stages that compare whole texts.
+LONG_LINE = 200
+#: Bits of the filter of repeated passage hashes, and those of a block of it; a fixed size, whatever the corpus.
+FILTER_BITS, BLOCK_BITS, PROBES = 1 << 28, 1 << 20, 3
+BUCKETS = 1 << 12
+SLICE = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+BYTE_POWERS = _powers(0x9E3779B97F4A7C15, 1 << 10)
+WORD_BASE = 0xD1342543DE82EF95
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTE_VALUES = np.where(SPACE, 0, _powers(0xBF58476D1CE4E5B9, 257)[1:])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where words begin in the bytes of several texts, which begin at `offsets`."""
+    opens = np.ones(len(data) + 4, bool)
+    opens[1 : len(data)] = SPACE[data[:-1]]
+    opens[offsets] = True
+    at = np.flatnonzero(data >= 0xE0)
+    if len(at):  # scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han, wide forms
+        a, b = data[at], data[np.minimum(at + 1, len(data) - 1)]
+        alone = (a >= 0xE3) & (a <= 0xE9) | (a == 0xEF) | (a == 0xF0) & (b >= 0xA0) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b >= 0x80) & (b <= 0x82) | (b == 0x9E) | (b == 0x9F))
+        at, a = at[alone], a[alone]
+        opens[at] = opens[at + np.where(a >= 0xF0, 4, 3)] = True
+    return np.flatnonzero(opens[: len(data)] & ~SPACE[data])
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(words' places, words' hashes, is it a line's first, first words of chunks, each text's first word)."""
+    u = _word_starts(data, offsets[:-1])
+    rows = np.searchsorted(u, offsets)
+    if not len(u):
+        return u, np.zeros(0, np.uint64), np.zeros(0, bool), u, rows
+    place = np.arange(u[0], len(data)) - np.repeat(u, np.diff(u, append=len(data)))
+    h = _mixed(np.add.reduceat(BYTE_VALUES[data[u[0] :]] * BYTE_POWERS[place & 1023], u - u[0]))
+    first = np.zeros(len(u) + 1, bool)
+    first[np.searchsorted(u, np.flatnonzero(data == 10))] = True
+    first[rows] = True
+    first = first[: len(u)]
+    key = h.copy()
+    key[1:] += h[:-1] * np.uint64(WORD_BASE)
+    key = (_mixed(key) >> np.uint64(32) | np.uint64(1)) << np.uint64(32) | np.arange(len(u), dtype=np.uint64)
+    key[first] = 0
+    least = np.concatenate((key, np.zeros(WINDOW, np.uint64)))
+    for s in (1, 2, 4):
+        least[:-s] = np.minimum(least[:-s], least[s:])
+    most = np.concatenate((np.zeros(WINDOW, np.uint64), least[: len(u)]))
+    for s in (1, 2, 4):
+        most[s:] = np.maximum(most[s:], most[:-s].copy())
+    return u, h, first, np.flatnonzero(most[WINDOW:] == key), rows
 
 
 def chunks_of(text: str) -> Iterator[tuple[int, int, int]]:
-    """(start, end, lines) of each chunk, in order; blank lines belong to the chunk before them."""
-    for run in _sections(text):
-        bounds, count, before = [run[0][0]], 0, 0
-        for _, end, h in run:
-            count += 1
-            if count >= 2 and ((before * 0x9E3779B1 + h) >> 7) % DIVISOR == 0 or count >= MOST:
-                bounds.append(end)
-                count = 0
-            before = h
-        if count == 1 and len(bounds) > 1:  # a last line alone joins the chunk before it
-            bounds[-1] = run[-1][1]
-        elif count:
-            bounds.append(run[-1][1])
-        at = 0
-        for start, stop in zip(bounds, bounds[1:]):
-            lines = 0
-            while at < len(run) and run[at][1] <= stop:
-                lines, at = lines + 1, at + 1
-            yield start, stop, lines
-
-
-def _removable(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, content) of the chunks that may be removed: several lines, or a long one."""
-    for start, stop, lines in chunks_of(text):
-        content = text[start:stop].strip()
-        if len(content) >= LEAST_CHUNK and (lines > 1 or len(content) >= LONG_LINE):
-            yield start, stop, content
-
-
-def _digest(content: str) -> bytes:
-    return hashlib.blake2b(content.encode(), digest_size=16).digest()
-
-
-def _probes(h: bytes) -> list[int]:
-    return [int.from_bytes(h[4 * k : 4 * k + 4], "little") % FILTER_BITS for k in range(PROBES)]
-
-
-def _chunk_rows(rows: DataFrame, words: np.ndarray | None) -> DataFrame:
-    """A row per removable chunk; with a filter only chunks that pass it, and their content."""
-    spark = rows.sparkSession
-    shared = None if words is None else spark.sparkContext.broadcast(words)
+    """(start, end, words) of each chunk, in order; white space belongs to the chunk before it."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    u, _, _, cuts, _ = _cuts(data, np.asarray([0, len(data)]))
+    chars = np.append(np.cumsum((data & 0xC0) != 0x80) - 1, len(text))
+    for a, b in zip(cuts, np.append(cuts[1:], len(u))):
+        yield int(chars[u[a]]), int(chars[u[b]] if b < len(u) else len(text)), int(b - a)
+
+
+def _passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, end, hash) of each passage; places are in bytes of `data`."""
+    u, h, first, cuts, rows = _cuts(data, offsets)
+    if not len(u):
+        return u, u, u, h
+    n = len(u)
+    where = np.append(u, len(data))
+    ends = np.append(cuts, n)
+    row_of = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    j = np.maximum(np.searchsorted(ends, cuts + LEAST_WORDS), np.searchsorted(where[ends], where[cuts] + LEAST_BYTES))
+    fits = j < len(ends)
+    a, b = cuts[fits], ends[j[fits]]
+    line_ends = np.append(np.flatnonzero(first)[1:], n)
+    j = np.minimum(np.searchsorted(ends, line_ends - LEAST_WORDS, "right"), np.searchsorted(where[ends], where[line_ends] - LEAST_BYTES, "right")) - 1
+    a, b = np.concatenate((a, ends[j[j >= 0]])), np.concatenate((b, line_ends[j >= 0]))
+    row = row_of[a]
+    lines = np.add.reduceat(np.append(first, False).astype(np.int64), rows[:-1]) * (np.diff(rows) > 0)
+    whole = (b <= rows[row + 1]) & ((lines[row] > 1) | (np.diff(offsets)[row] >= LONG_LINE))
+    pairs = np.unique(a[whole] << 32 | b[whole])
+    a, b = pairs >> 32, pairs & 0xFFFFFFFF
+    row = row_of[a]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(WORD_BASE, n), dtype=np.uint64)))
+    back = _powers(pow(WORD_BASE, -1, 1 << 64), n)
+    return row, where[a], np.where(b == rows[row + 1], offsets[row + 1], where[b]), _mixed((sums[b] - sums[a]) * back[a]).view(np.int64)
+
+
+def _probes(h: np.ndarray) -> list[np.ndarray]:
+    h = h.view(np.uint64)
+    return [_mixed(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(FILTER_BITS) for k in range(PROBES)]
+
+
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    some = np.ones(len(h), bool)
+    for p in _probes(h):
+        some &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return some
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    flat, ends = byte_view(column)
+    for low, high in row_slices(ends, SLICE):
+        yield low, flat[ends[low] : ends[high]], ends[low : high + 1] - ends[low]
+
+
+def _repeated_hashes(rows: DataFrame) -> DataFrame:
+    """Rows (hash): the passage hashes that occur more than once. Hashes travel packed, BUCKETS by their low bits."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [_passages(data, offsets)[3] for _, data, offsets in _slices(string_column(batch, "text"))]
+            found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+            found = np.concatenate((found, found[n > 1]))  # twice says enough
+            bucket = found & (BUCKETS - 1)
+            order = np.argsort(bucket, kind="stable")
+            names, at = np.unique(bucket[order], return_index=True)
+            packed = pa.array([x.tobytes() for x in np.split(found[order], at[1:])] if len(names) else [], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), packed], names=["bucket", "hashes"])
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(x.as_buffer(), np.int64) for batch in batches for x in batch.column(1)]
+        found = np.sort(np.concatenate([np.zeros(0, np.int64), *parts]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(found[1:][found[1:] == found[:-1]]))], names=["hash"])
+
+    return rows.select("text").mapInArrow(pack, "bucket bigint, hashes binary").repartition("bucket").mapInArrow(repeated, "hash bigint")
+
+
+def _filter_of(repeated: DataFrame) -> np.ndarray:
+    """A Bloom filter over the repeated hashes, of fixed size; its blocks are put together in the cluster."""
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in _probes(batch.column(0).to_numpy().astype(np.int64)):
+                p = np.unique(p.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(p // BLOCK_BITS), pa.array((p % BLOCK_BITS).astype(np.int32))], names=["block", "bit"])
+
+    def block(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(BLOCK_BITS, bool)
+        bits[frame["bit"].to_numpy()] = True
+        return pd.DataFrame({"block": frame["block"].iloc[:1].to_numpy(), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    found = repeated.mapInArrow(positions, "block bigint, bit int").groupBy("block").applyInPandas(block, "block bigint, bits binary")
+    out = np.zeros((FILTER_BITS // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for r in found.toLocalIterator():
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _candidates(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """A row per passage that passes the filter, with the digest of its bytes; start and end are in characters."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if shared is None else shared.value
+        bits = shared.value
         for batch in batches:
-            row, start, end, digest, content = [], [], [], [], []
-            for k, text in enumerate(string_column(batch, "text")):
-                for a, b, body in _removable(text.as_py()):
-                    h = _digest(body)
-                    if bits is not None and not all(bits[p >> 6] >> (p & 63) & 1 for p in _probes(h)):
-                        continue
-                    row.append(k)
-                    start.append(a)
-                    end.append(b)
-                    digest.append(h)
-                    content.append(body if bits is not None else None)
-            take = pa.array(row, pa.int64())
-            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(digest, pa.binary())]
-            names = ["doc_id", "rid", "start", "end", "hash"]
-            if bits is not None:
-                columns, names = [*columns, pa.array(content, pa.string())], [*names, "content"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = f"doc_id {kind}, rid bigint, start bigint, end bigint, hash binary"
-    return rows.mapInArrow(run, schema if words is None else f"{schema}, content string")
+            for low, data, offsets in _slices(string_column(batch, "text")):
+                row, start, end, h = _passages(data, offsets)
+                some = _passes(bits, h)
+                row, start, end = row[some], start[some], end[some]
+                chars = np.concatenate((np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)))
+                raw = data.tobytes()
+                digest = pa.array([hashlib.blake2b(raw[a:b].rstrip(), digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())], pa.binary())
+                take, base = pa.array(row + low, pa.int64()), chars[offsets[row]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(chars[start] - base), pa.array(chars[end] - base), digest], names=["doc_id", "rid", "start", "end", "digest"])
 
+    return rows.mapInArrow(run, f"doc_id {kind}, rid bigint, start bigint, end bigint, digest binary")
 
-def _filter_of(repeated: DataFrame) -> np.ndarray:
-    """A Bloom filter over the repeated hashes as 64-bit words, of fixed size; OR-ed up in the cluster."""
-    little = lambda k: F.conv(F.concat(*[F.substring(F.hex("hash"), 8 * k + 2 * j + 1, 2) for j in (3, 2, 1, 0)]), 16, 10).cast("bigint")
-    position = F.explode(F.array(*[little(k) % FILTER_BITS for k in range(PROBES)]))
-    words = repeated.select(position.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("m"))
-    found = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    bits = np.zeros(FILTER_BITS >> 6, np.int64)
-    bits[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64)
-    return bits.view(np.uint64)
+
+def _merged(removed: DataFrame) -> DataFrame:
+    """Ranges that touch or overlap put together, text by text."""
+    schema = removed.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            start, end = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            order = np.lexsort((start, row))
+            row, start, end = row[order], start[order], end[order]
+            reach = np.maximum.accumulate(end + (row << 40)) - (row << 40)  # the furthest end so far, text by text
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(row)) - 1
+            ranges = pa.StructArray.from_arrays([pa.array(start[at]), pa.array(reach[last])], names=["start", "end"])
+            joined = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(len(lists) + 1)).astype(np.int32)), ranges)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), joined], names=["doc_id", "rid", "ranges"])
+
+    return removed.mapInArrow(run, schema)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, rid, ranges): the character ranges to be removed from the texts that have any.
 
-    rid is the text's hash; rows that repeat a doc_id with one text count as one document.
+    rid is the text's hash; rows that repeat a doc_id with one text count as one document. A passage that
+    overlaps the kept one in the same text stays.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    place = F.struct("doc_id", "rid", "start")
-    counted = _chunk_rows(rows, None).groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("kept"))
-    repeated = materialize(counted.filter("n > 1").select("hash", "kept"), "repeated")
-    candidates = materialize(_chunk_rows(rows, _filter_of(repeated)).join(repeated, "hash"), "chunks")
-    is_kept = F.col("kept").eqNullSafe(place)
-    originals = candidates.filter(is_kept).select("hash", F.col("content").alias("original")).dropDuplicates(["hash"])
-    same = candidates.filter(~is_kept).join(originals, "hash").filter(F.col("content") == F.col("original"))
-    return same.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
+    repeated = materialize(_repeated_hashes(rows), "repeated")
+    candidates = materialize(_candidates(rows, _filter_of(repeated)), "passages")
+    place = F.struct("doc_id", "rid", "start", "end")
+    kept = candidates.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1").drop("n")
+    same = candidates.join(kept, "digest")
+    at_kept = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.rid") == F.col("rid")) & (F.col("kept.end") > F.col("start"))
+    removed = same.filter(~at_kept).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    return _merged(removed)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -160,14 +254,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Null and empty texts stay as they are; a text without repeats is not touched. Ties between places go to
     the least (doc_id, text hash, place); a null doc_id sorts first.
     """
-    ranges = repeated_ranges(docs).select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), F.col("ranges").alias("__removed"))
-    joined = docs.withColumn("__r", F.xxhash64("text")).join(ranges, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__r") == F.col("__rid")), "left")
+    found = materialize(repeated_ranges(docs), "ranges")
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(found.select(F.xxhash64("doc_id", "rid"))))
+    # Only texts that may have ranges are joined; the filter lets none of these through to the others.
+    hit = F.pandas_udf(lambda key: pd.Series(_passes(bits.value, key.to_numpy(np.int64))), "boolean")
+    keyed = docs.withColumn("__r", F.xxhash64("text")).withColumn("__hit", hit(F.xxhash64("doc_id", "__r")))
+    ranges = found.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), F.col("ranges").alias("__removed"))
+    joined = keyed.filter("__hit").join(ranges, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__r") == F.col("__rid")), "left")
     # What lies between the removed ranges: from each range's end to the next one's start.
     froms = F.concat(F.array(F.lit(0).cast("bigint")), F.col("__removed.end"))
     tos = F.concat(F.col("__removed.start"), F.array(F.length("text").cast("bigint")))
     kept = F.zip_with(froms, tos, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return joined.withColumn("text", text).select(*docs.columns, "__removed")
+    cut = joined.withColumn("text", text).select(*docs.columns, "__removed")
+    return cut.unionByName(keyed.filter("NOT __hit").select(*docs.columns, F.lit(None).cast(cut.schema["__removed"].dataType).alias("__removed")))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

@@ -217,6 +217,27 @@ def test_repeated_passages_are_removed_once(spark):
     assert line_dedup.dedup_report(frame(spark, [])).count() == 0
 
 
+def test_passages_inside_lines_and_among_short_lines_are_found(spark):
+    prose = lambda seed, n, stop=". ": stop.join(passage(seed + k, 1)[:-1] for k in range(n)) + stop.strip()
+    han = lambda seed, n: "".join(map(chr, random.Random(seed).choices(range(0x4E00, 0x5E00), k=n)))
+    cases = []
+    for k in range(20):
+        words = prose(10_000 + 50 * k, 7).split()[:50]  # 50 words, cut anywhere in sentences
+        for body in (" ".join(words), " ".join(words).replace(".", ""), "\n".join(" ".join(words[i : i + 5]) for i in range(0, 50, 5)), "\n\n".join(" ".join(words[i : i + 7]) for i in range(0, 50, 7)), han(k, 80)):
+            cases.append(body)
+    texts = []
+    for k, body in enumerate(cases):
+        glue = "\n" if "\n" in body else "" if ord(body[0]) > 0x3000 else " "
+        around = (lambda s: han(s, 60)) if not glue else (lambda s: prose(s, 6, ".\n" if glue == "\n" else ". "))
+        texts += [around(100_000 + 40 * k + 10 * j) + glue + body + glue + around(500_000 + 40 * k + 10 * j) for j in range(2)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    for k, body in enumerate(cases):
+        first, second, cut = out[2 * k], out[2 * k + 1], len(texts[2 * k + 1]) - len(out[2 * k + 1])
+        assert first == texts[2 * k] and 0.24 * len(body) <= cut <= len(body) + 1
+        assert second[:20] == texts[2 * k + 1][:20] and second[-20:] == texts[2 * k + 1][-20:]
+        assert "\n" not in body or cut >= len(body)
+
+
 # Language --------------------------------------------------------------------------------------------------
 
 
