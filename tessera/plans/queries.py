@@ -404,6 +404,13 @@ def walk_edges(t) -> DataFrame:
     return e.select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % 1500).alias("dst")).distinct()
 
 
+def order_edges(t) -> DataFrame:
+    """Edges of all orders, with any customer as a target; the SQL of the queries over walk_edges fixes theirs."""
+    customers = t.customer.agg(F.min("c_custkey").alias("least"), F.max("c_custkey").alias("most"))
+    place = (F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % (F.col("most") - F.col("least") + 1) + F.col("least")
+    return t.orders.crossJoin(F.broadcast(customers)).select(F.col("o_custkey").alias("src"), place.alias("dst")).distinct()
+
+
 @query(f"""WITH RECURSIVE e AS ({_WALK}), w(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4)
 SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def reachable_within(t):
@@ -434,18 +441,18 @@ def edge_materialization(t):
 
 @query()
 def import_cycles(t):
-    return graph.cycles(walk_edges(t))
+    return graph.cycles(order_edges(t))
 
 
 @query()
 def load_order(t):
-    return graph.load_order(walk_edges(t))
+    return graph.load_order(order_edges(t))
 
 
 @query()
 def flow_traces(t):
-    calls = walk_edges(t).select(F.lit("m").alias("from_file"), F.col("src").cast("string").alias("from_symbol"), F.lit("m").alias("to_file"), F.col("dst").cast("string").alias("to_symbol"), F.lit(None).cast("string").alias("name"), F.lit("internal").alias("kind"), F.lit(None).cast("int").alias("line"), F.col("dst").cast("int").alias("edge_ordinal"))
-    starts = t.customer.filter("c_custkey % 100 = 0").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("flow_id"), F.lit("m").alias("file"), F.col("c_custkey").cast("string").alias("symbol"))
+    calls = order_edges(t).select(F.lit("m").alias("from_file"), F.col("src").cast("string").alias("from_symbol"), F.lit("m").alias("to_file"), F.col("dst").cast("string").alias("to_symbol"), F.lit(None).cast("string").alias("name"), F.lit("internal").alias("kind"), F.lit(None).cast("int").alias("line"), F.col("dst").cast("int").alias("edge_ordinal"))
+    starts = t.customer.select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("flow_id"), F.lit("m").alias("file"), F.col("c_custkey").cast("string").alias("symbol"))
     return graph.traces(starts, calls, 4)
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import graph, relationships
 
@@ -127,3 +128,19 @@ def test_overview_keeps_one_step_per_callee_and_boundary_examples(spark):
     assert symbols.count("d") == 1 and "print" in symbols and "x" in symbols
     left = graph.omission_groups(steps, graph.overview(steps, 3)).agg({"count": "sum"}).first()[0]
     assert left == 7 - 3
+
+
+def test_graph_queries_take_all_orders_and_customers(spark, tmp_path):
+    from tessera.plans.queries import QUERIES
+
+    spark.range(3000).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    pairs = [(0, 1), (1, 2), (7, 1), (8, 2), (999, 5)]  # 0 -> 1 -> 9, 7 -> 50, 8 -> 58, 999 -> 995
+    pairs += [(2142, 1)]  # -> 2995, past the first 1500 customers
+    spark.createDataFrame([(c, k) for c, k in pairs], "o_custkey bigint, o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    edges = {(r.component, r.node, r.level) for r in QUERIES["load_order"](spark, str(tmp_path)).collect()}
+    assert {int(n) for _, n, _ in edges} == {0, 1, 7, 8, 9, 50, 58, 995, 999, 2142, 2995}
+    assert {n: level for _, n, level in edges}[0] == 2
+    assert QUERIES["import_cycles"](spark, str(tmp_path)).count() == 0
+    traces = QUERIES["flow_traces"](spark, str(tmp_path)).collect()
+    assert len({r.flow_id for r in traces}) == 3000 and len(traces) == 3000 + 7
+    assert [r.symbol for r in sorted(traces, key=lambda r: r.step_index) if r.flow_id == "f0"] == ["0", "1", "9"]
