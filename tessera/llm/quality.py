@@ -23,8 +23,8 @@ ORDER, BITS = 4, 6
 SYMBOLS, START = 1 << BITS, 60
 #: A text's mean is drawn to the trusted mean as by so many symbols more; so short texts don't swing.
 PRIOR = 64
-#: The quantile of trusted perplexities, and the trusted documents a language needs for one of its own.
-QUANTILE, LEAST_TRUSTED = 0.995, 50
+#: The quantile of a language's trusted perplexities.
+QUANTILE = 0.995
 SLICE = 1 << 19
 
 
@@ -155,7 +155,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
     """Rows (doc_id, lang, perplexity, threshold, keep) for every document.
 
     Trusted text is that of documents labelled quality 1. A null or empty text has the prior's perplexity;
-    a null language is one of its own; a language with too few trusted documents gets the threshold of all.
+    a null language is one of its own; a language without any trusted document gets the threshold of all.
     Without trusted text every document stays.
     """
     trusted = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().hint("shuffle_merge")  # it grows with the labels: never a broadcast
@@ -167,7 +167,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
     perplexity = F.pow(F.lit(2.0), -(F.col("ll") + F.lit(PRIOR * mean)) / (F.col("n") + F.lit(PRIOR)))
     at = F.percentile_approx(perplexity, quantile, 10_000)
     overall = known.agg(at.alias("t")).first().t
-    by_lang = known.groupBy("lang").agg(at.alias("own"), F.count("*").alias("k")).filter(F.col("k") >= LEAST_TRUSTED).select(F.col("lang").alias("l"), "own")
+    by_lang = known.groupBy("lang").agg(at.alias("own")).select(F.col("lang").alias("l"), "own")
     out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("perplexity", perplexity)
     out = out.withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double"), F.lit(float("inf"))))
     return out.select("doc_id", "lang", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))

@@ -354,6 +354,16 @@ def test_quality_keeps_clean_text(spark):
     assert all(r.keep for r in quality.quality_report(frame(spark, good[:3]), none).collect())
 
 
+def test_a_rare_language_has_its_own_quantile(spark):
+    rare = [" ".join(w[::-1].upper() for w in passage(300 + k, 4).split()) for k in range(5)]
+    table = [(k, passage(k, 4), "en", "s", 0) for k in range(60)] + [(100 + k, t, "xx", "s", 0) for k, t in enumerate(rare)] + [(200, passage(200, 4), "yy", "s", 0)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in [*range(60), *range(100, 105)]], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality_report(spark.createDataFrame(table, DOCS), labels).collect()}
+    own = lambda ids: max(got[k].perplexity for k in ids)
+    assert got[100].threshold == pytest.approx(own(range(100, 105))) and got[0].threshold == pytest.approx(own(range(60)))
+    assert got[200].threshold == pytest.approx(own([*range(60), *range(100, 105)]))
+
+
 # Jaccard join ----------------------------------------------------------------------------------------------
 
 
