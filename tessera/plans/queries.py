@@ -82,8 +82,9 @@ def search_ranked_v2(t):
 @query("""SELECT source AS owner, count(*) AS hits FROM documents WHERE contains(lower(text), 'nicht') GROUP BY source""")
 def search_discovery_groups(t):
     pages = readers.document_pages(t.documents)
-    hits = pages.filter(F.contains(F.lower("content"), F.lit("nicht"))).select("path", "title", F.split("path", "/")[0].alias("owner"))
-    return hits.groupBy("owner").agg(F.count("*").alias("hits"))
+    hits = pages.filter(F.contains(F.lower("content"), F.lit("nicht"))).select("path", "title", F.lit(0.0).alias("score"))
+    owners = pages.select("path", F.split("path", "/")[0].alias("owner"))
+    return search.group_hits(hits, owners).select("owner", "hits")
 
 
 # Sources and filters --------------------------------------------------------------------------------------
