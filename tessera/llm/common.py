@@ -32,6 +32,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, label: str, most_rows: int = 1_000_000) -> DataFrame:
+    """`df`, of a few ids a row, written and counted: broadcast up to `most_rows`, joined by a shuffle beyond."""
+    df = materialize(df, label)
+    return F.broadcast(df) if df.count() <= most_rows else df.hint("shuffle_merge")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import materialize, string_column
+from .common import materialize, sized, string_column
 from .shingles import mixed, shingle_sets
 
 #: log2 of the slots of the frequency sketch (a byte each when broadcast), and its blocks.
 SLOTS_LOG2, BLOCKS = 22, 64
 #: Sketches that one task adds up; star rounds before remaining pairs are tried; partners of one left row in a task.
 MERGE, STAR_ROUNDS, PARTNERS = 64, 2, 200
+#: Size bands in which a size doubles, for the pairs that are left after the star rounds.
+BANDS = 16
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -200,18 +202,21 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     members = rows.join(shared, "token").withColumn("own", F.col("pos") - F.row_number().over(by_place) + 1)
     members = members.withColumn("others", F.count("*").over(Window.partitionBy("id")))
     sizes = classes.select("id", "n", "end", F.size("p1").alias("kept"))  # joined to the few rows left, not carried by all
-    members = members.join(sizes, "id").withColumn("every", F.col("kept") - F.col("others")).drop("pos", "kept", "others")
+    members = members.join(sizes, "id").withColumn("every", F.col("kept") - F.col("others")).drop("kept", "others")
     members = materialize(members, "members")
     needed = members.select("id").distinct()
     texts = materialize(docs.join(needed, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
     prefixes = materialize(classes.join(needed, "id", "left_semi").select("id", "p2", "p3"), "prefixes")
 
-    facts = ["id", "n", "own", "every", "end"]
+    facts = ["id", "n", "own", "every", "end", "pos"]
 
     def reach(a: str, b: str):
-        """Whether two sets can be similar, each lacking the other's own tokens."""
-        (na, oa, va, ea), (nb, ob, vb, eb) = ([F.col(f"{x}{c}") for c in facts[1:]] for x in (a, b))
-        oa, ob = F.when(eb >= ea, va).otherwise(oa), F.when(ea >= eb, vb).otherwise(ob)
+        """Whether two sets whose first shared token in the order is this one can be similar.
+
+        Either lacks all of the other's tokens before it, and those behind it that no other class has.
+        """
+        (na, oa, va, ea, pa), (nb, ob, vb, eb, pb) = ([F.col(f"{x}{c}") for c in facts[1:]] for x in (a, b))
+        oa, ob = pa + F.when(eb >= ea, va - oa).otherwise(0), pb + F.when(ea >= eb, vb - ob).otherwise(0)
         return F.least(na - oa, nb - ob) * 100 >= F.greatest(na + ob, nb + oa) * percent
 
     def candidates(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
@@ -245,7 +250,7 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
 
     def with_heads(now: DataFrame) -> DataFrame:
         """Members with their bucket's head: the one with the fewest tokens of its own, most like an original."""
-        heads = now.groupBy("token").agg(F.min(F.struct("own", "id", "n", "every", "end", "c")).alias("h"))
+        heads = now.groupBy("token").agg(F.min(F.struct("own", "id", "n", "every", "end", "pos", "c")).alias("h"))
         return now.join(heads, "token").filter(F.col("c") != F.col("h.c"))
 
     outside = members
@@ -268,11 +273,16 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     else:
         now = now.withColumn("head_n", F.lit(None).cast("bigint")).withColumn("common", F.lit(None).cast("bigint"))
     fields = (*facts, "c", "common")
-    beyond = with_heads(now).select("token", *[F.col(c).alias(f"x_{c}") for c in fields])
+    # Sizes that a member's partner can have, given the tokens before this one: partners are met by size band, so a
+    # member whose own edits come first in the order never meets the mass of sets of its bucket that are as large as it.
+    least, most = F.ceil(F.col("n") * percent / 100), F.floor((F.col("n") - F.col("pos")) * 100 / percent) - F.col("pos")
+    band = lambda n: F.floor(F.log2(n) * BANDS).cast("int")
+    beyond = with_heads(now).filter(least <= most).withColumn("band", F.explode(F.sequence(band(least), band(most))))
+    beyond = beyond.select("token", "band", *[F.col(c).alias(f"x_{c}") for c in fields])
     rest = lambda x: F.col(f"{x}n") - F.col(f"{x}common") - F.col(f"{x}own")
-    most = F.least("common", "x_common") + F.least(rest(""), rest("x_"))
-    possible = most.isNull() | (most * 100 >= (F.col("n") + F.col("x_n") - most) * percent)
-    cross = beyond.join(now, "token").filter((F.col("c") != F.col("x_c")) & reach("", "x_") & possible)
+    shared_most = F.least("common", "x_common") + F.least(rest(""), rest("x_"))
+    possible = shared_most.isNull() | (shared_most * 100 >= (F.col("n") + F.col("x_n") - shared_most) * percent)
+    cross = beyond.join(now.withColumn("band", band(F.col("n"))), ["token", "band"]).filter((F.col("c") != F.col("x_c")) & reach("", "x_") & possible)
     settle(cross.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")))
 
     named = classes.select("sig", "id")
@@ -285,6 +295,16 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay when one of each linked group is kept: the one with the least id."""
-    gone = link_classes(docs, size, percent).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The documents that stay when one of each linked group is kept: the one with the least id.
+
+    Of rows that repeat a doc_id and its text one stays, whatever their other columns; rows that repeat a doc_id
+    with other texts stay or go together. A null doc_id is compared with nothing but such repeated rows. Null and
+    empty texts are linked with nothing.
+    """
+    gone = link_classes(docs, size, percent).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    digest = F.xxhash64(F.col("text").cast("binary"))
+    again = docs.groupBy(F.col("doc_id").alias("__again"), digest.alias("__digest")).count().filter("count > 1").drop("count")
+    left = docs.join(sized(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    again, same = sized(again, "again"), F.col("doc_id").eqNullSafe(F.col("__again")) & (digest == F.col("__digest"))
+    one = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same, "left_anti").unionByName(one).select(docs.columns)

@@ -411,6 +411,36 @@ def test_components_match_brute_force(spark, corpus, size, percent):
     assert kept == {k for k, (_, c) in got.items() if k == c}
 
 
+def test_many_near_but_unlinked_sets_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(100)]
+    texts = []
+    for k in range(500):  # each loses or changes so much of the base that hardly any two are linked
+        words, at = list(base), rng.randrange(70)
+        if k % 2:
+            words[at : at + 14] = [f"n{k}x{j}" for j in range(14)]
+        else:
+            words[at : at + rng.randint(14, 30)] = []
+        texts.append(" ".join(words))
+    tried, count = [], jaccard_join.verified
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return count(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_classes(frame(spark, texts), 5, 80).collect()}
+    assert [got[k] for k in range(500)] == [c for _, c in brute_components(texts, 5, 80)]
+    assert sum(tried) < 500 * 499 / 2 / 4
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    table = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "q", "x"), (None, "q", "y"), (2, None, "x"), (2, None, "y"), (3, "a b c d e f", "z"), (4, "", "z"), (5, "", "z")]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, component_id string")
+    kept = sorted((r.doc_id or 0, r.text) for r in jaccard_join.near_duplicates(docs).collect() if r.text is not None)
+    assert kept == [(0, "q"), (1, "a b c d e f"), (4, ""), (5, "")]
+
+
 def test_join_of_empty_and_null_ids(spark):
     assert jaccard_join.link_classes(frame(spark, [])).count() == 0
     odd = spark.createDataFrame([(None, "a b c d", None), (3, "a b c d", 1), (5, "a b c d", 2), (5, "a b c d", 2)], "doc_id bigint, text string, id int")
