@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import ByteEncoder, process_own
 from .common import byte_view, materialize, row_slices, string_column
 
 #: A bin with at most this share of a sequence left over is final.
@@ -61,27 +61,37 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.asarray(fills, np.int64)
 
 
-def cut_lengths(tokens: int, capacity: int) -> list[int]:
-    """Lengths of a document's pieces: the first takes the remainder, the others are full."""
-    first = tokens % capacity or capacity
-    return [first] + [capacity] * ((tokens - first) // capacity)
+def cut_pieces(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of documents with so many tokens: first pieces take the remainders, others are full."""
+    counts = -(-tokens // capacity)
+    first = tokens - (counts - 1) * capacity
+    row = np.repeat(np.arange(len(tokens)), counts)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+    return row, piece, start, np.where(piece > 0, capacity, first[row])
 
 
 class _Pieces:
+    """Pieces of the documents taken in so far, packed together when there are enough of them."""
+
     def __init__(self):
-        self.ids, self.rows = [], []
-
-    def add(self, doc_id, encoded: bytes, capacity: int) -> None:
-        start = 0
-        for piece, length in enumerate(cut_lengths(len(encoded) >> 2, capacity)):
-            self.ids.append(doc_id)
-            self.rows.append((piece, start, length, zlib.crc32(encoded[start << 2 : (start + length) << 2])))
-            start += length
-
-    def packed(self, kind: pa.DataType, capacity: int, first_bin: int) -> tuple[pa.RecordBatch, int]:
-        table = np.asarray(self.rows, np.int64).reshape(-1, 4)
-        bins, offsets, fills = best_fit(table[:, 2], capacity)
-        columns = [pa.array(self.ids, kind), *(pa.array(table[:, k]) for k in range(4)), pa.array(bins + first_bin), pa.array(offsets), pa.array(fills[bins])]
+        self.ids, self.parts, self.rows = [], [], 0
+
+    def add(self, ids: pa.Array, encoded: list[np.ndarray], end: bytes, capacity: int) -> None:
+        row, piece, start, length = cut_pieces(np.asarray([len(e) + 1 for e in encoded], np.int64), capacity)
+        crc = np.zeros(len(row), np.int64)
+        views, first = [memoryview(e).cast("B") if len(e) else b"" for e in encoded], start << 2
+        for k, (r, a, b) in enumerate(zip(row.tolist(), first.tolist(), (first + (length << 2)).tolist())):
+            view = views[r]
+            crc[k] = zlib.crc32(view[a:b]) if b <= len(view) else zlib.crc32(end, zlib.crc32(view[a:]))
+        self.ids.append(ids.take(pa.array(row)))
+        self.parts.append(np.stack((piece, start, length, crc)))
+        self.rows += len(row)
+
+    def packed(self, capacity: int, first_bin: int) -> tuple[pa.RecordBatch, int]:
+        table = np.concatenate(self.parts, axis=1)
+        bins, offsets, fills = best_fit(table[2], capacity)
+        columns = [pa.concat_arrays(self.ids), *map(pa.array, table), pa.array(bins + first_bin), pa.array(offsets), pa.array(fills[bins])]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at", "fill"]
         self.__init__()
         return pa.RecordBatch.from_arrays(columns, names=names), first_bin + len(fills)
@@ -105,8 +115,9 @@ def pack_documents(docs: DataFrame, path: str, ranks: str | None = None, capacit
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one per piece.
 
     `path` names the tokenizer; `ranks` may name the same vocabulary as merge ranks, which encode faster.
-    A null text counts as empty and is the end id alone. Repeated ids are packed as documents of their
-    own. No text is shuffled; one row of about 60 bytes per piece is written to the shared folder, and
+    A null text counts as empty and is the end id alone. Repeated rows and ids, and null ids, are packed as
+    documents of their own; of pieces of equal length any may come first; an empty table gives no rows; other
+    columns are not looked at. A long text is encoded stretch by stretch. No text is shuffled; one row of about 60 bytes per piece is written to the shared folder, and
     pieces of underfull bins alone are joined with the outcome of the rounds.
     """
     kind = docs.schema[id_col].dataType
@@ -114,22 +125,21 @@ def pack_documents(docs: DataFrame, path: str, ranks: str | None = None, capacit
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, arrow_kind = None, _Pieces(), None
+        own, held = None, _Pieces()
         next_bin = TaskContext.get().partitionId() << 36
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = own or encoder(path, keep_space=True, ranks=ranks)
-            arrow_kind = batch.column(0).type
-            ids, column = batch.column(0).to_pylist(), string_column(batch, "text")
+            own = own or process_own(ByteEncoder, path, ranks)
+            column = string_column(batch, "text")
             for low, high in row_slices(byte_view(column)[1], slice_bytes):
-                for doc_id, encoded in zip(ids[low:high], own.encode_many(column.slice(low, high - low).to_pylist())):
-                    held.add(doc_id, encoded + end, capacity)
-                if len(held.rows) >= LOCAL_ITEMS:
-                    out, next_bin = held.packed(arrow_kind, capacity, next_bin)
+                texts = column.slice(low, high - low).to_pylist()
+                held.add(batch.column(0).slice(low, high - low), [own.encode(t) for t in texts], end, capacity)
+                if held.rows >= LOCAL_ITEMS:
+                    out, next_bin = held.packed(capacity, next_bin)
                     yield out
         if held.rows:
-            out, next_bin = held.packed(arrow_kind, capacity, next_bin)
+            out, next_bin = held.packed(capacity, next_bin)
             yield out
 
     schema = f"doc_id {kind.simpleString()}, piece bigint, start bigint, length bigint, ids_crc32 bigint, bin bigint, at bigint, fill bigint"

@@ -1,15 +1,19 @@
 """Token counts by overlap resynchronisation.
 
-A text of ordinary length is encoded at once. A huge text is cut into chunks that overlap; every chunk
-is encoded with offsets, and two neighbours are spliced at a boundary both of them have inside their
-overlap. A common boundary counts as proven when it lies at the start of a unit (after white space),
-where the tokenizer's matches always begin anew, and the units behind it agree on both sides. Where the
-overlap holds none (one endless word), it is widened until it does or the text ends.
+A text of ordinary length is counted at once. A longer one is cut into chunks that overlap; the library encodes each
+with offsets, and two neighbours are spliced at a boundary that both have inside their overlap.
+
+A boundary is proven stable where, in both encodings, a pre-token begins there, at least `margin` characters (more
+than the longest special string) lie between it and either end of the overlap, and all ids from it to the last such
+place agree. The pre-tokenizer scans from left to right without looking back, so a scan that begins a match where the
+whole text's scan begins one goes on as that does; what the left chunk's end tears is its last match and, of a special
+string, less than `margin` characters. Where an overlap holds no such boundary (an endless word) or ids differ, it is
+widened to twice the size until it holds one or all of the left chunk, which the wider chunk then replaces.
 """
 
 from __future__ import annotations
 
-import re
+import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,74 +21,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import UnitEncoder, encoder
+from .bpe import UnitCounter, process_own, special_strings
 from .common import byte_view, row_slices, string_column
 
-UNIT = re.compile(r"[^ \t-\r]+")
-CHUNK_CHARS, OVERLAP_CHARS = 200_000, 2_000
+#: Characters of a chunk, and of the part it shares with the one before it.
+CHUNK_CHARS, OVERLAP_CHARS = 16_000, 400
 
 
-def chunk_boundaries(encoder: UnitEncoder, text: str, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit starts of text[low:high] as offsets into the whole text, and the tokens from `low` before each.
+@dataclasses.dataclass
+class Chunk:
+    """The library's encoding of text[start:]; token k of `ids` begins where `begins` says."""
 
-    The chunk's end is a boundary too. The first unit counts only from where it is seen to begin.
-    """
-    spans = [(m.start(), m.group()) for m in UNIT.finditer(text, low, high)]
-    units = [u for _, u in spans]
-    encoder.learn(units)
-    sizes = np.fromiter((len(encoder.known[u]) >> 2 for u in units), np.int64, len(units))
-    starts = np.fromiter((s for s, _ in spans), np.int64, len(spans))
-    return np.append(starts, high), np.concatenate(([0], np.cumsum(sizes)))
-
-
-def count_huge(encoder: UnitEncoder, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
-    """Tokens of one long text, chunk by chunk."""
-    n, total, low = len(text), 0, 0
-    high = min(n, chunk)
-    left, before = chunk_boundaries(encoder, text, low, high)
-    while high < n:
-        wide = overlap
-        while True:
-            start, stop = max(low, high - wide), min(n, high - wide + chunk + wide)
-            right, after = chunk_boundaries(encoder, text, start, stop)
-            # The first unit of the right chunk may be torn, as may the last of the left one.
-            common = np.intersect1d(left[:-2], right[1:-1] if stop < n else right[1:])
-            common = common[common > start]
-            if len(common):
-                splice = int(common[0])
-                i, j = int(np.searchsorted(left, splice)), int(np.searchsorted(right, splice))
-                agreed = min(len(left) - 2 - i, len(right) - 2 - j)
-                if agreed >= 0 and np.array_equal(np.diff(before[i : i + agreed + 1]), np.diff(after[j : j + agreed + 1])):
+    start: int
+    encoding: object
+
+    def token_at(self, place: int) -> int | None:
+        """The token that begins a pre-token at this place of the whole text."""
+        k = self.encoding.char_to_token(place - self.start)
+        if k is None or self.encoding.token_to_chars(k)[0] != place - self.start:
+            return None
+        return k if k == 0 or self.encoding.token_to_word(k) != self.encoding.token_to_word(k - 1) else None
+
+
+@dataclasses.dataclass
+class Resynchroniser:
+    """Counts long texts with one library; tells how often it spliced and widened."""
+
+    library: object
+    chunk: int = CHUNK_CHARS
+    overlap: int = OVERLAP_CHARS
+    splices: int = 0
+    widenings: int = 0
+
+    def __post_init__(self):
+        self.margin = 1 + max(map(len, special_strings(self.library)), default=0)
+
+    def _encoded(self, text: str, low: int, high: int) -> Chunk:
+        return Chunk(low, self.library.encode(text[low:high], add_special_tokens=False))
+
+    def _common(self, left: Chunk, right: Chunk, low: int, high: int) -> tuple[int, int] | None:
+        """(left token, right token) at the first proven boundary in [low, high]."""
+        first = last = None
+        for places, stop in ((range(low, high + 1), 1), (range(high, low - 1, -1), 2)):
+            for place in places:
+                j = right.token_at(place)
+                i = None if j is None else left.token_at(place)
+                if i is not None:
+                    first, last = (first or (i, j)), (i, j)
+                    break
+            if first is None:
+                return None
+        (i, j), (m, n) = first, last
+        return first if left.encoding.ids[i:m] == right.encoding.ids[j:n] else None
+
+    def count(self, text: str) -> int:
+        end, total, spliced = min(len(text), self.chunk), 0, 0
+        left = self._encoded(text, 0, end)
+        while end < len(text):
+            wide = self.overlap
+            while True:
+                low, high = max(left.start, end - wide), min(len(text), end + max(self.chunk, wide))
+                right = self._encoded(text, low, high)
+                if low == left.start:  # the wider chunk holds the left one and takes its place
                     break
-            if start == low and stop == n:
-                return total + int(after[-1])
-            wide *= 2
-            if start == low:  # the overlap already holds the whole left chunk: reach further to the right
-                chunk *= 2
-        total += int(before[i])
-        low, high = splice, stop
-        left, before = right[j:], after[j:] - after[j]
-    return total + int(before[-1])
-
-
-def count_texts(encoder: UnitEncoder, texts: list[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
-    """Tokens of each text: short ones at once, huge ones by resynchronised chunks."""
-    plain = [encoder.splits(t) for t in texts]
-    cut = [encoder.units_of(t) if ok and len(t) <= chunk else None for t, ok in zip(texts, plain)]
-    encoder.learn([u for units in cut if units for u in units])
-    known = encoder.known
-    counts = [None if units is None else sum([len(known[u]) for u in units]) >> 2 for units in cut]
-    for i, (text, ok) in enumerate(zip(texts, plain)):
-        if counts[i] is None:
-            counts[i] = count_huge(encoder, text, chunk, overlap) if ok else len(encoder.whole(text)) >> 2
-    return counts
-
-
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, slice_bytes: int = 1 << 20) -> DataFrame:
-    """Rows (id, n_bytes, n_tokens, over_limit) for every document; a null text counts as empty.
-
-    `path` names a tokenizer that drops white space. Map-only: no shuffle, memory bounded by a slice of
-    `slice_bytes` of text and the encoder's bounded memory of units. Repeated ids give repeated rows.
+                if found := self._common(left, right, low + self.margin, end - self.margin):
+                    total, spliced = total + found[0] - spliced, found[1]
+                    self.splices += 1
+                    break
+                wide *= 2
+                self.widenings += 1
+            left, end = right, high
+        return total + len(left.encoding) - spliced
+
+
+class TokenCounter:
+    """Counts of any texts: short ones by a unit counter, longer ones by resynchronised chunks."""
+
+    def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, memory: int = 400_000):
+        self.units = UnitCounter(path, memory)
+        self.long = Resynchroniser(self.units.library, chunk, overlap)
+
+    def count(self, texts: list[str]) -> list[int]:
+        short = iter(self.units.count_many([t for t in texts if len(t) <= self.long.chunk]))
+        return [next(short) if len(t) <= self.long.chunk else self.long.count(t) for t in texts]
+
+
+def token_counts(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, slice_bytes: int = 1 << 20, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, memory: int = 400_000
+) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_tokens, over_limit) for every document.
+
+    `path` names a tokenizer that drops white space. A null text counts as empty, with no tokens. Repeated rows and
+    ids, and null ids, give a row each; an empty table gives none; other columns are not looked at. Map-only: no
+    shuffle; memory is bounded by a slice of `slice_bytes` of text (or one longer text), two chunks' encodings and the
+    memory of short texts' units (0: none).
     """
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -94,12 +124,12 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = own or encoder(path, keep_space=False)
+            own = own or process_own(TokenCounter, path, chunk, overlap, memory)
             column = string_column(batch, "text")
             _, ends = byte_view(column)
             counts: list[int] = []
             for low, high in row_slices(ends, slice_bytes):
-                counts += count_texts(own, column.slice(low, high - low).to_pylist())
+                counts += own.count(column.slice(low, high - low).to_pylist())
             tokens = np.asarray(counts, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(ends)), pa.array(tokens), pa.array(tokens > limit)],

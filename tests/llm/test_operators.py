@@ -13,7 +13,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tessera.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, packing, quality, registry, sharding, shingles, token_counts, toxicity  # noqa: E402
-from tessera.llm.bpe import UnitEncoder  # noqa: E402
+from tessera.llm.bpe import ByteEncoder, UnitCounter, stretches  # noqa: E402
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 AWKWARD = [None, "", " ", "\n", "Ab", "Über  die\tBrücke\r\n\r\n", "日本語　テスト\n次", "x y", "a" * 3000, "it's <|endoftext|>  odd <|startoftext|>", "12 34,5 $%&", "é combining"]
@@ -130,25 +130,49 @@ def test_edits_of_one_row_and_none(spark):
 # Tokens and packing ----------------------------------------------------------------------------------------
 
 
-def test_units_encode_as_the_library_does(corpus):
-    byte = UnitEncoder(public_tokenizers.path(registry.BYTE_BPE), True, ranks=public_tokenizers.path(registry.BYTE_RANKS))
-    plain = UnitEncoder(public_tokenizers.path(registry.BYTE_BPE), True, memory=40)
-    word = UnitEncoder(public_tokenizers.path(registry.WORD_BPE), False, memory=40)
-    texts = [t or "" for t in corpus]
-    for encoder in (byte, plain, word):
-        assert encoder.encode_many(texts) == [encoder.whole(t) for t in texts]
+SEAMS = ["ab", " ", "  ", "<|endoftext|>", "<|startoft", "ext|>", "1", "'s", "é", "日本", "\n", "!!", "İ", "\u0308", "\u3000", "\xa0", "\x1c", "\u200b", "x"]
 
 
-def test_token_counts_and_resynchronisation(spark, corpus):
+def odd_texts(seed, n):
+    rng = random.Random(seed)
+    for k in range(n):
+        text = "".join(rng.choices(SEAMS, k=rng.randint(50, 400)))
+        yield text + "q" * rng.randint(50, 900) + " " + text if k % 5 == 0 else text
+
+
+def test_encoders_do_as_the_library_does(corpus, monkeypatch):
+    byte, plain = (ByteEncoder(public_tokenizers.path(registry.BYTE_BPE), ranks) for ranks in (public_tokenizers.path(registry.BYTE_RANKS), None))
+    texts = [t or "" for t in corpus] + list(odd_texts(1, 200))
+    wanted = [plain.library.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (1 << 18, 30):
+        monkeypatch.setattr("tessera.llm.bpe.stretches", lambda t, m=most: stretches(t, m))
+        assert [byte.encode(t).tolist() for t in texts] == wanted == [plain.encode(t).tolist() for t in texts]
+    for memory in (400_000, 40, 0):
+        counter = UnitCounter(public_tokenizers.path(registry.WORD_BPE), memory)
+        assert counter.count_many(texts) == [counter.whole(t) for t in texts] == counter.count_many(texts)
+
+
+def test_token_counts_of_short_and_spliced_texts(spark, corpus):
     path = public_tokenizers.path(registry.WORD_BPE)
-    encoder = UnitEncoder(path, False)
-    got = {r.doc_id: r for r in token_counts.token_counts(frame(spark, corpus), path, limit=50).collect()}
-    for k, t in enumerate(corpus):
-        n = len(encoder.whole(t or "")) >> 2
-        assert (got[k].n_bytes, got[k].n_tokens, got[k].over_limit) == (len((t or "").encode()), n, n > 50)
-    huge = [" ".join(corpus[:40]), "q" * 4000 + " end " + "word " * 500, "abcdefgh" * 600]
-    for chunk, overlap in ((100, 10), (333, 40), (1000, 5)):
-        assert [token_counts.count_huge(encoder, t, chunk, overlap) for t in huge] == [len(encoder.whole(t)) >> 2 for t in huge]
+    whole = UnitCounter(path).whole
+    texts = [*corpus, " ".join(t or "" for t in corpus[:40]), "a\xa0b\u3000c " * 900]
+    docs = frame(spark, texts).unionAll(frame(spark, texts[:1]))
+    for chunk in (16_000, 100):
+        got = token_counts.token_counts(docs.withColumn("n_tokens", packing.F.lit("clash")), path, limit=50, chunk=chunk, overlap=30).collect()
+        assert len(got) == len(texts) + 1
+        for r in got:
+            text = texts[r.doc_id] or ""
+            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), whole(text), whole(text) > 50)
+    assert token_counts.token_counts(frame(spark, []), path).count() == 0
+
+
+def test_resynchronisation_splices_and_widens(corpus):
+    library = UnitCounter(public_tokenizers.path(registry.WORD_BPE)).library
+    huge = [" ".join(t or "" for t in corpus), "q" * 4000 + " end " + "word " * 500, "abcdefgh" * 600, *odd_texts(2, 300)]
+    for chunk, overlap in ((100, 40), (333, 60), (1000, 400), (60, 5)):
+        own = token_counts.Resynchroniser(library, chunk, overlap)
+        assert [own.count(t) for t in huge] == [len(library.encode(t, add_special_tokens=False)) for t in huge]
+        assert own.splices > 5 and own.widenings > 5
 
 
 def test_best_fit_places_everything_once():
@@ -162,7 +186,7 @@ def test_best_fit_places_everything_once():
 
 def test_packing_round_trip(spark, corpus):
     path = public_tokenizers.path(registry.BYTE_BPE)
-    encoder, capacity = UnitEncoder(path, True), 64
+    library, capacity = ByteEncoder(path).library, 64
     docs = frame(spark, corpus).withColumn("fill", packing.F.lit("clash")).repartition(5)
     got = packing.pack_documents(docs, path, capacity=capacity).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
@@ -171,7 +195,7 @@ def test_packing_round_trip(spark, corpus):
         by_sequence[r.sequence_id].append((r.offset, r.length))
     total = 0
     for k, t in enumerate(corpus):
-        ids = np.frombuffer(encoder.whole(t or ""), "<u4").tolist() + [0]
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
         total += len(ids)
         pieces = sorted(by_doc[k], key=lambda r: r.piece)
         assert [p.piece for p in pieces] == list(range(len(pieces))) and all(p.length == capacity for p in pieces[1:])
@@ -183,6 +207,8 @@ def test_packing_round_trip(spark, corpus):
         assert places[0][0] == 0 and sum(n for _, n in places) <= capacity
         assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:]))
     assert len(by_sequence) <= 1.1 * -(-total // capacity)
+    repeated = frame(spark, ["one text"] * 3 + [None, ""]).withColumn("doc_id", packing.F.lit(None).cast("bigint"))
+    assert sorted(r.length for r in packing.pack_documents(repeated, path).collect()) == [1, 1, 3, 3, 3]
     assert packing.pack_documents(frame(spark, []), path).count() == 0
 
 
