@@ -1,12 +1,13 @@
 """Toxicity by a support vector machine over a subsequence string kernel.
 
-The kernel of two words sums, over all ordered triples of letters that both contain with gaps of at most
-REACH between neighbours, the decayed lengths DECAY^span of their occurrences. An insult with characters
-inserted or left out so still has most of its triples. Words are not compared with each other but with a
-few landmarks (Nyström): stems that mark labelled toxic text, and ordinary words. A sentence is described
-by its words' greatest kernel value with each landmark, whitened by the landmarks' own kernel matrix; a
-linear squared-hinge machine is trained on labelled sentences, and a document is as toxic as its most
-toxic sentence.
+The kernel of two words sums, over all ordered triples of letters that both contain with steps of at most REACH
+between neighbours, the decayed lengths DECAY^span of their occurrences, and is raised to POWER (a product of kernels,
+so a kernel), which sets whole matches off from partial ones. An insult with characters inserted or left out still has
+most of its triples. Words are not compared with each other but with a few landmarks (Nyström): stems that mark
+labelled toxic text, and ordinary words. The map of a word is its kernel values with the landmarks times the inverse
+root of the landmarks' own kernel matrix; products of mapped landmarks give that matrix back. A sentence pools its
+words' kernel values by their greatest before the map. A linear squared-hinge machine is trained on labelled
+sentences, and a document is as toxic as its most toxic sentence.
 """
 
 from __future__ import annotations
@@ -19,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, fold_of, row_slices, string_column
+from .common import byte_view, fold_of, materialize, row_slices, string_column
 
 #: Decay of a letter of span, and the longest step between neighbours of a triple.
 DECAY, REACH = 0.8, 3
-#: Landmarks of either kind; relative kernel values below LEAST count as none, others are
-#: raised to POWER (a polynomial of the kernel, a kernel too), which sets whole matches off from partial ones.
-STEMS, ORDINARY, LEAST, POWER = 64, 16, 0.45, 3
-#: The fit's bounds: rows of each label, and characters a training text may have.
-TOXIC_ROWS, CLEAN_ROWS, LONGEST = 1500, 3000, 8000
-SLICE = 1 << 18
+#: Landmarks of either kind, the power of the kernel, and what steadies the landmarks' matrix, of its mean diagonal.
+STEMS, ORDINARY, POWER, RIDGE = 64, 16, 3, 1e-4
+#: The fit's bounds: rows of each label, whatever their length.
+TOXIC_ROWS, CLEAN_ROWS = 1000, 2000
+#: Bytes that are looked at together, and words.
+SLICE, WORDS = 1 << 18, 4096
 _GAP, _NONE = -1, -2
 
 
@@ -59,25 +60,30 @@ class Letters:
     word: np.ndarray
     sentence: np.ndarray
     row_of_sentence: np.ndarray
+    opens: bool = True  # whether letters come before the first sentence end
+
+
+def _sentence_ends(data: np.ndarray) -> np.ndarray:
+    """Where sentences end: . ! ? before white space or at the end of the data, and line ends."""
+    ends = SENTENCE[data]
+    ends[:-1] &= (SYMBOL[data[1:]] == _GAP) | (data[:-1] == 10)
+    return ends
 
 
 def letters_of(data: np.ndarray, offsets: np.ndarray) -> Letters:
     """Words end at white space; words of one letter that follow each other ("i d i o t") are one word.
 
-    Sentences end at . ! ? before white space and at line ends; punctuation inside a word is passed over.
+    Punctuation inside a word is passed over.
     """
     n = len(data)
     sym = SYMBOL[data]
     row_start = np.zeros(n + 1, np.int32)
     np.add.at(row_start, offsets[:-1], 1)
-    gap = sym == _GAP
-    ends = SENTENCE[data]
-    ends[:-1] &= gap[1:] | (data[:-1] == 10)
-    sentence_at = np.cumsum(row_start[:n] + np.concatenate(([0], ends[:-1])))
-    word_at = np.cumsum(row_start[:n] + gap)
+    sentence_at = np.cumsum(row_start[:n] + np.concatenate(([0], _sentence_ends(data)[:-1])) if n else row_start[:0])
+    word_at = np.cumsum(row_start[:n] + (sym == _GAP))
     kept = np.flatnonzero(sym >= 0)
     if not len(kept):
-        return Letters(*(np.zeros(0, np.int64),) * 4)
+        return Letters(*(np.zeros(0, np.int64),) * 4, False)
     symbol, word, sentence = sym[kept].astype(np.int32), word_at[kept], sentence_at[kept]
     new_word = np.concatenate(([True], word[1:] != word[:-1]))
     starts = np.flatnonzero(new_word)
@@ -87,7 +93,7 @@ def letters_of(data: np.ndarray, offsets: np.ndarray) -> Letters:
     word = np.repeat(np.cumsum(~joined) - 1, np.diff(np.append(starts, len(symbol))))
     sentences, sentence = np.unique(sentence, return_inverse=True)
     first = kept[np.concatenate(([True], sentence[1:] != sentence[:-1]))]
-    return Letters(symbol, word, sentence, np.searchsorted(offsets, first, side="right") - 1)
+    return Letters(symbol, word, sentence, np.searchsorted(offsets, first, side="right") - 1, bool(sentences[0] == sentence_at[0]))
 
 
 def triples(symbol: np.ndarray, word: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,13 +118,40 @@ def triples(symbol: np.ndarray, word: np.ndarray, wanted: np.ndarray | None = No
     return np.concatenate(words), np.concatenate(codes), np.concatenate(weights)
 
 
+def _pieces(data: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    """(piece, whether it ends where a sentence does) of a long row: about SLICE bytes each, cut behind the last sentence end.
+
+    A sentence without end for so long is cut between two words of several letters; such a piece holds nothing else.
+    """
+    low, size = 0, SLICE
+    while low < len(data):
+        window = data[low : low + size]
+        if low + size >= len(data):
+            yield window, True
+            return
+        ends = np.flatnonzero(_sentence_ends(window)[:-1])
+        if len(ends):
+            yield window[: ends[-1] + 1], True
+            low, size = low + int(ends[-1]) + 1, SLICE
+            continue
+        sym = SYMBOL[window]
+        between = np.flatnonzero((sym[2:-2] == _GAP) & (sym[:-4] >= 0) & (sym[1:-3] >= 0) & (sym[3:-1] >= 0) & (sym[4:] >= 0))
+        if len(between):
+            yield window[: between[-1] + 3], False
+            low, size = low + int(between[-1]) + 3, SLICE
+        else:
+            size *= 2
+
+
 @dataclasses.dataclass
 class StringKernelSVM:
-    """Landmarks as triple weights, the whitening map, the machine and its calibration."""
+    """Landmarks as triple weights, the Nyström map, the machine and its calibration."""
 
-    wanted: np.ndarray  # code -> row of `weights`, 0 for none
-    weights: np.ndarray  # (codes, landmarks)
-    own: np.ndarray  # each landmark's kernel with itself
+    wanted: np.ndarray  # code -> row of `first`, 0 for none
+    first: np.ndarray  # where a code's entries begin
+    landmark: np.ndarray  # an entry's landmark
+    weight: np.ndarray  # and its weight there
+    n: int
     whiten: np.ndarray
     slope: np.ndarray | None = None
     bias: float = 0.0
@@ -129,61 +162,72 @@ class StringKernelSVM:
         symbol = np.concatenate(landmarks).astype(np.int32)
         owner = np.repeat(np.arange(len(landmarks)), [len(x) for x in landmarks])
         which, codes, weight = triples(symbol, owner)
-        known, row = np.unique(codes, return_inverse=True)
-        wanted = np.zeros(1 << 18, np.int16)
+        n = len(landmarks)
+        entries, at = np.unique(codes.astype(np.int64) * n + which, return_inverse=True)
+        known, first = np.unique(entries // n, return_index=True)
+        wanted = np.zeros(1 << 18, np.int32)
         wanted[known] = np.arange(1, len(known) + 1)
-        weights = np.zeros((len(known) + 1, len(landmarks)), np.float32)
-        np.add.at(weights, (row + 1, which), weight)
-        gram = weights.T @ weights
-        own = np.maximum(np.diag(gram), 1e-6)
-        values, vectors = np.linalg.eigh((gram / np.sqrt(np.outer(own, own))) ** POWER + 1e-3 * np.eye(len(own)))
-        return cls(wanted, weights, own, (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T)
-
-    def sentences(self, letters: Letters) -> tuple[np.ndarray, np.ndarray]:
-        """(sentence numbers, features) of the sentences that have a word near a landmark."""
-        none = np.zeros(0, np.int64), np.zeros((0, len(self.own)), np.float32)
-        word, code, weight = triples(letters.symbol, letters.word, self.wanted)
+        model = cls(wanted, np.concatenate(([0], first, [len(entries)])), entries % n, np.bincount(at, weight, len(entries)), n, np.eye(n))
+        gram = model.kernel(Letters(symbol, owner, owner, np.arange(n))) ** POWER
+        values, vectors = np.linalg.eigh(gram + RIDGE * np.trace(gram) / n * np.eye(n))
+        model.whiten = (vectors / np.sqrt(values)) @ vectors.T
+        return model
+
+    def kernel(self, letters: Letters) -> np.ndarray:
+        """Each sentence's words' greatest kernel value with each landmark, before the power."""
+        out = np.zeros((len(letters.row_of_sentence), self.n))
+        word, row, weight = triples(letters.symbol, letters.word, self.wanted)
         if not len(word):
-            return none
+            return out
         order = np.argsort(word, kind="stable")
-        word, code, weight = word[order], code[order], weight[order]
+        word, row, weight = word[order], row[order], weight[order]
         heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        many = np.diff(np.append(heads, len(word))) > 1  # a single triple is below LEAST
-        near, owners = [], []
-        for low in range(0, len(heads), 4096):
-            part = slice(heads[low], heads[low + 4096] if low + 4096 < len(heads) else len(word))
-            value = np.add.reduceat(self.weights[code[part]] * weight[part, None], heads[low : low + 4096] - heads[low], axis=0) / self.own
-            value[value < LEAST] = 0
-            active = many[low : low + 4096] & value.any(axis=1)
-            near.append(np.minimum(value[active], 1) ** POWER)
-            owners.append(word[heads[low : low + 4096]][active])
-        near, owners = np.concatenate(near), np.concatenate(owners)
-        if not len(owners):
-            return none
-        sentence = letters.sentence[np.searchsorted(letters.word, owners)]
-        heads = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1])))
-        return sentence[heads], np.maximum.reduceat(near, heads, axis=0) @ self.whiten.astype(np.float32)
+        sentence = letters.sentence[np.searchsorted(letters.word, word[heads])]
+        for low in range(0, len(heads), WORDS):
+            begin, stop = heads[low], heads[low + WORDS] if low + WORDS < len(heads) else len(word)
+            rows = row[begin:stop]
+            counts = self.first[rows + 1] - self.first[rows]
+            entry = np.arange(counts.sum()) + np.repeat(self.first[rows] - (np.cumsum(counts) - counts), counts)
+            place = np.repeat(np.searchsorted(heads[low : low + WORDS], np.arange(begin, stop), side="right") - 1, counts)
+            words = len(heads[low : low + WORDS])
+            value = np.bincount(place * self.n + self.landmark[entry], self.weight[entry] * np.repeat(weight[begin:stop], counts), words * self.n).reshape(words, self.n)
+            of = sentence[low : low + WORDS]
+            new = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            out[of[new]] = np.maximum(out[of[new]], np.maximum.reduceat(value, new, axis=0))
+        return out
+
+    def features(self, letters: Letters) -> np.ndarray:
+        """The Nyström map of each sentence."""
+        return self.kernel(letters) ** POWER @ self.whiten
 
     def margins(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Each row's greatest sentence margin; a row without letters has the bias alone."""
-        out = np.full(len(ends) - 1, self.bias)
+        out, direct = np.full(len(ends) - 1, self.bias), self.whiten @ self.slope
         for low, high in row_slices(ends, SLICE):
             start, stop = int(ends[low]), int(ends[high])
-            while start < stop:  # a longer row is cut at white space; what is cut there counts as two sentences
-                piece = stop
-                if stop - start > SLICE:
-                    gaps = np.flatnonzero(SYMBOL[flat[start : start + SLICE]] == _GAP)
-                    piece = start + (int(gaps[-1]) + 1 if len(gaps) else SLICE)
-                    offsets = np.asarray([0, piece - start])
-                else:
-                    offsets = np.clip(ends[low : high + 1] - start, 0, None)
-                letters = letters_of(flat[start:piece], offsets)
-                which, features = self.sentences(letters)
-                if len(which):
-                    np.maximum.at(out, low + letters.row_of_sentence[which], features @ self.slope + self.bias)
-                start = piece
+            if stop - start > SLICE:
+                out[low] = max(out[low], self._long_margin(flat[start:stop], direct))
+                continue
+            letters = letters_of(flat[start:stop], ends[low : high + 1] - start)
+            np.maximum.at(out, low + letters.row_of_sentence, self.kernel(letters) ** POWER @ direct + self.bias)
         return out
 
+    def _long_margin(self, data: np.ndarray, direct: np.ndarray) -> float:
+        """The greatest margin in one long row, piece by piece; a sentence that goes on keeps its pooled values."""
+        best, held = self.bias, np.zeros((1, self.n))
+        for piece, ended in _pieces(data):
+            letters = letters_of(piece, np.asarray([0, len(piece)]))
+            pooled = self.kernel(letters)
+            if letters.opens:
+                pooled[0] = np.maximum(pooled[0], held[0])
+            else:
+                pooled = np.concatenate((held, pooled))
+            if ended:
+                best = max(best, float((pooled**POWER @ direct).max() + self.bias))
+                pooled = np.zeros((1, self.n))
+            held = pooled
+        return best
+
     def scores(self, margins: np.ndarray) -> np.ndarray:
         a, b = self.scale
         return 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
@@ -289,7 +333,7 @@ def fit(texts: list[str], labels: list[int]) -> StringKernelSVM | None:
     if not landmarks:
         return None
     model = StringKernelSVM.with_landmarks(landmarks)
-    features = [model.sentences(d)[1] for d in docs]
+    features = [model.features(d).astype(np.float32) for d in docs]
     zero = np.zeros(len(landmarks), np.float32)
     chosen = [x[np.linalg.norm(x, axis=1).argmax()] if len(x) else zero for x in features]
     ratio = float((y == 0).sum()) / float((y > 0).sum())
@@ -313,23 +357,20 @@ def fit(texts: list[str], labels: list[int]) -> StringKernelSVM | None:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most TOXIC_ROWS and CLEAN_ROWS rows outside the held-out fold, drawn by a hash of the id."""
+    """Whole texts and labels of at most TOXIC_ROWS and CLEAN_ROWS rows outside the held-out fold, drawn by a hash of the id.
+
+    The draw is made in the cluster over (id, label) pairs of documents that have a text; only what is drawn travels.
+    """
     fold = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), 5) != 0))
     known = fold.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30))
-    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    bound = {1: 2 * TOXIC_ROWS, 0: 2 * CLEAN_ROWS}
-    share = lambda k: int((1 << 30) * min(1.0, bound[k] / max(1, counts.get(k, 0))))
-    drawn = known.withColumn("d", draw).filter(F.col("d") < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)))
-    # About 2 * (TOXIC_ROWS + CLEAN_ROWS) ids by construction: small enough to broadcast.
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, LONGEST)).join(F.broadcast(drawn), "doc_id")
-    texts, y, left = [], [], {1: TOXIC_ROWS, 0: CLEAN_ROWS}
-    for r in joined.select("toxic", "d", "text").orderBy("d", "text").toLocalIterator():
-        if left[r.toxic]:
-            left[r.toxic] -= 1
-            texts.append(r.text)
-            y.append(r.toxic)
-    return texts, y
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
+    known = materialize(known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    draw = F.xxhash64("doc_id", F.lit(13))
+    of = lambda label, n: known.filter(F.col("toxic") == label).select("doc_id", "toxic", draw.alias("d")).orderBy("d", "doc_id").limit(n)
+    drawn = materialize(of(1, TOXIC_ROWS).unionAll(of(0, CLEAN_ROWS)), "drawn")
+    rows = texts.join(F.broadcast(drawn), "doc_id").select("toxic", "d", "text").orderBy("d", "text")
+    taken = [(r.text, r.toxic) for r in rows.toLocalIterator()]
+    return [t for t, _ in taken], [y for _, y in taken]
 
 
 def score_toxicity(docs: DataFrame, model: StringKernelSVM | None) -> DataFrame:
@@ -351,7 +392,13 @@ def score_toxicity(docs: DataFrame, model: StringKernelSVM | None) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted). A null or empty text has no letters and scores as such."""
+    """Rows (doc_id, held_out, score, predicted) for every document.
+
+    A null or empty text has no letters and scores as such. Repeated rows, also of training documents, score as often as
+    they occur; a null doc_id is in no fold (held_out null) and never trains. A text of several labels counts as toxic if
+    one says so. Long texts are scored piece by piece as if whole. Other columns are not looked at. Without labels of
+    both kinds every score is 0; an empty table gives no rows.
+    """
     texts, y = training_sample(docs, labels)
     out = score_toxicity(docs, fit(texts, y))
     return out.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

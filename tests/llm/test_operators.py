@@ -512,6 +512,62 @@ def test_toxicity_on_held_out_and_gapped_insults(spark):
     assert scores[0] > 0.5 and scores[2] > 0.5 and scores[1] > scores[3]
 
 
+def brute_kernel(a, b):
+    def triples(w):
+        out = collections.Counter()
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + toxicity.REACH + 1)):
+                for k in range(j + 1, min(len(w), j + toxicity.REACH + 1)):
+                    out[w[i], w[j], w[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = triples(a), triples(b)
+    return sum(v * y[t] for t, v in x.items())
+
+
+def letters(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return toxicity.letters_of(data, np.asarray([0, len(data)]))
+
+
+def test_string_kernel_matches_brute_force_and_the_map_its_matrix():
+    stems = ["wombatface", "muckraker", "dunder", "table", "anana"]
+    model = toxicity.StringKernelSVM.with_landmarks([letters(w).symbol for w in stems])
+    gram = np.asarray([[brute_kernel(a, b) for b in stems] for a in stems]) ** toxicity.POWER
+    assert np.allclose(model.kernel(letters(". ".join(stems))) ** toxicity.POWER, gram, rtol=1e-4)
+    mapped = model.features(letters(". ".join(stems)))
+    assert np.allclose(mapped @ mapped.T, gram, atol=2e-3 * np.trace(gram) / len(stems))
+    sentence = "a womb xatface, ananas mxuckraker able. other"
+    words = ["a", "womb", "xatface", "ananas", "mxuckraker", "able"]
+    assert np.allclose(model.kernel(letters(sentence))[0], [max(brute_kernel(w, s) for w in words) for s in stems], rtol=1e-4)
+
+
+def test_toxicity_of_long_texts_does_not_depend_on_slices(monkeypatch):
+    rng = random.Random(9)
+    words = ["wombatface", "muck", "raker", "i", "d", "o", "table", "ananas", "bxle.", "x!", "n.", "\n", "...", "-", "é"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "\t", ""]) for _ in range(rng.randint(1, 400))) for _ in range(60)] + ["muckraker" * 40, "a b " * 200, "", ". " * 90]
+    model = toxicity.StringKernelSVM.with_landmarks([letters(w).symbol for w in ("wombatface", "muckraker", "table", "idioto")])
+    model.slope, model.bias = np.asarray([0.5, 0.3, -0.4, 0.2]), -0.7
+    column = shingles.byte_view(pa.array(texts, pa.large_string()))
+    whole = model.margins(*column)
+    for size in (16, 60, 300):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        monkeypatch.setattr(toxicity, "WORDS", 7)
+        assert np.allclose(model.margins(*column), whole)
+
+
+def test_training_takes_rows_of_any_length_and_stays_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 5)
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 7)
+    table = [(k, "long words " * 4000 if k % 2 else "short", None, None, 0) for k in range(60)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(90)], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame(table + table, DOCS).withColumn("toxic", packing.F.lit(9))
+    texts, y = toxicity.training_sample(docs.dropDuplicates(["doc_id"]), labels)
+    assert len(y) == 12 and sum(y) == 5 and max(map(len, texts)) == 44_000
+    report = toxicity.toxicity_report(docs, labels)
+    assert report.count() == 120 and report.select("doc_id", "score").distinct().count() == 60
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert toxicity.toxicity_report(frame(spark, ["a", None]), none).agg({"predicted": "max"}).first()[0] == 0
