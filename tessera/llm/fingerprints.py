@@ -6,7 +6,7 @@ on order, and a paragraph is inserted or deleted by adding or subtracting its ve
 
 The vector has two parts. IDENTITY lanes hold the paragraph's BLAKE2b digest, summed modulo 2^64: two texts
 have the same lanes only if their paragraphs are the same (up to a digest collision). SKETCH lanes, summed
-modulo 2^16, hold a signed count of the paragraph's byte windows; their inner products estimate how many
+modulo 2^32 (more than a text can have windows, so none wraps), hold a signed count of the paragraph's byte windows; their inner products estimate how many
 windows two texts share, so the likeness of texts is read off the fingerprints alone.
 """
 
@@ -16,11 +16,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 IDENTITY, SKETCH, WINDOW = 4, 256, 16
+#: Ids drawn for each range of the edits' shuffle; one of so many becomes a bound.
+SAMPLED = 8
 #: Odd multipliers of the window hash, one for each doubling of the window; fixed by a seed.
 _MULTIPLIERS = np.random.default_rng(20260916).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SLICE = 1 << 18
@@ -96,19 +99,19 @@ class Fingerprint:
         return Fingerprint(self.identity - less.identity, self.sketch - less.sketch)
 
     def hex(self) -> str:
-        return self.identity.astype("<u8").tobytes().hex() + (self.sketch & 0xFFFF).astype("<u2").tobytes().hex()
+        return self.identity.astype("<u8").tobytes().hex() + self.sketch.astype("<i4").tobytes().hex()
 
     @classmethod
     def from_hex(cls, text: str) -> Fingerprint:
         raw = bytes.fromhex(text)
-        return cls(np.frombuffer(raw[: 8 * IDENTITY], "<u8").copy(), np.frombuffer(raw[8 * IDENTITY :], "<i2").astype(np.int64))
+        return cls(np.frombuffer(raw[: 8 * IDENTITY], "<u8").copy(), np.frombuffer(raw[8 * IDENTITY :], "<i4").astype(np.int64))
 
     def likeness(self, other: Fingerprint) -> float:
-        """1 - |a-b|^2 / (|a|^2 + |b|^2) over the sketch lanes, centred modulo 2^16 and held to [0, 1]."""
+        """1 - |a-b|^2 / (|a|^2 + |b|^2) over the sketch lanes, held to [0, 1]."""
         if np.array_equal(self.identity, other.identity):
             return 1.0
-        a, b, d = (((x + 0x8000) & 0xFFFF) - 0x8000 for x in (self.sketch, other.sketch, self.sketch - other.sketch))
-        both = float(a @ a + b @ b)
+        a, b = self.sketch.astype(np.float64), other.sketch.astype(np.float64)
+        both, d = float(a @ a + b @ b), a - b
         return min(1.0, max(0.0, 1.0 - float(d @ d) / both)) if both else 0.0
 
 
@@ -148,41 +151,49 @@ def _edited(current: tuple, following: tuple) -> dict:
 def fingerprints_with_edits(docs: DataFrame, target_bytes: int = 12 << 20) -> DataFrame:
     """Fingerprints of every text and of its edit with the next document, in descending doc_id.
 
-    Documents are dealt into ranges of doc_id of about `target_bytes`, and the first row of each range
-    travels to the range before it as well, so that every row meets the next one in its own task: one
-    shuffle of the text, nothing gathered. The last document's next is the first. Null texts count as
-    empty; rows of equal doc_id follow each other by their text; a null doc_id comes last.
+    Ids drawn by a hash, some SAMPLED for each `target_bytes` of text, cut the documents into ranges; each range begins
+    at one of them, so its first row is known beforehand and travels to the range before it as well. Every row meets the
+    next one in its own task: one shuffle of the text, nothing gathered but the bounds (8 bytes for `target_bytes` of
+    text), which workers search by bisection.
+
+    The last document's next is the first. Null texts count as empty; rows of equal doc_id follow each other by their
+    text; a null doc_id comes last. Ids may be of any type that sorts. An empty table gives no rows; one row is its own
+    next. Other columns are not looked at.
     """
-    kind = docs.schema["doc_id"].dataType
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
+    size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n"), F.count("*").alias("rows"), F.max("doc_id").alias("top")).first()
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     parts = max(1, min(size.n, max(width, -(-int(size.b or 0) // target_bytes))))
-    cuts = rows.agg(F.percentile_approx(F.col("doc_id"), [k / parts for k in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or ()))
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{kind.simpleString()}>")
-    # Range 0 holds the highest ids: count the bounds at or above the id. Nulls form a last range of their own.
-    low_bound = F.expr("size(filter(__cuts, c -> c >= doc_id))") if cuts else F.lit(0)
-    ranged = rows.withColumn("__cuts", bounds).withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(low_bound).cast("int")).drop("__cuts")
-    heads = {r.part: r.head for r in ranged.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
-    return _stitched(ranged, sorted(heads), heads, kind)
-
-
-def _stitched(ranged: DataFrame, order: list[int], heads: dict, kind) -> DataFrame:
-    """Copies each range's first row to the range before (the first range's to the last), then streams pairs."""
-    before = {p: order[k - 1] for k, p in enumerate(order)}
-    if order:
-        head_of = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(heads[p]).cast(kind.simpleString()))])
-        before_of = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(before[p]))])
-        is_head = F.col("doc_id").eqNullSafe(F.element_at(head_of, F.col("part")))
-        target = F.array(F.struct(F.col("part").alias("to"), F.lit(0).alias("extra")))
-        copied = F.when(is_head, F.concat(target, F.array(F.struct(F.element_at(before_of, F.col("part")).alias("to"), F.lit(1).alias("extra"))))).otherwise(target)
-        sent = ranged.select("doc_id", "text", F.explode(copied).alias("t")).select(F.col("t.to").alias("part"), F.col("t.extra").alias("extra"), "doc_id", "text")
+    every = max(1, size.n // (SAMPLED * parts))
+    drawn = rows.select("doc_id").filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).distinct()
+    ids = sorted(r.doc_id for r in drawn.toLocalIterator())
+    step = max(1, round(len(ids) / parts))
+    bounds = ([] if not size.n else sorted({*ids[step // 2 :: step], size.top})) if parts > 1 else [size.top] if size.n else []
+    return _stitched(rows, bounds, size.rows > size.n)
+
+
+def _stitched(rows: DataFrame, bounds: list, nulls: bool) -> DataFrame:
+    """Deals rows into the ranges that end at `bounds` (ascending), each range's first row to the range before as well."""
+    kind, spark = rows.schema["doc_id"].dataType, rows.sparkSession
+    n = len(bounds) + nulls
+    shared = spark.sparkContext.broadcast(np.asarray(bounds, object if any(not isinstance(b, int) for b in bounds) else np.int64))
+
+    @F.pandas_udf("part int, head boolean")
+    def place(ids: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(shared.value, ids.to_numpy())  # the least bound that is not below the id
+        return pd.DataFrame({"part": (len(shared.value) - 1 - at).astype(np.int32), "head": shared.value[at] == ids.to_numpy()})
+
+    if bounds:
+        placed = rows.withColumn("p", place(F.coalesce("doc_id", F.lit(bounds[-1]).cast(kind))))
+        null = F.col("doc_id").isNull()  # nulls are a range of their own, behind all others
+        placed = placed.select("doc_id", "text", F.when(null, len(bounds)).otherwise(F.col("p.part")).alias("part"), (null | F.col("p.head")).alias("head"))
     else:
-        sent = ranged.select("part", F.lit(0).alias("extra"), "doc_id", "text")
-    slot = {p: k for k, p in enumerate(order)}
-    index = F.element_at(F.create_map(*[x for p in order for x in (F.lit(p), F.lit(slot[p]))]), F.col("part")) if order else F.lit(0)
-    dealt = sent.repartitionById(max(1, len(order)), index).sortWithinPartitions("extra", F.desc_nulls_last("doc_id"), "text")
+        placed = rows.select("doc_id", "text", F.lit(0).alias("part"), F.lit(True).alias("head"))
+    own = F.array(F.struct(F.col("part").alias("to"), F.lit(0).alias("extra")))
+    copy = F.array(F.struct(F.pmod(F.col("part") + F.lit(n - 1), F.lit(max(1, n))).alias("to"), F.lit(1).alias("extra")))
+    sent = placed.select("doc_id", "text", F.explode(F.when(F.col("head"), F.concat(own, copy)).otherwise(own)).alias("t"))
+    sent = sent.select(F.col("t.to").alias("part"), F.col("t.extra").alias("extra"), "doc_id", "text")
+    dealt = sent.repartitionById(max(1, n), F.col("part")).sortWithinPartitions("extra", F.desc_nulls_last("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         previous, out, extra_seen = None, [], False

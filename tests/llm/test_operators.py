@@ -121,6 +121,56 @@ def test_edits_match_brute_force(spark, corpus, target):
         assert 0 <= row.near_edited <= 1 and row.near_next == pytest.approx(fingerprints.Fingerprint.of(text.encode()).likeness(fingerprints.Fingerprint.of(following.encode())))
 
 
+@pytest.mark.parametrize("size", [20_000, 70_000, 200_000])
+def test_likeness_of_long_repetitive_texts(size):
+    f = fingerprints.Fingerprint.of
+    assert f(b"a" * size).likeness(f(b"a" * (size // 2) + b"b" * (size // 2))) == pytest.approx(0.667, abs=0.01)
+    long = fingerprints.Fingerprint.from_hex(f(b"a" * size).hex())
+    assert long.likeness(f(b"a" * (size // 2))) == f(b"a" * size).likeness(f(b"a" * (size // 2)))
+
+
+def brute_fingerprint(text):
+    """Sums over paragraphs of their digests and of their windows' signs, one by one."""
+    identity, sketch = [0] * fingerprints.IDENTITY, [0] * fingerprints.SKETCH
+    m, width = [int(x) for x in fingerprints._MULTIPLIERS], fingerprints.WINDOW
+    for p in text.split(b"\n"):
+        digest = hashlib.blake2b(p, digest_size=8 * fingerprints.IDENTITY).digest()
+        identity = [(x + int.from_bytes(digest[8 * k : 8 * k + 8], "little")) % 2**64 for k, x in enumerate(identity)]
+        for at in range(max(1, len(p) - width + 1)):
+            hashes = [(b + 1) * m[4] % 2**64 for b in p[at : at + width]]
+            if len(p) < width:
+                h = len(p) * m[5] % 2**64
+                for x in hashes:
+                    h = (h * m[0] + x) % 2**64
+            else:
+                for k in range(4):  # pairs, pairs of pairs, and so on
+                    hashes = [(a * m[k] + b) % 2**64 for a, b in zip(hashes[::2], hashes[1::2])]
+                h = hashes[0]
+            h = (h ^ h >> 31) * m[6] % 2**64
+            h = (h ^ h >> 29) * m[7] % 2**64
+            lane = (h ^ h >> 32) >> 40 & 2 * fingerprints.SKETCH - 1
+            sketch[lane % fingerprints.SKETCH] += 1 if lane < fingerprints.SKETCH else -1
+    return b"".join(x.to_bytes(8, "little") for x in identity).hex() + b"".join((x % 2**32).to_bytes(4, "little") for x in sketch).hex()
+
+
+def test_fingerprints_match_brute_force(spark, corpus):
+    texts = [(t or "").encode() for t in corpus] + [b"line of some length\n" * 9 + b"x", b"\n\n"]
+    assert [fingerprints.Fingerprint.of(t).hex() for t in texts] == [brute_fingerprint(t) for t in texts]
+
+
+def test_edits_of_text_ids_nulls_repeats_and_clashes(spark):
+    table = [("b", "bb bb", 1), ("a", "aaaa", 2), (None, "null one", 3), (None, "null two", 4), ("c", "cccc", 5), ("c", "cc cc", 6), ("d", None, 7)] + [(f"k{k:03}", f"text {k} " * 9, k) for k in range(200)]
+    docs = spark.createDataFrame(table, "doc_id string, text string, part int")
+    order = sorted(((i, t or "") for i, t, _ in table if i), key=lambda r: r[1])
+    order = sorted(order, key=lambda r: r[0], reverse=True) + [(None, "null one"), (None, "null two")]
+    for target in (1 << 30, 100):
+        got = fingerprints.fingerprints_with_edits(docs, target_bytes=target).collect()
+        wanted = []
+        for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+            wanted.append((i or "", len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()))
+        assert sorted((r.doc_id or "", r.n_chars, r.edited_sha256) for r in got) == sorted(wanted)
+
+
 def test_edits_of_one_row_and_none(spark):
     assert fingerprints.fingerprints_with_edits(frame(spark, [])).count() == 0
     row = fingerprints.fingerprints_with_edits(frame(spark, ["abcd"])).first()
