@@ -15,27 +15,43 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where no checkpoint folder is set (tests, a laptop) a temporary one is made.
+    Where no checkpoint folder is set, a local session makes a temporary one; on a cluster that is an error, since
+    executors could not read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back, which cuts its lineage."""
+    """Write `df` to the shared folder and read it back, which cuts its lineage. `release` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_at = path
+    return written
+
+
+def release(*written: DataFrame | None) -> None:
+    """Delete tables that `materialize` wrote, once nothing that is still to be computed reads them."""
+    for df in written:
+        if df is not None:
+            jvm, path = df.sparkSession._jvm, df.written_at
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def sized(df: DataFrame, label: str, most_rows: int = 1_000_000) -> DataFrame:
     """`df`, of a few ids a row, written and counted: broadcast up to `most_rows`, joined by a shuffle beyond."""
     df = materialize(df, label)
-    return F.broadcast(df) if df.count() <= most_rows else df.hint("shuffle_merge")
+    out = F.broadcast(df) if df.count() <= most_rows else df.hint("shuffle_merge")
+    out.written_at = df.written_at
+    return out
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

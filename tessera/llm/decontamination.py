@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import materialize, string_column
+from .common import materialize, sized, string_column
 
 #: Bytes of benchmark text whose tables one pass holds in each worker.
 BLOCK_BYTES = 4 << 20
@@ -96,19 +96,21 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
         yield [(r.i, r.t.encode()) for r in block.toLocalIterator()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with __leak: struct(n_words, ranges array<struct<from,to>> of hit words, items array<string>).
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows (row, leak): each row of `docs` as a struct, and struct(n_words, ranges array<struct<from,to>> of hit words, items array<string>).
 
-    Null texts have no words. Items with a null id or text are not searched for, repeated items count
-    once. The documents pass through map-only for one block of items; for several, each block's pass
-    yields ids and hits, which are put together by a row's position hash and joined on.
+    Null texts have no words. Items with a null id or text are not searched for, repeated items count once. Repeated
+    documents give repeated rows, an empty table none; no column name of `docs` clashes. The documents pass through
+    map-only for one block of items. For several, the first pass is written with a number per row; the others yield the
+    rows with hits alone, which are put together and joined to it.
     """
     spark = docs.sparkSession
     blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    docs = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def pass_over(rows: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(items)
-        fields = StructType([*rows.schema.fields, StructField("__leak", LEAK)])
+        fields = StructType([*(f for f in rows.schema.fields if f.name != "text"), StructField("leak", LEAK)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searchers = None
@@ -119,7 +121,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: st
                     searchers = build(((k, t) for k, (_, t) in enumerate(shared.value)), size)
                     out_type = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))), ("items", pa.list_(pa.string()))])
                 leaks = []
-                for text in string_column(batch, text_col).cast(pa.large_binary()):
+                for text in string_column(batch, "text").cast(pa.large_binary()):
                     words = words_of(text.as_py())
                     starts, lengths, owners = [], [], set()
                     for searcher in searchers:
@@ -129,7 +131,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: st
                             owners.update(who)
                     ranges = covered(starts, lengths) if starts else ()
                     leaks.append({"n_words": len(words), "ranges": [{"from": a, "to": b} for a, b in ranges], "items": sorted({names[o] for o in owners})})
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaks, out_type)], names=[*batch.schema.names, "__leak"])
+                kept = [n for n in batch.schema.names if n != "text"]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(leaks, out_type)], names=[*kept, "leak"])
 
         return rows.mapInArrow(run, fields)
 
@@ -137,21 +140,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: st
     later = next(blocks, None)
     if later is None:
         return pass_over(docs, first)
-    # Several blocks: rows get an id of their own once, written down so that it cannot change.
-    base = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "leaks-in")
-    narrow = base.select("__row", F.col(text_col))
-    found, block = [pass_over(narrow, first).select("__row", "__leak")], later
+    base = materialize(pass_over(docs.withColumn("at", F.monotonically_increasing_id()), first), "leaks")
+    narrow, block, hits = base.select("at", F.col(f"row.{text_col}").cast("string").alias("text")), later, None
     while block is not None:
-        found.append(pass_over(narrow, block).select("__row", "__leak"))
+        found = pass_over(narrow, block).filter(F.size("leak.items") > 0)
+        hits = found if hits is None else hits.unionByName(found)
         block = next(blocks, None)
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    merged = hits.groupBy("__row").agg(
-        F.max("__leak.n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("__leak.ranges"))).alias("ranges"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__leak.items")))).alias("items"),
-    )
+    more = sized(hits.groupBy("at").agg(F.flatten(F.collect_list("leak.ranges")).alias("r"), F.flatten(F.collect_list("leak.items")).alias("i")), "hits")
+    joined = base.join(more, "at", "left").withColumn("ranges", F.array_sort(F.concat("leak.ranges", F.coalesce("r", F.array().cast(LEAK["ranges"].dataType)))))
+    items = F.array_sort(F.array_distinct(F.concat("leak.items", F.coalesce("i", F.array().cast("array<string>")))))
     union = F.aggregate(
         "ranges",
         F.array().cast("array<struct<from:int,to:int>>"),
@@ -160,24 +157,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: st
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["from"].alias("from"), F.greatest(F.element_at(done, -1)["to"], r["to"]).alias("to")))),
         ).otherwise(F.concat(done, F.array(r))),
     )
-    leak = F.struct("n_words", union.alias("ranges"), "items").cast(LEAK).alias("__leak")
-    return base.join(merged.select("__row", leak), "__row").drop("__row")
+    return joined.select("row", F.struct("leak.n_words", union.alias("ranges"), items.alias("items")).cast(LEAK).alias("leak"))
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, size: int = 10, **options) -> DataFrame:
     """Per document: words, hit words, items with occurring windows, their digest, and whether any was hit."""
     found = find_leaks(docs.select("doc_id", "text"), benchmark, size, **options)
-    n_hit = F.aggregate("__leak.ranges", F.lit(0).cast("bigint"), lambda n, r: n + (r["to"] - r["from"]))
+    n_hit = F.aggregate("leak.ranges", F.lit(0).cast("bigint"), lambda n, r: n + (r["to"] - r["from"]))
     return found.select(
-        "doc_id",
-        F.col("__leak.n_words").alias("n_words"),
+        "row.doc_id",
+        "leak.n_words",
         n_hit.alias("n_hit"),
-        F.size("__leak.items").cast("bigint").alias("n_items"),
-        F.sha2(F.concat_ws(",", "__leak.items"), 256).alias("items_sha256"),
-        (F.size("__leak.items") > 0).alias("contaminated"),
+        F.size("leak.items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "leak.items"), 256).alias("items_sha256"),
+        (F.size("leak.items") > 0).alias("contaminated"),
     )
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, **options) -> DataFrame:
     """The documents in which no benchmark window occurs; null and empty texts stay."""
-    return find_leaks(docs, benchmark, size, **options).filter(F.size("__leak.items") == 0).drop("__leak")
+    return find_leaks(docs, benchmark, size, **options).filter(F.size("leak.items") == 0).select("row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import materialize, sized, string_column
+from .common import materialize, release, sized, string_column
 from .shingles import mixed, shingle_sets
 
 #: log2 of the slots of the frequency sketch (a byte each when broadcast), and its blocks.
@@ -76,12 +76,14 @@ def token_frequencies(docs: DataFrame, size: int) -> np.ndarray:
         if wide_in == 4 and not parts:
             break
         grouped = sketch.withColumn("part", F.floor(F.col("part") / MERGE).cast("bigint")).groupBy("block", "part")
-        sketch = materialize(grouped.applyInPandas(_whole(merge), "block int, part bigint, data binary"), "sketch")
-        wide_in = 4
+        merged = materialize(grouped.applyInPandas(_whole(merge), "block int, part bigint, data binary"), "sketch")
+        release(sketch)
+        sketch, wide_in = merged, 4
     ranks = np.zeros(slots, np.uint8)
     for row in sketch.collect():  # BLOCKS rows
         counts = np.frombuffer(zlib.decompress(row.data), "<u4").astype(np.float64)
         ranks[row.block * (slots // BLOCKS) : (row.block + 1) * (slots // BLOCKS)] = np.round(4 * np.log2(counts + 1))
+    release(sketch)
     return ranks
 
 
@@ -156,7 +158,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, parts:
             yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(0).type), pa.array(b, batch.column(2).type), pa.array(shared, pa.int64()), pa.array(reached, pa.bool_())], names=["a", "b", "common", "ok"])
 
     schema = StructType([*pairs.select("a", "b").schema.fields, StructField("common", LongType()), StructField("ok", BooleanType())])
-    return stream.mapInArrow(run, schema)
+    out = materialize(stream.mapInArrow(run, schema), "verified")
+    release(salted)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -172,8 +176,10 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, F.col("id") == F.col("a")).select("id", "comp", F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("comp").alias("far"))
         new = materialize(lower.join(jump, "low", "left").select("id", F.least("low", "far").alias("comp"), (F.least("low", "far") != F.col("comp")).alias("moved")), "labels")
-        labels = new.select("id", "comp")
+        release(labels)
+        labels = new
         if not new.filter("moved").limit(1).count():
+            release(both)
             return labels
 
 
@@ -188,11 +194,13 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ranks = token_frequencies(docs, size)
-    info = materialize(describe_sets(docs, size, percent, ranks), "sets")
+    described = materialize(describe_sets(docs, size, percent, ranks), "sets")
+    info = materialize(described.select("doc_id", "n", "sig"), "info")
 
-    real = info.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    real = described.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = real.groupBy("sig").agg(F.min_by(F.struct("n", "end", "p1", "p2", "p3"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
     classes = materialize(classes.select("sig", "id", "s.*"), "classes")
+    release(described)
     rows = classes.select("id", F.posexplode("p1").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     # Most tokens have one class and are gone here. own: a class's tokens before this one that no other class
@@ -204,9 +212,11 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     sizes = classes.select("id", "n", "end", F.size("p1").alias("kept"))  # joined to the few rows left, not carried by all
     members = members.join(sizes, "id").withColumn("every", F.col("kept") - F.col("others")).drop("kept", "others")
     members = materialize(members, "members")
-    needed = members.select("id").distinct()
+    needed = sized(members.select("id").distinct(), "needed")
     texts = materialize(docs.join(needed, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
     prefixes = materialize(classes.join(needed, "id", "left_semi").select("id", "p2", "p3"), "prefixes")
+    release(needed)
+    written = [classes, members, texts, prefixes]
 
     facts = ["id", "n", "own", "every", "end", "pos"]
 
@@ -233,7 +243,7 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     def labelled(frame: DataFrame) -> DataFrame:
         if comps is None:
             return frame.withColumn("c", F.col("id"))
-        return frame.join(comps, "id", "left").withColumn("c", F.coalesce("comp", "id")).drop("comp")
+        return frame.join(comps.select("id", "comp"), "id", "left").withColumn("c", F.coalesce("comp", "id")).drop("comp")
 
     def settle(pairs: DataFrame) -> bool:
         """Verifies candidates and closes links; False if there was none."""
@@ -241,10 +251,13 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
         found = materialize(candidates(pairs, tried), "candidates")
         n = found.count()
         if not n:
+            release(found)
             return False
         tried = found if tried is None else tried.unionByName(found)
-        more = materialize(verified(found, texts, size, percent, max(width, n // 4000)), "verified")
+        more = verified(found, texts, size, percent, max(width, n // 4000))
         known = more if known is None else known.unionByName(more)
+        written.extend((found, more))
+        release(comps)
         comps = components(known.filter("ok"))
         return True
 
@@ -260,8 +273,10 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
             break
         # Members that the head's component has not taken in go on; the rest of the bucket is settled.
         outside = materialize(with_heads(labelled(outside)).select("token", *facts), "outside")
+        written.append(outside)
     # What is left: pairs across components in one bucket, each with one member outside its head's component.
     now = materialize(labelled(members), "labelled")
+    written.append(now)
     if known is not None:
         # How much each member shares with its bucket's head is known by now, where that pair was compared. Two
         # members share at most what neither lost of the head, and of what they have besides only what isn't own.
@@ -270,6 +285,7 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
         both = counted.unionByName(counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "common")).withColumnsRenamed({"a": "head", "b": "id"})
         now = now.join(heads, "token").join(both, ["head", "id"], "left")
         now = materialize(now.withColumn("common", F.when(F.col("id") == F.col("head"), F.col("n")).otherwise(F.col("common"))), "labelled")
+        written.append(now)
     else:
         now = now.withColumn("head_n", F.lit(None).cast("bigint")).withColumn("common", F.lit(None).cast("bigint"))
     fields = (*facts, "c", "common")
@@ -285,11 +301,11 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     cross = beyond.join(now.withColumn("band", band(F.col("n"))), ["token", "band"]).filter((F.col("c") != F.col("x_c")) & reach("", "x_") & possible)
     settle(cross.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")))
 
-    named = classes.select("sig", "id")
+    named = classes.select("sig", F.col("id").alias("component"))
     if comps is not None:
-        named = named.join(comps, "id", "left").select("sig", F.coalesce("comp", "id").alias("component"))
-    else:
-        named = named.select("sig", F.col("id").alias("component"))
+        named = classes.select("sig", "id").join(comps.select("id", "comp"), "id", "left").select("sig", F.coalesce("comp", "id").alias("component"))
+    named = materialize(named, "components")
+    release(comps, *written)  # what is returned reads info and named alone
     out = info.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
     return out.join(named, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

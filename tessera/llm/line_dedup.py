@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, materialize, row_slices, string_column
+from .common import byte_view, materialize, release, row_slices, sized, string_column
 
 #: Words in a row of which one begins a chunk; the least words and bytes of a passage.
 WINDOW, LEAST_WORDS, LEAST_BYTES = 8, 12, 60
@@ -31,6 +31,8 @@ LONG_LINE = 200
 #: Bits of the filter of repeated passage hashes, and those of a block of it; a fixed size, whatever the corpus.
 FILTER_BITS, BLOCK_BITS, PROBES = 1 << 28, 1 << 20, 3
 BUCKETS = 1 << 12
+#: Places of one passage that meet in a task.
+HOT_ROWS = 20_000
 SLICE = 1 << 20
 
 
@@ -240,39 +242,57 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     repeated = materialize(_repeated_hashes(rows), "repeated")
     candidates = materialize(_candidates(rows, _filter_of(repeated)), "passages")
+    release(repeated)
     place = F.struct("doc_id", "rid", "start", "end")
-    kept = candidates.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1").drop("n")
-    same = candidates.join(kept, "digest")
+    kept = candidates.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1")
+    kept = materialize(kept, "kept")
+    # A very common passage is dealt out over several tasks, each with a copy of the place that is kept.
+    hot = sized(kept.filter(F.col("n") > HOT_ROWS).select(F.col("digest").alias("hot"), F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")), "hot")
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "rid", "start"), F.col("parts")), F.lit(0)).cast("int").alias("salt")
+    salted = candidates.join(hot, F.col("digest") == F.col("hot"), "left").select("doc_id", "rid", "start", "end", "digest", salt)
+    copies = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / HOT_ROWS).cast("int") - 1))
+    places = kept.select("digest", "kept", F.explode(F.when(F.col("n") > HOT_ROWS, copies).otherwise(F.array(F.lit(0)))).alias("salt"))
+    same = salted.join(places, ["digest", "salt"])
     at_kept = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.rid") == F.col("rid")) & (F.col("kept.end") > F.col("start"))
     removed = same.filter(~at_kept).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    return _merged(removed)
+    out = materialize(_merged(removed), "ranges")
+    release(candidates, kept, hot)
+    return out
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated chunks removed from `text`, and __removed: array of the removed ranges.
-
-    Null and empty texts stay as they are; a text without repeats is not touched. Ties between places go to
-    the least (doc_id, text hash, place); a null doc_id sorts first.
-    """
-    found = materialize(repeated_ranges(docs), "ranges")
+def _cut(docs: DataFrame) -> DataFrame:
+    """Rows (row, removed): each row of `docs` as a struct, its text without repeated passages, and the removed ranges."""
+    found = repeated_ranges(docs)
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(found.select(F.xxhash64("doc_id", "rid"))))
     # Only texts that may have ranges are joined; the filter lets none of these through to the others.
     hit = F.pandas_udf(lambda key: pd.Series(_passes(bits.value, key.to_numpy(np.int64))), "boolean")
-    keyed = docs.withColumn("__r", F.xxhash64("text")).withColumn("__hit", hit(F.xxhash64("doc_id", "__r")))
-    ranges = found.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), F.col("ranges").alias("__removed"))
-    joined = keyed.filter("__hit").join(ranges, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__r") == F.col("__rid")), "left")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("hash")).withColumn("hit", hit(F.xxhash64("row.doc_id", "hash")))
+    ranges = found.select("doc_id", "rid", F.col("ranges").alias("removed"))
+    joined = keyed.filter("hit").join(ranges, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("rid")), "left")
     # What lies between the removed ranges: from each range's end to the next one's start.
-    froms = F.concat(F.array(F.lit(0).cast("bigint")), F.col("__removed.end"))
-    tos = F.concat(F.col("__removed.start"), F.array(F.length("text").cast("bigint")))
-    kept = F.zip_with(froms, tos, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    cut = joined.withColumn("text", text).select(*docs.columns, "__removed")
-    return cut.unionByName(keyed.filter("NOT __hit").select(*docs.columns, F.lit(None).cast(cut.schema["__removed"].dataType).alias("__removed")))
+    old = F.col("row.text")
+    froms = F.concat(F.array(F.lit(0).cast("bigint")), F.col("removed.end"))
+    tos = F.concat(F.col("removed.start"), F.array(F.length(old).cast("bigint")))
+    kept = F.zip_with(froms, tos, lambda a, b: F.substring(old, (a + 1).cast("int"), (b - a).cast("int")))
+    text = F.when(F.col("removed").isNull(), old).otherwise(F.array_join(kept, ""))
+    cut = joined.select(F.col("row").withField("text", text).alias("row"), "removed")
+    return cut.unionByName(keyed.filter("NOT hit").select("row", F.lit(None).cast(cut.schema["removed"].dataType).alias("removed")))
+
+
+def dedup_lines(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
+    """`docs` with repeated passages removed from `text`; without keep_emptied, texts of which nothing is left go.
+
+    Null and empty texts stay as they are; a text without repeats is not touched, however long. Ties between places go
+    to the least (doc_id, text hash, place); a null doc_id sorts first. Rows that repeat a doc_id with one text count
+    as one document and stay alike. An empty table gives no rows; no other column's name clashes.
+    """
+    out = _cut(docs)
+    return (out if keep_emptied else out.filter(F.col("removed").isNull() | (F.trim("row.text") != ""))).select("row.*")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
-    """Per document: lines and characters before, removed chunks and characters, and the text that is left."""
-    before = docs.select("doc_id", "text", F.length("text").cast("bigint").alias("n_chars"))
-    out = dedup_lines(before)
-    removed = F.coalesce(F.aggregate("__removed", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"]), F.lit(0).cast("bigint"))
-    return out.select("doc_id", "n_chars", F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed")).cast("bigint").alias("n_removed"), removed.alias("chars_removed"), F.col("__removed").isNotNull().alias("repeats"), "text")
+    """Per document: characters before, removed ranges and characters, and the text that is left."""
+    out = _cut(docs.select("doc_id", "text", F.length("text").cast("bigint").alias("n_chars")))
+    removed = F.coalesce(F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"]), F.lit(0).cast("bigint"))
+    n_removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("bigint")
+    return out.select("row.doc_id", "row.n_chars", n_removed.alias("n_removed"), removed.alias("chars_removed"), F.col("removed").isNotNull().alias("repeats"), "row.text")

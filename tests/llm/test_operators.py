@@ -70,6 +70,17 @@ def test_leaks_match_brute_force(spark, corpus, block):
     assert kept == {k for k, w in enumerate(wanted) if not w[4]}
 
 
+def test_leaks_keep_clashing_columns_and_long_texts(spark, corpus):
+    bench = spark.createDataFrame([(1, corpus[0]), (2, corpus[1]), (3, corpus[2])], "item_id bigint, text string")
+    docs = frame(spark, corpus + [" ".join(corpus[5:40] * 8) + " " + corpus[0]]).withColumns({n: packing.F.lit("x") for n in ("leak", "row", "at", "ranges", "__leak")})
+    docs = docs.unionAll(docs.limit(3))
+    for block in (1 << 20, 100):
+        kept = decontamination.drop_leaks(docs, bench, block_bytes=block)
+        assert kept.columns == docs.columns
+        wanted = brute_leaks([r.text for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+        assert kept.count() == sum(not w[4] for w in wanted)
+
+
 def test_leaks_of_empty_tables(spark, corpus):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.leak_report(frame(spark, corpus), empty).filter("contaminated").count() == 0
@@ -289,10 +300,22 @@ def test_repeated_passages_are_removed_once(spark):
     copies = frame(spark, [passage(5)] * 3)
     assert sorted((r.text or "").strip() == "" for r in line_dedup.dedup_lines(copies).collect()) == [False, True, True]
     same_row = docs.limit(1).unionAll(docs.limit(1))
-    assert line_dedup.dedup_lines(same_row).filter("__removed IS NOT NULL").count() == 0
+    assert line_dedup.dedup_report(same_row).filter("repeats").count() == 0
     assert line_dedup.dedup_report(frame(spark, [])).count() == 0
 
 
+def test_a_very_common_passage_is_dealt_out_and_columns_may_clash(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 7)
+    shared = passage(7)
+    texts = [f"{passage(100 + k)}\n{shared}\n{passage(300 + k)}" for k in range(40)] + [(passage(500) + " ") * 3 + passage(501, 400)]
+    docs = frame(spark, texts).withColumns({n: packing.F.lit(1) for n in ("__id", "__rid", "__r", "removed", "row", "hash", "hit", "start", "digest")})
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert [k for k in range(40) if shared in got[k]] == [0] and all(passage(100 + k) in got[k] and passage(300 + k) in got[k] for k in range(40))
+    assert passage(501, 400) in got[40]
+
+
 def test_passages_inside_lines_and_among_short_lines_are_found(spark):
     prose = lambda seed, n, stop=". ": stop.join(passage(seed + k, 1)[:-1] for k in range(n)) + stop.strip()
     han = lambda seed, n: "".join(map(chr, random.Random(seed).choices(range(0x4E00, 0x5E00), k=n)))
