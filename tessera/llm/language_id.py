@@ -13,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import byte_view, fold_of, row_slices, string_column
+from .common import byte_view, fold_of, materialize, row_slices, string_column
 
 #: Hidden units of a direction, and bytes of a window.
 HIDDEN, WINDOW = 10, 48
-#: The fit's bounds: languages, rows a language, characters taken from two places of a row; steps and windows a step.
-MOST_LANGUAGES, ROWS, SNIPPET, STEPS, BATCH = 200, 300, 256, 260, 192
+#: The fit's bounds: rows a language and in all (every language has one at least), whatever their length; steps and windows a step.
+ROWS, ROWS_IN_ALL, STEPS, BATCH = 300, 20_000, 260, 192
+#: One sample row of so many is kept from the fit; half the score that CLEAN of those reach is the least that identifies.
+KEPT_BACK, CLEAN = 5, 0.99
 SLICE = 1 << 18
 
 
@@ -59,7 +62,7 @@ class ByteLanguageModel:
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.languages = languages
+        self.languages, self.least = languages, 0.0
         self.forward, self.backward = Direction.random(rng, hidden), Direction.random(rng, hidden)
         self.out = rng.normal(0, 0.1, (2 * hidden, len(languages))).astype(np.float32)
         self.bias = np.zeros(len(languages), np.float32)
@@ -176,96 +179,107 @@ def fit(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 11) -> B
     return model
 
 
-def training_sample(docs: DataFrame, rows: int = ROWS, snippet: int = SNIPPET) -> list[tuple[str, str]]:
-    """At most `rows` rows a language, `snippet` characters from the start and as many from the middle of each.
+def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
+    """(language, whole text) of at most ROWS rows a language and ROWS_IN_ALL in all, drawn by a hash of the id.
 
-    Rows are drawn by a hash of their id: each language's share is set from its count, and the least hashes stay.
+    Each language's least hashes are found in the cluster over (language, hash, id); only the drawn texts travel.
     """
-    lang = F.col("lang").cast("string")
+    lang, number = F.col("lang").cast("string").alias("l"), F.col("doc_id").cast("string")
     labelled = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "") & (F.length("text") > 0) & (fold_of(F.col("doc_id"), 4) != 2))
-    counts = sorted(((r[0], r[1]) for r in labelled.groupBy(lang.alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()))
-    if not counts:
+    ids = labelled.select(lang, F.xxhash64(number, F.lit(5)).alias("d"), "doc_id").distinct()
+    languages = ids.select("l").distinct().count()
+    if not languages:
         return []
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1 << 30))
-    shares = F.create_map(*[x for l, n in counts for x in (F.lit(l), F.lit(int((1 << 30) * min(1.0, 1.5 * rows / n))))])
-    middle = (F.length("text") / 2).cast("int")
-    text = F.concat(F.substring("text", 1, snippet), F.lit(" "), F.substring("text", F.greatest(F.lit(snippet + 1), middle), F.lit(snippet)))
-    drawn = labelled.filter(draw < F.element_at(shares, lang)).select(lang.alias("l"), draw.alias("d"), "doc_id", text.alias("t"))
-    out: dict[str, list] = {}
-    for r in drawn.orderBy("l", "d", "t").toLocalIterator():
-        if len(out.setdefault(r.l, [])) < rows:
-            out[r.l].append((r.l, r.t))
-    return [x for rows_of in out.values() for x in rows_of]
-
-
-def identify(docs: DataFrame, model: ByteLanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with __lang (und for a null text or one without a letter) and __score, its pooled probability.
-
-    Map-only; every byte of every text is read. Memory is bounded by SLICE bytes of windows: a longer text
-    is taken a slice at a time.
+    place = F.row_number().over(Window.partitionBy("l").orderBy("d", "doc_id"))
+    drawn = materialize(ids.withColumn("place", place).filter(F.col("place") <= max(1, min(ROWS, ROWS_IN_ALL // languages))), "drawn")
+    texts = labelled.select(lang, "doc_id", F.col("text").cast("string").alias("t"))
+    rows = texts.join(F.broadcast(drawn), ["l", "doc_id"]).select("l", "d", "t").distinct().orderBy("l", "d", "t")
+    return [(r.l, r.t) for r in rows.toLocalIterator()]
+
+
+def scores_of(model: ByteLanguageModel, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each row's probabilities, the mean over its bytes; a row longer than SLICE is taken slice by slice."""
+    sums = np.zeros((len(ends) - 1, len(model.languages)))
+    whole = max(1, SLICE // WINDOW) * WINDOW
+    for low, high in row_slices(ends, whole):
+        if ends[high] - ends[low] > whole:
+            groups = [[(low, a, min(int(ends[high]), a + whole))] for a in range(int(ends[low]), int(ends[high]), whole)]
+        else:
+            groups = [[(k, int(ends[k]), int(ends[k + 1])) for k in range(low, high) if ends[k + 1] > ends[k]]]
+        for group in groups:
+            if not group:
+                continue
+            lengths = np.asarray([b - a for _, a, b in group])
+            counts = -(-lengths // WINDOW)
+            starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+            target = np.arange(lengths.sum()) + np.repeat(starts * WINDOW - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
+            padded = np.full(int(counts.sum()) * WINDOW, 32, np.uint8)
+            padded[target] = flat[group[0][1] : group[-1][2]]
+            real = np.zeros(len(padded), np.float32)
+            real[target] = 1
+            p = model.probabilities(np.ascontiguousarray(padded.reshape(-1, WINDOW).T))
+            by_window = np.einsum("tbk,bt->bk", p, real.reshape(-1, WINDOW), optimize=True)
+            np.add.at(sums, np.asarray([k for k, _, _ in group]), np.add.reduceat(by_window, starts, axis=0))
+    return sums / np.maximum(1, np.diff(ends))[:, None]
+
+
+def identify(docs: DataFrame, model: ByteLanguageModel | None) -> DataFrame:
+    """Rows (row, lang, score): each row as a struct, its language (und for a null text or one without a letter), its probability.
+
+    Map-only; every byte of every text is read. Memory is bounded by SLICE bytes of windows: a longer text is taken a
+    slice at a time. Of languages as likely the first by name is taken. Repeated rows come as often as they are there, an
+    empty table gives none; no column name of `docs` clashes.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    lettered = docs.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-
-    def pooled(model: ByteLanguageModel, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        sums = np.zeros((len(ends) - 1, len(model.languages)))
-        for low, high in row_slices(ends, SLICE):
-            if ends[high] - ends[low] > SLICE:
-                pieces = [(low, a, min(int(ends[high]), a + SLICE // WINDOW * WINDOW)) for a in range(int(ends[low]), int(ends[high]), SLICE // WINDOW * WINDOW)]
-                groups = [[p] for p in pieces]
-            else:
-                groups = [[(k, int(ends[k]), int(ends[k + 1])) for k in range(low, high) if ends[k + 1] > ends[k]]]
-            for group in groups:
-                if not group:
-                    continue
-                lengths = np.asarray([b - a for _, a, b in group])
-                counts = -(-lengths // WINDOW)
-                starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-                target = np.arange(lengths.sum()) + np.repeat(starts * WINDOW - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-                padded = np.full(int(counts.sum()) * WINDOW, 32, np.uint8)
-                padded[target] = flat[group[0][1] : group[-1][2]]
-                real = np.zeros(len(padded), np.float32)
-                real[target] = 1
-                p = model.probabilities(np.ascontiguousarray(padded.reshape(-1, WINDOW).T))
-                by_window = np.einsum("tbk,bt->bk", p, real.reshape(-1, WINDOW), optimize=True)
-                np.add.at(sums, np.asarray([k for k, _, _ in group]), np.add.reduceat(by_window, starts, axis=0))
-        return sums / np.maximum(1, np.diff(ends))[:, None]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: ByteLanguageModel | None = shared.value
         for batch in batches:
-            letter = np.asarray(batch.column(batch.schema.get_field_index("__letter")).to_pylist(), bool)
+            letter = np.asarray(batch.column(1).to_pylist(), bool)
             lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             if own is not None and batch.num_rows:
-                flat, ends = byte_view(string_column(batch, text_col))
-                p = pooled(own, flat, ends)
+                text = pa.RecordBatch.from_arrays([batch.column(0).field(at)], names=["text"])
+                p = scores_of(own, *byte_view(string_column(text, "text")))
                 best = p.argmax(axis=1)
                 score = np.where(letter, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
                 lang = [own.languages[b] if ok else "und" for b, ok in zip(best, letter)]
-            kept = [c for n, c in zip(batch.schema.names, batch.columns) if n != "__letter"]
-            names = [n for n in batch.schema.names if n != "__letter"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang", "score"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())])
-    return lettered.mapInArrow(run, schema)
+    rows = docs.select(F.struct("*").alias("row"), letter.alias("letter"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("lang", StringType()), StructField("score", DoubleType())]))
 
 
 def fitted(docs: DataFrame) -> ByteLanguageModel | None:
-    """A model learned from the documents whose fold is not held out; None if none has a language."""
+    """A model learned from the documents whose fold is not held out; None if none has a language.
+
+    Its `least` is half the score that nearly all sample rows kept back from the fit reach in their own language.
+    """
     samples = training_sample(docs)
-    return fit(samples) if samples else None
+    if not samples:
+        return None
+    back = samples[::KEPT_BACK] if len(samples) >= 10 * KEPT_BACK else []
+    model = fit([s for k, s in enumerate(samples) if k % KEPT_BACK or not back])
+    back = [(lang, text) for lang, text in back if lang in model.languages]
+    if back:
+        p = scores_of(model, *byte_view(pa.array([t for _, t in back], pa.large_string())))
+        model.least = 0.5 * float(np.quantile(p[np.arange(len(back)), [model.languages.index(lang) for lang, _ in back]], 1 - CLEAN))
+    return model
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, held_out, lang_pred, score) for every document."""
+    """Rows (doc_id, held_out, lang_pred, score) for every document; a null doc_id is in no fold (held_out null) and never trains.
+
+    Nulls and empty texts are `und` with score 0, as are all without a labelled text; long texts are read whole. Repeated
+    rows, ties, empty tables and other columns are as in `identify`.
+    """
     out = identify(docs.select("doc_id", F.col("text").cast("string").alias("text")), fitted(docs))
-    return out.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return out.select("row.doc_id", (fold_of(F.col("row.doc_id"), 4) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """The documents with a language: not `und`, and with at least `least` of the pooled probability."""
-    out = identify(docs, fitted(docs))
-    return out.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).select(docs.columns)
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents with a language: not `und`, and with the model's least score for one."""
+    model = fitted(docs)
+    out = identify(docs, model)
+    return out.filter((F.col("lang") != "und") & (F.col("score") >= (model.least if model else 0.0))).select("row.*")

@@ -359,6 +359,51 @@ def test_gradient_matches_differences():
         assert (up - down) / (2 * eps) == pytest.approx(g[at], rel=0.05, abs=2e-4)
 
 
+def test_pooled_probabilities_match_brute_force(monkeypatch):
+    model = language_id.ByteLanguageModel(["a", "b", "c"], hidden=4)
+
+    def brute(text):
+        total = np.zeros(3)
+        for at in range(0, len(text), language_id.WINDOW):
+            window = text[at : at + language_id.WINDOW]
+            padded, states = window.ljust(language_id.WINDOW), []
+            for d, order in ((model.forward, range(len(padded))), (model.backward, reversed(range(len(padded))))):
+                h, seen, n = np.zeros(4), {}, 4
+                for t in order:
+                    a = d.inputs[padded[t]].astype(float)
+                    z, r = (1 / (1 + np.exp(-(a[k * n : k * n + n] + h @ d.gates[:, k * n : k * n + n]))) for k in (0, 1))
+                    h = (1 - z) * h + z * np.tanh(a[2 * n :] + (r * h) @ d.candidate)
+                    seen[t] = h
+                states.append(seen)
+            for t in range(len(window)):
+                e = np.exp(np.concatenate([states[0][t], states[1][t]]) @ model.out + model.bias)
+                total += e / e.sum()
+        return total / max(1, len(text))
+
+    texts = [b"", b"x", b"some words " * 3, bytes(random.Random(2).choices(range(1, 128), k=700)), b"y" * 48, b"z" * 97]
+    wanted = [brute(t) for t in texts]
+    for size in (1 << 18, 100):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        got = language_id.scores_of(model, *shingles.byte_view(pa.array([t.decode() for t in texts], pa.large_string())))
+        assert np.allclose(got, wanted, atol=1e-4)
+
+
+def test_rows_are_drawn_whole_and_for_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ROWS_IN_ALL", 600)
+    table = [(k, f"word{k} " * (4000 if k % 7 == 0 else 3), f"l{k % 300}", "s", 0) for k in range(1500)]
+    sample = language_id.training_sample(spark.createDataFrame(table + table[:20], DOCS))
+    assert len({l for l, _ in sample}) == len({f"l{k % 300}" for k in range(1500) if zlib.crc32(str(k).encode()) % 4 != 2}) and len(sample) <= 600
+    assert max(len(t) for _, t in sample) > 20_000
+
+
+def test_identified_rows_keep_clashing_columns(spark):
+    table = [(i, t, l, "s", 0) for i, t, l in languages(1)] + [(900, None, "aa", "s", 0), (901, "12", "aa", "s", 0)]
+    docs = spark.createDataFrame(table, DOCS).withColumns({n: packing.F.lit("x") for n in ("score", "row", "letter", "__lang")})
+    kept = language_id.keep_identified(docs.unionAll(docs.limit(2)))
+    assert kept.columns == docs.columns and kept.count() >= len(table) - 4 and not kept.filter("doc_id >= 900").count()
+    assert language_id.keep_identified(docs.limit(0)).count() == 0
+
+
 def languages(k):
     rng = random.Random(k)
     kinds = {"aa": ["the", "of", "ing", "was"], "bb": ["über", "sch", "nicht", "öl"]}
