@@ -424,22 +424,58 @@ def test_languages_are_learned_from_the_text(spark):
 # Sharding --------------------------------------------------------------------------------------------------
 
 
-def test_shards_are_even_whole_and_gapless(spark, corpus):
-    texts = corpus * 4 + ["copy of one text"] * 150
-    got = sharding.shard_documents(frame(spark, texts)).collect()
+@pytest.mark.parametrize("copies", [2, 150, 2000])
+def test_shards_are_even_whole_and_gapless(spark, corpus, copies):
+    texts = [f"{t} {k}" for k in range(6) for t in corpus if t is not None] + [None, ""] + corpus[:20] * 3 + ["copy of one text"] * copies
+    docs = frame(spark, texts).withColumns({"lang": packing.F.when(packing.F.col("doc_id") % 3 > 0, "en"), "node": packing.F.lit(1), "key": packing.F.lit("k")})
+    got = sharding.shard_documents(docs).collect()
     assert len(got) == len(texts)
     for r in got:
         t = (texts[r.doc_id] or "").encode()
         assert r.size == len(t) + 1 and r.text_crc32 == zlib.crc32(t) and r.law == "bytes" and r.grown_shard is None
-    load, slots = collections.Counter(), collections.defaultdict(list)
+    load, slots, homes, weight = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set), collections.Counter()
     for r in got:
         load[r.shard] += r.size
         slots[r.shard].append(r.slot)
+        homes[texts[r.doc_id] or ""].add(r.shard)
+        weight[texts[r.doc_id] or ""] += r.size
     assert set(load) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(load.values()) - min(load.values()) <= 2 * max(r.size for r in got)
+    share = sum(load.values()) / 16
+    assert max(load.values()) - min(load.values()) <= 0.1 * share + 2 * max(r.size for r in got if weight[texts[r.doc_id] or ""] <= share / 32)
+    assert all(len(h) == 1 for t, h in homes.items() if weight[t] <= share)
+    plain = docs.select("doc_id", "text").unionAll(docs.select("doc_id", "text").limit(2))
+    assert sharding.shard_documents(plain).count() == len(texts) + 2
     assert sharding.shard_documents(frame(spark, [])).count() == 0
 
 
+def test_tree_matches_brute_force(spark):
+    rng = random.Random(8)
+    points = [(k, rng.randrange(1 << 24), rng.randrange(1 << 24), [rng.choice([5, 9, rng.randrange(1 << 20)]), rng.randrange(1 << 23)], rng.randint(1, 90)) for k in range(300)]
+    room = [5.0, 1.0, 2.0, 2.0, 4.0]
+    table = spark.createDataFrame(points, "id int, content bigint, own bigint, at array<bigint>, size bigint")
+    got = {r.id: r.leaf for r in sharding.tree_leaves(table, room).collect()}
+
+    def split(some, first, leaves):
+        if leaves == 1:
+            return {p[0]: first for p in some}
+        extent = [max(p[3][d] for p in some) - min(p[3][d] for p in some) for d in (0, 1)]
+        d = extent.index(max(extent))
+        ordered, left = sorted(some, key=lambda p: (p[3][d], p[1], p[2])), leaves // 2
+        wanted = sum(p[4] for p in some) * sum(room[first : first + left]) / sum(room[first : first + leaves])
+        sums = [0, *np.cumsum([p[4] for p in ordered])]
+        at = min(range(len(sums)), key=lambda k: (abs(sums[k] - wanted), -sums[k]))
+        return split(ordered[:at], first, left) | split(ordered[at:], first + left, leaves - left)
+
+    assert got == split(points, 0, 5)
+
+
+def test_heavy_groups_are_placed_whole_where_they_fit():
+    room = [10.0, 10.0, 10.0]
+    assert sharding.placed_first([(1, 8), (2, 9), (3, 4)], room) == [[(1, 1.0)], [(0, 1.0)], [(2, 1.0)]] and room == [1.0, 2.0, 6.0]
+    room = [10.0, 10.0, 10.0]
+    assert [s for s, _ in sharding.placed_first([(1, 25)], room)[0]] == [0, 1, 2] and room == [0.0, 0.0, 5.0]
+
+
 # Quality ---------------------------------------------------------------------------------------------------
 
 
