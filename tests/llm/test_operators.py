@@ -480,13 +480,13 @@ def test_heavy_groups_are_placed_whole_where_they_fit():
 
 
 def brute_kneser_ney(texts):
-    grams = collections.Counter()
+    order, grams = quality.ORDER, collections.Counter()
     for t in texts:
-        s = [quality.START] * 3 + [int(quality.SYMBOL[b]) for b in t.encode()]
-        for k in range(3, len(s)):
-            grams[tuple(s[k - 3 : k + 1])] += 1
-    tables = {4: grams}
-    for n in (3, 2, 1):
+        s = [quality.START] * (order - 1) + list((t or "").encode())
+        for k in range(order - 1, len(s)):
+            grams[tuple(s[k - order + 1 : k + 1])] += 1
+    tables = {order: grams}
+    for n in range(order - 1, 0, -1):
         tables[n] = collections.Counter(g[1:] for g in tables[n + 1])
 
     def discount(n):
@@ -503,25 +503,58 @@ def brute_kneser_ney(texts):
         n = len(gram)
         if not n:
             return 1 / quality.SYMBOLS
-        rest = [(g, c) for g, c in tables[n].items() if g[:-1] == gram[:-1]]
+        rest = [c for g, c in tables[n].items() if g[:-1] == gram[:-1]]
         if not rest:
             return p(gram[1:])
         d = lambda c: min(discounts[n][min(c, 3) - 1], c)
-        total, c = sum(c for _, c in rest), tables[n].get(gram, 0)
-        return max(c - discounts[n][min(c, 3) - 1], 0) / total * (c > 0) + sum(d(c) for _, c in rest) / total * p(gram[1:]) if c else sum(d(c) for _, c in rest) / total * p(gram[1:])
+        c = tables[n].get(gram, 0)
+        return (c - d(c) if c else 0) / sum(rest) + sum(map(d, rest)) / sum(rest) * p(gram[1:])
 
     return p
 
 
+KN_TEXTS = ["abab abba baab cabab", "the cat sat. The cat ran", "abra cadabra abra über", ""]
+
+
 def test_kneser_ney_matches_brute_force(spark):
-    texts = ["abab abba baab cabab", "the cat sat. The cat ran", "abra cadabra abra", ""]
-    table = quality.kneser_ney(quality.ngram_counts(frame(spark, texts)))
-    p = brute_kneser_ney(texts)
-    for gram in [(0, 1, 0, 1), (60, 60, 60, 0), (0, 1, 0, 9), (7, 7, 7, 7), (19, 7, 4, 28), (28, 2, 0, 19)]:
-        code = ((gram[0] * 64 + gram[1]) * 64 + gram[2]) * 64 + gram[3]
-        assert 2.0 ** float(table[code]) == pytest.approx(p(gram), rel=0.01)
-    context = (0 * 64 + 1) * 64 + 0
-    assert np.exp2(table[context * 64 : context * 64 + 64].astype(np.float64)).sum() == pytest.approx(1, abs=0.01)
+    grams = [b"abab ", bytes([255] * 4) + b"a", b"abaX.", b"zzzzz", b"the c", b"xx\xc3\xbc!", *[b"abab" + bytes([k]) for k in range(256)]]
+    wanted = spark.createDataFrame([(int.from_bytes(g, "big"),) for g in grams], "code bigint")
+    got = {r.code: r.p for r in quality.kneser_ney(quality.ngram_counts(frame(spark, KN_TEXTS)), wanted).collect()}
+    p = brute_kneser_ney(KN_TEXTS)
+    assert all(got[int.from_bytes(g, "big")] == pytest.approx(p(tuple(g)), rel=1e-9) for g in grams)
+    assert sum(got[int.from_bytes(b"abab" + bytes([k]), "big")] for k in range(256)) == pytest.approx(1)
+
+
+def test_perplexities_and_thresholds_match_brute_force(spark, monkeypatch):
+    texts = [*KN_TEXTS, "abab the cat", "QX!! $$", None, "über alles abra" * 30]
+    langs = ["en", "en", "de", "de", "en", None, "fr", "de"]
+    table = [(k, t, l, "s", 0) for k, (t, l) in enumerate(zip(texts, langs))] + [(2, texts[2], "de", "s", 0)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(4)] + [(1, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame(table, DOCS).withColumns({n: packing.F.lit(1) for n in ("block", "code", "n", "ll", "own")})
+    trusted = [t for k, t, *_ in table if k < 4]
+    p = brute_kneser_ney(trusted)
+
+    def ll(t):
+        s = bytes([quality.START] * (quality.ORDER - 1)) + (t or "").encode()
+        return sum(np.log2(p(tuple(s[k - quality.ORDER + 1 : k + 1]))) for k in range(quality.ORDER - 1, len(s)))
+
+    size = lambda t: len((t or "").encode())
+    mean = sum(map(ll, trusted)) / sum(map(size, trusted))
+    wanted = {k: 2 ** -((ll(t) + quality.PRIOR * mean) / (size(t) + quality.PRIOR)) for k, t, *_ in table}
+    limit = {"en": max(wanted[0], wanted[1]), "de": max(wanted[2], wanted[3])}
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 2)
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(quality, "SLICE", piece)
+        got = quality.quality_report(docs, labels).collect()
+        assert len(got) == len(table)
+        for r in got:
+            assert r.perplexity == pytest.approx(wanted[r.doc_id], rel=1e-4)
+            assert r.threshold == pytest.approx(limit.get(r.lang, max(limit.values())), rel=1e-4) and r.keep == (r.perplexity <= r.threshold)
+
+
+def test_quality_of_an_empty_table(spark):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert quality.quality_report(frame(spark, []), labels).count() == 0
 
 
 def test_quality_keeps_clean_text(spark):
