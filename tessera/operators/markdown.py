@@ -53,7 +53,8 @@ def locator(page: str, path: list[str], occurrence: list[int]) -> str:
 
 def parse_sections(markdown: str, page: str = "") -> tuple[str, list[dict]]:
     """(normalized text, sections in order). A parent is the nearest earlier heading of a smaller level; a
-    section ends where the next heading of its level or a smaller one begins."""
+    section ends where the next heading of its level or a smaller one begins, its own text stops where any heading
+    does. Its chapter is the title of the level-2 section that it is or is in."""
     text = normalize(markdown)
     found, open_at, seen = headings(text), [], {}
     sections: list[dict] = []
@@ -62,9 +63,11 @@ def parse_sections(markdown: str, page: str = "") -> tuple[str, list[dict]]:
             sections[open_at.pop()]["end"] = start
         parent = open_at[-1] if open_at else None
         seen[parent, title] = number = seen.get((parent, title), 0) + 1
-        above = sections[parent] if parent is not None else {"heading_path": [], "occurrence_path": [], "locator": None}
+        above = sections[parent] if parent is not None else {"heading_path": [], "occurrence_path": [], "locator": None, "chapter": ""}
         path, occurrence = [*above["heading_path"], title], [*above["occurrence_path"], number]
-        sections.append({"ordinal": k, "level": level, "title": title, "heading_path": path, "occurrence_path": occurrence, "occurrence": number, "parent": above["locator"], "locator": locator(page, path, occurrence), "start": start, "body_start": body_start, "end": len(text)})
+        sections.append({"ordinal": k, "level": level, "title": title, "heading_path": path, "occurrence_path": occurrence, "occurrence": number, "parent": above["locator"], "locator": locator(page, path, occurrence), "start": start, "body_start": body_start, "end": len(text), "stop": len(text), "chapter": title if level == 2 else above["chapter"] if level > 2 else ""})
+        if k:
+            sections[k - 1]["stop"] = start
         open_at.append(k)
     return text, sections
 
@@ -89,6 +92,28 @@ def sections(pages: DataFrame) -> DataFrame:
     return pages.select("path", "content").mapInPandas(run, SECTION_SCHEMA)
 
 
+FIELD_SCHEMA = "path string, kind string, id string, ordinal int, level int, title string, chapter string, heading_path array<string>, start int, end int, body string"
+
+
+def own_texts(pages: DataFrame) -> DataFrame:
+    """A row per section of each page (path, kind, id, content) with its own text, subsections apart; map-only.
+
+    The text before the first section has ordinal -1 and level 0.
+    """
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for path, kind, page_id, content in zip(frame["path"], frame["kind"], frame["id"], frame["content"]):
+                text, found = parse_sections(content or "", path)
+                first = found[0]["start"] if found else len(text)
+                rows.append((path, kind, page_id, -1, 0, "", "", [], 0, first, text[:first]))
+                rows += [(path, kind, page_id, s["ordinal"], s["level"], s["title"], s["chapter"], s["heading_path"], s["body_start"], s["stop"], text[s["body_start"] : s["stop"]]) for s in found]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FIELD_SCHEMA.split(", ")])
+
+    return pages.select("path", "kind", "id", "content").mapInPandas(run, FIELD_SCHEMA)
+
+
 def section_extents(found: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Parent, end and occurrence of headings (doc, start, level, title, length) with joins and windows alone.
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 import ast
 import json
 import re
-from fnmatch import fnmatchcase
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ..functions.text import utf8_truncate
 from ..operators.relationships import nearest_scope
@@ -137,37 +135,41 @@ def ignore_rules(text: str, base: str = "") -> list[dict]:
     return rules
 
 
-def rule_matches(rule: dict, path: str) -> bool:
-    if rule["base"]:
-        if not path.startswith(rule["base"] + "/"):
-            return False
-        path = path[len(rule["base"]) + 1 :]
-    pattern, parts = rule["pattern"], path.split("/")
-    whole = rule["anchored"] or "/" in pattern
-    if pattern.endswith("/**"):
-        return path == pattern[:-3] or path.startswith(pattern[:-2])
-    if rule["folder"]:
-        return (path == pattern or path.startswith(pattern + "/") or fnmatchcase(path, pattern + "/**")) if whole else any(fnmatchcase(p, pattern) for p in parts[:-1])
-    if rule["anchored"] and "/" not in pattern:
-        return len(parts) == 1 and fnmatchcase(path, pattern)
-    return (fnmatchcase(path, pattern) or fnmatchcase(path, pattern + "/**")) if whole else any(fnmatchcase(p, pattern) for p in parts)
+def _glob(pattern: str, any_character: str) -> str:
+    """A file glob as a regular expression; * and ? stand for `any_character`."""
 
+    def put(m: re.Match) -> str:
+        if m["set"]:
+            inner = m["set"].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            return f"(?={any_character})[" + ("^" if m["not"] else "") + ("\\" if inner[0] in "^]" else "") + inner + "]"
+        return {"*": f"{any_character}*", "?": any_character}.get(m[0][0], re.escape(m[0]))
 
-def not_ignored(files: DataFrame, rules: list[dict], column: str = "path") -> DataFrame:
-    """Files whose last matching rule, if any, is a negated one."""
+    return re.sub(r"\[(?P<not>!?)(?P<set>\]?[^\]]*)\]|\*+|.", put, pattern, flags=re.DOTALL)
 
-    @F.pandas_udf(BooleanType())
-    def kept(paths: pd.Series) -> pd.Series:
-        def one(path):
-            verdict = False
-            for rule in rules:
-                if rule_matches(rule, path):
-                    verdict = not rule["negated"]
-            return not verdict
 
-        return paths.map(one)
+def rule_regex(rule: dict) -> str:
+    """An ignore rule as one regular expression over whole paths.
 
-    return files.filter(kept(column))
+    A rule with a slash, or anchored by one, is matched against the path below its base; others against any of its
+    parts. A folder's rule covers what is in it, any other also what is below a match.
+    """
+    pattern, base = rule["pattern"], re.escape(rule["base"] + "/") if rule["base"] else ""
+    path, part = _glob(pattern, "."), _glob(pattern, "[^/]")
+    if pattern.endswith("/**"):
+        body = re.escape(pattern[:-3]) + "(?:/.*)?"
+    elif rule["folder"]:
+        body = rf"(?:{re.escape(pattern)}(?:/.*)?|{path}/.*)" if rule["anchored"] or "/" in pattern else rf"(?:[^/]*/)*{part}/.*"
+    elif "/" in pattern:
+        body = rf"{path}(?:/.*)?"
+    else:
+        body = part if rule["anchored"] else rf"(?:[^/]*/)*{part}(?:/.*)?"
+    return rf"(?s)^{base}{body}$"
+
+
+def not_ignored(files: DataFrame, rules: list[dict], column: str = "path") -> DataFrame:
+    """Files whose last matching rule, if any, is a negated one; JVM only."""
+    verdicts = [F.when(F.regexp_like(F.col(column), F.lit(rule_regex(r))), F.lit(r["negated"])) for r in reversed(rules)]
+    return files.filter(F.coalesce(*verdicts, F.lit(True)))
 
 
 def selected(files: DataFrame, includes: list[str], excludes: list[str], column: str = "path") -> DataFrame:

@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 from tessera.functions import hashing, redaction, text
 
 
+STEMS = {"policies": "polic", "ties": "tie", "classes": "class", "boxes": "box", "maps": "map", "status": "status", "tried": "tri", "carried": "carr", "mapping": "map", "mapped": "map", "bring": "bring", "stored": "stor", "story": "stor", "über": "über", "x1s": "x1s"}
+
+
+def test_stems_on_the_driver_and_in_the_cluster(spark):
+    frame = spark.createDataFrame([(w,) for w in STEMS], "w string")
+    assert {r.w: r.s for r in frame.select("w", text.stemmed(F.col("w")).alias("s")).collect()} == STEMS
+    assert {w: text.stem(w) for w in STEMS} == STEMS
+
+
+def test_verbs_behind_nouns(spark):
+    frame = spark.createDataFrame([("Normalizations and `organization` of ization, classification",)], "t string")
+    assert frame.select(text.verb_stems(text.prose_udf("t")).alias("v")).first().v == ["normaliz", "classif"]
+
+
 def test_tokens_fold_case_split_camel_and_drop_stop_words():
     assert text.tokens_plain("The readCounters of Straße_x") == ["read", "counter", "strasse", "x"]
     assert text.tokens_stemmed("mapping mapped maps policies tried boxes") == ["map", "map", "map", "polic", "tri", "box"] or text.tokens_stemmed("maps mapped") == ["map", "map"]
@@ -27,6 +41,8 @@ def test_relative_links(base, target, page):
 def test_table_rows_keep_escaped_bars_and_code():
     assert text.split_row(r"| `a|b` | c\|d | |") == ["`a|b`", r"c\|d", ""]
     assert text.split_row("no row") == []
+    assert text.split_row(r"|bb ``\| a|\|\```|`|") == [r"bb ``\| a|\|\```", "`"]
+    assert text.split_row("|``a|`b|``|c|") == ["``a|`b|``", "c"] and text.split_row("||") == [""]
 
 
 def test_fences_are_masked_in_place():

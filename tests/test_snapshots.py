@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 
@@ -107,6 +108,17 @@ def test_unified_diff_paths():
         readers.diff_paths("--- x.py\n+++ x.py\n", strict=True)
 
 
+@pytest.mark.parametrize(
+    ("rule", "yes", "no"),
+    [("*.log", ["a.log", "x/b.log", "x.log/y"], ["a.logs"]), ("/*.log", ["a.log"], ["x/a.log"]), ("build/", ["build/a", "x/build/b"], ["build", "x/build"]), ("/build/", ["build", "build/a/b"], ["x/build/a"]), ("docs/**", ["docs", "docs/a/b"], ["x/docs/a"]), ("a/*.py", ["a/x.py", "a/b/x.py", "a/x.py/z"], ["b/a/x.py"]), ("[!a]?", ["bc", "x/bc"], ["ab", "b/"]), ("a.b", ["a.b", "x/a.b/c"], ["axb"])],
+)
+def test_ignore_rules_as_regular_expressions(rule, yes, no):
+    pattern = readers.rule_regex(readers.ignore_rules(rule)[0])
+    assert all(re.match(pattern, p) for p in yes) and not any(re.match(pattern, p) for p in no)
+    below = readers.rule_regex(readers.ignore_rules(rule, "base")[0])
+    assert all(re.match(below, "base/" + p) for p in yes) and not any(re.match(below, p) for p in yes)
+
+
 def test_ignore_rules_last_match_wins(spark):
     rules = readers.ignore_rules("*.log\n!keep.log\n/build/\ndocs/**\n")
     files = spark.createDataFrame([(p,) for p in ("a.log", "x/keep.log", "build/a.py", "src/build/a.py", "docs/x/y.md", "main.py")], "path string")
