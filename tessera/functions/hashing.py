@@ -74,12 +74,16 @@ def semantic_hash_udf(column: pd.Series) -> pd.Series:
 
 
 def corpus_identity(pages: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """One row: the digest over (path, content digest) in path order.
+    """One row: the digest over (path, content digest) in path order, and the number of pages.
 
-    Page digests are joined in the order of their paths by listagg, whose size is that of the paths and
-    digests, not of the contents.
+    Contents are digested in the cluster and the lines sorted by range; the driver takes the sorted lines one by one
+    through an incremental hash, so it holds a partition's iterator and no list.
     """
-    entry = F.concat(F.col(path), F.lit("\x00"), F.sha2(F.col(content).cast("binary"), 256), F.lit("\n"))
-    lines = pages.select(F.col(path).alias("p"), entry.alias("e"))
-    ordered = lines.agg(F.array_sort(F.collect_list(F.struct("p", "e"))).alias("a"))
-    return ordered.select(digest(F.array_join(F.col("a.e"), "")).alias("corpus_id"), F.size("a").cast("bigint").alias("pages"))
+    import hashlib
+
+    digested = pages.select(F.col(path).alias("p"), F.sha2(F.col(content).cast("binary"), 256).alias("d"))
+    whole, n = hashlib.sha256(), 0
+    for row in digested.orderBy("p", "d").toLocalIterator(prefetchPartitions=True):
+        whole.update(f"{row.p}\0{row.d}\n".encode())
+        n += 1
+    return pages.sparkSession.createDataFrame([("sha256:" + whole.hexdigest(), n)], "corpus_id string, pages bigint")

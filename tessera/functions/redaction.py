@@ -1,8 +1,11 @@
-"""Redaction of credential-like text as a chain of JVM regular expressions, in a fixed order."""
+"""Redaction of credential-like text as a chain of JVM regular expressions, in a fixed order.
+
+Letters, digits, white space and word bounds are those of Unicode, as in the patterns' own engine.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "[REDACTED:credential]"
@@ -28,6 +31,7 @@ SPOKEN = ASSIGNED.replace("[_-]", "[ _-]")
 URI = r"(?i)(\b[a-z][a-z0-9+.-]{1,31}://)(?!\[REDACTED:)[^/@\s:]+:[^/@\s]+@"
 URI_NAME = r"([A-Za-z][A-Za-z0-9+.-]*://)(?!\[REDACTED:)[^/\s@]+(?::[^/\s@]*)?@"
 
+# Names before = or :, and before is, was or equals, that make what follows a credential; words that don't.
 _done = r"\[REDACTED:credential\]"
 _prefix = rf"(?i)((?<![A-Za-z0-9_])[\"']?(?:[A-Za-z0-9]+[_-])*(?:{ASSIGNED})[\"']?\s*[=:]\s*)"
 _said = rf"(?i)((?<![A-Za-z0-9_])(?:{SPOKEN})\s+(?:is|equals?|was)\s+)(?!(?:configured|invalid|missing|optional|required|redacted|sensitive|unset|valid)\b)"
@@ -42,21 +46,37 @@ def _steps() -> list[tuple[str, str]]:
     return [*steps, (URI, "$1" + MARK + "@"), (URI_NAME, "$1" + MARK + "@")]
 
 
-def redact(column: Column) -> tuple[Column, Column]:
-    """(redacted text, number of replacements). Ordered passes; a second redaction changes nothing.
+def _java(pattern: str) -> str:
+    """The pattern with Unicode classes; the four separators that Java doesn't count as white space are added."""
+    out, in_set, k = "", False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two[0] == "\\":
+            more = {"\\s": r"\s\x1c-\x1f", "\\S": r"[^\s\x1c-\x1f]"}.get(two, two)
+            out, k = out + (f"[{more}]" if two == "\\s" and not in_set else more), k + 2
+        else:
+            in_set = two[0] == "[" or (in_set and two[0] != "]")
+            out, k = out + two[0], k + 1
+    return "(?U)" + out
+
+
+def redacted(frame: DataFrame, column: str, clean: str = "clean", count: str = "redactions") -> DataFrame:
+    """`frame` with the redacted text and the number of replacements; null text stays null, with none.
 
-    Groups that didn't take part in a match are empty in a Java replacement, so quotes are kept by naming both.
+    Ordered passes, each a projection over the one before: a text is scanned twice a pass, however many passes there
+    are. A second redaction changes nothing. Groups that didn't take part in a match are empty in a Java replacement,
+    so quotes are kept by naming both.
     """
-    count = F.lit(0)
+    out = frame.withColumns({clean: F.col(column), count: F.lit(0)})
     for pattern, put in _steps():
-        count = count + F.regexp_count(column, F.lit(pattern))
-        column = F.regexp_replace(column, pattern, put)
-    return column, count
+        pattern = _java(pattern)
+        out = out.withColumns({count: F.col(count) + F.coalesce(F.regexp_count(clean, F.lit(pattern)), F.lit(0)), clean: F.regexp_replace(clean, pattern, put)})
+    return out
 
 
 def has_credential(column: Column) -> Column:
     """Whether any pass would replace something: one scan per pattern, no replacement."""
     found = F.lit(False)
     for pattern, _ in _steps():
-        found = found | F.regexp_like(column, F.lit(pattern))
+        found = found | F.regexp_like(column, F.lit(_java(pattern)))
     return found

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bounds import bounded_per
+
 # The closed domains that counts are filled up to.
 PAGE_KINDS = ["index", "log", "module", "entity", "flow", "workflow", "guide", "dependencies", "infrastructure", "conventions", "overview"]
 FRESHNESS = ["current", "nonsemantic-source-change", "source-changed", "source-missing", "basis-incompatible", "unknown"]
@@ -87,10 +89,15 @@ def buckets(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def diagnostics(issues: DataFrame, groups: int = 8, examples: int = 1) -> DataFrame:
-    """The first groups of (category, kind) with exact totals and a few examples each."""
-    per = issues.groupBy("category", "kind").agg(F.count("*").alias("total"), F.slice(F.array_sort(F.collect_set(F.substring("message", 1, 200))), 1, examples).alias("examples"))
-    all_groups = issues.select("category", "kind").distinct().count()
-    return per.withColumn("groups", F.lit(all_groups)).orderBy("category", "kind").limit(groups)
+    """The first groups of (category, kind) with exact totals and their least few messages as examples."""
+    keys = ["category", "kind"]
+    per = issues.groupBy(*keys).agg(F.count("*").alias("total"))
+    shown = per.withColumn("groups", per.select(F.count("*")).scalar()).orderBy(*keys).limit(groups)
+    messages = issues.select(*keys, F.substring("message", 1, 200).alias("message")).distinct()
+    least = messages.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("message"))).filter(F.col("place") <= examples)
+    held = least.groupBy(*keys).agg(F.array_sort(F.collect_list("message")).alias("examples"))
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+    return shown.alias("s").join(held.alias("h"), same, "left").select(*[f"s.{k}" for k in keys], "total", "examples", "groups").orderBy(*keys)
 
 
 def repeated(df: DataFrame, *keys: str) -> DataFrame:
@@ -98,9 +105,9 @@ def repeated(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def capped_with_counts(df: DataFrame, per: list[str], order: list[Column], cap: int) -> DataFrame:
-    """Per group: rows observed, emitted under a cap, and left out."""
-    counted = df.groupBy(*per).agg(F.count("*").alias("observed"))
-    return counted.withColumn("emitted", F.least("observed", F.lit(cap))).withColumn("omitted", F.col("observed") - F.col("emitted"))
+    """The first rows of each group under a cap, with their place and how many were observed, emitted and left out."""
+    rows = bounded_per(df, per, order, cap).drop("returned", "truncated").withColumnRenamed("total", "observed")
+    return rows.withColumn("emitted", F.least("observed", F.lit(cap))).withColumn("omitted", F.col("observed") - F.col("emitted"))
 
 
 def assets(references: DataFrame, files: DataFrame) -> DataFrame:

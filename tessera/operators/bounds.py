@@ -32,10 +32,15 @@ def bounded(df: DataFrame, order: list[Column], limit: int) -> tuple[DataFrame,
 
 
 def bounded_per(df: DataFrame, owner: list[str], order: list[Column], limit: int = RELATION_LIMIT) -> DataFrame:
-    """First rows of each owner with total, returned and truncated of that owner."""
-    per = Window.partitionBy(*owner)
-    numbered = df.withColumn("total", F.count("*").over(per)).withColumn("place", F.row_number().over(per.orderBy(*order)))
-    kept = numbered.filter(F.col("place") <= limit)
+    """First rows of each owner with their place, and total, returned and truncated of that owner.
+
+    Totals come from an aggregate, so that ranking keeps `limit` rows of an owner before anything is shuffled.
+    """
+    place = F.row_number().over(Window.partitionBy(*owner).orderBy(*order))
+    first = df.withColumn("place", place).filter(F.col("place") <= limit).alias("first")
+    totals = df.groupBy(*owner).agg(F.count("*").alias("total")).alias("totals")
+    same = [F.col(f"first.{c}").eqNullSafe(F.col(f"totals.{c}")) for c in owner]
+    kept = first.join(totals, same).select("first.*", "totals.total")
     return kept.withColumn("returned", F.least("total", F.lit(limit))).withColumn("truncated", F.col("total") > limit)
 
 

@@ -175,10 +175,15 @@ def identity_collisions(allocations: DataFrame, aliases: DataFrame | None = None
 
 
 def allocate_identities(ledger: DataFrame, concepts: DataFrame, tag: str = "concept") -> DataFrame:
-    """(natural_key, uid, is_new): an existing identity stays, others are derived from their key."""
+    """(natural_key, uid, is_new): an existing identity stays, others are derived from their key.
+
+    A key that the ledger gives to several identities is an error.
+    """
     from ..functions.hashing import stable_uid
 
     known = ledger.select("natural_key", F.col("uid").alias("known")).distinct()
+    if not known.groupBy("natural_key").count().filter("count > 1").isEmpty():
+        raise ValueError("a natural key has several identities")
     return concepts.select("natural_key").distinct().join(known, "natural_key", "left").select("natural_key", F.coalesce("known", stable_uid(tag, F.col("natural_key"))).alias("uid"), F.col("known").isNull().alias("is_new"))
 
 

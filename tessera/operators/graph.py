@@ -20,10 +20,13 @@ FLOW_DEPTH, STEP_LIMIT = 6, 30
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder the session names; one is set only where there is none."""
+    """checkpoint() into the folder the session names; only a local session may go without one."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
@@ -41,8 +44,7 @@ def call_neighbors(callables: DataFrame, edges: DataFrame, value: str, direction
     near, far = ("to", "from") if direction == "callers" else ("from", "to")
     hit = edges.join(F.broadcast(one), (F.col(f"{near}_file") == F.col("f")) & (F.col(f"{near}_symbol") == F.col("s")), "left_semi")
     rows = hit.groupBy(F.col(f"{far}_file").alias("file"), F.col(f"{far}_symbol").alias("symbol"), "kind").agg(F.count("*").alias("calls"))
-    total = Window.partitionBy()
-    return rows.withColumn("total", F.count("*").over(total)).orderBy(F.lower("file"), "file", "symbol", "kind").limit(clamp_limit(limit))
+    return rows.withColumn("total", rows.select(F.count("*")).scalar()).orderBy(F.lower("file"), "file", "symbol", "kind").limit(clamp_limit(limit))
 
 
 def degrees(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
@@ -68,7 +70,7 @@ def incident(edges: DataFrame, node: str, direction: str = "both", kinds=None, o
     out = edges.filter(F.col("source") == node).withColumn("direction", F.lit("out"))
     into = edges.filter(F.col("target") == node).withColumn("direction", F.lit("in"))
     rows = out if direction == "out" else into if direction == "in" else out.unionByName(into)
-    return rows.withColumn("total", F.count("*").over(Window.partitionBy())).orderBy("direction", "kind", "source", "target").limit(clamp_limit(limit))
+    return rows.withColumn("total", rows.select(F.count("*")).scalar()).orderBy("direction", "kind", "source", "target").limit(clamp_limit(limit))
 
 
 def reachable(edges: DataFrame, starts: DataFrame, source: str = "src", target: str = "dst", depth: int | None = None) -> DataFrame:
@@ -318,8 +320,11 @@ def lift_endpoints(edges: DataFrame, concepts: DataFrame) -> DataFrame:
 
 def closure(spark: SparkSession, edges: DataFrame, start, depth: int, source: str = "src", target: str = "dst") -> DataFrame:
     """(node, depth) within a fixed depth, as one recursive query."""
-    edges.select(F.col(source).alias("src"), F.col(target).alias("dst")).createOrReplaceTempView("tessera_edges")
-    return spark.sql(f"""WITH RECURSIVE walk(node, depth) AS (
+    named = edges.select(F.col(source).alias("src"), F.col(target).alias("dst"))
+    return spark.sql(
+        f"""WITH RECURSIVE walk(node, depth) AS (
         SELECT CAST({start} AS BIGINT), 0 UNION ALL
-        SELECT e.dst, w.depth + 1 FROM walk w JOIN tessera_edges e ON e.src = w.node WHERE w.depth < {int(depth)})
-        SELECT node, MIN(depth) AS depth FROM walk GROUP BY node""")
+        SELECT e.dst, w.depth + 1 FROM walk w JOIN {{edges}} e ON e.src = w.node WHERE w.depth < {int(depth)})
+        SELECT node, MIN(depth) AS depth FROM walk GROUP BY node""",
+        edges=named,
+    )
