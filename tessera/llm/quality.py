@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_view, materialize, release, row_slices, sized, string_column
@@ -33,9 +33,11 @@ PRIOR = 64
 #: The quantile of a language's trusted perplexities.
 QUANTILE = 0.995
 #: Rows of a block, bytes of text looked at together, distinct n-grams held before they are sent.
-BLOCK_ROWS, SLICE, HELD = 1 << 13, 1 << 20, 4 << 20
+BLOCK_ROWS, SLICE, HELD = 1 << 12, 1 << 20, 4 << 20
 #: Bytes of text for a shard of n-grams, and the fewest and most shards.
 SHARD_BYTES, SHARDS = 64 << 20, (64, 4096)
+#: Blocks that are numbered by a broadcast table of 12 bytes each.
+NUMBERED = 1_000_000
 
 
 def codes_of(flat: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
@@ -236,13 +238,22 @@ def _answers(requests: DataFrame, found: DataFrame, shards: int, parts: int) ->
     return both.mapInArrow(run, "block bigint, codes binary, logs binary")
 
 
-def _scored(docs: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """Rows (doc_id, lang, n, ll): bytes and log2 likelihood of every document, which meets its block's answers."""
+def _scored(docs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows (doc_id, lang, n, ll): bytes and log2 likelihood of every document, which meets its block's answers.
+
+    Up to NUMBERED blocks are numbered, so that each has a partition of its own; more are spread well enough by a hash.
+    """
+    blocks = answers.select("block").distinct()
+    parts = blocks.count()
+    number = (F.row_number().over(Window.orderBy("block")) - 1).alias("part")
+    numbers = F.broadcast(blocks.select("block", number)) if parts <= NUMBERED else None
     kind = docs.schema["doc_id"].dataType.simpleString()
     nothing = lambda t: F.lit(None).cast(t)
     rows = docs.select("block", nothing("binary").alias("codes"), nothing("binary").alias("logs"), "doc_id", "lang", "text")
     answers = answers.select("block", "codes", "logs", nothing(kind).alias("doc_id"), nothing("string").alias("lang"), nothing("string").alias("text"))
-    both = answers.unionByName(rows).repartition(parts, "block").sortWithinPartitions("block", F.col("codes").isNull())
+    both = answers.unionByName(rows)
+    both = both.join(numbers, "block") if numbers is not None else both.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    both = both.repartitionById(max(1, parts), F.col("part")).sortWithinPartitions("block", F.col("codes").isNull()).drop("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, codes, logs = None, [], []
@@ -281,8 +292,7 @@ def log_likelihoods(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     found = kneser_ney(ngram_counts(docs.join(trusted, "doc_id", "left_semi")), _distinct(requests, min(shards, max(width, 8))))
     answers = materialize(_answers(requests, found, shards, min(shards, max(width, 8))), "answers")
     release(requests, found)
-    blocks = answers.select("block").distinct().count()
-    out = materialize(_scored(docs, answers, max(width, blocks)), "likelihoods")
+    out = materialize(_scored(docs, answers), "likelihoods")
     release(answers, written)
     return out
 
