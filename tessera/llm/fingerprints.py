@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 IDENTITY, SKETCH, WINDOW = 4, 256, 16
 #: Ids drawn for each range of the edits' shuffle; one of so many becomes a bound.
-SAMPLED = 8
+SAMPLED = 16
+#: Ranges at most, so that the driver draws 1.6 million ids at most; ranges grow beyond that.
+RANGES = 100_000
 #: Odd multipliers of the window hash, one for each doubling of the window; fixed by a seed.
 _MULTIPLIERS = np.random.default_rng(20260916).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SLICE = 1 << 18
@@ -148,13 +150,13 @@ def _edited(current: tuple, following: tuple) -> dict:
     }
 
 
-def fingerprints_with_edits(docs: DataFrame, target_bytes: int = 12 << 20) -> DataFrame:
+def fingerprints_with_edits(docs: DataFrame, target_bytes: int = 8 << 20) -> DataFrame:
     """Fingerprints of every text and of its edit with the next document, in descending doc_id.
 
     Ids drawn by a hash, some SAMPLED for each `target_bytes` of text, cut the documents into ranges; each range begins
     at one of them, so its first row is known beforehand and travels to the range before it as well. Every row meets the
-    next one in its own task: one shuffle of the text, nothing gathered but the bounds (8 bytes for `target_bytes` of
-    text), which workers search by bisection.
+    next one in its own task: one shuffle of the text, nothing gathered but the bounds (RANGES at most), which workers
+    search by bisection.
 
     The last document's next is the first. Null texts count as empty; rows of equal doc_id follow each other by their
     text; a null doc_id comes last. Ids may be of any type that sorts. An empty table gives no rows; one row is its own
@@ -163,7 +165,7 @@ def fingerprints_with_edits(docs: DataFrame, target_bytes: int = 12 << 20) -> Da
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n"), F.count("*").alias("rows"), F.max("doc_id").alias("top")).first()
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    parts = max(1, min(size.n, max(width, -(-int(size.b or 0) // target_bytes))))
+    parts = max(1, min(size.n, RANGES, max(width, -(-int(size.b or 0) // target_bytes))))
     every = max(1, size.n // (SAMPLED * parts))
     drawn = rows.select("doc_id").filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).distinct()
     ids = sorted(r.doc_id for r in drawn.toLocalIterator())
