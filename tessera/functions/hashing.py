@@ -58,6 +58,16 @@ def canonical_json_udf(form: str = "compact"):
     return run
 
 
+def canonical_size(column, form: str = "compact"):
+    """Exact bytes of a JSON text's canonical encoding; null where it isn't strict JSON."""
+    return F.octet_length(canonical_json_udf(form)(column))
+
+
+def allowed_counts(column, names: list[str]):
+    """A map's entries whose name is allowed and whose count isn't negative."""
+    return F.map_filter(column, lambda k, v: k.isin(names) & (v >= 0))
+
+
 def without_lines(value):
     """A record without its line metadata, at any depth."""
     if isinstance(value, dict):

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import diffs, graph, relationships
-from ..operators.bounds import clamp_limit
+from ..operators import declarations, diffs, graph, relationships
+from ..operators.bounds import bounded_per, clamp_limit
 
 COST = {"explain": "snapshot-index-only", "concept": "snapshot-index-only", "related": "snapshot-index-only", "surface": "snapshot-index-only", "typed": "snapshot-index-only", "symbol": "full-inventory", "entrypoint": "full-inventory", "flow-segment": "full-inventory", "dependency": "full-inventory", "impact": "targeted-extraction"}
 COMPONENTS = ("extractor", "lint_rule", "entrypoint_detector", "diagram_style", "prompt_template", "skill")
@@ -68,7 +68,8 @@ class Knowledge:
     def _symbol(self, value, limit):
         callers = graph.call_neighbors(self.frames["callables"], self.frames["edges"], value, "callers", limit).withColumn("relation", F.lit("caller"))
         callees = graph.call_neighbors(self.frames["callables"], self.frames["edges"], value, "callees", limit).withColumn("relation", F.lit("callee"))
-        pages = self.frames["surface"].filter(F.col("source_path") == value.rpartition(":")[0]).select(F.col("canonical_path").alias("file"), F.lit(None).cast("string").alias("symbol"), F.lit("page").alias("kind"), F.lit(1).cast("bigint").alias("calls"), F.count("*").over(graph.Window.partitionBy()).alias("total"), F.lit("page").alias("relation"))
+        pages = self.frames["surface"].filter(F.col("source_path") == value.rpartition(":")[0]).select(F.col("canonical_path").alias("file"), F.lit(None).cast("string").alias("symbol"), F.lit("page").alias("kind"), F.lit(1).cast("bigint").alias("calls"), F.lit(None).cast("bigint").alias("total"), F.lit("page").alias("relation"))
+        pages = pages.withColumn("total", pages.select(F.count("*")).scalar())
         return callers.unionByName(callees).unionByName(pages)
 
     def _entrypoint(self, value, limit):
@@ -83,6 +84,9 @@ class Knowledge:
         return near.join(graph.degrees(self.frames["dependencies"]), F.col("neighbor") == F.col("node"), "left").drop("node").orderBy("direction", "neighbor").limit(limit)
 
     def _impact(self, value, limit, changed: DataFrame | None = None):
+        """All sections a change set reaches (pages, edges, operations, findings), each up to the limit, and their identity."""
         pages = relationships.affected_pages(self.frames["inventory"], self.frames["surface"], self.frames["declared"])
-        hit = pages.join(changed.select(F.col("path").alias("source")).distinct(), "source", "left_semi")
-        return hit.orderBy("page", "source").limit(limit)
+        nothing = lambda columns: changed.limit(0).select(*[F.col("path").alias(c) for c in columns])
+        given = lambda name, *columns: self.frames[name] if name in self.frames else nothing(columns)
+        rows = declarations.impact(changed, pages, given("dependencies", "src", "dst"), given("operations", "handler", "operation"), given("findings", "path", "rule"))
+        return bounded_per(rows, ["section"], [F.lower("item"), F.col("item")], limit)

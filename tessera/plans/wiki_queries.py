@@ -10,10 +10,11 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import aggregates, declarations, diffs, flows, graph, lint, relationships, search
+from ..functions import hashing, text
+from ..operators import aggregates, declarations, diffs, flows, graph, lint, relationships, reports, search
 from ..sources import readers
 from .queries import Tables, query
+from .surface import Knowledge
 
 TABLES = ("nation", "region", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
@@ -386,3 +387,88 @@ def stems(t):
 def diagnostic_examples(t):
     issues = t.documents.select(F.col("lang").alias("category"), F.col("source").alias("kind"), F.col("text").alias("message"))
     return aggregates.diagnostics(issues, 5).select("category", "kind", "total", F.col("examples")[0].alias("example"), "groups")
+
+
+# Reports ----------------------------------------------------------------------------------------------------
+
+_QUEUE = "SELECT CASE c_nationkey % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'unknown' WHEN 2 THEN 'source-changed' ELSE 'source-missing' END AS state, c_name AS path FROM customer"
+_STATES = ", ".join(f"('{s}')" for s in aggregates.FRESHNESS)
+
+
+@query(f"""WITH q AS ({_QUEUE}) SELECT k AS state, count(path) AS count FROM (VALUES {_STATES}) v(k) LEFT JOIN q ON state = k GROUP BY k UNION ALL SELECT 'total', count(*) FROM q""")
+def qualification_counts(t):
+    return reports.qualification_counts(frame(t, _QUEUE))
+
+
+_ISSUES = "SELECT CASE p_size % 3 WHEN 0 THEN 'error' ELSE 'warning' END AS severity, p_type AS category, 'p' || p_partkey AS path, p_name AS message FROM part WHERE p_size < 15"
+
+
+@query(f"""WITH i AS ({_ISSUES}), q AS ({_QUEUE}) SELECT 'pages' AS section, lang AS item, count(*) AS count, NULL AS message FROM documents GROUP BY lang
+UNION ALL SELECT 'freshness', k, count(path), NULL FROM (VALUES {_STATES}) v(k) LEFT JOIN q ON state = k GROUP BY k UNION ALL SELECT 'issues', k, count(path), NULL FROM (VALUES ('error'), ('warning'), ('info')) v(k) LEFT JOIN i ON severity = k GROUP BY k
+UNION ALL SELECT 'health', CASE WHEN s_suppkey % 9 = 0 THEN 'absent' ELSE 'healthy' END, count(*), NULL FROM supplier GROUP BY 2
+UNION ALL (SELECT 'issue', severity || ':' || category, (SELECT count(*) FROM i), path || ' ' || message FROM i ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 1 END, category, path, message LIMIT 20)""")
+def doctor_report(t):
+    sessions = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit(False).alias("mismatch"), F.when(F.col("s_suppkey") % 9 == 0, "absent").otherwise("available").alias("availability"), F.lit("consistent").alias("snapshot"), F.lit("valid").alias("governance"), F.lit("none").alias("drift"), F.lit(True).alias("evaluated"), F.lit(0).alias("expired_reviews"), F.lit("passed").alias("verification"))
+    return reports.doctor(t.documents.select(F.col("lang").alias("kind")), frame(t, _QUEUE), frame(t, _ISSUES), sessions)
+
+
+_FLAT = "SELECT CASE p_partkey % 3 WHEN 0 THEN 'a/' ELSE '' END || CASE WHEN p_partkey % 50 = 3 THEN 'What?' ELSE 'Page' END || '-' || (p_partkey // 2) || CASE WHEN p_partkey % 4 = 0 THEN 'X' ELSE '' END || '.md' AS path FROM part"
+_TO = "SELECT 'l' || p_partkey AS path, 'page ' || (p_partkey % 400) || CASE WHEN p_partkey % 5 = 0 THEN '#part' ELSE '' END AS target FROM part"
+
+
+@query(f"""WITH p AS ({_FLAT}), n AS (SELECT path, lower(regexp_replace(regexp_replace(regexp_replace(path, '^.*/', ''), '[.]md$', ''), '[ -]+', '-', 'g')) AS name, regexp_replace(path, '^.*/', '') AS file FROM p), k AS (SELECT name, count(*) AS n FROM n GROUP BY name)
+SELECT path, 'duplicate-name' AS problem, name AS detail FROM n JOIN k USING (name) WHERE k.n > 1 UNION ALL SELECT path, 'unsafe-name', file FROM n WHERE contains(file, '?')
+UNION ALL SELECT path, 'dead-link', target FROM ({_TO}) WHERE regexp_replace(regexp_replace(target, '#.*$', ''), ' ', '-') NOT IN (SELECT name FROM k) UNION ALL SELECT NULL, 'no-home', NULL""")
+def wiki_candidate(t):
+    return reports.candidate_problems(frame(t, _FLAT), frame(t, _TO))
+
+
+@query("""SELECT p_partkey AS name, p_type AS signature, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 5 > 0 THEN p_name ELSE 'generated' END AS description FROM part""")
+def written_table_cells(t):
+    generated = t.part.select(F.col("p_partkey").alias("name"), F.col("p_type").alias("signature"), F.lit("generated").alias("description"))
+    written = F.when(F.col("p_partkey") % 5 == 0, "TBD").otherwise(F.col("p_name"))
+    existing = t.part.filter("p_partkey % 3 > 0").select(F.col("p_partkey").alias("name"), written.alias("description"))
+    return reports.projected_table(generated, existing, ["name"], ["description"])
+
+
+@query("""SELECT 'c' || c_nationkey AS path, c_custkey AS ordinal, c_mktsegment AS title, CASE WHEN c_nationkey % 2 = 0 THEN 'module' ELSE 'entity' END AS kind, 'human' AS owner FROM customer WHERE (c_nationkey % 2 = 0 AND c_mktsegment = 'BUILDING') OR (c_nationkey % 2 = 1 AND c_mktsegment = 'MACHINERY')""")
+def owned_sections(t):
+    sections = frame(t, "SELECT 'c' || c_nationkey AS path, c_custkey AS ordinal, c_mktsegment AS title, CASE WHEN c_nationkey % 2 = 0 THEN 'module' ELSE 'entity' END AS kind FROM customer")
+    rules = t.spark.createDataFrame([("module", "Building", "human"), ("entity", "machinery", "human"), ("module", "machinery", "generated")], "kind string, title string, owner string")
+    return reports.owned_sections(sections, rules, ["human"])
+
+
+_LEDGER = "SELECT c_custkey AS uid, CASE WHEN c_custkey % 6 = 5 AND c_custkey % 4 = 1 THEN c_custkey - 5 WHEN c_custkey % 36 = 12 THEN c_custkey WHEN c_custkey % 9 = 4 THEN c_custkey - 1000000 WHEN c_custkey % 6 < 5 AND c_custkey % 6 > 0 THEN c_custkey + 1 END AS predecessor FROM customer UNION ALL SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 6 = 0 AND c_custkey % 36 <> 12"
+
+
+@query(f"""WITH RECURSIVE v AS ({_LEDGER}), e AS (SELECT DISTINCT uid AS src, predecessor AS dst FROM v WHERE predecessor IS NOT NULL), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
+SELECT src AS uid, 'missing-predecessor' AS problem FROM e WHERE dst NOT IN (SELECT uid FROM v) UNION SELECT dst, 'forked' FROM e GROUP BY dst HAVING count(DISTINCT src) > 1
+UNION SELECT x.a, CASE WHEN count(DISTINCT x.b) > 1 THEN 'cycle' ELSE 'self' END FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a""")
+def lineage_problems(t):
+    return reports.lineage_problems(frame(t, _LEDGER))
+
+
+@query("""SELECT doc_id, k AS chunk, substr(text, k * 5000 + 1, 5000) AS body FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 5000.0) AS BIGINT)))) AS k FROM documents WHERE text IS NOT NULL)""")
+def text_chunks(t):
+    return reports.numbered_chunks(t.documents, "doc_id", "text", 5000).withColumn("chunk", F.col("chunk").cast("bigint"))
+
+
+@query("""SELECT event_id, strlen(replace(props, ' ', '')) AS bytes FROM events""")
+def canonical_sizes(t):
+    return t.events.select("event_id", hashing.canonical_size("props").cast("bigint").alias("bytes"))
+
+
+@query("""SELECT user_id, event_type AS name, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL""")
+def allowed_counts(t):
+    per = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return per.select("user_id", F.explode(hashing.allowed_counts("m", ["view", "click", "other"])).alias("name", "n"))
+
+
+@query("""SELECT section, item, place, total FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY lower(item), item) AS place, count(*) OVER (PARTITION BY section) AS total FROM (
+SELECT DISTINCT 'page' AS section, 'page-' || p_partkey AS item FROM part WHERE p_size = 7 UNION SELECT DISTINCT 'edge', 's' || l_suppkey || ' -> p' || l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7)) WHERE place <= 20""")
+def impact_operation(t):
+    own = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    page = F.concat(F.lit("page-"), F.col("p_partkey").cast("string"))
+    known = Knowledge(inventory=t.part.select(own.alias("path"), page.alias("page")), surface=t.part.limit(0).select(own.alias("source_path"), page.alias("canonical_path")), declared=t.part.limit(0).select(own.alias("source"), page.alias("page")), dependencies=frame(t, _LINKED))
+    found = known.query("impact", limit=20, changed=frame(t, _CHANGED))
+    return found.filter("section <> 'identity'").select("section", "item", F.col("place").cast("bigint").alias("place"), "total")

@@ -204,11 +204,11 @@ def augmented(pages: DataFrame, sources: DataFrame, owners: DataFrame, file_byte
 
 
 def openapi_operations(exports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(operations, parameters, responses) of API exports (side, document as JSON)."""
+    """(operations, parameters, responses) of API exports (side, document as JSON or YAML)."""
     methods = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 
     def rows_of(side, text, what):
-        document = json.loads(text)
+        document = json.loads(text) if text.lstrip().startswith("{") else bounded_yaml(text)
         for path, item in sorted((document.get("paths") or {}).items()):
             for method in methods:
                 op = item.get(method)
@@ -338,6 +338,92 @@ def python_inventory(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, INVENTORY)
 
 
+def _routers(tree: ast.AST) -> dict[str, str]:
+    """Names bound to an application or a router, with the prefix their routes have."""
+    prefixes: dict[str, str] = {}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and ast.unparse(node.value.func).split(".")[-1] in ("FastAPI", "APIRouter"):
+            prefix = next((k.value.value for k in node.value.keywords if k.arg == "prefix" and isinstance(k.value, ast.Constant)), "")
+            prefixes |= {t.id: prefix for t in node.targets if isinstance(t, ast.Name)}
+    for node in ast.walk(tree):  # app.include_router(router, prefix="/x") in the same file
+        if isinstance(node, ast.Call) and ast.unparse(node.func).endswith(".include_router") and node.args and isinstance(node.args[0], ast.Name) and node.args[0].id in prefixes:
+            more = next((k.value.value for k in node.keywords if k.arg == "prefix" and isinstance(k.value, ast.Constant)), "")
+            prefixes[node.args[0].id] = more + prefixes[node.args[0].id]
+    return prefixes
+
+
+def routes_of(path: str, text: str) -> list[tuple]:
+    """(path, method, route, handler, status, response, parameters, line) of route decorators on known routers."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return []
+    prefixes, rows = _routers(tree), []
+    for node in ast.walk(tree):
+        for d in getattr(node, "decorator_list", []) if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else []:
+            if not (isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and isinstance(d.func.value, ast.Name) and d.func.value.id in prefixes and d.args and isinstance(d.args[0], ast.Constant)):
+                continue
+            options = {k.arg: k.value for k in d.keywords}
+            methods = [d.func.attr.upper()] if d.func.attr != "api_route" else [e.value.upper() for e in getattr(options.get("methods"), "elts", [])]
+            route = prefixes[d.func.value.id] + str(d.args[0].value)
+            within = set(re.findall(r"\{(\w+)", route))
+            parameters = [{"name": a.arg, "location": "path" if a.arg in within else "query or body", "type": ast.unparse(a.annotation) if a.annotation else None} for a in [*node.args.args, *node.args.kwonlyargs]]
+            status = options.get("status_code")
+            response = ast.unparse(options["response_model"]) if "response_model" in options else ast.unparse(node.returns) if node.returns else None
+            rows += [(path, m, route, node.name, status.value if isinstance(status, ast.Constant) else 200, response, parameters, node.lineno) for m in methods]
+    return rows
+
+
+ROUTES = "path string, method string, route string, handler string, status int, response string, parameters array<struct<name:string,location:string,type:string>>, line int"
+
+
+def api_routes(files: DataFrame) -> DataFrame:
+    """Routes that Python files (path, content) declare on applications and routers; map-only."""
+
+    def run(frames):
+        for frame in frames:
+            rows = [r for p, t in zip(frame["path"], frame["content"]) for r in routes_of(p, t or "")]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in re.sub(r"<[^>]*>+", "", ROUTES).split(", ")])
+
+    return files.select("path", "content").mapInPandas(run, ROUTES)
+
+
+def bounded_yaml(text: str, most_bytes: int = 1 << 20, most_nodes: int = 50_000, most_depth: int = 64):
+    """A YAML document as plain values. Too large, too deep, aliases, own tags, repeated keys and several documents are errors."""
+    try:
+        import yaml
+    except ImportError as lacking:  # an optional library
+        raise ValueError("YAML isn't supported here") from lacking
+    if len(text.encode()) > most_bytes:
+        raise ValueError("YAML over its size limit")
+    depth = nodes = documents = 0
+    try:
+        for event in yaml.parse(text, Loader=yaml.SafeLoader):
+            nodes += isinstance(event, yaml.events.NodeEvent)
+            documents += isinstance(event, yaml.events.DocumentStartEvent)
+            depth += isinstance(event, yaml.events.CollectionStartEvent) - isinstance(event, yaml.events.CollectionEndEvent)
+            if isinstance(event, yaml.events.AliasEvent) or getattr(event, "anchor", None) or (getattr(event, "tag", None) or "!") != "!":
+                raise ValueError("YAML with aliases, anchors or tags")
+            if nodes > most_nodes or depth > most_depth or documents > 1:
+                raise ValueError("YAML over its limits")
+        return _plain(yaml.compose(text, Loader=yaml.SafeLoader), yaml)
+    except yaml.YAMLError as wrong:
+        raise ValueError(f"not YAML: {wrong}") from wrong
+
+
+def _plain(node, yaml):
+    if node is None:
+        return None
+    if isinstance(node, yaml.MappingNode):
+        out = {str(yaml.SafeLoader("").construct_object(k)): _plain(v, yaml) for k, v in node.value}
+        if len(out) != len(node.value):
+            raise ValueError("repeated key")
+        return out
+    if isinstance(node, yaml.SequenceNode):
+        return [_plain(v, yaml) for v in node.value]
+    return yaml.SafeLoader("").construct_object(node)
+
+
 def inventory_json(spark: SparkSession, path: str) -> DataFrame:
     """Inventories other extractors wrote (TypeScript, Go, Rust, Haskell): the same rows, unknown fields ignored."""
     return spark.read.schema(INVENTORY).json(path)
