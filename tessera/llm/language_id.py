@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import byte_view, fold_of, materialize, row_slices, string_column
+from .common import byte_view, fold_of, materialize, row_slices, sized, string_column
 
 #: Hidden units of a direction, and bytes of a window.
 HIDDEN, WINDOW = 10, 48
@@ -186,12 +186,17 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     """
     lang, number = F.col("lang").cast("string").alias("l"), F.col("doc_id").cast("string")
     labelled = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "") & (F.length("text") > 0) & (fold_of(F.col("doc_id"), 4) != 2))
-    ids = labelled.select(lang, F.xxhash64(number, F.lit(5)).alias("d"), "doc_id").distinct()
-    languages = ids.select("l").distinct().count()
+    draw = F.pmod(F.xxhash64(number, F.lit(5)), F.lit(1 << 40)).alias("d")
+    ids = labelled.select(lang, draw, "doc_id").distinct()
+    counts = sized(ids.groupBy("l").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
     if not languages:
         return []
+    # Twice as many rows as wanted pass by their hash, so that a common language doesn't meet in one task.
+    most = max(1, min(ROWS, ROWS_IN_ALL // languages))
+    near = ids.join(counts, "l").filter(F.col("d") * F.col("n") < F.lit(2.0 * most + 50) * (1 << 40)).drop("n")
     place = F.row_number().over(Window.partitionBy("l").orderBy("d", "doc_id"))
-    drawn = materialize(ids.withColumn("place", place).filter(F.col("place") <= max(1, min(ROWS, ROWS_IN_ALL // languages))), "drawn")
+    drawn = materialize(near.withColumn("place", place).filter(F.col("place") <= most), "drawn")
     texts = labelled.select(lang, "doc_id", F.col("text").cast("string").alias("t"))
     rows = texts.join(F.broadcast(drawn), ["l", "doc_id"]).select("l", "d", "t").distinct().orderBy("l", "d", "t")
     return [(r.l, r.t) for r in rows.toLocalIterator()]
