@@ -118,14 +118,18 @@ class _Frames(dict):
         raise FrameMissing(name)
 
 
-def lint(wiki: dict[str, DataFrame], only: list[str] | None = None, extra: dict[str, Callable] | None = None) -> DataFrame:
-    """All rules, own and plugged in, in severity order; a rule whose frame isn't given is reported as not run."""
+def lint(wiki: dict[str, DataFrame], only: list[str] | None = None, extra: dict[str, Callable] | None = None, tell_missing: bool = False) -> DataFrame:
+    """All rules whose frames are given, own and plugged in, in severity order.
+
+    tell_missing: an issue for each rule that wasn't run, with the frame it lacks. Errors of a rule's own are raised.
+    """
     found, spark = [], next(iter(wiki.values())).sparkSession
     for name, function in {**RULES, **(extra or {})}.items():
         if only is None or name in only:
             try:
                 found.append(function(_Frames(wiki)))
             except FrameMissing as lacking:
-                found.append(spark.createDataFrame([("info", "lint", f"rule {name} not run: no frame {lacking.args[0]}", None)], "severity string, category string, message string, path string"))
+                if tell_missing:
+                    found.append(spark.createDataFrame([("info", "lint", f"rule {name} not run: no frame {lacking.args[0]}", None)], "severity string, category string, message string, path string"))
     out = reduce(DataFrame.unionByName, found)
     return out.orderBy(F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2), "category", "path", "message")

@@ -49,7 +49,8 @@ def test_bounded_yaml_and_exports(spark):
 
 def test_missing_frames_are_reported(spark):
     pages = spark.createDataFrame([("a b.md",)], "path string")
-    got = lint.lint({"pages": pages}, ["conventions", "orphans"]).collect()
+    got = lint.lint({"pages": pages}, ["conventions", "orphans"], tell_missing=True).collect()
+    assert lint.lint({"pages": pages}, ["conventions", "orphans"]).count() == 1
     assert [(r.category, r.message) for r in got] == [("convention", "page name has unusual characters"), ("lint", "rule orphans not run: no frame links")]
 
     def broken(wiki):
