@@ -194,7 +194,7 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
         return []
     # Twice as many rows as wanted pass by their hash, so that a common language doesn't meet in one task.
     most = max(1, min(ROWS, ROWS_IN_ALL // languages))
-    near = ids.join(counts, "l").filter(F.col("d") * F.col("n") < F.lit(2.0 * most + 50) * (1 << 40)).drop("n")
+    near = ids.join(counts, "l").filter(F.col("d") * F.col("n").cast("double") < F.lit((2.0 * most + 50) * (1 << 40))).drop("n")
     place = F.row_number().over(Window.partitionBy("l").orderBy("d", "doc_id"))
     drawn = materialize(near.withColumn("place", place).filter(F.col("place") <= most), "drawn")
     texts = labelled.select(lang, "doc_id", F.col("text").cast("string").alias("t"))
