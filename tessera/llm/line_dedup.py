@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_view, materialize, release, row_slices, sized, string_column
@@ -31,8 +31,8 @@ LONG_LINE = 200
 #: Bits of the filter of repeated passage hashes, and those of a block of it; a fixed size, whatever the corpus.
 FILTER_BITS, BLOCK_BITS, PROBES = 1 << 28, 1 << 20, 3
 BUCKETS = 1 << 12
-#: Places of one passage that meet in a task.
-HOT_ROWS = 20_000
+#: Places of one passage that may meet in a task, and the share of places (one in so many) that tells common passages.
+HOT_ROWS, SAMPLE = 20_000, 64
 SLICE = 1 << 20
 
 
@@ -132,7 +132,7 @@ def _probes(h: np.ndarray) -> list[np.ndarray]:
     return [_mixed(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(FILTER_BITS) for k in range(PROBES)]
 
 
-def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     some = np.ones(len(h), bool)
     for p in _probes(h):
         some &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
@@ -167,7 +167,7 @@ def _repeated_hashes(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(pack, "bucket bigint, hashes binary").repartition("bucket").mapInArrow(repeated, "hash bigint")
 
 
-def _filter_of(repeated: DataFrame) -> np.ndarray:
+def filter_of(repeated: DataFrame) -> np.ndarray:
     """A Bloom filter over the repeated hashes, of fixed size; its blocks are put together in the cluster."""
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def _candidates(rows: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             for low, data, offsets in _slices(string_column(batch, "text")):
                 row, start, end, h = _passages(data, offsets)
-                some = _passes(bits, h)
+                some = passes(bits, h)
                 row, start, end = row[some], start[some], end[some]
                 chars = np.concatenate((np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)))
                 raw = data.tobytes()
@@ -241,31 +241,31 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     repeated = materialize(_repeated_hashes(rows), "repeated")
-    candidates = materialize(_candidates(rows, _filter_of(repeated)), "passages")
+    candidates = materialize(_candidates(rows, filter_of(repeated)), "passages")
     release(repeated)
+    # Very common passages, found in a sample, are few: the place of each that is kept comes from partial minima and is
+    # joined to its rows where they are. The others meet by digest, and the first place in order is the one kept.
+    drawn = candidates.filter(F.pmod(F.xxhash64("rid", "start"), F.lit(SAMPLE)) == 0)
+    hot = sized(drawn.groupBy("digest").count().filter(F.col("count") * SAMPLE * 2 > HOT_ROWS).select("digest"), "hot")
     place = F.struct("doc_id", "rid", "start", "end")
-    kept = candidates.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1")
-    kept = materialize(kept, "kept")
-    # A very common passage is dealt out over several tasks, each with a copy of the place that is kept.
-    hot = sized(kept.filter(F.col("n") > HOT_ROWS).select(F.col("digest").alias("hot"), F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")), "hot")
-    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "rid", "start"), F.col("parts")), F.lit(0)).cast("int").alias("salt")
-    salted = candidates.join(hot, F.col("digest") == F.col("hot"), "left").select("doc_id", "rid", "start", "end", "digest", salt)
-    copies = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / HOT_ROWS).cast("int") - 1))
-    places = kept.select("digest", "kept", F.explode(F.when(F.col("n") > HOT_ROWS, copies).otherwise(F.array(F.lit(0)))).alias("salt"))
-    same = salted.join(places, ["digest", "salt"])
+    first = sized(candidates.join(hot, "digest", "left_semi").groupBy("digest").agg(F.min(place).alias("kept")), "kept")
+    common = candidates.join(first, "digest")
+    in_order = Window.partitionBy("digest").orderBy("doc_id", "rid", "start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    others = candidates.join(hot, "digest", "left_anti").withColumn("kept", F.first(place).over(in_order))
+    same = others.unionByName(common)
     at_kept = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.rid") == F.col("rid")) & (F.col("kept.end") > F.col("start"))
     removed = same.filter(~at_kept).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     out = materialize(_merged(removed), "ranges")
-    release(candidates, kept, hot)
+    release(candidates, first, hot)
     return out
 
 
 def _cut(docs: DataFrame) -> DataFrame:
     """Rows (row, removed): each row of `docs` as a struct, its text without repeated passages, and the removed ranges."""
     found = repeated_ranges(docs)
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(found.select(F.xxhash64("doc_id", "rid"))))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(found.select(F.xxhash64("doc_id", "rid"))))
     # Only texts that may have ranges are joined; the filter lets none of these through to the others.
-    hit = F.pandas_udf(lambda key: pd.Series(_passes(bits.value, key.to_numpy(np.int64))), "boolean")
+    hit = F.pandas_udf(lambda key: pd.Series(passes(bits.value, key.to_numpy(np.int64))), "boolean")
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("hash")).withColumn("hit", hit(F.xxhash64("row.doc_id", "hash")))
     ranges = found.select("doc_id", "rid", F.col("ranges").alias("removed"))
     joined = keyed.filter("hit").join(ranges, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("rid")), "left")
