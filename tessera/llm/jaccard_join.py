@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import materialize, release, sized, string_column
+from .line_dedup import filter_of, passes
 from .shingles import mixed, shingle_sets
 
 #: log2 of the slots of the frequency sketch (a byte each when broadcast), and its blocks.
@@ -36,6 +37,7 @@ SLOTS_LOG2, BLOCKS = 22, 64
 MERGE, STAR_ROUNDS, PARTNERS = 64, 2, 200
 #: Size bands in which a size doubles, for the pairs that are left after the star rounds.
 BANDS = 16
+FACTS_OF_HEADS = ("own", "id", "n", "every", "end", "pos")
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -194,15 +196,21 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ranks = token_frequencies(docs, size)
-    described = materialize(describe_sets(docs, size, percent, ranks), "sets")
+    described = materialize(describe_sets(docs, size, percent, ranks).withColumn("row", F.monotonically_increasing_id()), "sets")
     info = materialize(described.select("doc_id", "n", "sig"), "info")
 
     real = described.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = real.groupBy("sig").agg(F.min_by(F.struct("n", "end", "p1", "p2", "p3"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
-    classes = materialize(classes.select("sig", "id", "s.*"), "classes")
-    release(described)
+    # A class is found by its digest alone; only then are the prefixes of its least id taken.
+    first = F.min(F.struct("doc_id", "row")).alias("f")
+    least = sized(real.groupBy("sig").agg(first).select("f.row"), "least")
+    classes = materialize(real.join(least, "row", "left_semi").select("sig", F.col("doc_id").alias("id"), "n", "end", "p1", "p2", "p3"), "classes")
+    release(described, least)
     rows = classes.select("id", F.posexplode("p1").alias("pos", "token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    shared = materialize(rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"), "shared")
+    # A filter of fixed size keeps most other tokens from the join, which is exact.
+    bits = spark.sparkContext.broadcast(filter_of(shared.select("token")))
+    maybe = F.pandas_udf(lambda tokens: pd.Series(passes(bits.value, tokens.to_numpy(np.int64))), "boolean")
+    rows = rows.filter(maybe("token"))
     # Most tokens have one class and are gone here. own: a class's tokens before this one that no other class
     # has in its prefix. Whoever has this token in its prefix lacks those: it would have them there as well.
     # every: the same over the whole prefix; whoever's prefix ends later in the order lacks all of those.
@@ -211,7 +219,12 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     members = members.withColumn("others", F.count("*").over(Window.partitionBy("id")))
     sizes = classes.select("id", "n", "end", F.size("p1").alias("kept"))  # joined to the few rows left, not carried by all
     members = members.join(sizes, "id").withColumn("every", F.col("kept") - F.col("others")).drop("kept", "others")
-    members = materialize(members, "members")
+    # The head of a bucket: the member with the fewest tokens of its own, most like an original.
+    members = materialize(members, "members-alone")
+    heads = members.groupBy("token").agg(F.min(F.struct(*FACTS_OF_HEADS)).alias("h"))
+    buckets = materialize(members.join(heads, "token"), "members")
+    release(members, shared)
+    members = buckets
     needed = sized(members.select("id").distinct(), "needed")
     texts = materialize(docs.join(needed, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
     prefixes = materialize(classes.join(needed, "id", "left_semi").select("id", "p2", "p3"), "prefixes")
@@ -234,11 +247,16 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
         pairs = pairs.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        left, right = (prefixes.select(F.col("id").alias(x), F.col("p2").alias(f"p2{x}"), F.col("p3").alias(f"p3{x}")) for x in "ab")
+        pairs = materialize(pairs, "tokens-shared")
+        ends = sized(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
+        few = materialize(prefixes.join(ends, "id", "left_semi"), "prefixes-needed")  # prefixes are wide: only those of the pairs move
+        passing.extend((pairs, ends, few))
+        left, right = (few.select(F.col("id").alias(x), F.col("p2").alias(f"p2{x}"), F.col("p3").alias(f"p3{x}")) for x in "ab")
         joined = pairs.join(left, "a").join(right, "b")
         return joined.filter(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b")
 
     comps, known, tried = None, None, None
+    passing: list[DataFrame] = []
 
     def labelled(frame: DataFrame) -> DataFrame:
         if comps is None:
@@ -249,6 +267,8 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
         """Verifies candidates and closes links; False if there was none."""
         nonlocal comps, known, tried
         found = materialize(candidates(pairs, tried), "candidates")
+        release(*passing)
+        passing.clear()
         n = found.count()
         if not n:
             release(found)
@@ -261,39 +281,49 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
         comps = components(known.filter("ok"))
         return True
 
-    def with_heads(now: DataFrame) -> DataFrame:
-        """Members with their bucket's head: the one with the fewest tokens of its own, most like an original."""
-        heads = now.groupBy("token").agg(F.min(F.struct("own", "id", "n", "every", "end", "pos", "c")).alias("h"))
-        return now.join(heads, "token").filter(F.col("c") != F.col("h.c"))
+    def labelled_heads(frame: DataFrame) -> DataFrame:
+        """Members with their component and that of their bucket's head."""
+        frame = labelled(frame)
+        if comps is None:
+            return frame.withColumn("hc", F.col("h.id"))
+        return frame.join(comps.select(F.col("id").alias("hid"), F.col("comp").alias("hcomp")), F.col("h.id") == F.col("hid"), "left").withColumn("hc", F.coalesce("hcomp", "h.id")).drop("hid", "hcomp")
+
+    def star(frame: DataFrame) -> DataFrame:
+        near = labelled_heads(frame).filter((F.col("c") != F.col("hc")) & reach("", "h."))
+        return near.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
 
     outside = members
-    for _ in range(STAR_ROUNDS):
-        star = with_heads(labelled(outside)).filter(reach("", "h."))
-        if not settle(star.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))):
+    for step in range(STAR_ROUNDS):
+        if not settle(star(outside)) or step == STAR_ROUNDS - 1:
             break
-        # Members that the head's component has not taken in go on; the rest of the bucket is settled.
-        outside = materialize(with_heads(labelled(outside)).select("token", *facts), "outside")
+        # Members that the head's component has not taken in go on, with the least of them as head. A bucket of two is
+        # settled by its one pair.
+        out = materialize(labelled_heads(outside.filter("k > 2")).filter("c <> hc").select("token", "k", *facts), "outside-alone")
+        outside = materialize(out.join(out.groupBy("token").agg(F.min(F.struct(*FACTS_OF_HEADS)).alias("h")), "token"), "outside")
+        release(out)
         written.append(outside)
     # What is left: pairs across components in one bucket, each with one member outside its head's component.
-    now = materialize(labelled(members), "labelled")
+    now = materialize(labelled_heads(members.filter("k > 2")), "labelled")
     written.append(now)
     if known is not None:
         # How much each member shares with its bucket's head is known by now, where that pair was compared. Two
         # members share at most what neither lost of the head, and of what they have besides only what isn't own.
-        heads = now.groupBy("token").agg(F.min(F.struct("own", "id", "n")).alias("h")).select("token", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"))
         counted = known.groupBy("a", "b").agg(F.max("common").alias("common"))
-        both = counted.unionByName(counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "common")).withColumnsRenamed({"a": "head", "b": "id"})
-        now = now.join(heads, "token").join(both, ["head", "id"], "left")
-        now = materialize(now.withColumn("common", F.when(F.col("id") == F.col("head"), F.col("n")).otherwise(F.col("common"))), "labelled")
+        both = counted.unionByName(counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "common")).withColumnsRenamed({"a": "head", "b": "one"})
+        both = sized(both, "common")
+        now = now.join(both, (F.col("h.id") == F.col("head")) & (F.col("id") == F.col("one")), "left").drop("head", "one")
+        now = materialize(now.withColumn("common", F.when(F.col("id") == F.col("h.id"), F.col("n")).otherwise(F.col("common"))), "labelled")
+        release(both)
         written.append(now)
     else:
-        now = now.withColumn("head_n", F.lit(None).cast("bigint")).withColumn("common", F.lit(None).cast("bigint"))
+        now = now.withColumn("common", F.lit(None).cast("bigint"))
     fields = (*facts, "c", "common")
     # Sizes that a member's partner can have, given the tokens before this one: partners are met by size band, so a
     # member whose own edits come first in the order never meets the mass of sets of its bucket that are as large as it.
     least, most = F.ceil(F.col("n") * percent / 100), F.floor((F.col("n") - F.col("pos")) * 100 / percent) - F.col("pos")
     band = lambda n: F.floor(F.log2(n) * BANDS).cast("int")
-    beyond = with_heads(now).filter(least <= most).withColumn("band", F.explode(F.sequence(band(least), band(most))))
+    now, apart = now.drop("h", "hc", "k"), now.filter("c <> hc").drop("h", "hc", "k")
+    beyond = apart.filter(least <= most).withColumn("band", F.explode(F.sequence(band(least), band(most))))
     beyond = beyond.select("token", "band", *[F.col(c).alias(f"x_{c}") for c in fields])
     rest = lambda x: F.col(f"{x}n") - F.col(f"{x}common") - F.col(f"{x}own")
     shared_most = F.least("common", "x_common") + F.least(rest(""), rest("x_"))
