@@ -347,10 +347,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     with other texts stay or go together. A null doc_id is compared with nothing but such repeated rows. Null and
     empty texts are linked with nothing.
     """
-    gone = link_classes(docs, size, percent).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    digest = F.xxhash64(F.col("text").cast("binary"))
-    again = docs.groupBy(F.col("doc_id").alias("__again"), digest.alias("__digest")).count().filter("count > 1").drop("count")
-    left = docs.join(sized(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    again, same = sized(again, "again"), F.col("doc_id").eqNullSafe(F.col("__again")) & (digest == F.col("__digest"))
-    one = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, same, "left_anti").unionByName(one).select(docs.columns)
+    gone = link_classes(docs, size, percent).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("text").cast("binary")).alias("digest"))
+    again = docs.groupBy(F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("binary")).alias("hash")).count().filter("count > 1").drop("count")
+    left = rows.join(sized(gone, "gone"), F.col("row.doc_id") == F.col("gone"), "left_anti")
+    again, same = sized(again, "again"), F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("hash"))
+    one = left.join(again, same, "left_semi").select("row", "row.doc_id", "row.text").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same, "left_anti").select("row").unionByName(one.select("row")).select("row.*")

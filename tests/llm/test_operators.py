@@ -786,3 +786,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert {501, 500} & ids["jaccard_join"] == {500} and 700 not in ids["decontamination"]
     assert ids["packing"] == ids["decontamination"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    table = [(i, t + " " + passage(i, 5), l, f"s{i % 4}", 0) for i, t, l in languages(2)[:60]]
+    table += table[:3] + [(None, passage(9000), "aa", None, None)] * 2 + [(901, None, "aa", None, None), (902, "", None, "s", 0), (903, " \n", "bb", "s", 0)]
+    docs = spark.createDataFrame(table, DOCS).withColumns({n: packing.F.lit("x") for n in ("row", "score", "removed", "leak", "id", "token", "__gone", "fill", "bin")})
+    for name, frame_of in (("some", docs), ("none", docs.limit(0))):
+        frame_of.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, None), (None, "a b")], "item_id bigint, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        kept = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            function(spark, kept, str(tmp_path / name)).write.parquet(str(tmp_path / name / stage))
+            kept = spark.read.parquet(str(tmp_path / name / stage))
+            assert kept.columns == docs.columns
+        ids = [r.doc_id for r in kept.collect()]
+        assert len(ids) == len(set(ids)) and (len(ids) == 61 if name == "some" else not ids)
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).select("doc_id").distinct().count() == len(ids)
