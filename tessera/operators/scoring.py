@@ -45,7 +45,7 @@ def maintenance_queue(pages: DataFrame, work: DataFrame, fresh: DataFrame, issue
     scored = primary.unionByName(extra).groupBy("path").agg(F.sum("weight").alias("score"), F.array_sort(F.collect_list(F.struct("code", "weight"))).alias("reasons"))
     actionable = issues.select("path").union(state.filter(F.col("state").isin("source-missing", "source-changed")).select("path")).union(work.filter((F.col("status") == "open") & (F.size("signals") > 0)).select("path")).distinct().withColumn("a", F.lit(True))
     rows = scored.join(page, "path").join(actionable, "path", "left").withColumn("classification", F.when(F.col("a"), "actionable").otherwise("informational")).drop("a")
-    return rows.withColumn("total", F.count("*").over(Window.partitionBy())).orderBy(F.desc("score"), "path").limit(limit)
+    return rows.withColumn("total", rows.select(F.count("*")).scalar()).orderBy(F.desc("score"), "path").limit(limit)
 
 
 def health(snapshots: DataFrame, strict: bool = False) -> DataFrame:
@@ -120,7 +120,7 @@ def fit_requests(entries: DataFrame, budgets: DataFrame) -> DataFrame:
         kept = {e["path"]: e["detail"] for e in fit_sources(rows, int(rows[0]["tokens"]) * 4)}
         return pd.DataFrame([(r["request"], r["path"], kept.get(r["path"]), r["path"] not in kept) for r in rows], columns=["request", "path", "detail", "omitted"])
 
-    return entries.join(F.broadcast(budgets), "request").groupBy("request").applyInPandas(run, "request string, path string, detail string, omitted boolean")
+    return entries.join(budgets, "request").groupBy("request").applyInPandas(run, "request string, path string, detail string, omitted boolean")
 
 
 def fit_joint(sources: list[dict], concepts: list[dict], relations: list[dict], budget_bytes: int) -> dict[str, list]:
