@@ -15,9 +15,13 @@ def digest(column: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(column.cast("binary"), 256))
 
 
+# Fixed value: the prefix of the identity format.
+UID_PREFIX = "lw"
+
+
 def stable_uid(tag: str, *parts: Column) -> Column:
     """lw:<tag>:<32 hex>: an id derived from an entity's natural key."""
-    return F.concat(F.lit(f"lw:{tag}:"), F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 32))
+    return F.concat(F.lit(f"{UID_PREFIX}:{tag}:"), F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 32))
 
 
 def canonical_json(value, form: str = "compact") -> str:
