@@ -32,7 +32,7 @@ LONG_LINE = 200
 FILTER_BITS, BLOCK_BITS, PROBES = 1 << 28, 1 << 20, 3
 BUCKETS = 1 << 12
 #: Places of one passage that may meet in a task, and the share of places (one in so many) that tells common passages.
-HOT_ROWS, SAMPLE = 20_000, 64
+HOT_ROWS, SAMPLE, SALTS = 20_000, 64, 256
 SLICE = 1 << 20
 
 
@@ -243,16 +243,16 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     repeated = materialize(_repeated_hashes(rows), "repeated")
     candidates = materialize(_candidates(rows, filter_of(repeated)), "passages")
     release(repeated)
-    # Very common passages, found in a sample, are few: the place of each that is kept comes from partial minima and is
-    # joined to its rows where they are. The others meet by digest, and the first place in order is the one kept.
+    # Places meet by digest, and the first in order is the one kept. Those of a very common passage, found in a sample,
+    # are dealt over SALTS tasks; the place that is kept of each comes from partial minima, and such passages are few.
     drawn = candidates.filter(F.pmod(F.xxhash64("rid", "start"), F.lit(SAMPLE)) == 0)
     hot = sized(drawn.groupBy("digest").count().filter(F.col("count") * SAMPLE * 2 > HOT_ROWS).select("digest"), "hot")
     place = F.struct("doc_id", "rid", "start", "end")
-    first = sized(candidates.join(hot, "digest", "left_semi").groupBy("digest").agg(F.min(place).alias("kept")), "kept")
-    common = candidates.join(first, "digest")
-    in_order = Window.partitionBy("digest").orderBy("doc_id", "rid", "start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    others = candidates.join(hot, "digest", "left_anti").withColumn("kept", F.first(place).over(in_order))
-    same = others.unionByName(common)
+    first = sized(candidates.join(hot, "digest", "left_semi").groupBy("digest").agg(F.min(place).alias("least")), "kept")
+    salt = F.when(F.col("least").isNotNull(), F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS))).otherwise(0)
+    marked = candidates.join(first, "digest", "left").withColumn("salt", salt)
+    in_order = Window.partitionBy("digest", "salt").orderBy("doc_id", "rid", "start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    same = marked.withColumn("kept", F.coalesce("least", F.first(place).over(in_order)))
     at_kept = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.rid") == F.col("rid")) & (F.col("kept.end") > F.col("start"))
     removed = same.filter(~at_kept).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     out = materialize(_merged(removed), "ranges")
