@@ -31,8 +31,8 @@ LONG_LINE = 200
 #: Bits of the filter of repeated passage hashes, and those of a block of it; a fixed size, whatever the corpus.
 FILTER_BITS, BLOCK_BITS, PROBES = 1 << 28, 1 << 20, 3
 BUCKETS = 1 << 12
-#: Places of one passage that may meet in a task, and the share of places (one in so many) that tells common passages.
-HOT_ROWS, SAMPLE, SALTS = 20_000, 64, 256
+#: A passage counted so often (at most twice a batch) is common; of those the commonest, and the tasks their places go to.
+OFTEN, MOST_COMMON, SALTS = 64, 100_000, 256
 SLICE = 1 << 20
 
 
@@ -146,7 +146,10 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _repeated_hashes(rows: DataFrame) -> DataFrame:
-    """Rows (hash): the passage hashes that occur more than once. Hashes travel packed, BUCKETS by their low bits."""
+    """Rows (hash, n): the passage hashes that occur more than once, and how often, at most two of a batch counted.
+
+    Hashes travel packed, BUCKETS by their low bits.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +164,10 @@ def _repeated_hashes(rows: DataFrame) -> DataFrame:
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(x.as_buffer(), np.int64) for batch in batches for x in batch.column(1)]
-        found = np.sort(np.concatenate([np.zeros(0, np.int64), *parts]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(found[1:][found[1:] == found[:-1]]))], names=["hash"])
+        found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], names=["hash", "n"])
 
-    return rows.select("text").mapInArrow(pack, "bucket bigint, hashes binary").repartition("bucket").mapInArrow(repeated, "hash bigint")
+    return rows.select("text").mapInArrow(pack, "bucket bigint, hashes binary").repartition("bucket").mapInArrow(repeated, "hash bigint, n bigint")
 
 
 def filter_of(repeated: DataFrame) -> np.ndarray:
@@ -188,25 +191,30 @@ def filter_of(repeated: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _candidates(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """A row per passage that passes the filter, with the digest of its bytes; start and end are in characters."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+def _candidates(rows: DataFrame, bits: np.ndarray, common: np.ndarray) -> DataFrame:
+    """A row per passage that passes the filter, with the digest of its bytes and whether its hash is a common one.
+
+    start and end are in characters.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((bits, np.sort(common)))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, common = shared.value
         for batch in batches:
             for low, data, offsets in _slices(string_column(batch, "text")):
                 row, start, end, h = _passages(data, offsets)
                 some = passes(bits, h)
-                row, start, end = row[some], start[some], end[some]
+                row, start, end, h = row[some], start[some], end[some], h[some]
+                at = np.searchsorted(common, h)
+                known = common[np.minimum(at, len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
                 chars = np.concatenate((np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)))
                 raw = data.tobytes()
                 digest = pa.array([hashlib.blake2b(raw[a:b].rstrip(), digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())], pa.binary())
                 take, base = pa.array(row + low, pa.int64()), chars[offsets[row]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(chars[start] - base), pa.array(chars[end] - base), digest], names=["doc_id", "rid", "start", "end", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(chars[start] - base), pa.array(chars[end] - base), digest, pa.array(known)], names=["doc_id", "rid", "start", "end", "digest", "common"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, rid bigint, start bigint, end bigint, digest binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, rid bigint, start bigint, end bigint, digest binary, common boolean")
 
 
 def _merged(removed: DataFrame) -> DataFrame:
@@ -241,14 +249,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     repeated = materialize(_repeated_hashes(rows), "repeated")
-    candidates = materialize(_candidates(rows, filter_of(repeated)), "passages")
+    often = repeated.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "hash").limit(MOST_COMMON).select("hash").toPandas()["hash"].to_numpy(np.int64)
+    candidates = materialize(_candidates(rows, filter_of(repeated.select("hash")), often), "passages")
     release(repeated)
-    # Places meet by digest, and the first in order is the one kept. Those of a very common passage, found in a sample,
-    # are dealt over SALTS tasks; the place that is kept of each comes from partial minima, and such passages are few.
-    drawn = candidates.filter(F.pmod(F.xxhash64("rid", "start"), F.lit(SAMPLE)) == 0)
-    hot = sized(drawn.groupBy("digest").count().filter(F.col("count") * SAMPLE * 2 > HOT_ROWS).select("digest"), "hot")
+    # Places meet by digest, and the first in order is the one kept. Those of a common passage are dealt over SALTS
+    # tasks; the place that is kept of each comes from partial minima.
     place = F.struct("doc_id", "rid", "start", "end")
-    first = sized(candidates.join(hot, "digest", "left_semi").groupBy("digest").agg(F.min(place).alias("least")), "kept")
+    first = sized(candidates.filter("common").groupBy("digest").agg(F.min(place).alias("least")), "kept")
     salt = F.when(F.col("least").isNotNull(), F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS))).otherwise(0)
     marked = candidates.join(first, "digest", "left").withColumn("salt", salt)
     in_order = Window.partitionBy("digest", "salt").orderBy("doc_id", "rid", "start", "end").rowsBetween(Window.unboundedPreceding, 0)
@@ -256,7 +263,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     at_kept = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.rid") == F.col("rid")) & (F.col("kept.end") > F.col("start"))
     removed = same.filter(~at_kept).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     out = materialize(_merged(removed), "ranges")
-    release(candidates, first, hot)
+    release(candidates, first)
     return out
 
 

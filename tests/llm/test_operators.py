@@ -305,8 +305,7 @@ def test_repeated_passages_are_removed_once(spark):
 
 
 def test_a_very_common_passage_is_dealt_out_and_columns_may_clash(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT_ROWS", 7)
-    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(line_dedup, "OFTEN", 4)
     shared = passage(7)
     texts = [f"{passage(100 + k)}\n{shared}\n{passage(300 + k)}" for k in range(40)] + [(passage(500) + " ") * 3 + passage(501, 400)]
     docs = frame(spark, texts).withColumns({n: packing.F.lit(1) for n in ("__id", "__rid", "__r", "removed", "row", "hash", "hit", "start", "digest")})
