@@ -224,6 +224,7 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     heads = members.groupBy("token").agg(F.min(F.struct(*FACTS_OF_HEADS)).alias("h"))
     buckets = materialize(members.join(heads, "token"), "members")
     release(members, shared)
+    bits.destroy()
     members = buckets
     needed = sized(members.select("id").distinct(), "needed")
     texts = materialize(docs.join(needed, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")

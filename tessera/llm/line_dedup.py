@@ -191,12 +191,11 @@ def filter_of(repeated: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _candidates(rows: DataFrame, bits: np.ndarray, common: np.ndarray) -> DataFrame:
+def _candidates(rows: DataFrame, shared) -> DataFrame:
     """A row per passage that passes the filter, with the digest of its bytes and whether its hash is a common one.
 
-    start and end are in characters.
+    start and end are in characters; `shared` is the broadcast filter with the common hashes in order.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((bits, np.sort(common)))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +249,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     repeated = materialize(_repeated_hashes(rows), "repeated")
     often = repeated.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "hash").limit(MOST_COMMON).select("hash").toPandas()["hash"].to_numpy(np.int64)
-    candidates = materialize(_candidates(rows, filter_of(repeated.select("hash")), often), "passages")
+    shared = rows.sparkSession.sparkContext.broadcast((filter_of(repeated.select("hash")), np.sort(often)))
+    candidates = materialize(_candidates(rows, shared), "passages")
+    shared.destroy()
     release(repeated)
     # Places meet by digest, and the first in order is the one kept. Those of a common passage are dealt over SALTS
     # tasks; the place that is kept of each comes from partial minima.
