@@ -1,319 +1,104 @@
 """Quality by an interpolated modified Kneser-Ney language model.
 
-The model's tokens are bytes, its n-grams of order 5. Counts come from all trusted text, aggregated by n-gram. A table
-of n-grams has no bound, so it never travels whole: documents meet it by joins.
-
-1. Documents are taken in blocks of rows of a file. Each block asks for the distinct n-grams it holds; requests travel
-   packed, sharded by a hash of the n-gram.
-2. The n-grams asked for are joined, order by order, with their counts, their contexts' totals and the next lower
-   order's probabilities, all sharded by n-gram. A context has 256 successors at most, so no key is hot.
-3. The answers go back to the blocks that asked, where each document's n-grams are looked up and summed.
-
-A document's perplexity is compared with a quantile of the trusted documents' perplexities in its language.
+The model's tokens are bytes, its n-grams of order 5 (see `ngrams`). Counts come from all trusted text. Trusted
+documents are dealt into folds by a hash of their text, so that copies meet in one fold, and each is scored by the
+counts of the other folds: its perplexity is that of a text the model hasn't seen, as it is for all other documents.
+A document is kept if its perplexity isn't above a quantile of the trusted ones' in its language.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, materialize, release, row_slices, sized, string_column
+from .common import release, sized
+from .ngrams import held_out, in_blocks, ngram_counts, probabilities, score_rows
 
-#: The order, and the byte that stands before a text (none that occurs in UTF-8).
-ORDER, START = 5, 0xFF
-SYMBOLS = 256
+#: Folds of trusted documents.
+FOLDS = 3
 #: A text's mean is drawn to the trusted mean as by so many symbols more; so short texts don't swing.
 PRIOR = 64
 #: The quantile of a language's trusted perplexities.
 QUANTILE = 0.995
-#: Rows of a block, bytes of text looked at together, distinct n-grams held before they are sent.
-BLOCK_ROWS, SLICE, HELD = 1 << 13, 1 << 20, 4 << 20
-#: Bytes of text for a shard of n-grams, and the fewest and most shards.
-SHARD_BYTES, SHARDS = 64 << 20, (64, 4096)
-#: Blocks that are numbered by a broadcast table of 12 bytes each.
-NUMBERED = 1_000_000
-
-
-def codes_of(flat: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
-    """The n-gram that ends at each byte of flat[ends[0]:ends[-1]] as an int64, with START before a row's first.
-
-    `before` has the bytes before the first row where that goes on from an earlier slice.
-    """
-    rows, pad, data = len(ends) - 1, ORDER - 1, flat[ends[0] : ends[-1]]
-    padded = np.full(len(data) + rows * pad, START, np.uint8)
-    at = np.arange(len(data)) + np.repeat((np.arange(rows) + 1) * pad, np.diff(ends))
-    padded[at] = data
-    if before is not None and len(before):
-        padded[pad - len(before) : pad] = before
-    code = np.zeros(len(data), np.int64)
-    for k in range(pad, -1, -1):
-        code = (code << 8) | padded[at - k]
-    return code
-
-
-def _slices(flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, offsets, codes) of slices; a row longer than a slice comes in several, each with the bytes before it."""
-    for low, high in row_slices(ends, SLICE):
-        if ends[high] - ends[low] <= SLICE:
-            yield low, ends[low : high + 1], codes_of(flat, ends[low : high + 1])
-        else:
-            for a in range(int(ends[low]), int(ends[high]), SLICE):
-                part = np.asarray([a, min(a + SLICE, int(ends[high]))])
-                yield low, part, codes_of(flat, part, flat[max(int(ends[low]), a - ORDER + 1) : a])
-
-
-def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that agree in all columns."""
-    n = len(columns[0])
-    new = np.ones(n, bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    at = np.flatnonzero(new)
-    return zip(at.tolist(), [*at[1:].tolist(), n])
-
-
-def _packed(codes: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(codes, prepend=0).astype("<i8").tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i8"))
-
-
-def _shard(codes: np.ndarray, shards: int) -> np.ndarray:
-    h = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
-
-
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """Rows (code, c): counts of n-grams over all rows of `text`, added up within a task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            for _, _, found in _slices(*byte_view(string_column(batch, "text"))):
-                new, n = np.unique(found, return_counts=True)
-                codes, at = np.unique(np.concatenate((codes, new)), return_inverse=True)
-                counts = np.bincount(at, np.concatenate((counts, n)), len(codes)).astype(np.int64)
-                if len(codes) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "c"])
-                    codes, counts = codes[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "c"])
-
-    return texts.select("text").mapInArrow(run, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c"))
-
-
-def _discounts(table: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts from the counts of counts."""
-    n = {r.c: r["count"] for r in table.filter("c <= 4").groupBy("c").count().collect()}
-    n1, n2, n3, n4 = (float(n.get(k, 0)) for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3):
-        return 0.5, 0.75, 0.9
-    y = n1 / (n1 + 2 * n2)
-    d1, d2, d3 = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
-    return min(max(d1, 0.05), 0.95), min(max(d2, 0.1), 1.9), min(max(d3, 0.1), 2.9)
+#: A language's quantile is drawn to that of all languages' deviations from their means, as by so many documents more.
+SHRUNK = 50
+
+
+def _discount_values(table: DataFrame, models: list[str]) -> dict[str, tuple[float, float, float]]:
+    """Modified Kneser-Ney discounts of each model from its counts of counts."""
+    n = table.agg(*[F.count(F.when(F.col(m) == k, 1)).alias(f"{m}_{k}") for m in models for k in (1, 2, 3, 4)]).first()
+    out = {}
+    for m in models:
+        n1, n2, n3, n4 = (float(n[f"{m}_{k}"]) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        usual = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3) if n1 and n2 and n3 else (0.5, 0.75, 0.9)
+        out[m] = tuple(min(max(d, low), high) for d, low, high in zip(usual, (0.05, 0.1, 0.1), (0.95, 1.9, 2.9)))
+    return out
 
 
-def _suffix(order: int):
-    return F.col("code").bitwiseAND((1 << (8 * order)) - 1)
+def _smoothing(table: DataFrame, models: list[str]) -> dict[str, tuple[Column, Column, Column]]:
+    """What a count keeps, a context's total, and its share for the lower order: all that its counts have lost."""
+    out, values = {}, _discount_values(table, models)
+    for m in models:
+        d1, d2, d3 = values[m]
+        c = F.col(m)
+        discount = F.least(F.when(c == 1, d1).when(c == 2, d2).otherwise(d3), c)
+        out[m] = (c - discount, F.sum(c), F.try_divide(F.sum(discount), F.sum(c)))
+    return out
 
 
 def kneser_ney(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (code, p): the probability of each wanted n-gram's last byte after the others. `counts` may be empty.
+    """Rows (code, *models): the probability of each wanted n-gram's last byte after the others. `counts` may be empty.
 
-    p(order n) is the discounted count over the context's total, plus what the context holds back times p(order n-1);
-    a context never seen holds back everything. Lower orders count the distinct bytes before an n-gram.
+    p(order n) is the discounted count over the context's total, plus what the context holds back times p(order n-1).
+    Lower orders count the distinct bytes before an n-gram.
     """
-    tables, asked = {ORDER: materialize(counts, "counts5")}, {ORDER: materialize(wanted.select("code").distinct(), "asked5")}
-    for order in range(ORDER - 1, 0, -1):
-        tables[order] = materialize(tables[order + 1].groupBy(_suffix(order).alias("code")).agg(F.count("*").alias("c")), f"counts{order}")
-        asked[order] = materialize(asked[order + 1].select(_suffix(order).alias("code")).distinct(), f"asked{order}")
-    lower = None
-    for order in range(1, ORDER + 1):
-        table = tables[order]
-        d1, d2, d3 = _discounts(table)
-        discount = F.least(F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3), F.col("c"))
-        context = F.shiftright("code", 8)
-        totals = table.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), (F.sum(discount) / F.sum("c")).alias("gamma"))
-        rows = asked[order].join(table.select("code", (F.col("c") - discount).alias("kept")), "code", "left").withColumn("context", context).join(totals, "context", "left")
-        rows = rows.withColumn("suffix", _suffix(order - 1)).join(lower, "suffix") if order > 1 else rows.withColumn("below", F.lit(1.0 / SYMBOLS))
-        p = F.coalesce(F.col("kept") / F.col("total"), F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")
-        found = materialize(rows.select("code", p.alias("p")), f"p{order}")
-        lower = found.select(F.col("code").alias("suffix"), F.col("p").alias("below"))
-        release(table, asked[order], before if order > 1 else None)
-        before = found
-    return found
-
-
-def in_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """`docs` with the block of each row, which stays the same whatever tasks read the files; and what was written for it."""
-    written = None
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-    except AnalysisException:  # not a plain scan of Parquet files
-        docs = written = materialize(docs, "blocks")
-    block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
-    return docs.select(block.alias("block"), *docs.columns), written
-
-
-def _requests(docs: DataFrame, shards: int) -> DataFrame:
-    """Rows (shard, block, codes): the distinct n-grams of each block, packed."""
-
-    def sent(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
-        codes = np.unique(np.concatenate(held))
-        shard = _shard(codes, shards)
-        order = np.argsort(shard, kind="stable")
-        names, at = np.unique(shard[order], return_index=True)
-        packed = [_packed(c) for c in np.split(codes[order], at[1:])] if len(names) else []
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), block)), pa.array(packed, pa.binary())], names=["shard", "block", "codes"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            blocks, column = batch.column(0).to_numpy(), string_column(batch, "text")
-            for low, high in _runs(blocks):
-                if held and (blocks[low] != now or sum(map(len, held)) > HELD):
-                    yield sent(now, held)
-                    held = []
-                now = blocks[low]
-                for _, _, codes in _slices(*byte_view(column.slice(low, high - low))):
-                    held.append(np.unique(codes))
-                    if len(held) > 8:
-                        held = [np.unique(np.concatenate(held))]
-        if held:
-            yield sent(now, held)
-
-    return docs.select("block", "text").mapInArrow(run, "shard int, block bigint, codes binary")
-
-
-def _distinct(requests: DataFrame, parts: int) -> DataFrame:
-    """Rows (code): the n-grams that any block asks for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if name != shard or len(held) > 64:
-                    held = [np.unique(np.concatenate(held))] if held else []
-                    if name != shard and held:
-                        yield pa.RecordBatch.from_arrays([pa.array(held.pop())], names=["code"])
-                    shard = name
-                held.append(_unpacked(data.as_py()))
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["code"])
-
-    return requests.select("shard", "codes").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, "code bigint")
-
-
-def _answers(requests: DataFrame, found: DataFrame, shards: int, parts: int) -> DataFrame:
-    """Rows (block, codes, logs): each request with the log2 probabilities of its n-grams."""
-    name = F.pandas_udf(lambda codes: codes.__class__(_shard(codes.to_numpy(), shards)), "int")
-    table = found.select(name("code").alias("shard"), F.lit(0).cast("bigint").alias("block"), F.lit(None).cast("binary").alias("codes"), "code", F.log2("p").cast("float").alias("log"))
-    asked = requests.select("shard", "block", "codes", F.lit(None).cast("bigint").alias("code"), F.lit(None).cast("float").alias("log"))
-    both = table.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("codes"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, codes, logs = None, [], []
-        for batch in batches:
-            names, packed = batch.column(0).to_numpy(), batch.column(2)
-            for low, high in _runs(names, packed.is_null().to_numpy(zero_copy_only=False)):
-                if names[low] != shard:
-                    shard, codes, logs = names[low], [], []
-                if not packed[low].is_valid:
-                    codes.append(batch.column(3).slice(low, high - low).to_numpy())
-                    logs.append(batch.column(4).slice(low, high - low).to_numpy())
-                    continue
-                if len(codes) != 1 or not np.all(codes[0][1:] > codes[0][:-1]):
-                    whole, values = np.concatenate(codes), np.concatenate(logs)
-                    order = np.argsort(whole)
-                    codes, logs = [whole[order]], [values[order]]
-                values = [logs[0][np.searchsorted(codes[0], _unpacked(p.as_py()))].astype("<f4").tobytes() for p in packed.slice(low, high - low)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, high - low), packed.slice(low, high - low), pa.array(values, pa.binary())], names=["block", "codes", "logs"])
-
-    return both.mapInArrow(run, "block bigint, codes binary, logs binary")
-
-
-def _scored(docs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Rows (doc_id, lang, n, ll): bytes and log2 likelihood of every document, which meets its block's answers.
-
-    Up to NUMBERED blocks are numbered, so that each has a partition of its own; more are spread well enough by a hash.
-    """
-    blocks = answers.select("block").distinct()
-    parts = blocks.count()
-    number = (F.row_number().over(Window.orderBy("block")) - 1).alias("part")
-    numbers = F.broadcast(blocks.select("block", number)) if parts <= NUMBERED else None
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    nothing = lambda t: F.lit(None).cast(t)
-    rows = docs.select("block", nothing("binary").alias("codes"), nothing("binary").alias("logs"), "doc_id", "lang", "text")
-    answers = answers.select("block", "codes", "logs", nothing(kind).alias("doc_id"), nothing("string").alias("lang"), nothing("string").alias("text"))
-    both = answers.unionByName(rows)
-    both = both.join(numbers, "block") if numbers is not None else both.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
-    both = both.repartitionById(max(1, parts), F.col("part")).sortWithinPartitions("block", F.col("codes").isNull()).drop("part")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, codes, logs = None, [], []
-        for batch in batches:
-            names, packed = batch.column(0).to_numpy(), batch.column(1)
-            for low, high in _runs(names, packed.is_null().to_numpy(zero_copy_only=False)):
-                if names[low] != block:
-                    block, codes, logs = names[low], [], []
-                if packed[low].is_valid:
-                    codes += [_unpacked(p.as_py()) for p in packed.slice(low, high - low)]
-                    logs += [np.frombuffer(v.as_py(), "<f4") for v in batch.column(2).slice(low, high - low)]
-                    continue
-                if len(codes) > 1:
-                    whole, values = np.concatenate(codes), np.concatenate(logs)
-                    order = np.argsort(whole)
-                    codes, logs = [whole[order]], [values[order]]
-                part = batch.slice(low, high - low)
-                flat, ends = byte_view(string_column(part, "text"))
-                sums = np.zeros(high - low)
-                for first, offsets, found in _slices(flat, ends):
-                    if len(found):
-                        filled = np.flatnonzero(np.diff(offsets))
-                        sums[first + filled] += np.add.reduceat(logs[0][np.searchsorted(codes[0], found)], (offsets[:-1] - offsets[0])[filled], dtype=np.float64)
-                yield pa.RecordBatch.from_arrays([part.column(3), part.column(4), pa.array(np.diff(ends)), pa.array(sums)], names=["doc_id", "lang", "n", "ll"])
-
-    return both.mapInArrow(run, f"doc_id {kind}, lang string, n bigint, ll double")
+    return probabilities(counts, wanted, lambda m: F.count(F.when(F.col(m) > 0, 1)), _smoothing)
 
 
 def log_likelihoods(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Rows (doc_id, lang, n, ll) of every document under the model of those with a trusted doc_id; written."""
-    docs, written = in_blocks(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")) if "lang" in docs.columns else docs.select("doc_id", F.lit(None).cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = min(SHARDS[1], max(SHARDS[0], size // SHARD_BYTES))
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    requests = materialize(_requests(docs, shards), "requests")
-    found = kneser_ney(ngram_counts(docs.join(trusted, "doc_id", "left_semi")), _distinct(requests, min(shards, max(width, 8))))
-    answers = materialize(_answers(requests, found, shards, min(shards, max(width, 8))), "answers")
-    release(requests, found)
-    out = materialize(_scored(docs, answers), "likelihoods")
-    release(answers, written)
+    """Rows (doc_id, lang, model, n, ll) of every document; `model` is above 0 for those with a trusted doc_id. Written."""
+    text = lambda c: F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c)
+    rows, written = in_blocks(docs.select("doc_id", text("lang"), text("text")))
+    known = trusted.select(F.col("doc_id").alias("trusted_id"))
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
+    rows = rows.join(known, F.col("doc_id") == F.col("trusted_id"), "left").withColumn("model", F.when(F.col("trusted_id").isNotNull(), fold + 1).otherwise(0))
+    folds = [f"f{k}" for k in range(FOLDS)]
+
+    def values(wanted: DataFrame) -> DataFrame:
+        found = kneser_ney(held_out(ngram_counts(rows.filter("model > 0").select((F.col("model") - 1).alias("g"), "text"), folds), folds), wanted)
+        out = found.select("code", *[F.log2(m).alias(m) for m in found.columns[1:]])
+        out.written_at = found.written_at
+        return out
+
+    out = score_rows(rows, ["doc_id", "lang", "model"], values)
+    release(written)
     return out
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """Rows (doc_id, lang, perplexity, threshold, keep) for every document.
 
-    Trusted text is that of documents labelled quality 1, of repeated rows as often as they occur. A null or empty text
-    has the prior's perplexity; a long text is scored as a whole, slice by slice; a null language is one of its own; a
-    language without any trusted document gets the threshold of all; ties with the threshold stay. Without trusted text
-    every document stays. An empty table gives no rows; other columns are not looked at.
+    Trusted text is that of documents labelled quality 1, of repeated rows as often as they occur; each is scored without
+    its fold's counts. A language's threshold is the quantile of its trusted documents' perplexities, drawn towards its
+    mean plus all languages' quantile of deviations where it has few. A null or empty text has the prior's perplexity; a
+    long text is scored as a whole, slice by slice; a null language is one of its own; a language without any trusted
+    document gets the threshold of all; ties with the threshold stay. Without trusted text every document stays. An empty
+    table gives no rows; other columns are not looked at.
     """
     trusted = sized(labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "trusted")
     scored = log_likelihoods(docs, trusted)
-    known = scored.join(trusted, "doc_id", "left_semi")
-    total = known.agg(F.sum("ll").alias("ll"), F.sum("n").alias("n")).first()
+    release(trusted)
+    total = scored.filter("model > 0").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n")).first()
     mean = total.ll / total.n if total.n else -8.0
-    perplexity = F.pow(F.lit(2.0), -(F.col("ll") + F.lit(PRIOR * mean)) / (F.col("n") + F.lit(PRIOR)))
-    at = F.percentile_approx(perplexity, quantile, 10_000)
-    overall = known.agg(at.alias("t")).first().t
-    by_lang = known.groupBy("lang").agg(at.alias("own")).select(F.col("lang").alias("l"), "own")
-    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("perplexity", perplexity)
-    out = out.withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double"), F.lit(float("inf"))))
-    return out.select("doc_id", "lang", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))
+    scored = scored.withColumn("bits", -(F.col("ll") + F.lit(PRIOR * mean)) / (F.col("n") + F.lit(PRIOR)))
+    known = scored.filter("model > 0")
+    at = lambda x: F.percentile_approx(x, quantile, 10_000)
+    by_lang = sized(known.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("docs"), F.avg("bits").alias("middle"), at("bits").alias("own")), "languages")
+    same = F.col("lang").eqNullSafe(F.col("l"))
+    overall = known.join(by_lang, same).agg(at("bits").alias("t"), at(F.col("bits") - F.col("middle")).alias("spread")).first()
+    lit = lambda x: F.lit(x).cast("double")
+    own = (F.col("docs") * F.col("own") + SHRUNK * (F.col("middle") + lit(overall.spread))) / (F.col("docs") + SHRUNK)
+    limit = F.coalesce(own, lit(overall.t), F.lit(float("inf")))
+    out = scored.join(by_lang, same, "left")
+    return out.select("doc_id", "lang", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), (F.col("bits") <= limit).alias("keep"))

@@ -82,11 +82,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import url_verdicts
+
+    return url_verdicts(read_table(spark, sf_dir, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversation_repair import damage, repair_report
 
     return repair_report(damage(read_table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_sharding, op7_token_counts, op8_quality, op9_jaccard_join, op10_toxicity, op11_vector_codes, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_sharding, op7_token_counts, op8_quality, op9_jaccard_join, op10_toxicity, op11_vector_codes, op12_url_filter, op13_conversation_repair)}
 ORACLE_SQL = {"op1_decontamination": LEAKS, "op9_jaccard_join": LINKS}
