@@ -168,7 +168,7 @@ def ordered_faults(turns: DataFrame) -> DataFrame:
     same = Window.partitionBy("conv_id", "dropped", "role", "text").orderBy(F.asc_nulls_first("turn"))
     fault = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), BLANK).when(F.row_number().over(same) > 1, DUPLICATE)
     fault = fault.when(F.col("text").rlike(r"[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*\z"), CUT).otherwise(SOUND)
-    return rows.withColumn("fault", fault).sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
+    return rows.withColumn("fault", fault).sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text", F.col("fault") == DUPLICATE)
 
 
 def _conversations(batches: Iterator[pa.RecordBatch], begin: Callable) -> Iterator:

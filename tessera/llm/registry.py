@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
-from .oracles import LEAKS, LINKS
+from .oracles import CODES, LEAKS, LINKS, REPAIRS
 
 BYTE_BPE, BYTE_RANKS, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 
@@ -95,4 +95,4 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_sharding, op7_token_counts, op8_quality, op9_jaccard_join, op10_toxicity, op11_vector_codes, op12_url_filter, op13_conversation_repair)}
-ORACLE_SQL = {"op1_decontamination": LEAKS, "op9_jaccard_join": LINKS}
+ORACLE_SQL = {"op1_decontamination": LEAKS, "op9_jaccard_join": LINKS, "op11_vector_codes": CODES, "op13_conversation_repair": REPAIRS}

@@ -133,7 +133,8 @@ def train_codebooks(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[list[np.n
         return [], 0
     size = len(head[0].v)
     same = vectors.filter(F.size("v") == size)
-    begin = np.array([r.v for r in same.select("vec_id", "v").orderBy(F.asc_nulls_last("vec_id"), "v").limit(ENTRIES).collect()], np.int64).reshape(-1, size)
+    begin = [r.v for r in same.select("vec_id", "v").orderBy(F.asc_nulls_last("vec_id"), "v").limit(ENTRIES).collect()]
+    begin = np.array(begin, np.int64).reshape(len(begin), size)
     cuts = bounds_of(size)
     codebooks = [begin[:, a:b].copy() for a, b in zip(cuts, cuts[1:])]
     for _ in range(rounds):

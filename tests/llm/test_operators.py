@@ -12,7 +12,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tessera.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, packing, quality, registry, sharding, shingles, token_counts, toxicity  # noqa: E402
+from tessera.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, ngrams, packing, quality, registry, sharding, shingles, token_counts, toxicity  # noqa: E402
 from tessera.llm.bpe import ByteEncoder, UnitCounter, stretches  # noqa: E402
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -480,9 +480,9 @@ def test_heavy_groups_are_placed_whole_where_they_fit():
 
 
 def brute_kneser_ney(texts):
-    order, grams = quality.ORDER, collections.Counter()
+    order, grams = ngrams.ORDER, collections.Counter()
     for t in texts:
-        s = [quality.START] * (order - 1) + list((t or "").encode())
+        s = [ngrams.START] * (order - 1) + list((t or "").encode())
         for k in range(order - 1, len(s)):
             grams[tuple(s[k - order + 1 : k + 1])] += 1
     tables = {order: grams}
@@ -502,7 +502,7 @@ def brute_kneser_ney(texts):
     def p(gram):
         n = len(gram)
         if not n:
-            return 1 / quality.SYMBOLS
+            return 1 / ngrams.SYMBOLS
         rest = [c for g, c in tables[n].items() if g[:-1] == gram[:-1]]
         if not rest:
             return p(gram[1:])
@@ -519,37 +519,53 @@ KN_TEXTS = ["abab abba baab cabab", "the cat sat. The cat ran", "abra cadabra ab
 def test_kneser_ney_matches_brute_force(spark):
     grams = [b"abab ", bytes([255] * 4) + b"a", b"abaX.", b"zzzzz", b"the c", b"xx\xc3\xbc!", *[b"abab" + bytes([k]) for k in range(256)]]
     wanted = spark.createDataFrame([(int.from_bytes(g, "big"),) for g in grams], "code bigint")
-    got = {r.code: r.p for r in quality.kneser_ney(quality.ngram_counts(frame(spark, KN_TEXTS)), wanted).collect()}
+    counts = ngrams.ngram_counts(frame(spark, KN_TEXTS).selectExpr("0 AS g", "text"), ["m0"])
+    got = {r.code: r.m0 for r in quality.kneser_ney(counts, wanted).collect()}
     p = brute_kneser_ney(KN_TEXTS)
     assert all(got[int.from_bytes(g, "big")] == pytest.approx(p(tuple(g)), rel=1e-9) for g in grams)
     assert sum(got[int.from_bytes(b"abab" + bytes([k]), "big")] for k in range(256)) == pytest.approx(1)
 
 
+def thresholds(trusted):
+    """By language, and for one without trusted documents: (language, bits) of each trusted document."""
+    by = collections.defaultdict(list)
+    for lang, bits in trusted:
+        by[lang].append(bits)
+    top = lambda x: sorted(x)[max(0, int(np.ceil(quality.QUANTILE * len(x))) - 1)]
+    mean = {lang: sum(x) / len(x) for lang, x in by.items()}
+    spread = top([bits - mean[lang] for lang, bits in trusted])
+    own = {lang: 2 ** ((len(x) * top(x) + quality.SHRUNK * (mean[lang] + spread)) / (len(x) + quality.SHRUNK)) for lang, x in by.items()}
+    return own, 2 ** top([bits for _, bits in trusted])
+
+
 def test_perplexities_and_thresholds_match_brute_force(spark, monkeypatch):
-    texts = [*KN_TEXTS, "abab the cat", "QX!! $$", None, "über alles abra" * 30]
-    langs = ["en", "en", "de", "de", "en", None, "fr", "de"]
+    texts = [*KN_TEXTS, "abab the cat", "QX!! $$", None, "über alles abra" * 30, "the cat ran. abra"]
+    langs = ["en", "en", "de", "de", "en", None, "fr", "de", "en"]
     table = [(k, t, l, "s", 0) for k, (t, l) in enumerate(zip(texts, langs))] + [(2, texts[2], "de", "s", 0)]
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(4)] + [(1, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
-    docs = spark.createDataFrame(table, DOCS).withColumns({n: packing.F.lit(1) for n in ("block", "code", "n", "ll", "own")})
-    trusted = [t for k, t, *_ in table if k < 4]
-    p = brute_kneser_ney(trusted)
-
-    def ll(t):
-        s = bytes([quality.START] * (quality.ORDER - 1)) + (t or "").encode()
-        return sum(np.log2(p(tuple(s[k - quality.ORDER + 1 : k + 1]))) for k in range(quality.ORDER - 1, len(s)))
+    known = {0, 1, 2, 3, 8}
+    labels = spark.createDataFrame([(k, 1, 0) for k in known] + [(1, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame(table, DOCS).withColumns({n: packing.F.lit(1) for n in ("block", "code", "n", "ll", "own", "model", "trusted_id", "docs")})
+    fold = {r.doc_id: r.fold for r in docs.select("doc_id", packing.F.expr(f"pmod(xxhash64(text), {quality.FOLDS})").alias("fold")).collect()}
+    model = lambda k: fold[k] if k in known else None
+    trusted = [(k, t, l) for k, t, l, *_ in table if k in known]
+    models = {f: brute_kneser_ney([t for k, t, _ in trusted if fold[k] != f]) for f in [None, *range(quality.FOLDS)]}
+
+    def ll(k, t):
+        s, p = bytes([ngrams.START] * (ngrams.ORDER - 1)) + (t or "").encode(), models[model(k)]
+        return sum(np.log2(p(tuple(s[k - ngrams.ORDER + 1 : k + 1]))) for k in range(ngrams.ORDER - 1, len(s)))
 
     size = lambda t: len((t or "").encode())
-    mean = sum(map(ll, trusted)) / sum(map(size, trusted))
-    wanted = {k: 2 ** -((ll(t) + quality.PRIOR * mean) / (size(t) + quality.PRIOR)) for k, t, *_ in table}
-    limit = {"en": max(wanted[0], wanted[1]), "de": max(wanted[2], wanted[3])}
-    monkeypatch.setattr(quality, "BLOCK_ROWS", 2)
+    mean = sum(ll(k, t) for k, t, _ in trusted) / sum(size(t) for _, t, _ in trusted)
+    bits = {k: -(ll(k, t) + quality.PRIOR * mean) / (size(t) + quality.PRIOR) for k, t, *_ in table}
+    limit, overall = thresholds([(l, bits[k]) for k, _, l in trusted])
+    monkeypatch.setattr(ngrams, "BLOCK_ROWS", 2)
     for piece in (1 << 20, 7):
-        monkeypatch.setattr(quality, "SLICE", piece)
+        monkeypatch.setattr(ngrams, "SLICE", piece)
         got = quality.quality_report(docs, labels).collect()
         assert len(got) == len(table)
         for r in got:
-            assert r.perplexity == pytest.approx(wanted[r.doc_id], rel=1e-4)
-            assert r.threshold == pytest.approx(limit.get(r.lang, max(limit.values())), rel=1e-4) and r.keep == (r.perplexity <= r.threshold)
+            assert r.perplexity == pytest.approx(2 ** bits[r.doc_id], rel=1e-4)
+            assert r.threshold == pytest.approx(limit.get(r.lang, overall), rel=1e-4) and r.keep == (r.perplexity <= r.threshold)
 
 
 def test_quality_of_an_empty_table(spark):
@@ -572,9 +588,16 @@ def test_a_rare_language_has_its_own_quantile(spark):
     table = [(k, passage(k, 4), "en", "s", 0) for k in range(60)] + [(100 + k, t, "xx", "s", 0) for k, t in enumerate(rare)] + [(200, passage(200, 4), "yy", "s", 0)]
     labels = spark.createDataFrame([(k, 1, 0) for k in [*range(60), *range(100, 105)]], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r for r in quality.quality_report(spark.createDataFrame(table, DOCS), labels).collect()}
-    own = lambda ids: max(got[k].perplexity for k in ids)
-    assert got[100].threshold == pytest.approx(own(range(100, 105))) and got[0].threshold == pytest.approx(own(range(60)))
-    assert got[200].threshold == pytest.approx(own([*range(60), *range(100, 105)]))
+    trusted = [("en", np.log2(got[k].perplexity)) for k in range(60)] + [("xx", np.log2(got[k].perplexity)) for k in range(100, 105)]
+    limit, overall = thresholds(trusted)
+    assert got[100].threshold == pytest.approx(limit["xx"]) and got[0].threshold == pytest.approx(limit["en"]) and got[200].threshold == pytest.approx(overall)
+
+
+def test_unseen_good_text_stays_like_trusted_text(spark):
+    good = [passage(k, 6) for k in range(300)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 300, 2)], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in quality.quality_report(frame(spark, good), labels).filter("keep").collect()}
+    assert sum(k % 2 for k in kept) >= 145 and len(kept) - sum(k % 2 for k in kept) >= 145
 
 
 # Jaccard join ----------------------------------------------------------------------------------------------
