@@ -27,9 +27,11 @@ from .common import byte_view, materialize, release, row_slices, string_column
 ORDER, START = 5, 0xFF
 SYMBOLS = 256
 #: Rows of a block, bytes of text looked at together, distinct n-grams held before they are sent.
-BLOCK_ROWS, SLICE, HELD = 1 << 13, 1 << 20, 4 << 20
+BLOCK_ROWS, SLICE, HELD = 1 << 13, 1 << 20, 2 << 20
 #: Bytes of text for a shard of n-grams, and the fewest and most shards; bytes of text scored in a task.
 SHARD_BYTES, SHARDS, TASK_BYTES = 64 << 20, (64, 4096), 16 << 20
+#: Bytes of text that travel together.
+BUNDLE = 4 << 20
 #: Blocks that are dealt out in turn, by a broadcast table of 12 bytes each; more are spread well enough by a hash.
 NUMBERED = 1_000_000
 
@@ -241,6 +243,26 @@ def _answers(requests: DataFrame, found: DataFrame, shards: int, parts: int) ->
     return both.mapInArrow(run, "block bigint, codes binary, logs binary")
 
 
+def _bundles(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows (block, bundle): the texts and kept columns of a block's rows of a batch, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order = np.argsort(batch.column(0).to_numpy(), kind="stable")
+            batch, names, packed = batch.take(pa.array(order)), [], []
+            for low, high in _runs(batch.column(0).to_numpy()):
+                part = batch.slice(low, high - low)
+                for a, b in row_slices(byte_view(string_column(part, "text"))[1], BUNDLE):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(part.slice(a, b - a))
+                    names.append(batch.column(0)[low].as_py())
+                    packed.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], names=["block", "bundle"])
+
+    return rows.select("block", "text", *keep).mapInArrow(run, "block bigint, bundle binary")
+
+
 def _scored(rows: DataFrame, keep: list[str], answers: DataFrame, parts: int) -> DataFrame:
     """Rows (*keep, n, ll): bytes and the sum of the values of every row's n-grams, which meets its block's answers.
 
@@ -249,38 +271,36 @@ def _scored(rows: DataFrame, keep: list[str], answers: DataFrame, parts: int) ->
     blocks = answers.select("block").distinct()
     few = blocks.count() <= NUMBERED
     kinds = {c: rows.schema[c].dataType.simpleString() for c in keep}
-    nothing = lambda t: F.lit(None).cast(t)
-    own = rows.select("block", nothing("binary").alias("codes"), nothing("binary").alias("logs"), "text", *keep)
-    both = answers.select("block", "codes", "logs", nothing("string").alias("text"), *[nothing(t).alias(c) for c, t in kinds.items()]).unionByName(own)
+    nothing = F.lit(None).cast("binary")
+    both = answers.select("block", "codes", "logs", nothing.alias("bundle")).unionByName(_bundles(rows, keep).select("block", nothing.alias("codes"), nothing.alias("logs"), "bundle"))
     part = F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")
     if few:
         numbers = blocks.select("block", ((F.row_number().over(Window.orderBy("block")) - 1) % parts).alias("number"))
         both, part = both.join(F.broadcast(numbers), "block", "left"), F.coalesce("number", part)
-    both = both.repartitionById(parts, part).sortWithinPartitions("block", F.col("codes").isNull()).select("block", "codes", "logs", "text", *keep)
+    both = both.repartitionById(parts, part).sortWithinPartitions("block", F.col("codes").isNull()).select("block", "codes", "logs", "bundle")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, codes, logs = None, [], []
         for batch in batches:
-            names, packed = batch.column(0).to_numpy(), batch.column(1)
-            for low, high in _runs(names, packed.is_null().to_numpy(zero_copy_only=False)):
-                if names[low] != block:
-                    block, codes, logs = names[low], [], []
-                if packed[low].is_valid:
-                    codes += [_unpacked(p.as_py()) for p in packed.slice(low, high - low)]
-                    logs += [np.frombuffer(v.as_py(), "<f4") for v in batch.column(2).slice(low, high - low)]
+            for name, asked, values, bundle in zip(*(batch.column(k) for k in range(4))):
+                if name != block:
+                    block, codes, logs = name, [], []
+                if asked.is_valid:
+                    codes.append(_unpacked(asked.as_py()))
+                    logs.append(np.frombuffer(values.as_py(), "<f4"))
                     continue
                 if len(codes) > 1:
-                    whole, values = np.concatenate(codes), np.concatenate(logs)
+                    whole, flat = np.concatenate(codes), np.concatenate(logs)
                     order = np.argsort(whole)
-                    codes, logs = [whole[order]], [values[order]]
-                part = batch.slice(low, high - low)
-                flat, ends = byte_view(string_column(part, "text"))
-                sums = np.zeros(high - low)
-                for first, offsets, found in _slices(flat, ends):
-                    if len(found):
-                        filled = np.flatnonzero(np.diff(offsets))
-                        sums[first + filled] += np.add.reduceat(logs[0][np.searchsorted(codes[0], found)], (offsets[:-1] - offsets[0])[filled], dtype=np.float64)
-                yield pa.RecordBatch.from_arrays([*[part.column(4 + k) for k in range(len(keep))], pa.array(np.diff(ends)), pa.array(sums)], names=[*keep, "n", "ll"])
+                    codes, logs = [whole[order]], [flat[order]]
+                for part in pa.ipc.open_stream(bundle.as_buffer()):
+                    flat, ends = byte_view(string_column(part, "text"))
+                    sums = np.zeros(part.num_rows)
+                    for first, offsets, found in _slices(flat, ends):
+                        if len(found):
+                            filled = np.flatnonzero(np.diff(offsets))
+                            sums[first + filled] += np.add.reduceat(logs[0][np.searchsorted(codes[0], found)], (offsets[:-1] - offsets[0])[filled], dtype=np.float64)
+                    yield pa.RecordBatch.from_arrays([*[part.column(2 + k) for k in range(len(keep))], pa.array(np.diff(ends)), pa.array(sums)], names=[*keep, "n", "ll"])
 
     return both.mapInArrow(run, ", ".join([*[f"`{c}` {t}" for c, t in kinds.items()], "n bigint, ll double"]))
 
