@@ -26,10 +26,8 @@ from .common import byte_view, materialize, release, row_slices, sized, string_c
 
 #: Words in a row of which one begins a chunk; the least words and bytes of a passage.
 WINDOW, LEAST_WORDS, LEAST_BYTES = 8, 12, 60
-#: A text of one line and fewer bytes is left to the stages that compare whole texts.
-LONG_LINE = 200
-#: Bits of the filter of repeated passage hashes, and those of a block of it; a fixed size, whatever the corpus.
-FILTER_BITS, BLOCK_BITS, PROBES = 1 << 28, 1 << 20, 3
+#: Bits of a filter of hashes for each of them, and in all at most (32 MB, whatever the corpus); bits of a block of it.
+BITS_EACH, FILTER_BITS, BLOCK_BITS, PROBES = 16, 1 << 28, 1 << 20, 3
 BUCKETS = 1 << 12
 #: A passage counted so often (at most twice a batch) is common; of those the commonest, and the tasks their places go to.
 OFTEN, MOST_COMMON, SALTS = 64, 100_000, 256
@@ -117,8 +115,7 @@ def _passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     j = np.minimum(np.searchsorted(ends, line_ends - LEAST_WORDS, "right"), np.searchsorted(where[ends], where[line_ends] - LEAST_BYTES, "right")) - 1
     a, b = np.concatenate((a, ends[j[j >= 0]])), np.concatenate((b, line_ends[j >= 0]))
     row = row_of[a]
-    lines = np.add.reduceat(np.append(first, False).astype(np.int64), rows[:-1]) * (np.diff(rows) > 0)
-    whole = (b <= rows[row + 1]) & ((lines[row] > 1) | (np.diff(offsets)[row] >= LONG_LINE))
+    whole = b <= rows[row + 1]
     pairs = np.unique(a[whole] << 32 | b[whole])
     a, b = pairs >> 32, pairs & 0xFFFFFFFF
     row = row_of[a]
@@ -127,14 +124,14 @@ def _passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, where[a], np.where(b == rows[row + 1], offsets[row + 1], where[b]), _mixed((sums[b] - sums[a]) * back[a]).view(np.int64)
 
 
-def _probes(h: np.ndarray) -> list[np.ndarray]:
+def _probes(h: np.ndarray, size: int) -> list[np.ndarray]:
     h = h.view(np.uint64)
-    return [_mixed(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(FILTER_BITS) for k in range(PROBES)]
+    return [_mixed(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(size) for k in range(PROBES)]
 
 
 def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     some = np.ones(len(h), bool)
-    for p in _probes(h):
+    for p in _probes(h, 8 * len(bits)):
         some &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
     return some
 
@@ -171,11 +168,12 @@ def _repeated_hashes(rows: DataFrame) -> DataFrame:
 
 
 def filter_of(repeated: DataFrame) -> np.ndarray:
-    """A Bloom filter over the repeated hashes, of fixed size; its blocks are put together in the cluster."""
+    """A Bloom filter over the repeated hashes, sized by their count up to FILTER_BITS; its blocks are put together in the cluster."""
+    size = min(FILTER_BITS, max(BLOCK_BITS, 1 << (BITS_EACH * repeated.count()).bit_length()))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p in _probes(batch.column(0).to_numpy().astype(np.int64)):
+            for p in _probes(batch.column(0).to_numpy().astype(np.int64), size):
                 p = np.unique(p.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(p // BLOCK_BITS), pa.array((p % BLOCK_BITS).astype(np.int32))], names=["block", "bit"])
 
@@ -185,7 +183,7 @@ def filter_of(repeated: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": frame["block"].iloc[:1].to_numpy(), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     found = repeated.mapInArrow(positions, "block bigint, bit int").groupBy("block").applyInPandas(block, "block bigint, bits binary")
-    out = np.zeros((FILTER_BITS // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    out = np.zeros((size // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
     for r in found.toLocalIterator():
         out[r.block] = np.frombuffer(r.bits, np.uint8)
     return out.reshape(-1)

@@ -792,8 +792,8 @@ def test_pipeline_stages(spark, tmp_path):
     table = [(i, t + " " + passage(i, 5), l, f"s{i % 4}", 0) for i, t, l in languages(2)]
     shared = passage(777)
     table += [(400 + k, f"{passage(800 + k)}\n{shared}", "aa", "s", 0) for k in range(4)]
-    near = " ".join(f"w{k}" for k in range(40))  # one short line: no chunk of it is taken out before
-    table += [(500, near, "aa", "s", 0), (501, near + " also", "aa", "s", 0), (600, None, None, None, None), (601, "12 34", "aa", "s", 0)]
+    near = " ".join(f"w{k}" for k in range(9))  # too short a passage to be taken out before
+    table += [(500, near, "aa", "s", 0), (501, near.upper(), "aa", "s", 0), (600, None, None, None, None), (601, "12 34", "aa", "s", 0)]
     table += [(700, passage(991), "aa", "s", 0)]
     spark.createDataFrame(table, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, passage(991, 3)), (2, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
