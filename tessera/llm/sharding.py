@@ -54,8 +54,8 @@ def _hash_position(value: Column, seed: int) -> Column:
 
 
 def _small_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
-    """At most one row per tree node (or shard), as literals in the plan."""
-    literal = lambda v: "CAST(NULL AS BIGINT)" if v is None else f"{int(v)}L"
+    """At most one row per tree node, shard or heavy group, as literals in the plan; text is an expression."""
+    literal = lambda v: "CAST(NULL AS BIGINT)" if v is None else v if isinstance(v, str) else f"{int(v)}L"
     values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
     return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})"))
 
@@ -201,10 +201,10 @@ def kd_shards(docs: DataFrame, shards: int, dimensions: dict[str, Column], id_co
         out.append(docs.join(leaves.select(*same, F.col("leaf").alias("shard")), same))
     if heavy:
         draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 11) / F.lit(float(1 << 53))
-        rows = [(r.key, r.text_crc32, r.each, [(float(up), s) for s, up in parts]) for r, parts in zip(heavy, first)]
-        table = raw.sparkSession.createDataFrame(rows, "key bigint, text_crc32 bigint, each bigint, parts array<struct<up:double,shard:int>>")
+        parts_of = lambda parts: "array(" + ", ".join(f"named_struct('up', {float(up)!r}D, 'shard', {int(s)})" for s, up in parts) + ")"
+        table = _small_table(raw.sparkSession, "key, text_crc32, each, parts", [(r.key, r.text_crc32, r.each, parts_of(parts)) for r, parts in zip(heavy, first)])
         shard = F.coalesce(F.filter("parts", lambda p: draw < p["up"])[0]["shard"], F.element_at("parts", -1)["shard"])
-        out.append(docs.join(F.broadcast(table), same).withColumn("shard", shard))
+        out.append(docs.join(table, same).withColumn("shard", shard))
     found = out[0] if len(out) == 1 else out[0].select("doc_id", "size", "text_crc32", "shard").unionByName(out[1].select("doc_id", "size", "text_crc32", "shard"))
     return found.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
 
