@@ -357,9 +357,10 @@ def fit(texts: list[str], labels: list[int]) -> StringKernelSVM | None:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of at most TOXIC_ROWS and CLEAN_ROWS rows outside the held-out fold, drawn by a hash of the id.
+    """Whole texts and labels of at most TOXIC_ROWS and CLEAN_ROWS documents outside the held-out fold, drawn by a hash of the id.
 
-    The draw is made in the cluster over (id, label) pairs of documents that have a text; only what is drawn travels.
+    The draw is made in the cluster over (id, label) pairs of documents that have a text; only what is drawn travels, of
+    rows that repeat an id the least text alone.
     """
     fold = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), 5) != 0))
     known = fold.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
@@ -368,7 +369,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
     draw = F.xxhash64("doc_id", F.lit(13))
     of = lambda label, n: known.filter(F.col("toxic") == label).select("doc_id", "toxic", draw.alias("d")).orderBy("d", "doc_id").limit(n)
     drawn = materialize(of(1, TOXIC_ROWS).unionAll(of(0, CLEAN_ROWS)), "drawn")
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("toxic", "d", "text").orderBy("d", "text")
+    rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic", "d").agg(F.min("text").alias("text")).orderBy("d", "doc_id")
     taken = [(r.text, r.toxic) for r in rows.toLocalIterator()]
     return [t for t, _ in taken], [y for _, y in taken]
 
