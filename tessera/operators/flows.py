@@ -20,16 +20,21 @@ def _first(df: DataFrame, most: int) -> DataFrame:
     return numbered.filter(F.col("n") <= most).withColumn("emitted", F.least("observed", F.lit(most))).drop("n")
 
 
-def data_flow(steps: DataFrame, effects: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def data_flow(steps: DataFrame, effects: DataFrame, flows: DataFrame, arguments: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(transfers, boundaries, gaps) of each flow's first steps.
 
-    A transfer is the call that led to a step, from the step it came from; a boundary an effect that leaves the
-    code; a gap a call that leads nowhere known, or a trace that is cut.
+    A transfer is the call that led to a step, from the step it came from, with its call site and, where `arguments`
+    (file, edge_ordinal, col, arguments) are given, what it passes; a boundary an effect that leaves the code; a gap a
+    call that leads nowhere known, or a trace that is cut.
     """
     shown = parent_steps(steps.filter(F.col("step_index") < STEPS))
-    parents = shown.select("flow_id", F.col("step_index").alias("parent_step"), F.col("symbol").alias("from_symbol"))
+    parents = shown.select("flow_id", F.col("step_index").alias("parent_step"), F.col("symbol").alias("from_symbol"), F.col("file").alias("site_file"))
     calls = shown.filter(F.col("depth") > 0).join(parents, ["flow_id", "parent_step"], "left")
-    transfers = _first(calls.select("flow_id", "step_index", F.col("from_symbol").alias("from"), F.col("symbol").alias("to"), F.col("parent_step").alias("from_step"), F.col("step_index").alias("to_step"), "line", F.col("name").alias("call"), "kind"), TRANSFERS)
+    if arguments is None:
+        calls = calls.withColumns({"col": F.lit(None).cast("int"), "arguments": F.lit(None).cast("array<string>")})
+    else:
+        calls = calls.join(arguments.select(F.col("file").alias("site_file"), "edge_ordinal", "col", "arguments"), ["site_file", "edge_ordinal"], "left")
+    transfers = _first(calls.select("flow_id", "step_index", F.col("from_symbol").alias("from"), F.col("symbol").alias("to"), F.col("parent_step").alias("from_step"), F.col("step_index").alias("to_step"), "site_file", "edge_ordinal", "line", "col", F.col("name").alias("call"), "arguments", "kind"), TRANSFERS)
     leaving = effects.filter(F.col("effect_kind") == "boundary_effects").select(F.col("path").alias("file"), "symbol", "effect_kind", F.col("kind").alias("effect"), "target")
     boundaries = _first(shown.join(leaving, ["file", "symbol"]).select(*ORDER, "symbol", "effect_kind", "effect", "target"), EFFECTS)
     lost = calls.filter(F.col("kind").isin("unresolved", "external")).select(*ORDER, F.concat("kind", F.lit("_call")).alias("gap"), F.coalesce("name", "symbol").alias("target"))

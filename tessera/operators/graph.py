@@ -106,7 +106,7 @@ def preorder(edges: list[dict], start: tuple, depth_limit: int | None) -> list[d
     steps, expanded, todo = [], {start}, [(0, e) for e in reversed(outgoing.get(start, []))]
     while todo:
         depth, edge = todo.pop()
-        steps.append({"depth": depth + 1, "file": edge["to_file"], "symbol": edge["to_symbol"], "kind": edge["kind"], "name": edge["name"], "line": edge["line"]})
+        steps.append({"depth": depth + 1, "file": edge["to_file"], "symbol": edge["to_symbol"], "kind": edge["kind"], "name": edge["name"], "line": edge["line"], "edge_ordinal": edge["edge_ordinal"]})
         node = (edge["to_file"], edge["to_symbol"])
         if edge["kind"] == "internal" and node[0] is not None and node not in expanded:
             expanded.add(node)
@@ -115,7 +115,7 @@ def preorder(edges: list[dict], start: tuple, depth_limit: int | None) -> list[d
     return steps
 
 
-TRACE = "flow_id string, step_index int, depth int, file string, symbol string, kind string, name string, line int"
+TRACE = "flow_id string, step_index int, depth int, file string, symbol string, kind string, name string, line int, edge_ordinal int"
 
 
 def traces(starts: DataFrame, edges: DataFrame, depth: int | None = FLOW_DEPTH) -> DataFrame:
@@ -141,7 +141,7 @@ def traces(starts: DataFrame, edges: DataFrame, depth: int | None = FLOW_DEPTH)
         frame = frame.astype(object).where(frame.notna(), None)
         rows = frame.to_dict("records")
         first = next(r for r in rows if r["kind"] == "entry")
-        steps = [{"depth": 0, "file": first["to_file"], "symbol": first["to_symbol"], "kind": "entry", "name": None, "line": None}]
+        steps = [{"depth": 0, "file": first["to_file"], "symbol": first["to_symbol"], "kind": "entry", "name": None, "line": None, "edge_ordinal": None}]
         steps += preorder([r for r in rows if r["kind"] != "entry"], (first["to_file"], first["to_symbol"]), depth)
         out = pd.DataFrame(steps)
         out["flow_id"], out["step_index"] = first["flow_id"], range(len(out))

@@ -5,7 +5,7 @@ from tessera.operators import declarations, flows, graph
 
 def test_data_flow_of_a_trace(spark):
     steps = spark.createDataFrame(
-        [("f", 0, 0, "a.py", "run", "entry", None, None), ("f", 1, 1, "r.py", "save", "internal", "save", 3), ("f", 2, 2, None, "print", "external", "print", 4), ("f", 3, 1, None, "x", "unresolved", "x", 5)],
+        [("f", 0, 0, "a.py", "run", "entry", None, None, None), ("f", 1, 1, "r.py", "save", "internal", "save", 3, 1), ("f", 2, 2, None, "print", "external", "print", 4, 1), ("f", 3, 1, None, "x", "unresolved", "x", 5, 2)],
         graph.TRACE,
     )
     effects = spark.createDataFrame([("r.py", "save", "boundary_effects", "db", "table"), ("r.py", "save", "reads", "db", "other")], "path string, symbol string, effect_kind string, kind string, target string")
