@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import arguments, flows, graph, scopes
+from ..operators import api_schemas, arguments, flows, graph, scopes
+from ..sources.api_exports import export_facts
 from ..sources.python_scopes import python_facts
 from .queries import query
 from .wiki_queries import frame
@@ -128,3 +129,63 @@ def flow_boundaries(t):
 UNION ALL SELECT k, 12, 'step_limit', 'first 12 steps' FROM j GROUP BY k HAVING count(*) >= 12) SELECT 'f' || k AS flow_id, step, gap, target, {_CAPPED.format(12)} FROM g""")
 def flow_gaps(t):
     return _flow_parts(t)[2].select("flow_id", F.col("step_index").cast("bigint").alias("step"), "gap", "target", "observed", "emitted")
+
+
+# API exports -------------------------------------------------------------------------------------------------
+
+
+def exported(*lines: str | tuple[str, str]) -> str:
+    """SQL for a JSON document; < and > stand for braces, ' for quotes, {k} is the row's key, a pair has text under a condition."""
+
+    def one(text: str) -> str:
+        return "'" + text.replace("'", '"').replace("{k}", "' || c_custkey || '") + "'"
+
+    whole = " || ".join(one(x) if isinstance(x, str) else f"CASE WHEN {x[0]} THEN {one(x[1])} ELSE '' END" for x in lines)
+    return f"replace(replace({whole}, '<', chr(123)), '>', chr(125))"
+
+
+def _document(new: bool) -> str:
+    """One side of customer k's API; the candidate differs by what k is divisible by."""
+    when = lambda by: f"c_custkey % {by} = 0" if new else "1 = 0"
+    old = lambda by: "1 = 0" if new else f"c_custkey % {by} = 0"
+    return exported(
+        "<'openapi':'3.1.0','paths':<",
+        ("NOT (" + when(11) + ")", "'/items/<" + ("key" if new else "id") + ">':<'post':<'parameters':[<'name':'X-Trace','in':'header'>,<'name':'q','in':'query','required':"),
+        (f"NOT ({when(11)}) AND {when(13)}", "true"), (f"NOT ({when(11)}) AND NOT ({when(13)})", "false"),
+        ("NOT (" + when(11) + ")", ">],'requestBody':<'content':<'application/json':<'schema':<'$ref':'#/components/schemas/A'>>"),
+        (f"NOT ({when(11)}) AND {old(6)}", ",'text/plain':<'schema':<'type':'string'>>"),
+        ("NOT (" + when(11) + ")", ">>,'responses':<'200':<'content':<'application/json':<'schema':<'$ref':'#/components/schemas/B'>>>>"),
+        (f"NOT ({when(11)}) AND {old(8)}", ",'201':<>"),
+        ("NOT (" + when(11) + ")", ">>>"),
+        ">,'components':<'schemas':<'A':<'type':'object','required':['id'],'properties':<'id':<'type':'string'>,'b':<'$ref':'#/components/schemas/B'>,'list':<'type':'array','items':<'$ref':'#/components/schemas/B'>>>>,'B':<",
+        ("c_custkey % 7 = 0", "'allOf':[]>"), ("c_custkey % 7 <> 0", "'type':'object','required':["),
+        (f"c_custkey % 7 <> 0 AND {when(3)}", "'n'"), (f"c_custkey % 7 <> 0 AND {old(4)}", "'m'"),
+        ("c_custkey % 7 <> 0", "],'properties':<'n':<'type':'integer'>"), ("c_custkey % 7 <> 0 AND c_custkey % 5 = 0", ",'a':<'$ref':'#/components/schemas/A'>"), ("c_custkey % 7 <> 0", ">>"), ">>>",
+    )
+
+
+_EXPORTS = f"SELECT 'api' || c_custkey AS api, 'baseline' AS side, {_document(False)} AS document FROM customer UNION ALL SELECT 'api' || c_custkey, 'candidate', {_document(True)} FROM customer"
+_SHAPED = """k AS (SELECT c_custkey AS k, c_custkey % 7 = 0 OR c_custkey % 5 = 0 AND c_custkey % 7 <> 0 AS hidden FROM customer), o AS (SELECT * FROM k WHERE k % 11 <> 0),
+f AS (SELECT 'components-changed' AS code, 'advisory' AS severity, k, 'shared components differ' AS detail FROM k WHERE k % 7 <> 0 AND (k % 3 = 0 OR k % 4 = 0)
+UNION ALL SELECT 'operation-removed', 'breaking', k, 'absent from candidate' FROM k WHERE k % 11 = 0
+UNION ALL SELECT 'contract-changed', 'advisory', k, 'schemas, security or metadata differ' FROM o WHERE k % 13 = 0 OR k % 6 = 0 OR k % 8 = 0
+UNION ALL SELECT 'required-input-added', 'breaking', k, 'query q' FROM o WHERE k % 13 = 0
+UNION ALL SELECT 'media-type-removed', 'advisory', k, 'request text/plain' FROM o WHERE k % 6 = 0
+UNION ALL SELECT 'success-response-removed', 'breaking', k, '201' FROM o WHERE k % 8 = 0
+UNION ALL SELECT 'request-schema-unknown', 'advisory', k, 'composition, a cycle or a reference hides fields' FROM o WHERE hidden
+UNION ALL SELECT 'response-schema-unknown', 'advisory', k, 'composition, a cycle or a reference hides fields' FROM o WHERE hidden
+UNION ALL SELECT 'required-input-added', 'breaking', k, 'application/json ' || place FROM o, (VALUES ('/b/n'), ('/list/*/n')) p(place) WHERE NOT hidden AND k % 3 = 0
+UNION ALL SELECT 'response-field-optional', 'advisory', k, '200 application/json /m' FROM o WHERE NOT hidden AND k % 4 = 0)"""
+
+
+@query(f"""WITH {_SHAPED} SELECT 'api' || k AS api, code, severity, CASE code WHEN 'components-changed' THEN '' ELSE 'POST /items/' || chr(123) || 'id' || chr(125) END AS operation, detail FROM f""")
+def api_schema_findings(t):
+    # Braces mark tables in a frame's SQL, so those of the routes are written as the document's are.
+    return api_schemas.api_differences(export_facts(frame(t, _EXPORTS)))
+
+
+@query(f"""WITH {_SHAPED}, c AS (SELECT k, count(*) FILTER (severity = 'breaking') AS b, count(*) FILTER (severity <> 'breaking') AS a FROM f GROUP BY k) SELECT 'api' || k AS api, CASE WHEN b > 0 THEN 'breaking' WHEN a > 0 THEN 'advisory' ELSE 'compatible' END AS status, coalesce(b, 0) AS breaking_count, coalesce(a, 0) AS advisory_count FROM k LEFT JOIN c USING (k)""")
+def api_schema_status(t):
+    exports = frame(t, _EXPORTS)
+    findings = api_schemas.api_differences(export_facts(exports))
+    return api_schemas.api_status(exports, findings)
