@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import api_schemas, arguments, flows, graph, scopes
+from ..operators import api_schemas, arguments, flows, graph, imports, scopes
 from ..sources.api_exports import export_facts
 from ..sources.python_scopes import python_facts
 from .queries import query
@@ -189,3 +189,26 @@ def api_schema_status(t):
     exports = frame(t, _EXPORTS)
     findings = api_schemas.api_differences(export_facts(exports))
     return api_schemas.api_status(exports, findings)
+
+
+# Imports by language -----------------------------------------------------------------------------------------
+
+_SOURCES = """SELECT 'app' || (p_partkey % 9) || '/src/m' || (p_partkey % 23) || '.ts' AS path, 'typescript' AS language FROM part UNION SELECT 'app' || (p_partkey % 9) || '/shared/m' || (p_partkey % 31) || '.js', 'javascript' FROM part WHERE p_size > 25
+UNION SELECT 'go' || (p_partkey % 7) || '/p' || (p_partkey % 17) || '/f' || (p_size % 3) || '.go', 'go' FROM part UNION SELECT 'py' || (p_partkey % 5) || '/src/pk/m' || (p_partkey % 19) || '.py', 'python' FROM part
+UNION SELECT 'app' || (n_nationkey % 9) || '/src/main.ts', 'typescript' FROM nation UNION SELECT 'go' || (n_nationkey % 7) || '/main.go', 'go' FROM nation UNION SELECT 'py' || (n_nationkey % 5) || '/src/run.py', 'python' FROM nation"""
+_USED = """SELECT CASE o_orderkey % 4 WHEN 1 THEN 'go' || (o_custkey % 7) || '/main.go' WHEN 2 THEN 'py' || (o_custkey % 5) || '/src/run.py' ELSE 'app' || (o_custkey % 9) || '/src/main.ts' END AS path, o_orderkey AS ordinal,
+CASE o_orderkey % 4 WHEN 1 THEN 'ex.org/g' || (o_custkey % 8) || '/p' || (o_orderkey % 20) WHEN 2 THEN 'pk' WHEN 3 THEN './m' || (o_orderkey % 37) ELSE '@/m' || (o_orderkey % 37) END AS module,
+CASE WHEN o_orderkey % 4 = 2 THEN 'm' || (o_orderkey % 25) END AS name, CASE WHEN o_orderkey % 4 = 2 THEN 'from' END AS kind FROM orders"""
+
+
+@query(f"""WITH f AS ({_SOURCES}), u AS ({_USED}), r AS (SELECT *, split_part(path, '/', 1) AS top FROM u),
+w AS (SELECT path, ordinal, top || '/src/' || substr(module, 3) || '.ts' AS target FROM r WHERE module LIKE './%' OR module LIKE '@%' UNION ALL SELECT path, ordinal, top || '/shared/' || substr(module, 3) || '.js' FROM r WHERE module LIKE '@%'
+UNION ALL SELECT path, ordinal, top || '/src/pk/' || name || '.py' FROM r WHERE module = 'pk'),
+h AS (SELECT w.path, ordinal, target FROM w JOIN f ON f.path = target UNION ALL SELECT r.path, ordinal, f.path FROM r JOIN f ON f.language = 'go' AND regexp_replace(f.path, '/[^/]*$', '') = 'go' || substr(module, 9) WHERE module LIKE 'ex.org/g%'),
+g AS (SELECT path, ordinal, count(DISTINCT target) AS n, min(target) AS first FROM h GROUP BY ALL)
+SELECT u.path, u.ordinal, coalesce(n, 0) AS n, first, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' WHEN module LIKE '@%' OR module LIKE 'ex.org/g%' AND module NOT LIKE 'ex.org/g7/%' THEN 'internal' ELSE 'external' END AS resolution FROM u LEFT JOIN g USING (path, ordinal)""")
+def import_targets(t):
+    rules = frame(t, "SELECT DISTINCT 'app' || (n_nationkey % 9) AS root FROM nation").select("root", F.lit("@/*").alias("pattern"), F.array(F.concat("root", F.lit("/src/*")), F.concat("root", F.lit("/shared/*"))).alias("targets"))
+    modules = frame(t, "SELECT DISTINCT 'go' || (n_nationkey % 7) AS root, 'ex.org/g' || (n_nationkey % 7) AS module FROM nation")
+    found = imports.import_targets(frame(t, _USED), frame(t, _SOURCES), rules, modules)
+    return found.select("path", "ordinal", F.coalesce(F.size("targets"), F.lit(0)).cast("bigint").alias("n"), F.col("targets")[0].alias("first"), "resolution")
