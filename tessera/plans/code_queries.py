@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import api_schemas, arguments, flows, graph, imports, scopes
+from ..operators import api_schemas, arguments, flows, graph, imports, maintenance, scopes
 from ..sources.api_exports import export_facts
 from ..sources.python_scopes import python_facts
 from .queries import query
@@ -212,3 +212,38 @@ def import_targets(t):
     modules = frame(t, "SELECT DISTINCT 'go' || (n_nationkey % 7) AS root, 'ex.org/g' || (n_nationkey % 7) AS module FROM nation")
     found = imports.import_targets(frame(t, _USED), frame(t, _SOURCES), rules, modules)
     return found.select("path", "ordinal", F.coalesce(F.size("targets"), F.lit(0)).cast("bigint").alias("n"), F.col("targets")[0].alias("first"), "resolution")
+
+
+# Maintenance evidence ----------------------------------------------------------------------------------------
+
+_LOG = """SELECT user_id AS record, event_id AS seq, CASE WHEN event_id % 20 < 2 THEN 'register' WHEN event_id % 20 < 10 THEN 'observe' WHEN event_id % 20 < 14 THEN 'acknowledge' WHEN event_id % 20 < 15 THEN 'delete' WHEN event_id % 20 < 16 THEN 'delete-target'
+WHEN event_id % 20 < 17 THEN 'ambiguous-move' ELSE 'confirm-move' END AS kind, CASE WHEN event_id % 31 > 0 THEN 'b' || (event_id // 7 % 2) END AS basis, CASE WHEN event_id % 5 > 0 THEN 'o' || (event_id % 9) END AS owner FROM events"""
+_WHOLE = "presence = 'present' AND target = 'present'"
+#: The state machine by recursion over each record's events: what the event's error is, then the state where it has none.
+_REPLAYED = f"""e AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY seq) AS i FROM ({_LOG})),
+s AS (SELECT DISTINCT record, 0 AS i, CAST(NULL AS BIGINT) AS seq, '' AS kind, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS presence, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS basis, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS VARCHAR) AS owner, 0 AS version FROM e
+UNION ALL SELECT record, i, seq, kind, error, CASE WHEN error IS NOT NULL THEN presence WHEN kind = 'delete' THEN 'deleted' WHEN kind = 'ambiguous-move' THEN 'ambiguous' ELSE 'present' END,
+CASE WHEN error IS NOT NULL OR kind IN ('delete', 'ambiguous-move') THEN target WHEN kind = 'delete-target' THEN 'deleted' ELSE 'present' END,
+CASE WHEN error IS NOT NULL THEN status WHEN kind = 'acknowledge' OR kind = 'observe' AND b = held THEN 'acknowledged' ELSE 'open' END,
+CASE WHEN error IS NOT NULL OR kind IN ('delete-target', 'ambiguous-move') THEN basis WHEN kind = 'delete' THEN NULL ELSE b END,
+CASE WHEN error IS NOT NULL OR kind = 'observe' THEN held WHEN kind = 'acknowledge' THEN b END, CASE WHEN error IS NULL AND kind IN ('register', 'confirm-move') THEN o ELSE owner END, CASE WHEN error IS NOT NULL THEN version WHEN kind = 'register' THEN 1 ELSE version + 1 END
+FROM (SELECT s.record, e.i, e.seq, e.kind, s.presence, s.target, s.status, s.basis, s.held, s.owner, s.version, e.basis AS b, e.owner AS o,
+CASE WHEN e.kind = 'register' THEN CASE WHEN presence IS NOT NULL THEN 'registered-before' END WHEN presence IS NULL THEN 'not-registered'
+WHEN e.kind IN ('observe', 'acknowledge', 'delete-target') AND NOT ({_WHOLE}) THEN 'not-present' WHEN e.kind = 'acknowledge' AND (e.basis IS NULL OR s.basis IS NULL OR e.basis <> s.basis) THEN 'stale-basis'
+WHEN e.kind = 'delete' AND presence = 'deleted' THEN 'deleted-before' WHEN e.kind = 'ambiguous-move' AND presence = 'ambiguous' THEN 'ambiguous-before'
+WHEN e.kind = 'confirm-move' AND {_WHOLE} THEN 'nothing-moved' WHEN e.kind = 'confirm-move' AND e.owner IS NULL THEN 'no-owner' END AS error FROM s JOIN e ON e.record = s.record AND e.i = s.i + 1))"""
+
+
+def _history(t) -> DataFrame:
+    return maintenance.replay(frame(t, _LOG))
+
+
+@query(f"""WITH RECURSIVE {_REPLAYED} SELECT record, seq, kind, error, presence, target AS target_presence, status, basis, held AS acknowledged, owner, CAST(version AS BIGINT) AS version FROM s WHERE i > 0""")
+def maintenance_replay(t):
+    return _history(t)
+
+
+@query(f"""WITH RECURSIVE {_REPLAYED}, c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY record ORDER BY i DESC) = 1)
+SELECT record, presence, target AS target_presence, status, basis, held AS acknowledged, owner, CAST(version AS BIGINT) AS version FROM c WHERE presence IS NOT NULL""")
+def maintenance_records(t):
+    return maintenance.current_records(_history(t))
