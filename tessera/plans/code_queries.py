@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import api_schemas, arguments, flows, graph, imports, maintenance, scopes
+from ..operators import api_schemas, arguments, flows, graph, imports, ledger, maintenance, scopes
 from ..sources.api_exports import export_facts
 from ..sources.python_scopes import python_facts
 from .queries import query
@@ -247,3 +247,53 @@ def maintenance_replay(t):
 SELECT record, presence, target AS target_presence, status, basis, held AS acknowledged, owner, CAST(version AS BIGINT) AS version FROM c WHERE presence IS NOT NULL""")
 def maintenance_records(t):
     return maintenance.current_records(_history(t))
+
+
+# Identities over snapshots -----------------------------------------------------------------------------------
+
+#: Six snapshots of a coordinate or two for each customer, by its key's last digit: 3 moves (and moves back where the key
+#: is 3 more than a multiple of 20), 4 is deleted and recreated elsewhere, 6 moves and is taken again, others have a hole.
+_KEYS = "SELECT c_custkey AS k, c_custkey % 10 AS d, s FROM customer, (VALUES (1), (2), (3), (4), (5), (6)) v(s)"
+_SNAPSHOTS = f"""SELECT s AS snapshot, CASE WHEN d IN (3, 6) AND s >= 3 AND NOT (k % 20 = 3 AND s >= 5) THEN 'n' WHEN d = 4 AND s >= 4 THEN 'q' ELSE 'm' END || k AS locator FROM ({_KEYS}) WHERE CASE WHEN d IN (3, 6) THEN TRUE WHEN d = 4 THEN s <> 3 ELSE s <> 1 + k % 6 END
+UNION ALL SELECT s, 'm' || k FROM ({_KEYS}) WHERE d = 6 AND s >= 5"""
+_MOVED = "SELECT 3 AS snapshot, 'm' || c_custkey AS old_locator, 'n' || c_custkey AS new_locator FROM customer WHERE c_custkey % 10 IN (3, 6) UNION ALL SELECT 5, 'n' || c_custkey, 'm' || c_custkey FROM customer WHERE c_custkey % 20 = 3"
+#: The intervals in closed form: coordinate, from, to, how, first coordinate and snapshot of the identity, conflict.
+_SPANS = """p AS (SELECT c_custkey AS k, c_custkey % 10 AS d, 1 + c_custkey % 6 AS hole FROM customer),
+f AS (SELECT 'm' || k AS locator, 1 AS valid_from, 2 AS valid_to, 'allocated' AS how, 'm' || k AS root_locator, 1 AS root_from, NULL AS conflict FROM p WHERE d IN (3, 4, 6)
+UNION ALL SELECT 'n' || k, 3, CASE WHEN k % 20 = 3 THEN 4 ELSE 6 END, 'moved', 'm' || k, 1, NULL FROM p WHERE d IN (3, 6) UNION ALL SELECT 'm' || k, 5, 6, 'moved', 'm' || k, 1, NULL FROM p WHERE k % 20 = 3
+UNION ALL SELECT 'm' || k, 5, 6, 'allocated', 'm' || k, 5, 'alias-owned' FROM p WHERE d = 6 UNION ALL SELECT 'q' || k, 4, 6, 'allocated', 'q' || k, 4, NULL FROM p WHERE d = 4
+UNION ALL SELECT 'm' || k, 1, hole - 1, 'allocated', 'm' || k, 1, NULL FROM p WHERE d NOT IN (3, 4, 6) AND hole > 1
+UNION ALL SELECT 'm' || k, hole + 1, 6, CASE WHEN hole > 1 THEN 'returned' ELSE 'allocated' END, 'm' || k, CASE WHEN hole > 1 THEN 1 ELSE 2 END, NULL FROM p WHERE d NOT IN (3, 4, 6) AND hole < 6)"""
+
+
+def _intervals(t) -> DataFrame:
+    return ledger.identity_intervals(frame(t, _SNAPSHOTS), frame(t, _MOVED))
+
+
+@query(f"""WITH {_SPANS} SELECT locator, CAST(valid_from AS BIGINT) AS valid_from, CAST(valid_to AS BIGINT) AS valid_to, how, root_locator, CAST(root_from AS BIGINT) AS root_from, CAST(conflict AS VARCHAR) AS conflict FROM f""")
+def identity_intervals(t):
+    return _intervals(t).select("locator", *[F.col(c).cast("bigint").alias(c) for c in ("valid_from", "valid_to")], "how", "root_locator", F.col("root_from").cast("bigint").alias("root_from"), "conflict")
+
+
+@query(f"""WITH {_SPANS}, g AS (SELECT root_locator, root_from, max_by(locator, valid_from) AS locator, max(valid_to) AS ends, min(valid_from) AS since, list(DISTINCT locator) AS places FROM f GROUP BY ALL)
+SELECT locator, coalesce(array_to_string(list_sort(list_filter(places, lambda x: x <> locator)), ','), '') AS aliases, CAST(since AS BIGINT) AS since, CAST(CASE WHEN ends < 6 THEN ends + 1 END AS BIGINT) AS retired_at FROM g""")
+def identity_records(t):
+    found = ledger.identity_records(_intervals(t), 6)
+    return found.select("locator", F.concat_ws(",", "aliases").alias("aliases"), F.col("since").cast("bigint").alias("since"), F.col("retired_at").cast("bigint").alias("retired_at"))
+
+
+_KEPT_SOURCES = "SELECT 'r' || p_partkey AS path, 'k8s' AS adapter, 'c' || p_partkey AS content_hash, 'o' || p_partkey AS observation_hash, 'page' || p_partkey AS page FROM part WHERE p_partkey % 8 < 6"
+_LIVE_SOURCES = """SELECT 'r' || p_partkey AS path, 'k8s' AS adapter, 'c' || p_partkey || CASE WHEN p_partkey % 8 = 1 THEN 'x' ELSE '' END AS content_hash, 'o' || p_partkey AS observation_hash, 'page' || p_partkey AS page FROM part WHERE p_partkey % 8 IN (0, 1, 5, 6)
+UNION ALL SELECT 's' || p_partkey, 'k8s', 'c' || p_partkey, 'o' || p_partkey, 'moved' || p_partkey FROM part WHERE p_partkey % 8 = 2"""
+_DEAD = "SELECT 'r' || p_partkey AS path, 'page' || p_partkey AS page FROM part WHERE p_partkey % 8 = 7 OR p_partkey % 16 = 6"
+
+
+@query("""SELECT path, action, page, moved_from FROM (SELECT 'r' || p_partkey AS path, CASE p_partkey % 8 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'changed' WHEN 3 THEN 'removed' WHEN 4 THEN 'removed' WHEN 5 THEN 'deselected' WHEN 6 THEN CASE WHEN p_partkey % 16 = 6 THEN 'revived' ELSE 'added' END
+WHEN 7 THEN CASE WHEN p_partkey % 3 = 0 THEN 'repair' ELSE 'buried' END END AS action, 'page' || p_partkey AS page, CAST(NULL AS VARCHAR) AS moved_from FROM part WHERE p_partkey % 8 <> 2
+UNION ALL SELECT 's' || p_partkey, 'moved', 'moved' || p_partkey, 'r' || p_partkey FROM part WHERE p_partkey % 8 = 2)""")
+def infrastructure_sync(t):
+    live = frame(t, _LIVE_SOURCES)
+    chosen = frame(t, "SELECT 'r' || p_partkey AS path FROM part WHERE p_partkey % 8 <> 5 UNION ALL SELECT 's' || p_partkey FROM part")
+    live = live.join(chosen, "path", "left_semi")
+    pages = frame(t, "SELECT 'page' || p_partkey AS page FROM part WHERE p_partkey % 3 = 0")
+    return ledger.infrastructure_sync(frame(t, _KEPT_SOURCES), frame(t, _DEAD), live, pages, chosen)
