@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import api_schemas, arguments, flows, graph, imports, ledger, maintenance, scopes
+from ..operators import api_schemas, arguments, flows, graph, imports, ledger, maintenance, scopes, typed_graph
 from ..sources.api_exports import export_facts
 from ..sources.python_scopes import python_facts
 from .queries import query
@@ -297,3 +297,36 @@ def infrastructure_sync(t):
     live = live.join(chosen, "path", "left_semi")
     pages = frame(t, "SELECT 'page' || p_partkey AS page FROM part WHERE p_partkey % 3 = 0")
     return ledger.infrastructure_sync(frame(t, _KEPT_SOURCES), frame(t, _DEAD), live, pages, chosen)
+
+
+# The typed graph of the files --------------------------------------------------------------------------------
+
+_CONCEPTS = """SELECT 'mod:pkg/m' || c_custkey || '.py' AS locator, 'pkg/m' || c_custkey || '.py' AS source_path, CAST(NULL AS VARCHAR) AS symbol FROM customer
+UNION ALL SELECT 'c:pkg/m' || c_custkey || '.py:run', 'pkg/m' || c_custkey || '.py', 'run' FROM customer UNION ALL SELECT 'c:pkg/m' || c_custkey || '.py:helper', 'pkg/m' || c_custkey || '.py', 'helper' FROM customer WHERE c_custkey % 5 >= 2
+UNION ALL SELECT 'c:pkg/m' || c_custkey || '.py:Box', 'pkg/m' || c_custkey || '.py', 'Box' FROM customer UNION ALL SELECT 'c:pkg/m' || c_custkey || '.py:Box#2', 'pkg/m' || c_custkey || '.py', 'Box' FROM customer WHERE c_custkey % 7 = 0"""
+_OBSERVED = f"""{_MEANT}, o AS (SELECT 'contains' AS kind, 'mod:' || source_path AS source, 'concept' AS target_kind, locator AS target, 'inventory' AS origin, 'resolved' AS resolution, source_path || ':' || symbol AS evidence FROM ({_CONCEPTS}) WHERE symbol IS NOT NULL
+UNION ALL SELECT 'calls', CASE WHEN from_symbol LIKE 'Box%' THEN CASE WHEN k % 7 = 0 THEN 'mod:' || {_HERE} ELSE 'c:' || {_HERE} || ':Box' END ELSE 'c:' || {_HERE} || ':run' END, CASE kind WHEN 'internal' THEN 'concept' WHEN 'external' THEN 'external' ELSE 'unresolved' END,
+CASE WHEN kind = 'internal' THEN 'c:' || to_path || ':' || split_part(to_symbol, '.', 1) ELSE expression END, 'call-resolution', CASE kind WHEN 'internal' THEN 'resolved' ELSE kind END, from_symbol || ':' || expression FROM c
+UNION ALL SELECT 'imports', 'mod:' || {_HERE}, CASE WHEN k < top THEN 'concept' ELSE 'external' END, CASE WHEN k < top THEN 'mod:pkg/m' || (k + 1) || '.py' ELSE 'pkg.m' || (k + 1) END, 'import-resolution', CASE WHEN k < top THEN 'resolved' ELSE 'external' END, name FROM n, (VALUES ('other'), ('mod'), ('helper')) v(name) WHERE name <> 'helper' OR k % 5 < 2)"""
+
+
+def _graph(t) -> tuple[DataFrame, DataFrame]:
+    facts, resolved = _resolved(t)
+    concepts = graph.checkpointed(frame(t, _CONCEPTS))
+    calls = resolved.withColumn("evidence", F.concat_ws(":", "from_symbol", "expression"))
+    targets = scopes.module_index(code_files(t)).groupBy("module").agg(F.collect_set("target").alias("targets"))
+    bound = facts.filter("fact = 'binding' AND what = 'import'").select("path", "module", F.col("name").alias("evidence")).join(targets, "module", "left")
+    bound = bound.withColumn("resolution", F.when(F.col("targets").isNull(), "external").otherwise("resolved"))
+    return typed_graph.merged(typed_graph.containment(concepts), typed_graph.call_observations(calls, concepts), typed_graph.import_observations(bound, concepts)), concepts
+
+
+@query(f"""WITH {_OBSERVED}, g AS (SELECT kind, source, target_kind, target, origin, resolution, count(*) AS observed, list_sort(list(DISTINCT evidence)) AS pieces FROM o GROUP BY ALL)
+SELECT 'sha256:' || sha256(concat_ws(chr(31), kind, source, target_kind, target, origin, resolution)) AS key, kind, source, target, resolution, observed, array_to_string(pieces[1:3], ',') AS samples, least(len(pieces), 3) AS emitted, len(pieces) > 3 AS truncated FROM g""")
+def typed_edges(t):
+    return _graph(t)[0].select("key", "kind", "source", "target", "resolution", "observed", F.concat_ws(",", "samples").alias("samples"), "emitted", "truncated")
+
+
+@query(f"""WITH {_OBSERVED}, g AS (SELECT kind, source, target, origin, resolution, count(*) AS observed, least(count(DISTINCT evidence), 3) AS emitted FROM o GROUP BY ALL)
+SELECT kind, count(*) AS edges, CAST(sum(observed) AS BIGINT) AS observed, CAST(sum(emitted) AS BIGINT) AS emitted, CAST(sum(observed) - sum(emitted) AS BIGINT) AS omitted FROM g GROUP BY kind""")
+def typed_edge_coverage(t):
+    return typed_graph.coverage(_graph(t)[0])
