@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import pandas as pd
@@ -123,40 +124,132 @@ def fit_requests(entries: DataFrame, budgets: DataFrame) -> DataFrame:
     return entries.join(budgets, "request").groupBy("request").applyInPandas(run, "request string, path string, detail string, omitted boolean")
 
 
+PRIORITIES = {"high": 0, "medium": 1, "low": 2}
+# At equal rank the higher gives way first.
+_DROP, _CONCEPT, _DEMOTE, _RELATION = 2, 3, 4, 5
+
+
+class JointFit:
+    """One budget over sources, concepts and relations, in steps that each cost the logarithm of what is left.
+
+    Every item that can give way is in a heap under its rank (priority, freshness, kind, place); entries that no longer
+    hold are passed over when they come up. The size is that of the whole encoding, kept up to date item by item.
+    """
+
+    def __init__(self, sources: list[dict], concepts: list[dict], relations: list[dict]):
+        self.sources, self.concepts, self.relations = [dict(s) for s in sources], list(concepts), list(relations)
+        self.rank = {s["path"]: (PRIORITIES.get(s["priority"], 2), s.get("fresh") or 0) for s in sources}
+        of = lambda c: self.rank.get(c["source_path"], (2, 0))
+        self.best = min(range(len(concepts)), key=lambda k: (of(concepts[k]), concepts[k]["locator"]), default=None)
+        self.required = {min(self.sources, key=lambda s: (self.rank[s["path"]], s["path"]))["path"]} if sources else set()
+        if self.best is not None:
+            self.required.add(concepts[self.best]["source_path"])
+        self.where = {c["locator"]: k for k, c in enumerate(concepts)}
+        self.kept = {"s": set(range(len(sources))), "c": set(range(len(concepts))), "r": set(range(len(relations)))}
+        self.bytes = {"s": [self._source(s) for s in self.sources], "c": [_encoded(c["locator"]) for c in concepts], "r": [_encoded(r) for r in relations]}
+        self.size = len('{"c": [], "r": [], "s": {}}') + sum(map(sum, self.bytes.values())) + sum(2 * max(0, len(x) - 1) for x in self.kept.values())
+        self.incident: dict[int, list[int]] = {}
+        for k, r in enumerate(relations):
+            for end in {self.where.get(r["from"]), self.where.get(r["to"])} - {None}:
+                self.incident.setdefault(end, []).append(k)
+        self.heap: list[tuple] = []
+        for k in range(len(self.sources)):
+            self._offer_source(k)
+        for k, c in enumerate(concepts):
+            if k != self.best:
+                self._offer((*of(c), _CONCEPT, k))
+        for k in range(len(relations)):
+            self._offer(self._relation(k))
+
+    @staticmethod
+    def _source(s: dict) -> int:
+        return _encoded(s["path"]) + 2 + _encoded(s[s["detail"]])
+
+    def _offer(self, key: tuple) -> None:
+        heapq.heappush(self.heap, tuple(-x for x in key))
+
+    def _offer_source(self, k: int) -> None:
+        s = self.sources[k]
+        if s["detail"] != LEVELS[-1]:
+            self._offer((*self.rank[s["path"]], _DEMOTE, k))
+        elif s["path"] not in self.required:
+            self._offer((*self.rank[s["path"]], _DROP, k))
+
+    def _relation(self, k: int) -> tuple:
+        ends = {self.where.get(self.relations[k][x]) for x in ("from", "to")} & self.kept["c"]
+        return (*min((self.rank.get(self.concepts[e]["source_path"], (2, 0)) for e in ends), default=(3, 1)), _RELATION, k)
+
+    def _remove(self, what: str, k: int) -> None:
+        self.kept[what].discard(k)
+        self.size -= self.bytes[what][k] + (2 if self.kept[what] else 0)
+
+    def step(self) -> bool:
+        """Lets the lowest-ranked item give way; False if nothing may."""
+        while self.heap:
+            key = tuple(-x for x in heapq.heappop(self.heap))
+            kind, k = key[2:]
+            if kind == _RELATION:
+                if k not in self.kept["r"] or self._relation(k) != key:
+                    continue
+                self._remove("r", k)
+            elif kind == _CONCEPT:
+                self._remove("c", k)
+                for r in self.incident.get(k, []):
+                    if r in self.kept["r"]:
+                        if {self.where.get(self.relations[r][x]) for x in ("from", "to")} & self.kept["c"]:
+                            self._offer(self._relation(r))
+                        else:
+                            self._remove("r", r)
+            elif kind == _DEMOTE:
+                s = self.sources[k]
+                s["detail"] = LEVELS[LEVELS.index(s["detail"]) + 1]
+                self.size += self._source(s) - self.bytes["s"][k]
+                self.bytes["s"][k] = self._source(s)
+                self._offer_source(k)
+            else:
+                self._remove("s", k)
+            return True
+        return False
+
+    def fit(self, budget_bytes: int) -> bool:
+        """Whether what is left fits; otherwise nothing does."""
+        while self.size > budget_bytes:
+            if not self.step():
+                return False
+        return True
+
+
+def _encoded(value) -> int:
+    return len(json.dumps(value, ensure_ascii=False, sort_keys=True).encode())
+
+
 def fit_joint(sources: list[dict], concepts: list[dict], relations: list[dict], budget_bytes: int) -> dict[str, list]:
     """One budget over sources, concepts and relations. The lowest-ranked choice yields first: relations, then
-    source detail, concepts, whole sources. The best source and best concept, with its source, always stay."""
-    rank = {"high": 0, "medium": 1, "low": 2}
-    state = {"sources": [dict(s) for s in sources], "concepts": list(concepts), "relations": list(relations)}
-    of_source = {s["path"]: rank.get(s["priority"], 2) for s in sources}
-    best = min(concepts, key=lambda c: (of_source.get(c["source_path"], 2), c["locator"]), default=None)
-    keep_sources = {min(sources, key=lambda s: (rank.get(s["priority"], 2), s["path"]))["path"]} if sources else set()
-    if best is not None:
-        keep_sources.add(best["source_path"])
+    source detail, concepts, whole sources. The best source and best concept, with its source, always stay; a relation
+    goes with the last of its concepts. {} where even those don't fit."""
+    fit = JointFit(sources, concepts, relations)
+    if not fit.fit(budget_bytes):
+        return {}
+    return {name: [all_[k] for k in sorted(fit.kept[x])] for name, x, all_ in (("sources", "s", fit.sources), ("concepts", "c", fit.concepts), ("relations", "r", fit.relations))}
 
-    def size() -> int:
-        value = {"c": [c["locator"] for c in state["concepts"]], "r": state["relations"], "s": {s["path"]: s[s["detail"]] for s in state["sources"]}}
-        return len(json.dumps(value, ensure_ascii=False, sort_keys=True).encode())
-
-    while size() > budget_bytes:
-        choices = []
-        for k, s in enumerate(state["sources"]):
-            if s["detail"] != LEVELS[-1]:
-                choices.append(((of_source[s["path"]], 4, k), "demote"))
-            elif s["path"] not in keep_sources:
-                choices.append(((of_source[s["path"]], 2, k), "drop"))
-        choices += [((of_source.get(c["source_path"], 2), 3, k), "concept") for k, c in enumerate(state["concepts"]) if c is not best]
-        where = {c["locator"]: of_source.get(c["source_path"], 2) for c in state["concepts"]}
-        choices += [((min((where[x] for x in (r["from"], r["to"]) if x in where), default=3), 5, k), "relation") for k, r in enumerate(state["relations"])]
-        if not choices:
-            return {}
-        (_, _, k), what = max(choices)
-        if what == "demote":
-            s = state["sources"][k]
-            s["detail"] = LEVELS[LEVELS.index(s["detail"]) + 1]
-        else:
-            state[{"drop": "sources", "concept": "concepts", "relation": "relations"}[what]].pop(k)
-            if what == "concept":
-                names = {c["locator"] for c in state["concepts"]}
-                state["relations"] = [r for r in state["relations"] if r["from"] in names or r["to"] in names]
-    return state
+
+def fit_joint_requests(entries: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(request, kind, item, detail, omitted) of many requests, each in its own group.
+
+    entries: request, kind (source, concept, relation), item (path, locator or key), place, priority, fresh (lower is
+    fresher), detail, deep, slim, summary, source_path, from, to; budgets: request, tokens of four bytes. Where a request's
+    best source and concept don't fit, everything is omitted.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.astype(object).where(frame.notna(), None).sort_values("place").to_dict("records")
+        of = lambda kind: [r for r in rows if r["kind"] == kind]
+        sources = [{"path": r["item"]} | {c: r[c] for c in ("priority", "fresh", "detail", *LEVELS)} for r in of("source")]
+        concepts = [{"locator": r["item"], "source_path": r["source_path"]} for r in of("concept")]
+        relations = [{"key": r["item"], "from": r["from"], "to": r["to"]} for r in of("relation")]
+        left = fit_joint(sources, concepts, relations, int(rows[0]["tokens"]) * 4)
+        detail = {("source", s["path"]): s["detail"] for s in left.get("sources", [])} | {("concept", c["locator"]): None for c in left.get("concepts", [])} | {("relation", r["key"]): None for r in left.get("relations", [])}
+        return pd.DataFrame([(r["request"], r["kind"], r["item"], detail.get((r["kind"], r["item"])), (r["kind"], r["item"]) not in detail) for r in rows], columns=["request", "kind", "item", "detail", "omitted"])
+
+    kind = entries.schema["request"].dataType.simpleString()
+    return entries.join(budgets, "request").groupBy("request").applyInPandas(run, f"request {kind}, kind string, item string, detail string, omitted boolean")

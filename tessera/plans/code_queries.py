@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import api_schemas, arguments, flows, graph, imports, ledger, maintenance, scopes, typed_graph
+from ..operators import api_schemas, arguments, flows, graph, imports, ledger, maintenance, scopes, scoring, typed_graph
 from ..sources.api_exports import export_facts
 from ..sources.python_scopes import python_facts
 from .queries import query
@@ -330,3 +330,18 @@ def typed_edges(t):
 SELECT kind, count(*) AS edges, CAST(sum(observed) AS BIGINT) AS observed, CAST(sum(emitted) AS BIGINT) AS emitted, CAST(sum(observed) - sum(emitted) AS BIGINT) AS omitted FROM g GROUP BY kind""")
 def typed_edge_coverage(t):
     return typed_graph.coverage(_graph(t)[0])
+
+
+# Budgets -----------------------------------------------------------------------------------------------------
+
+#: Every customer's request: its orders as sources and as concepts, and a relation between each two that follow each other.
+_WANTED = """SELECT o_custkey AS request, 'source' AS kind, 's' || o_orderkey AS item, CAST(o_orderkey AS BIGINT) AS place, CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority, CAST(o_orderkey % 2 AS BIGINT) AS fresh, 'deep' AS detail, repeat('d', CAST(o_orderkey % 90 AS INT)) AS deep, repeat('s', CAST(o_orderkey % 30 AS INT)) AS slim, 'x' AS summary, CAST(NULL AS VARCHAR) AS source_path, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b FROM orders
+UNION ALL SELECT o_custkey, 'concept', 'c' || o_orderkey, CAST(o_orderkey AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, 's' || o_orderkey, NULL, NULL FROM orders
+UNION ALL SELECT o_custkey, 'relation', 'r' || o_orderkey, CAST(o_orderkey AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'c' || o_orderkey, 'c' || lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) FROM orders"""
+
+
+@query()
+def joint_budgets(t):
+    entries = frame(t, _WANTED).withColumnsRenamed({"a": "from", "b": "to"})
+    budgets = frame(t, "SELECT c_custkey AS request, 40 + c_custkey % 100 AS tokens FROM customer")
+    return scoring.fit_joint_requests(entries, budgets)

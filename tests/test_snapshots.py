@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -199,3 +200,58 @@ def test_streaming_matches_batch(spark, tmp_path):
     stream = streams.windowed(streams.event_stream(spark, str(tmp_path / "in"), schema), late="3650 days")
     got = streams.drain(stream, "windows", str(tmp_path / "cp"), "complete")
     assert got.agg({"n": "sum"}).first()[0] == events.count()
+
+
+def plain_joint(sources, concepts, relations, budget):
+    """Joint fit by looking at every choice and encoding everything at each step."""
+    sources, concepts, relations = [dict(s) for s in sources], list(concepts), list(relations)
+    rank = {s["path"]: ({"high": 0, "medium": 1, "low": 2}[s["priority"]], s["fresh"]) for s in sources}
+    of = lambda c: rank.get(c["source_path"], (2, 0))
+    best = min(concepts, key=lambda c: (of(c), c["locator"]), default=None)
+    required = {min(sources, key=lambda s: (rank[s["path"]], s["path"]))["path"]} if sources else set()
+    required |= {best["source_path"]} if best else set()
+    size = lambda: len(json.dumps({"c": [c["locator"] for c in concepts], "r": relations, "s": {s["path"]: s[s["detail"]] for s in sources}}, ensure_ascii=False, sort_keys=True).encode())
+    while size() > budget:
+        choices = [((*rank[s["path"]], 4, k), sources, s) for k, s in enumerate(sources) if s["detail"] != "summary"]
+        choices += [((*rank[s["path"]], 2, k), sources, s) for k, s in enumerate(sources) if s["detail"] == "summary" and s["path"] not in required]
+        choices += [((*of(c), 3, k), concepts, c) for k, c in enumerate(concepts) if c is not best]
+        held = {c["locator"]: of(c) for c in concepts}
+        choices += [((*min((held[x] for x in (r["from"], r["to"]) if x in held), default=(3, 1)), 5, k), relations, r) for k, r in enumerate(relations)]
+        if not choices:
+            return {}
+        _, where, item = max(choices, key=lambda c: c[0])
+        if where is sources and item["detail"] != "summary":
+            item["detail"] = {"deep": "slim", "slim": "summary"}[item["detail"]]
+        else:
+            where.remove(item)
+            if where is concepts:
+                was, names = {item["locator"]}, {c["locator"] for c in concepts}
+                relations[:] = [r for r in relations if not ({r["from"], r["to"]} & was) or {r["from"], r["to"]} & names]
+    return {"sources": sources, "concepts": concepts, "relations": relations}
+
+
+def some_request(rng):
+    paths = [f"p{k}" for k in range(rng.randint(0, 6))]
+    sources = [{"path": p, "priority": rng.choice(["high", "medium", "low"]), "fresh": rng.randint(0, 1), "detail": rng.choice(["deep", "slim"]), "deep": "dü" * rng.randint(10, 40), "slim": "s" * rng.randint(5, 20), "summary": "x"} for p in paths]
+    concepts = [{"locator": f"c{k}", "source_path": rng.choice([*paths, "elsewhere"])} for k in range(rng.randint(0, 6))]
+    relations = [{"key": f"r{k}", "from": rng.choice(["c0", "c1", "c2", "none"]), "to": rng.choice(["c2", "c3", "other"])} for k in range(rng.randint(0, 6))]
+    return sources, concepts, relations
+
+
+def test_joint_budget_equals_the_plain_way(spark):
+    rng, wanted, entries, budgets = random.Random(4), {}, [], []
+    for n in range(250):
+        sources, concepts, relations = some_request(rng)
+        budget = rng.randint(4, 120) * 4
+        plain = plain_joint(sources, concepts, relations, budget)
+        assert scoring.fit_joint(sources, concepts, relations, budget) == plain, n
+        if n % 10 == 0 and sources:
+            place = iter(range(1000))
+            entries += [(n, "source", s["path"], next(place), s["priority"], s["fresh"], s["detail"], s["deep"], s["slim"], s["summary"], None, None, None) for s in sources]
+            entries += [(n, "concept", c["locator"], next(place), *[None] * 6, c["source_path"], None, None) for c in concepts]
+            entries += [(n, "relation", r["key"], next(place), *[None] * 7, r["from"], r["to"]) for r in relations]
+            budgets.append((n, budget // 4))
+            wanted |= {(n, "source", s["path"]): s["detail"] for s in plain.get("sources", [])} | {(n, "concept", c["locator"]): None for c in plain.get("concepts", [])} | {(n, "relation", r["key"]): None for r in plain.get("relations", [])}
+    shape = "request int, kind string, item string, place int, priority string, fresh int, detail string, deep string, slim string, summary string, source_path string, `from` string, `to` string"
+    got = scoring.fit_joint_requests(spark.createDataFrame(entries, shape), spark.createDataFrame(budgets, "request int, tokens int")).collect()
+    assert len(got) == len(entries) and {(r.request, r.kind, r.item): r.detail for r in got if not r.omitted} == wanted
