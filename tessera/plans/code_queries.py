@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import api_schemas, arguments, flows, graph, imports, ledger, maintenance, scopes, scoring, typed_graph
 from ..sources.api_exports import export_facts
 from ..sources.python_scopes import python_facts
+from ..sources.yaml_streams import infrastructure_resources as resources_in
 from .queries import query
 from .wiki_queries import frame
 
@@ -345,3 +346,27 @@ def joint_budgets(t):
     entries = frame(t, _WANTED).withColumnsRenamed({"a": "from", "b": "to"})
     budgets = frame(t, "SELECT c_custkey AS request, 40 + c_custkey % 100 AS tokens FROM customer")
     return scoring.fit_joint_requests(entries, budgets)
+
+
+# Infrastructure files ----------------------------------------------------------------------------------------
+
+
+def _lines(*lines: str) -> str:
+    return " || ".join("'" + x.replace("{k}", "' || p_partkey || '").replace("{size}", "' || p_size || '").replace("{five}", "' || (p_partkey % 5) || '") + "' || chr(10)" for x in lines)
+
+
+_MANIFEST = _lines("apiVersion: apps/v1", "kind: Deployment", "metadata:", "  name: d{k}", "  namespace: n{five}", "spec:", "  replicas: {size}", "---", "apiVersion: v1", "kind: Service", "metadata:", "  name: s{k}", "spec:", "  ports:", "  - port: 80", "  - port: {size}")
+_SERVICES = _lines("base: &b", "  image: i{k}", "services:", "  one:", "    <<: *b", "  two:", "    <<: *b", "    image: own")
+_YAML = f"""SELECT 'k8s/p' || p_partkey || '.yaml' AS path, {_MANIFEST} || CASE WHEN p_partkey % 10 = 3 THEN 'kind: Again' || chr(10) ELSE '' END AS content FROM part
+UNION ALL SELECT 'c' || p_partkey || '/docker-compose.yml', {_SERVICES} FROM part WHERE p_partkey % 4 = 0"""
+
+
+@query("""SELECT path, CAST(document AS BIGINT) AS document, adapter, kind, name, scope, facts FROM (
+SELECT 'k8s/p' || p_partkey || '.yaml' AS path, 0 AS document, 'kubernetes' AS adapter, 'Deployment' AS kind, 'd' || p_partkey AS name, 'n' || (p_partkey % 5) AS scope, 'api=apps/v1;replicas=' || p_size AS facts FROM part WHERE p_partkey % 10 <> 3
+UNION ALL SELECT 'k8s/p' || p_partkey || '.yaml', 1, 'kubernetes', 'Service', 's' || p_partkey, '', 'api=v1;ports=80,' || p_size FROM part WHERE p_partkey % 10 <> 3
+UNION ALL SELECT 'k8s/p' || p_partkey || '.yaml', NULL, NULL, 'refused', 'a repeated key', '', '' FROM part WHERE p_partkey % 10 = 3
+UNION ALL SELECT 'c' || p_partkey || '/docker-compose.yml', 0, 'compose', 'service', name, '', 'image=' || CASE name WHEN 'one' THEN 'i' || p_partkey ELSE 'own' END FROM part, (VALUES ('one'), ('two')) v(name) WHERE p_partkey % 4 = 0)""")
+def infrastructure_resources(t):
+    found = resources_in(frame(t, _YAML))
+    facts = F.array_join(F.transform(F.array_sort(F.map_entries("facts")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select("path", F.col("document").cast("bigint").alias("document"), "adapter", "kind", "name", "scope", facts.alias("facts"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import utf8_truncate
 from ..operators.relationships import nearest_scope
+from .yaml_streams import compose
 
 EVENT_SCHEMA = "ts string, event string, strict boolean, passed boolean, exit_code int, duration_ms bigint, issue_count int, knowledge_summary string"
 
@@ -388,40 +389,12 @@ def api_routes(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ROUTES)
 
 
-def bounded_yaml(text: str, most_bytes: int = 1 << 20, most_nodes: int = 50_000, most_depth: int = 64):
-    """A YAML document as plain values. Too large, too deep, aliases, own tags, repeated keys and several documents are errors."""
-    try:
-        import yaml
-    except ImportError as lacking:  # an optional library
-        raise ValueError("YAML isn't supported here") from lacking
-    if len(text.encode()) > most_bytes:
-        raise ValueError("YAML over its size limit")
-    depth = nodes = documents = 0
-    try:
-        for event in yaml.parse(text, Loader=yaml.SafeLoader):
-            nodes += isinstance(event, yaml.events.NodeEvent)
-            documents += isinstance(event, yaml.events.DocumentStartEvent)
-            depth += isinstance(event, yaml.events.CollectionStartEvent) - isinstance(event, yaml.events.CollectionEndEvent)
-            if isinstance(event, yaml.events.AliasEvent) or getattr(event, "anchor", None) or (getattr(event, "tag", None) or "!") != "!":
-                raise ValueError("YAML with aliases, anchors or tags")
-            if nodes > most_nodes or depth > most_depth or documents > 1:
-                raise ValueError("YAML over its limits")
-        return _plain(yaml.compose(text, Loader=yaml.SafeLoader), yaml)
-    except yaml.YAMLError as wrong:
-        raise ValueError(f"not YAML: {wrong}") from wrong
-
-
-def _plain(node, yaml):
-    if node is None:
-        return None
-    if isinstance(node, yaml.MappingNode):
-        out = {str(yaml.SafeLoader("").construct_object(k)): _plain(v, yaml) for k, v in node.value}
-        if len(out) != len(node.value):
-            raise ValueError("repeated key")
-        return out
-    if isinstance(node, yaml.SequenceNode):
-        return [_plain(v, yaml) for v in node.value]
-    return yaml.SafeLoader("").construct_object(node)
+def bounded_yaml(text: str, most_bytes: int = 1 << 20):
+    """The one document of a YAML text as plain JSON values; what `yaml_streams.compose` refuses, and several documents, are errors."""
+    documents = compose(text, typed=True, most_bytes=most_bytes)
+    if len(documents) > 1:
+        raise ValueError("several YAML documents")
+    return documents[0] if documents else None
 
 
 def inventory_json(spark: SparkSession, path: str) -> DataFrame:

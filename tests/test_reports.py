@@ -38,7 +38,8 @@ def test_bounded_yaml_and_exports(spark):
     pytest.importorskip("yaml")
     assert readers.bounded_yaml("a: 1\nb: [x, {c: true}]\n") == {"a": 1, "b": ["x", {"c": True}]}
     assert readers.bounded_yaml("") is None
-    for text in ("a: &x 1\nb: *x", "a: 1\na: 2", "!!python/object:x {}", "a: 1\n---\nb: 2", "[" * 99 + "]" * 99, "a: [", "x: " + "y" * 100):
+    assert readers.bounded_yaml("a: &x 1\non: *x\n12: 'no'") == {"a": 1, "on": 1, "12": "no"}
+    for text in ("a: 1\na: 2", "!!python/object:x {}", "a: 1\n---\nb: 2", "[" * 99 + "]" * 99, "a: [", "x: " + "y" * 100):
         with pytest.raises(ValueError):
             readers.bounded_yaml(text, most_bytes=300 if "y" * 50 not in text else 50)
     exports = spark.createDataFrame([("baseline", "paths:\n  /a:\n    get:\n      responses: {'200': {}}\n"), ("candidate", '{"paths": {"/a": {"get": {"responses": {"404": {}}}}}}')], "side string, document string")
