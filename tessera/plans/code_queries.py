@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import api_schemas, arguments, flows, graph, imports, ledger, maintenance, scopes, scoring, typed_graph
+from ..operators import api_schemas, arguments, flows, graph, imports, ledger, maintenance, publication, scopes, scoring, typed_graph
 from ..sources.api_exports import export_facts
 from ..sources.python_scopes import python_facts
 from ..sources.yaml_streams import infrastructure_resources as resources_in
@@ -370,3 +370,53 @@ def infrastructure_resources(t):
     found = resources_in(frame(t, _YAML))
     facts = F.array_join(F.transform(F.array_sort(F.map_entries("facts")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return found.select("path", F.col("document").cast("bigint").alias("document"), "adapter", "kind", "name", "scope", facts.alias("facts"))
+
+
+# Publication -------------------------------------------------------------------------------------------------
+
+#: A topic a customer: those of 0 by 7 are retired, of 1 by 7 new; by 3 an input changes, by 5 it is lost, by 11 the target.
+_TOPIC_ROWS = "SELECT 'baseline' AS side, c_custkey AS k FROM customer WHERE c_custkey % 7 <> 1 UNION ALL SELECT 'candidate', c_custkey FROM customer WHERE c_custkey % 7 <> 0"
+_TOPICS = f"SELECT side, 't' || k AS topic, 'o' AS owner, 'p' || k AS wiki_page, CAST(NULL AS VARCHAR) AS anchor, 'wiki' AS edit_at FROM ({_TOPIC_ROWS})"
+_INPUTS = f"SELECT side, 't' || k AS topic, 'd' AS dependency, 'arch/' || k AS page, CASE WHEN side = 'baseline' THEN 'h' || k WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN 'x' || k ELSE 'h' || k END AS hash FROM ({_TOPIC_ROWS})"
+_TARGETS = f"SELECT side, 't' || k AS topic, CASE WHEN side = 'candidate' AND k % 11 = 0 THEN 'missing' ELSE 'available' END AS state, CASE WHEN side = 'baseline' OR k % 11 <> 0 THEN 'g' || k END AS hash FROM ({_TOPIC_ROWS})"
+_FOUND_TOPICS = """t AS (SELECT c_custkey AS k, c_custkey % 7 = 0 AS gone, c_custkey % 7 = 1 AS fresh, CASE WHEN c_custkey % 7 = 0 THEN 'h' || c_custkey WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'x' || c_custkey ELSE 'h' || c_custkey END AS rest,
+CASE WHEN c_custkey % 7 = 0 THEN 'not-evaluated' WHEN c_custkey % 11 = 0 THEN 'missing' ELSE 'available' END AS state FROM customer),
+f AS (SELECT *, CASE WHEN NOT gone AND rest IS NULL THEN 'incomplete' ELSE 'needs-review' END AS status,
+'sha256:' || sha256(concat_ws(chr(31), 't' || k, 'o', 'p' || k, chr(28), 'wiki', 'd' || chr(30) || coalesce(rest, chr(28)), state, CASE state WHEN 'available' THEN 'g' || k ELSE chr(28) END, 'pinned', 'v1', 'wiki')) AS basis,
+list_filter([CASE WHEN gone OR fresh OR rest IS NULL OR k % 3 = 0 THEN 'dependency-changed d' END, CASE WHEN rest IS NULL THEN 'evidence-unavailable d' END, CASE WHEN fresh THEN 'initial-review' END, CASE WHEN gone THEN 'mapping-retired' END, CASE state WHEN 'missing' THEN 'target missing' END,
+CASE WHEN gone OR fresh OR state = 'missing' THEN 'target-changed' END], lambda r: r IS NOT NULL) AS reasons FROM t)"""
+
+
+def _topic_findings(t) -> DataFrame:
+    pages = frame(t, f"SELECT side, 'arch/' || k AS path, 'u' || k AS uid FROM ({_TOPIC_ROWS})")
+    settings = frame(t, "SELECT DISTINCT CASE WHEN r_regionkey = 0 THEN 'baseline' ELSE 'candidate' END AS side, 'v1' AS release_tag, 'pinned' AS source_policy, 'wiki' AS destination FROM region")
+    return publication.topic_findings(frame(t, _TOPICS), frame(t, _INPUTS), pages, frame(t, _TARGETS), settings)
+
+
+@query(f"""WITH {_FOUND_TOPICS} SELECT 't' || k AS topic, status, gone AS retired, array_to_string(reasons, ';') AS reasons, basis AS review_basis FROM f WHERE len(reasons) > 0""")
+def topic_findings(t):
+    return _topic_findings(t).select("topic", "status", "retired", F.concat_ws(";", "reasons").alias("reasons"), "review_basis")
+
+
+@query(f"""WITH {_FOUND_TOPICS}, r AS (SELECT k, k % 2 = 0 AS good FROM t WHERE (k % 2 = 0 OR k % 4 = 1)), g AS (SELECT * FROM f WHERE len(reasons) > 0)
+SELECT 't' || r.k AS topic, CASE WHEN g.k IS NULL THEN 'idle' WHEN NOT good THEN 'stale' WHEN g.status = 'incomplete' OR NOT g.gone AND g.state <> 'available' THEN 'blocked' ELSE 'matched' END AS state, CASE WHEN t.gone THEN 'retired' ELSE 'still-current' END AS decision FROM r JOIN t USING (k) LEFT JOIN g ON g.k = r.k WHERE NOT good OR g.k IS NOT NULL
+UNION ALL SELECT 't' || g.k, 'missing', CASE WHEN g.gone THEN 'retired' ELSE 'still-current' END FROM g LEFT JOIN r ON r.k = g.k WHERE status = 'needs-review' AND NOT (coalesce(good, FALSE) AND (g.gone OR g.state = 'available'))""")
+def review_states(t):
+    found = graph.checkpointed(_topic_findings(t))
+    kept = found.filter("CAST(substring(topic, 2) AS BIGINT) % 2 = 0").select("topic", "owner", F.when(F.col("retired"), "retired").otherwise("still-current").alias("decision"), "review_basis")
+    old = frame(t, "SELECT 't' || c_custkey AS topic, 'o' AS owner, CASE WHEN c_custkey % 7 = 0 THEN 'retired' ELSE 'still-current' END AS decision, 'old' AS review_basis FROM customer WHERE c_custkey % 4 = 1")
+    return publication.review_states(found, kept.unionByName(old))
+
+
+_WIKI_FILES = "SELECT 'Page-' || p_partkey || '.md' AS path, CAST(p_size AS BIGINT) AS bytes FROM part UNION ALL SELECT CASE p_partkey % 3 WHEN 0 THEN 'sub/page-' || p_partkey || '.md' WHEN 1 THEN 'img/' || p_partkey || '.png' ELSE 'a?/' || p_partkey || '.md' END, 1 FROM part WHERE p_size = 9"
+_WIKI_LINKS = "SELECT 'Page-' || p_partkey || '.md' AS path, CASE p_partkey % 6 WHEN 0 THEN 'Page ' || (p_partkey * 2) WHEN 1 THEN 'page-' || p_partkey WHEN 2 THEN 'https://x/' || p_partkey WHEN 3 THEN 'Page-' || p_partkey || '#s' || (p_partkey % 4) WHEN 4 THEN 'img/' || p_partkey || '.png' ELSE '../up' END AS target, p_partkey % 6 = 4 AS image, FALSE AS wiki FROM part"
+
+
+@query(f"""WITH f AS ({_WIKI_FILES}), v AS (SELECT path FROM f WHERE path NOT LIKE '%?%'), r AS (SELECT path, replace(regexp_replace(path, '^.*/|[.]md$', '', 'g'), ' ', '-') AS route FROM v WHERE path LIKE '%.md'), k AS (SELECT lower(route) AS key, count(*) AS n, min(route) AS served FROM r GROUP BY 1),
+l AS (SELECT path, target, replace(regexp_replace(target, '#.*$', ''), ' ', '-') AS name FROM ({_WIKI_LINKS}) WHERE target NOT LIKE 'https%' AND target NOT LIKE '../%'), j AS (SELECT l.*, v.path AS exact, k.served FROM l LEFT JOIN v ON v.path = l.name LEFT JOIN k ON k.key = lower(name))
+SELECT path, 'invalid-path' AS kind, '' AS detail FROM f WHERE path LIKE '%?%' UNION ALL SELECT 'Home.md', 'missing-home', '' UNION ALL SELECT path, 'route-collision', key FROM r JOIN k ON key = lower(route) WHERE n > 1
+UNION ALL SELECT path, 'unsafe-link', target FROM ({_WIKI_LINKS}) WHERE target LIKE '../%' UNION ALL SELECT path, 'missing-link', target FROM j WHERE exact IS NULL AND served IS NULL UNION ALL SELECT path, 'unsafe-link', target FROM j WHERE exact IS NULL AND served <> name
+UNION ALL SELECT path, 'missing-anchor', target FROM j WHERE served = name AND target LIKE '%#%' AND target NOT LIKE '%#s3' """)
+def wiki_problems(t):
+    anchors = frame(t, "SELECT 'Page-' || p_partkey || '.md' AS path, 's3' AS anchor FROM part UNION ALL SELECT 'sub/page-' || p_partkey || '.md', 's3' FROM part")
+    return publication.wiki_problems(frame(t, _WIKI_FILES), frame(t, _WIKI_LINKS), anchors)
