@@ -6,9 +6,9 @@ words in a row (winnowing). So chunks have at most WINDOW words, and where they
 alone. A passage runs from where a chunk begins to the first chunk end at least LEAST_WORDS words and LEAST_BYTES
 bytes on, or back from a line's end by as much. A repeated run of 4 * WINDOW - 2 words and one passage (19 words at
 most where LEAST_BYTES doesn't lengthen it), so of 49, holds whole passages wherever it stands in a line; a
-repeated line, or run of lines, is covered from end to end. A passage that occurs more than once in the corpus is
-kept where it occurs first (by document id and place) and removed where else the 128-bit BLAKE2b digests of
-its bytes agree.
+repeated line, or run of lines, is covered from end to end. Passages whose hashes repeat are candidates; they meet by
+their bytes, whole. A passage that occurs more than once in the corpus is kept where it occurs first (by document id
+and place) and removed wherever else its bytes are the same.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ WINDOW, LEAST_WORDS, LEAST_BYTES = 8, 12, 60
 #: Bits of a filter of hashes for each of them, and in all at most (32 MB, whatever the corpus); bits of a block of it.
 BITS_EACH, FILTER_BITS, BLOCK_BITS, PROBES = 16, 1 << 28, 1 << 20, 3
 BUCKETS = 1 << 12
-#: A passage counted so often (at most twice a batch) is common; of those the commonest, and the tasks their places go to.
+#: A passage counted so often (at most twice a batch that has it less often) is common; of those the commonest, and the tasks their places go to.
 OFTEN, MOST_COMMON, SALTS = 64, 100_000, 256
 SLICE = 1 << 20
+#: Passages of more bytes than this travel as their SHA-256; candidates that are sent together.
+LONG_PASSAGE, SENT = 1 << 16, 1 << 16
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -106,13 +108,15 @@ def _passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         return u, u, u, h
     n = len(u)
     where = np.append(u, len(data))
+    stops = where.copy()  # where what ends before a word ends: at the next word, or with its text
+    stops[rows[:0:-1]] = offsets[:0:-1]
     ends = np.append(cuts, n)
     row_of = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    j = np.maximum(np.searchsorted(ends, cuts + LEAST_WORDS), np.searchsorted(where[ends], where[cuts] + LEAST_BYTES))
+    j = np.maximum(np.searchsorted(ends, cuts + LEAST_WORDS), np.searchsorted(stops[ends], where[cuts] + LEAST_BYTES))
     fits = j < len(ends)
     a, b = cuts[fits], ends[j[fits]]
     line_ends = np.append(np.flatnonzero(first)[1:], n)
-    j = np.minimum(np.searchsorted(ends, line_ends - LEAST_WORDS, "right"), np.searchsorted(where[ends], where[line_ends] - LEAST_BYTES, "right")) - 1
+    j = np.minimum(np.searchsorted(ends, line_ends - LEAST_WORDS, "right"), np.searchsorted(where[ends], stops[line_ends] - LEAST_BYTES, "right")) - 1
     a, b = np.concatenate((a, ends[j[j >= 0]])), np.concatenate((b, line_ends[j >= 0]))
     row = row_of[a]
     whole = b <= rows[row + 1]
@@ -143,7 +147,7 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _repeated_hashes(rows: DataFrame) -> DataFrame:
-    """Rows (hash, n): the passage hashes that occur more than once, and how often, at most two of a batch counted.
+    """Rows (hash, n): the passage hashes that occur more than once, and how often; of a batch two are counted, or OFTEN.
 
     Hashes travel packed, BUCKETS by their low bits.
     """
@@ -152,7 +156,8 @@ def _repeated_hashes(rows: DataFrame) -> DataFrame:
         for batch in batches:
             parts = [_passages(data, offsets)[3] for _, data, offsets in _slices(string_column(batch, "text"))]
             found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
-            found = np.concatenate((found, found[n > 1]))  # twice says enough
+            # Twice says enough, but one that is common within a batch is common, however few batches there are.
+            found = np.concatenate((found, found[n > 1], np.repeat(found[n >= OFTEN], OFTEN - 2)))
             bucket = found & (BUCKETS - 1)
             order = np.argsort(bucket, kind="stable")
             names, at = np.unique(bucket[order], return_index=True)
@@ -189,8 +194,20 @@ def filter_of(repeated: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _bytes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of ranges that begin with a word, without the white space at their ends."""
+    words = np.maximum.accumulate(np.where(SPACE[data], 0, np.arange(len(data))))
+    size = words[end - 1] + 1 - start if len(end) else end
+    if size.max(initial=0) > LONG_PASSAGE:  # a word of many kilobytes is in it
+        whole = [data[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist())]
+        return pa.array([b if len(b) <= LONG_PASSAGE else hashlib.sha256(b).digest() for b in whole], pa.binary())
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+    taken = data[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(taken))])
+
+
 def _candidates(rows: DataFrame, shared) -> DataFrame:
-    """A row per passage that passes the filter, with the digest of its bytes and whether its hash is a common one.
+    """A row per passage that passes the filter, with its bytes and whether its hash is a common one.
 
     start and end are in characters; `shared` is the broadcast filter with the common hashes in order.
     """
@@ -200,18 +217,17 @@ def _candidates(rows: DataFrame, shared) -> DataFrame:
         bits, common = shared.value
         for batch in batches:
             for low, data, offsets in _slices(string_column(batch, "text")):
-                row, start, end, h = _passages(data, offsets)
-                some = passes(bits, h)
-                row, start, end, h = row[some], start[some], end[some], h[some]
-                at = np.searchsorted(common, h)
-                known = common[np.minimum(at, len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
+                found = _passages(data, offsets)
+                some = passes(bits, found[3])
                 chars = np.concatenate((np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)))
-                raw = data.tobytes()
-                digest = pa.array([hashlib.blake2b(raw[a:b].rstrip(), digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())], pa.binary())
-                take, base = pa.array(row + low, pa.int64()), chars[offsets[row]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(chars[start] - base), pa.array(chars[end] - base), digest, pa.array(known)], names=["doc_id", "rid", "start", "end", "digest", "common"])
+                for at in range(0, int(some.sum()), SENT):
+                    row, start, end, h = (x[some][at : at + SENT] for x in found)
+                    near = np.searchsorted(common, h)
+                    known = common[np.minimum(near, len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
+                    take, base = pa.array(row + low, pa.int64()), chars[offsets[row]]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(chars[start] - base), pa.array(chars[end] - base), _bytes_of(data, start, end), pa.array(known)], names=["doc_id", "rid", "start", "end", "passage", "common"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, rid bigint, start bigint, end bigint, digest binary, common boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, rid bigint, start bigint, end bigint, passage binary, common boolean")
 
 
 def _merged(removed: DataFrame) -> DataFrame:
@@ -251,13 +267,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     candidates = materialize(_candidates(rows, shared), "passages")
     shared.destroy()
     release(repeated)
-    # Places meet by digest, and the first in order is the one kept. Those of a common passage are dealt over SALTS
+    # Places meet by their passage's bytes, and the first in order is the one kept. Those of a common passage are dealt over SALTS
     # tasks; the place that is kept of each comes from partial minima.
     place = F.struct("doc_id", "rid", "start", "end")
-    first = sized(candidates.filter("common").groupBy("digest").agg(F.min(place).alias("least")), "kept")
+    first = sized(candidates.filter("common").groupBy("passage").agg(F.min(place).alias("least")), "kept")
     salt = F.when(F.col("least").isNotNull(), F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS))).otherwise(0)
-    marked = candidates.join(first, "digest", "left").withColumn("salt", salt)
-    in_order = Window.partitionBy("digest", "salt").orderBy("doc_id", "rid", "start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    marked = candidates.join(first, "passage", "left").withColumn("salt", salt)
+    in_order = Window.partitionBy("passage", "salt").orderBy("doc_id", "rid", "start", "end").rowsBetween(Window.unboundedPreceding, 0)
     same = marked.withColumn("kept", F.coalesce("least", F.first(place).over(in_order)))
     at_kept = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.rid") == F.col("rid")) & (F.col("kept.end") > F.col("start"))
     removed = same.filter(~at_kept).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
