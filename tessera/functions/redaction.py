@@ -5,6 +5,8 @@ Letters, digits, white space and word bounds are those of Unicode, as in the pat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,23 +62,37 @@ def _java(pattern: str) -> str:
     return "(?U)" + out
 
 
+#: Some of these stands in any text that a pass matches, in lower case; of the last two both do.
+HINTS = ("bearer", "basic", "apikey", "token", "ghp", "gho", "ghu", "ghs", "ghr", "github_pat", "glpat-", "xox", "akia", "asia", "aiza", "sk-", "sk_", "rk_", "npm_", "pypi-", "eyj", "private", "api_key", "api-key", "api key", "auth", "secret", "credential", "password", "passwd", "pwd")
+#: Letters beyond ASCII that the patterns take for ASCII ones.
+FOLDED = ("\u017f", "\u212a", "\u0130", "\u0131")
+
+
+def may_hold_credential(column: Column) -> Column:
+    """Whether a text holds anything without which no pass matches: plain searches, no regular expression."""
+    low = F.lower(column)
+    uri = F.contains(column, F.lit("://")) & F.contains(column, F.lit("@"))
+    found = reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in HINTS] + [F.contains(column, F.lit(c)) for c in FOLDED])
+    return F.coalesce(found | uri, F.lit(False))
+
+
 def redacted(frame: DataFrame, column: str, clean: str = "clean", count: str = "redactions") -> DataFrame:
     """`frame` with the redacted text and the number of replacements; null text stays null, with none.
 
-    Ordered passes, each a projection over the one before: a text is scanned twice a pass, however many passes there
-    are. A second redaction changes nothing. Groups that didn't take part in a match are empty in a Java replacement,
-    so quotes are kept by naming both.
+    Ordered passes, each a projection over the one before; only texts that may hold a credential go through them, scanned
+    twice a pass. A second redaction changes nothing. Groups that didn't take part in a match are empty in a Java
+    replacement, so quotes are kept by naming both.
     """
-    out = frame.withColumns({clean: F.col(column), count: F.lit(0)})
+    gate = f"{clean}_may_hold_credential"
+    out = frame.withColumns({clean: F.col(column), count: F.lit(0), gate: may_hold_credential(F.col(column))})
     for pattern, put in _steps():
         pattern = _java(pattern)
-        out = out.withColumns({count: F.col(count) + F.coalesce(F.regexp_count(clean, F.lit(pattern)), F.lit(0)), clean: F.regexp_replace(clean, pattern, put)})
-    return out
+        hits = F.when(F.col(gate), F.regexp_count(clean, F.lit(pattern))).otherwise(0)
+        out = out.withColumns({count: F.col(count) + hits, clean: F.when(F.col(gate), F.regexp_replace(clean, pattern, put)).otherwise(F.col(clean))})
+    return out.drop(gate)
 
 
 def has_credential(column: Column) -> Column:
     """Whether any pass would replace something: one scan per pattern, no replacement."""
-    found = F.lit(False)
-    for pattern, _ in _steps():
-        found = found | F.regexp_like(column, F.lit(_java(pattern)))
-    return found
+    found = reduce(lambda a, b: a | b, [F.regexp_like(column, F.lit(_java(pattern))) for pattern, _ in _steps()])
+    return may_hold_credential(column) & found
