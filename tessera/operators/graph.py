@@ -8,6 +8,7 @@ reachable from it within the depth limit.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,8 @@ from ..functions.hashing import digest
 from .bounds import clamp_limit
 
 FLOW_DEPTH, STEP_LIMIT = 6, 30
+#: Frontiers of a walk that are read side by side.
+MOST_FRONTIERS = 8
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -75,16 +78,19 @@ def incident(edges: DataFrame, node: str, direction: str = "both", kinds=None, o
 
 def reachable(edges: DataFrame, starts: DataFrame, source: str = "src", target: str = "dst", depth: int | None = None) -> DataFrame:
     """(node, depth) of all nodes that can be reached, with the fewest steps to them."""
-    seen = checkpointed(starts.select(F.col(starts.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)))
-    frontier, step = seen, 0
+    frontier = checkpointed(starts.select(F.col(starts.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)))
+    found, step = [frontier], 0  # one written frontier a step; what was seen is their union, and is written anew only now and then
     while depth is None or step < depth:
         step += 1
+        seen = reduce(DataFrame.unionByName, found)
+        if len(found) > MOST_FRONTIERS:
+            found = [seen := checkpointed(seen)]
         nodes = frontier.join(edges, frontier["node"] == edges[source]).select(F.col(target).alias("node")).distinct()
         frontier = checkpointed(nodes.join(seen, "node", "left_anti").withColumn("depth", F.lit(step)))
         if frontier.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen
+        found.append(frontier)
+    return reduce(DataFrame.unionByName, found)
 
 
 def reachable_pages(pages: DataFrame, index: str = "index.md") -> DataFrame:
