@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.hashing import canonical_json, digest
+from ..functions.hashing import canonical_json, corpus_identity
+from .graph import checkpointed
 from .relationships import touching
 
 
@@ -91,20 +92,36 @@ def required_fields(schema, document: dict, seen: frozenset = frozenset()) -> tu
     return out, unknown
 
 
-def impact(changed: DataFrame, pages: DataFrame, edges: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
-    """(section, item) of all that a change set reaches, and one identity row over them.
+# Files that declare dependencies.
+MANIFESTS = r"(^|/)(pyproject\.toml|setup\.(py|cfg)|requirements[^/]*\.(txt|in)|Pipfile|package\.json|go\.mod|Cargo\.toml|[^/]+\.cabal|stack\.yaml)$"
 
-    pages: source, page; operations: handler, operation; findings: path, rule.
+
+def impact(changed: DataFrame, pages: DataFrame, edges: DataFrame, operations: DataFrame, findings: DataFrame, concepts: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """(section, item) of all that a change set (path) reaches, and one identity row over them.
+
+    pages: source, page; edges: src, dst; operations: handler, operation; findings: path, rule; concepts: locator,
+    source_path; relations: key, source, target, both locators. A concept is reached if its source has changed, a relation
+    if either end has; manifests among the changed paths are a section of their own. The identity is a digest over all
+    rows in order, so it tells any two results apart.
     """
     c = changed.select("path").distinct()
-    hit = pages.join(c.withColumnRenamed("path", "source"), "source", "left_semi").select(F.lit("page").alias("section"), F.col("page").alias("item"))
+    own = lambda section, df, source, item: df.join(c.withColumnRenamed("path", source), source, "left_semi").select(F.lit(section).alias("section"), F.col(item).alias("item"))
     near = touching(edges, c).select(F.lit("edge").alias("section"), F.concat_ws(" -> ", "src", "dst").alias("item"))
-    served = operations.join(c.withColumnRenamed("path", "handler"), "handler", "left_semi").select(F.lit("operation").alias("section"), F.col("operation").alias("item"))
     found = findings.join(c, "path", "left_semi").select(F.lit("finding").alias("section"), F.concat_ws(" ", "rule", "path").alias("item"))
-    rows = hit.unionByName(near).unionByName(served).unionByName(found).distinct()
-    # The identity sums digests, so it needs no order and no gathering.
-    total = rows.agg(F.sum(F.conv(F.substring(F.sha2(F.concat_ws("\x1f", "section", "item"), 256), 1, 12), 16, 10).cast("decimal(38,0)")).alias("s"))
-    return rows.unionByName(total.select(F.lit("identity").alias("section"), digest(F.coalesce(F.col("s").cast("string"), F.lit("0"))).alias("item")))
+    rows = own("page", pages, "source", "page").unionByName(near).unionByName(own("operation", operations, "handler", "operation")).unionByName(found)
+    rows = rows.unionByName(c.filter(F.col("path").rlike(MANIFESTS)).select(F.lit("manifest").alias("section"), F.col("path").alias("item")))
+    if concepts is not None:
+        rows = rows.unionByName(own("concept", concepts, "source_path", "locator"))
+        if relations is not None:
+            ends = concepts.join(c.withColumnRenamed("path", "source_path"), "source_path", "left_semi").select("locator").distinct()
+            rows = rows.unionByName(touching(relations.select("key", "source", "target"), ends, "source", "target").select(F.lit("relation").alias("section"), F.col("key").alias("item")))
+    rows = checkpointed(rows.distinct())
+    return rows.unionByName(rows_identity(rows).select(F.lit("identity").alias("section"), F.col("corpus_id").alias("item")))
+
+
+def rows_identity(rows: DataFrame) -> DataFrame:
+    """One row: a digest over (section, item) in order; digested in the cluster, the sorted lines pass through the driver one by one."""
+    return corpus_identity(rows.select(F.concat_ws("\x1f", "section", F.coalesce("item", F.lit(""))).alias("path"), F.lit("").alias("content")))
 
 
 def broad_context(concepts: DataFrame, pages: DataFrame, relations: DataFrame, relevance: DataFrame, limits: tuple[int, int, int] = (20, 20, 40)) -> DataFrame:

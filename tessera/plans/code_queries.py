@@ -13,6 +13,7 @@ from ..sources.api_exports import export_facts
 from ..sources.python_scopes import python_facts
 from ..sources.yaml_streams import infrastructure_resources as resources_in
 from .queries import query
+from .surface import Knowledge
 from .wiki_queries import frame
 
 
@@ -420,3 +421,65 @@ UNION ALL SELECT path, 'missing-anchor', target FROM j WHERE served = name AND t
 def wiki_problems(t):
     anchors = frame(t, "SELECT 'Page-' || p_partkey || '.md' AS path, 's3' AS anchor FROM part UNION ALL SELECT 'sub/page-' || p_partkey || '.md', 's3' FROM part")
     return publication.wiki_problems(frame(t, _WIKI_FILES), frame(t, _WIKI_LINKS), anchors)
+
+
+# The named operations over the files' graph ------------------------------------------------------------------
+
+_PAGES = "SELECT 'module' AS kind, 'modules/m' || c_custkey || '.md' AS canonical_path, 'pkg/m' || c_custkey || '.py' AS source_path FROM customer UNION ALL SELECT 'flow', 'flows/m' || c_custkey || '.md', 'pkg/m' || c_custkey || '.py' FROM customer"
+
+
+def knowledge(t) -> Knowledge:
+    edges, concepts = _graph(t)
+    facts, resolved = _resolved(t)
+    callables = facts.filter("fact = 'binding' AND what = 'function'").select(F.col("path").alias("file"), "symbol").distinct()
+    imports_of = scopes.module_index(code_files(t)).withColumnRenamed("target", "dst")
+    linked = facts.filter("fact = 'binding' AND what = 'import'").select(F.col("path").alias("src"), "module").join(imports_of, "module").select("src", "dst").distinct()
+    return Knowledge(concepts=concepts, relationships=edges, graph_edges=edges, surface=frame(t, _PAGES), callables=callables, edges=arguments.call_edges(resolved), dependencies=linked, inventory=frame(t, _PAGES).select(F.col("source_path").alias("path"), F.col("canonical_path").alias("page")), declared=frame(t, _PAGES).limit(0).select(F.col("source_path").alias("source"), F.col("canonical_path").alias("page")))
+
+
+@query(f"""WITH {_MEANT}, a AS (SELECT {_HERE} AS file, from_symbol AS symbol, kind, count(*) AS calls FROM c WHERE to_path = 'pkg/m8.py' AND to_symbol = 'run' GROUP BY ALL),
+b AS (SELECT to_path AS file, coalesce(to_symbol, expression) AS symbol, CASE kind WHEN 'ambiguous' THEN 'unresolved' ELSE kind END AS kind, count(*) AS calls FROM c WHERE k = 8 AND from_symbol = 'run' GROUP BY ALL)
+SELECT 'caller' AS relation, file, symbol, kind, calls, count(*) OVER () AS total FROM a UNION ALL SELECT 'callee', file, symbol, kind, calls, count(*) OVER () FROM b
+UNION ALL SELECT 'page', canonical_path, NULL, 'page', 1, count(*) OVER () FROM ({_PAGES}) WHERE source_path = 'pkg/m8.py'""")
+def symbol_operation(t):
+    return knowledge(t).query("symbol", "pkg/m8.py:run", limit=40).select("relation", "file", "symbol", "kind", "calls", "total")
+
+
+_INCIDENT = f"""WITH {_OBSERVED}, e AS (SELECT kind, source, target, resolution, count(*) AS observed FROM o GROUP BY kind, source, target_kind, target, origin, resolution),
+b AS (SELECT 'out' AS direction, * FROM e WHERE source = 'c:pkg/m8.py:run' UNION ALL SELECT 'in', * FROM e WHERE target = 'c:pkg/m8.py:run')
+SELECT direction, kind, source, target, resolution, observed, count(*) OVER () AS total FROM b"""
+
+
+@query(_INCIDENT)
+def related_operation(t):
+    return knowledge(t).query("related", "c:pkg/m8.py:run", limit=60).select("direction", "kind", "source", "target", "resolution", "observed", "total")
+
+
+@query(_INCIDENT.replace("AS total FROM b", "AS total FROM b WHERE kind = 'calls' AND direction = 'in'"))
+def typed_operation(t):
+    return knowledge(t).query("typed", "c:pkg/m8.py:run", limit=60, direction="in", kinds=["calls"]).select("direction", "kind", "source", "target", "resolution", "observed", "total")
+
+
+@query(f"""WITH e AS (SELECT 'pkg/m' || c_custkey || '.py' AS src, 'pkg/m' || (c_custkey + 1) || '.py' AS dst FROM customer WHERE c_custkey + 1 IN (SELECT c_custkey FROM customer))
+SELECT 'inbound' AS direction, src AS neighbor, (SELECT count(*) FROM e x WHERE x.dst = e.src) AS fan_in, (SELECT count(*) FROM e x WHERE x.src = e.src) AS fan_out FROM e WHERE dst = 'pkg/m8.py'
+UNION ALL SELECT 'outbound', dst, (SELECT count(*) FROM e x WHERE x.dst = e.dst), (SELECT count(*) FROM e x WHERE x.src = e.dst) FROM e WHERE src = 'pkg/m8.py'""")
+def dependency_operation(t):
+    return knowledge(t).query("dependency", "pkg/m8.py").select("direction", "neighbor", "fan_in", "fan_out")
+
+
+@query(f"""SELECT kind, canonical_path, source_path FROM ({_PAGES}) WHERE kind = 'flow' ORDER BY canonical_path LIMIT 100""")
+def surface_operation(t):
+    return knowledge(t).query("surface", limit=100, kinds=["flow"]).select("kind", "canonical_path", "source_path")
+
+
+_REACHED = f"""{_OBSERVED}, h AS (SELECT 'pkg/m' || c_custkey || '.py' AS path FROM customer WHERE c_nationkey = 3), p AS (SELECT * FROM ({_CONCEPTS}) WHERE source_path IN (SELECT path FROM h)),
+d AS (SELECT 'pkg/m' || c_custkey || '.py' AS src, 'pkg/m' || (c_custkey + 1) || '.py' AS dst FROM customer WHERE c_custkey + 1 IN (SELECT c_custkey FROM customer)),
+x AS (SELECT 'page' AS section, canonical_path AS item FROM ({_PAGES}) WHERE source_path IN (SELECT path FROM h) UNION SELECT 'edge', src || ' -> ' || dst FROM d WHERE src IN (SELECT path FROM h) OR dst IN (SELECT path FROM h)
+UNION SELECT 'concept', locator FROM p UNION SELECT 'relation', 'sha256:' || sha256(concat_ws(chr(31), kind, source, target_kind, target, origin, resolution)) FROM o WHERE source IN (SELECT locator FROM p) OR target IN (SELECT locator FROM p))"""
+
+
+@query(f"""WITH {_REACHED} SELECT section, item, place, total FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY lower(item), item) AS place, count(*) OVER (PARTITION BY section) AS total FROM x) WHERE place <= 50
+UNION ALL SELECT 'identity', 'sha256:' || sha256(string_agg(section || chr(31) || item || '@' || sha256('') || chr(10), '' ORDER BY section || chr(31) || item)), 1, 1 FROM x""".replace("|| '@' ||", "|| chr(0) ||"))
+def impact_of_changes(t):
+    changed = frame(t, "SELECT 'pkg/m' || c_custkey || '.py' AS path FROM customer WHERE c_nationkey = 3")
+    return knowledge(t).query("impact", limit=50, changed=changed).select("section", "item", F.col("place").cast("bigint").alias("place"), "total")

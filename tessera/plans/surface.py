@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import declarations, diffs, graph, relationships
 from ..operators.bounds import bounded_per, clamp_limit
+from ..sources import readers
 
 COST = {"explain": "snapshot-index-only", "concept": "snapshot-index-only", "related": "snapshot-index-only", "surface": "snapshot-index-only", "typed": "snapshot-index-only", "symbol": "full-inventory", "entrypoint": "full-inventory", "flow-segment": "full-inventory", "dependency": "full-inventory", "impact": "targeted-extraction"}
 COMPONENTS = ("extractor", "lint_rule", "entrypoint_detector", "diagram_style", "prompt_template", "skill")
@@ -83,10 +84,13 @@ class Knowledge:
         near = graph.neighborhood(self.frames["dependencies"], value)
         return near.join(graph.degrees(self.frames["dependencies"]), F.col("neighbor") == F.col("node"), "left").drop("node").orderBy("direction", "neighbor").limit(limit)
 
-    def _impact(self, value, limit, changed: DataFrame | None = None):
-        """All sections a change set reaches (pages, edges, operations, findings), each up to the limit, and their identity."""
+    def _impact(self, value, limit, changed: DataFrame | None = None, patch: str | None = None):
+        """All sections a change set (paths, or a unified diff) reaches, each up to the limit, and their identity."""
+        if patch is not None:
+            named = {(p,) for path, old, _ in readers.diff_paths(patch) for p in (path, old) if p}
+            changed = self.frames["surface"].sparkSession.createDataFrame(sorted(named), "path string")
         pages = relationships.affected_pages(self.frames["inventory"], self.frames["surface"], self.frames["declared"])
         nothing = lambda columns: changed.limit(0).select(*[F.col("path").alias(c) for c in columns])
         given = lambda name, *columns: self.frames[name] if name in self.frames else nothing(columns)
-        rows = declarations.impact(changed, pages, given("dependencies", "src", "dst"), given("operations", "handler", "operation"), given("findings", "path", "rule"))
+        rows = declarations.impact(changed, pages, given("dependencies", "src", "dst"), given("operations", "handler", "operation"), given("findings", "path", "rule"), self.frames.get("concepts"), self.frames.get("graph_edges"))
         return bounded_per(rows, ["section"], [F.lower("item"), F.col("item")], limit)
