@@ -236,6 +236,7 @@ def _compose(root: dict, path: str) -> Iterator[tuple]:
 
 def adapter_of(path: str, root: dict) -> tuple[str, Callable] | None:
     """What kind of file a document of this path is; the first that fits."""
+    # The paths and top-level keys that tell the kinds apart, and their names.
     name, at = path.rsplit("/", 1)[-1], f"/{path}"
     config = name in ("config.yml", "config.yaml")
     tests = [
