@@ -40,6 +40,48 @@ def coverage(concepts: DataFrame, states: list[str] = FRESHNESS, evaluated: bool
     return rollup_counts(concepts, "kind", measures)
 
 
+# What the evidence of a concept can be.
+EVIDENCE = ["present", "missing", "invalid", "unknown", "not-applicable"]
+
+
+def concept_counts(concepts: DataFrame, evaluated: bool = True) -> DataFrame:
+    """(dimension, member, count) of concepts (kind, evidence, state): kinds that occur, every evidence state, every freshness
+    state; the latter's counts are null where freshness isn't evaluated."""
+    of = lambda name, df, column: df.select(F.lit(name).alias("dimension"), F.col(column).alias("member"), F.col("count"))
+    kinds = of("kind", concepts.groupBy("kind").agg(F.count("*").alias("count")), "kind")
+    evidence = of("evidence", zero_filled(concepts, "evidence", EVIDENCE, None), "evidence")
+    states = of("freshness", zero_filled(concepts, "state", FRESHNESS, None), "state")
+    if not evaluated:
+        states = states.withColumn("count", F.lit(None).cast("bigint"))
+    return kinds.unionByName(evidence).unionByName(states)
+
+
+def coverage_by_kind(concepts: DataFrame, kinds: list[str], evaluated: bool = True) -> DataFrame:
+    """Per kind (others together as `other`) and in total: concepts, modelled or not, compared, and modelled ones by state.
+
+    concepts: kind, modeled, compared, state. One that isn't modelled but compared is an error. Without an evaluation
+    nothing is compared and the states are null.
+    """
+    if not concepts.filter("compared AND NOT modeled").isEmpty():
+        raise ValueError("a concept that isn't modelled can't have been compared")
+    known = lambda c: c if evaluated else F.lit(None).cast("bigint")
+    folded = concepts.withColumn("kind", F.when(F.col("kind").isin(kinds), F.col("kind")).otherwise("other"))
+    measures = {
+        "total": F.count("*"),
+        "modeled": F.count_if(F.col("modeled")),
+        "unmodeled": F.count_if(~F.col("modeled")),
+        "compared": F.count_if(F.col("compared")) if evaluated else F.lit(0).cast("bigint"),
+        **{s.replace("-", "_"): known(F.count_if(F.col("modeled") & (F.col("state") == s))) for s in FRESHNESS},
+    }
+    return rollup_counts(folded, "kind", measures)
+
+
+def reason_histogram(concepts: DataFrame, reasons: list[str], evaluated: bool = True) -> DataFrame:
+    """(reason, count) of concepts' freshness reasons; codes that aren't among `reasons` count together as `other`."""
+    folded = concepts.withColumn("reason", F.when(F.col("reason").isin(reasons), F.col("reason")).otherwise("other"))
+    return (folded if evaluated else folded.limit(0)).groupBy("reason").agg(F.count("*").alias("count"))
+
+
 def percent(hits: Column, total: Column) -> Column:
     """A share in percent to one decimal; 100.0 of nothing."""
     return F.when(total == 0, F.lit(100.0)).otherwise(F.bround(hits * 100.0 / total, 1))

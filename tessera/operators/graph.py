@@ -57,6 +57,12 @@ def degrees(edges: DataFrame, source: str = "src", target: str = "dst") -> DataF
     return into.join(out, "node", "full_outer").select("node", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
 
 
+def most_depended(edges: DataFrame, limit: int = 10, source: str = "src", target: str = "dst") -> DataFrame:
+    """(node, fan_in, fan_out, place) of the nodes that most others lead to; ties by name."""
+    top = degrees(edges, source, target).filter("fan_in > 0").orderBy(F.desc("fan_in"), F.lower("node"), "node").limit(clamp_limit(limit))
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("fan_in"), F.lower("node"), "node")))  # of at most 100 rows
+
+
 def neighborhood(edges: DataFrame, node, source: str = "src", target: str = "dst") -> DataFrame:
     """Inbound and outbound neighbours of one node with its fan-in and fan-out."""
     inbound = edges.filter(F.col(target) == node).select(F.lit("inbound").alias("direction"), F.col(source).alias("neighbor"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import api_schemas, arguments, flows, graph, imports, ledger, maintenance, publication, scopes, scoring, typed_graph
+from ..operators import aggregates, api_schemas, arguments, flows, graph, imports, ledger, maintenance, publication, scopes, scoring, typed_graph
 from ..sources.api_exports import export_facts
 from ..sources.python_scopes import python_facts
 from ..sources.yaml_streams import infrastructure_resources as resources_in
@@ -483,3 +483,41 @@ UNION ALL SELECT 'identity', 'sha256:' || sha256(string_agg(section || chr(31) |
 def impact_of_changes(t):
     changed = frame(t, "SELECT 'pkg/m' || c_custkey || '.py' AS path FROM customer WHERE c_nationkey = 3")
     return knowledge(t).query("impact", limit=50, changed=changed).select("section", "item", F.col("place").cast("bigint").alias("place"), "total")
+
+
+# Counts over concepts ----------------------------------------------------------------------------------------
+
+_STATES = ["current", "nonsemantic-source-change", "source-changed", "source-missing", "basis-incompatible", "unknown"]
+_EVIDENCE = ["present", "missing", "invalid", "unknown", "not-applicable"]
+_COUNTED = """SELECT o_orderstatus || substr(o_orderpriority, 1, 1) AS kind, CASE o_custkey % 6 WHEN 0 THEN 'present' WHEN 1 THEN 'missing' WHEN 2 THEN 'unknown' ELSE 'present' END AS evidence, o_orderkey % 4 > 0 AS modeled, o_orderkey % 4 > 0 AND o_orderkey % 3 = 0 AS compared,
+CASE o_custkey % 5 WHEN 0 THEN 'current' WHEN 1 THEN 'source-changed' WHEN 2 THEN 'source-missing' ELSE 'unknown' END AS state, CASE o_custkey % 7 WHEN 0 THEN 'equal' WHEN 1 THEN 'source-absent' ELSE 'code' || (o_custkey % 7) END AS reason FROM orders"""
+
+
+def _domain(members: list[str]) -> str:
+    return "(VALUES " + ", ".join(f"('{m}')" for m in members) + ") v(member)"
+
+
+@query(f"""WITH c AS ({_COUNTED}) SELECT 'kind' AS dimension, kind AS member, count(*) AS count FROM c GROUP BY kind UNION ALL SELECT 'evidence', member, count(kind) FROM {_domain(_EVIDENCE)} LEFT JOIN c ON evidence = member GROUP BY member
+UNION ALL SELECT 'freshness', member, count(kind) FROM {_domain(_STATES)} LEFT JOIN c ON state = member GROUP BY member""")
+def concept_counts(t):
+    return aggregates.concept_counts(frame(t, _COUNTED))
+
+
+_PER_STATE = ", ".join(f"count(*) FILTER (modeled AND state = '{s}') AS {s.replace('-', '_')}" for s in _STATES)
+
+
+@query(f"""WITH c AS (SELECT *, CASE WHEN kind IN ('O1', 'F2', 'P3') THEN kind ELSE 'other' END AS k FROM ({_COUNTED})) SELECT k AS kind, CAST(grouping(k) AS BIGINT) AS is_total, count(*) AS total, count(*) FILTER (modeled) AS modeled, count(*) FILTER (NOT modeled) AS unmodeled, count(*) FILTER (compared) AS compared, {_PER_STATE} FROM c GROUP BY ROLLUP (k)""")
+def coverage_by_kind(t):
+    found = aggregates.coverage_by_kind(frame(t, _COUNTED), ["O1", "F2", "P3"])
+    return found.withColumn("is_total", F.col("is_total").cast("bigint"))
+
+
+@query(f"""SELECT CASE WHEN reason IN ('equal', 'source-absent', 'code3') THEN reason ELSE 'other' END AS reason, count(*) AS count FROM ({_COUNTED}) GROUP BY 1""")
+def reason_histogram(t):
+    return aggregates.reason_histogram(frame(t, _COUNTED), ["equal", "source-absent", "code3"])
+
+
+@query("""WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem), i AS (SELECT dst AS node, count(*) AS fan_in FROM e GROUP BY dst) SELECT node, fan_in, CAST(0 AS BIGINT) AS fan_out, row_number() OVER (ORDER BY fan_in DESC, lower(node), node) AS place FROM i QUALIFY place <= 25""")
+def most_depended(t):
+    edges = frame(t, "SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem")
+    return graph.most_depended(edges, 25).withColumn("place", F.col("place").cast("bigint"))
