@@ -14,6 +14,8 @@ from .readers import bounded_yaml
 
 FACTS = "api string, side string, fact string, method string, path string, location string, name string, code string, pointer string, child string, step string, state string, required boolean, detail string"
 COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
+#: Rows that are sent together.
+SENT = 20_000
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 LOCATIONS = ("query", "header", "path", "cookie")
 # Keywords under which a schema's requirements can't be told, plain types, headers that aren't inputs.
@@ -174,14 +176,21 @@ class _Export:
 def export_facts(exports: DataFrame) -> DataFrame:
     """Facts of API exports (api, side, document as JSON or YAML); a document that can't be read is a `problem`."""
 
+    def rows_of(api, side, text) -> list[dict]:
+        try:
+            document = json.loads(text) if text.lstrip().startswith("{") else bounded_yaml(text)
+            return _Export(api, side, document if isinstance(document, dict) else {}).read()
+        except (ValueError, AttributeError, RecursionError) as wrong:
+            return [{"api": api, "side": side, "fact": "problem", "detail": f"document can't be read: {type(wrong).__name__}"}]
+
     def run(frames):
         for frame in frames:
-            for api, side, text in zip(frame["api"], frame["side"], frame["document"]):
-                try:
-                    document = json.loads(text) if text.lstrip().startswith("{") else bounded_yaml(text)
-                    rows = _Export(api, side, document if isinstance(document, dict) else {}).read()
-                except (ValueError, AttributeError, RecursionError) as wrong:
-                    rows = [{"api": api, "side": side, "fact": "problem", "detail": f"document can't be read: {type(wrong).__name__}"}]
-                yield pd.DataFrame([[r.get(c) for c in COLUMNS] for r in rows], columns=COLUMNS)
+            held: list[dict] = []
+            for given in zip(frame["api"], frame["side"], frame["document"]):
+                held += rows_of(*given)
+                if len(held) >= SENT:
+                    yield pd.DataFrame([[r.get(c) for c in COLUMNS] for r in held], columns=COLUMNS)
+                    held = []
+            yield pd.DataFrame([[r.get(c) for c in COLUMNS] for r in held], columns=COLUMNS)
 
     return exports.select("api", "side", "document").mapInPandas(run, FACTS)

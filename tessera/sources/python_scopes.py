@@ -17,6 +17,8 @@ FACTS = (
     f" plain boolean, line int, col int, opens int, closes int, arguments array<{ARGUMENT}>, parameters array<{PARAMETER}>"
 )
 COLUMNS = ["path", "fact", "scope", "parent", "chain", "name", "symbol", "what", "module", "member", "expression", "plain", "line", "col", "opens", "closes", "arguments", "parameters"]
+#: Rows that are sent together.
+SENT = 20_000
 #: Methods that decide what an attribute or a construction gives, so that a class's own methods don't.
 DISPATCH = {"__new__", "__getattribute__", "__getattr__", "__call__", "__init_subclass__", "__class_getitem__"}
 
@@ -241,11 +243,17 @@ def scope_facts(path: str, text: str) -> list[dict]:
 def python_facts(files: DataFrame) -> DataFrame:
     """Facts of Python files (path, content): rows `scope`, `binding`, `call` and `error`."""
 
+    def table(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame([[r.get(c) for c in COLUMNS] for r in rows], columns=COLUMNS).astype({c: "Int64" for c in ("scope", "parent", "line", "col", "opens", "closes")})
+
     def run(frames):
         for frame in frames:
+            held: list[dict] = []
             for path, text in zip(frame["path"], frame["content"]):
-                rows = scope_facts(path, text or "")
-                if rows:
-                    yield pd.DataFrame([[r.get(c) for c in COLUMNS] for r in rows], columns=COLUMNS).astype({c: "Int64" for c in ("scope", "parent", "line", "col", "opens", "closes")})
+                held += scope_facts(path, text or "")
+                if len(held) >= SENT:
+                    yield table(held)
+                    held = []
+            yield table(held)
 
     return files.select("path", "content").mapInPandas(run, FACTS)
