@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -96,13 +97,13 @@ def required_fields(schema, document: dict, seen: frozenset = frozenset()) -> tu
 MANIFESTS = r"(^|/)(pyproject\.toml|setup\.(py|cfg)|requirements[^/]*\.(txt|in)|Pipfile|package\.json|go\.mod|Cargo\.toml|[^/]+\.cabal|stack\.yaml)$"
 
 
-def impact(changed: DataFrame, pages: DataFrame, edges: DataFrame, operations: DataFrame, findings: DataFrame, concepts: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
+def impact(changed: DataFrame, pages: DataFrame, edges: DataFrame, operations: DataFrame, findings: DataFrame, concepts: DataFrame | None = None, relations: DataFrame | None = None, identity: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(section, item) of all that a change set (path) reaches, and one identity row over them.
 
     pages: source, page; edges: src, dst; operations: handler, operation; findings: path, rule; concepts: locator,
     source_path; relations: key, source, target, both locators. A concept is reached if its source has changed, a relation
-    if either end has; manifests among the changed paths are a section of their own. The identity is a digest over all
-    rows in order, so it tells any two results apart.
+    if either end has; manifests among the changed paths are a section of their own. The identity is `identity`'s, by
+    default a digest over all rows in order, which tells any two results apart.
     """
     c = changed.select("path").distinct()
     own = lambda section, df, source, item: df.join(c.withColumnRenamed("path", source), source, "left_semi").select(F.lit(section).alias("section"), F.col(item).alias("item"))
@@ -116,7 +117,7 @@ def impact(changed: DataFrame, pages: DataFrame, edges: DataFrame, operations: D
             ends = concepts.join(c.withColumnRenamed("path", "source_path"), "source_path", "left_semi").select("locator").distinct()
             rows = rows.unionByName(touching(relations.select("key", "source", "target"), ends, "source", "target").select(F.lit("relation").alias("section"), F.col("key").alias("item")))
     rows = checkpointed(rows.distinct())
-    return rows.unionByName(rows_identity(rows).select(F.lit("identity").alias("section"), F.col("corpus_id").alias("item")))
+    return rows.unionByName((identity or rows_identity)(rows).select(F.lit("identity").alias("section"), F.col("corpus_id").alias("item")))
 
 
 def rows_identity(rows: DataFrame) -> DataFrame:
@@ -124,6 +125,13 @@ def rows_identity(rows: DataFrame) -> DataFrame:
     return corpus_identity(rows.select(F.concat_ws("\x1f", "section", F.coalesce("item", F.lit(""))).alias("path"), F.lit("").alias("content")))
 
 
+def summed_identity(rows: DataFrame) -> DataFrame:
+    """One row: a digest of the sum of 48 bits of each (section, item)'s SHA-256, which needs no order and no row on the driver."""
+    first = F.left(F.sha2(F.concat_ws("\x1f", "section", F.coalesce("item", F.lit(""))), 256), F.lit(12))
+    total = F.sum(F.conv(first, 16, 10).cast("decimal(20,0)"))
+    return rows.agg(F.concat(F.lit("sha256:"), F.sha2(total.cast("string"), 256)).alias("corpus_id"))
+
+
 def broad_context(concepts: DataFrame, pages: DataFrame, relations: DataFrame, relevance: DataFrame, limits: tuple[int, int, int] = (20, 20, 40)) -> DataFrame:
     """The concepts, pages and relations of the most relevant sources, each up to its own limit."""
     rank = relevance.select("source_path", "score")
