@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.hashing import canonical_json, corpus_identity
-from .graph import checkpointed
+from .graph import checkpointed, shuffled
 from .relationships import touching
 
 
@@ -106,16 +106,16 @@ def impact(changed: DataFrame, pages: DataFrame, edges: DataFrame, operations: D
     default a digest over all rows in order, which tells any two results apart.
     """
     c = changed.select("path").distinct()
-    own = lambda section, df, source, item: df.join(c.withColumnRenamed("path", source), source, "left_semi").select(F.lit(section).alias("section"), F.col(item).alias("item"))
-    near = touching(edges, c).select(F.lit("edge").alias("section"), F.concat_ws(" -> ", "src", "dst").alias("item"))
-    found = findings.join(c, "path", "left_semi").select(F.lit("finding").alias("section"), F.concat_ws(" ", "rule", "path").alias("item"))
+    own = lambda section, df, source, item: df.join(shuffled(c.withColumnRenamed("path", source)), source, "left_semi").select(F.lit(section).alias("section"), F.col(item).alias("item"))
+    near = touching(edges, shuffled(c)).select(F.lit("edge").alias("section"), F.concat_ws(" -> ", "src", "dst").alias("item"))
+    found = findings.join(shuffled(c), "path", "left_semi").select(F.lit("finding").alias("section"), F.concat_ws(" ", "rule", "path").alias("item"))
     rows = own("page", pages, "source", "page").unionByName(near).unionByName(own("operation", operations, "handler", "operation")).unionByName(found)
     rows = rows.unionByName(c.filter(F.col("path").rlike(MANIFESTS)).select(F.lit("manifest").alias("section"), F.col("path").alias("item")))
     if concepts is not None:
         rows = rows.unionByName(own("concept", concepts, "source_path", "locator"))
         if relations is not None:
-            ends = concepts.join(c.withColumnRenamed("path", "source_path"), "source_path", "left_semi").select("locator").distinct()
-            rows = rows.unionByName(touching(relations.select("key", "source", "target"), ends, "source", "target").select(F.lit("relation").alias("section"), F.col("key").alias("item")))
+            ends = concepts.join(shuffled(c.withColumnRenamed("path", "source_path")), "source_path", "left_semi").select("locator").distinct()
+            rows = rows.unionByName(touching(relations.select("key", "source", "target"), shuffled(ends), "source", "target").select(F.lit("relation").alias("section"), F.col("key").alias("item")))
     rows = checkpointed(rows.distinct())
     return rows.unionByName((identity or rows_identity)(rows).select(F.lit("identity").alias("section"), F.col("corpus_id").alias("item")))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
+from .graph import shuffled
 
 # Kinds of edges and of what they lead to.
 KINDS = ("contains", "imports", "calls", "entrypoint_for", "reads", "writes", "depends_on", "supersedes")
@@ -28,15 +29,15 @@ def owners(places: DataFrame, concepts: DataFrame) -> DataFrame:
     wanted = places.select("path", "symbol").distinct()
     class_of = F.substring_index("symbol", ".", 1)
     tried = wanted.select("path", "symbol", F.posexplode(F.array(F.coalesce("symbol", F.lit("")), F.coalesce(class_of, F.lit("")), F.lit(""))).alias("rank", "named"))
-    best = tried.join(own, ["path", "named"]).groupBy("path", "symbol").agg(F.min_by("locator", "rank").alias("locator"))
+    best = tried.join(shuffled(own), ["path", "named"]).groupBy("path", "symbol").agg(F.min_by("locator", "rank").alias("locator"))
     keyed = best.withColumnsRenamed({"path": "p", "symbol": "s"})
-    return wanted.join(keyed, (F.col("path") == F.col("p")) & F.col("symbol").eqNullSafe(F.col("s")), "left").select("path", "symbol", "locator")
+    return wanted.join(shuffled(keyed), (F.col("path") == F.col("p")) & F.col("symbol").eqNullSafe(F.col("s")), "left").select("path", "symbol", "locator")
 
 
 def _lifted(rows: DataFrame, concepts: DataFrame, path: str, symbol: str, name: str) -> DataFrame:
     found = owners(rows.filter(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(symbol).alias("symbol")), concepts)
     found = found.select(F.col("path").alias("lp"), F.col("symbol").alias("ls"), F.col("locator").alias(name))
-    return rows.join(found, (F.col(path) == F.col("lp")) & F.col(symbol).eqNullSafe(F.col("ls")), "left").drop("lp", "ls")
+    return rows.join(shuffled(found), (F.col(path) == F.col("lp")) & F.col(symbol).eqNullSafe(F.col("ls")), "left").drop("lp", "ls")
 
 
 def _observed(rows: DataFrame, kind: Column | str, origin: str, target_kind: Column | str, resolution: Column | str) -> DataFrame:
@@ -103,7 +104,7 @@ def merged(*observations: DataFrame, samples: int = SAMPLES) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("key").orderBy("evidence"))
     least = pieces.filter("evidence IS NOT NULL").select("key", "evidence").withColumn("place", place).filter(F.col("place") <= samples)
     held = least.groupBy("key").agg(F.array_sort(F.collect_list("evidence")).alias("samples"))
-    out = counts.join(held, "key", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    out = counts.join(shuffled(held), "key", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
     emitted = F.size("samples").cast("bigint")
     return out.withColumn("emitted", emitted).withColumn("truncated", F.col("pieces") > emitted).drop("pieces")
 
@@ -118,7 +119,7 @@ def problems(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     """(key, problem) of edges that can't stand: unknown kinds (a plug-in's have a slash), concepts that aren't there,
     keys that aren't their identity's, counts that contradict each other."""
     known = concepts.select(F.col("locator").alias("target"), F.lit(True).alias("known")).distinct()
-    j = edges.join(known, "target", "left")
+    j = edges.join(shuffled(known), "target", "left")
     odd_kind = ~F.col("kind").isin(*KINDS) & ~F.col("kind").rlike(r"^[a-z0-9.-]+/[a-z0-9_.-]+$")
     identity = digest(F.concat_ws("\x1f", "kind", "source", "target_kind", "target", "origin", "resolution"))
     found = F.when(odd_kind, "unknown-kind").when((F.col("target_kind") == CONCEPT) & F.col("known").isNull(), "unknown-concept").when(F.col("key") != identity, "wrong-key").when((F.col("emitted") != F.size("samples")) | (F.col("observed") < F.col("emitted")), "wrong-counts")

@@ -30,12 +30,24 @@ class Plugins:
         self.components[component][name] = function
 
 
+class Frames(dict):
+    """Frames by name; one given as a function is made when it is first read."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if not isinstance(found := super().__getitem__(name), DataFrame):
+            self[name] = found = found()
+        return found
+
+    def get(self, name: str, default: DataFrame | None = None) -> DataFrame | None:
+        return self[name] if name in self else default
+
+
 class Knowledge:
     """Frames by name (concepts, relationships, surface, graph_edges, callables, edges, starts, dependencies,
-    recorded, live, sources, declared, inventory); an operation needs those it reads."""
+    recorded, live, sources, declared, inventory); an operation needs those it reads, and makes no others."""
 
-    def __init__(self, **frames: DataFrame):
-        self.frames = frames
+    def __init__(self, **frames: DataFrame | Callable[[], DataFrame]):
+        self.frames = Frames(frames)
 
     def query(self, operation: str, value: str | None = None, limit: int = 20, **options):
         if operation not in COST:
@@ -82,7 +94,7 @@ class Knowledge:
 
     def _dependency(self, value, limit):
         near = graph.neighborhood(self.frames["dependencies"], value)
-        return near.join(graph.degrees(self.frames["dependencies"]), F.col("neighbor") == F.col("node"), "left").drop("node").orderBy("direction", "neighbor").limit(limit)
+        return near.join(graph.shuffled(graph.degrees(self.frames["dependencies"])), F.col("neighbor") == F.col("node"), "left").drop("node").orderBy("direction", "neighbor").limit(limit)
 
     def _impact(self, value, limit, changed: DataFrame | None = None, patch: str | None = None):
         """All sections a change set (paths, or a unified diff) reaches, each up to the limit, and their identity."""
