@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bounds import QUEUE_LIMIT, require_limit
+from .graph import shuffled
+from .groups import by_group
 
 # What each reason for maintenance weighs.
 FRESHNESS_WEIGHT = {"source-missing": 90, "source-changed": 70, "basis-incompatible": 25, "unknown": 5, "nonsemantic-source-change": 0, "current": 0}
@@ -241,15 +243,14 @@ def fit_joint_requests(entries: DataFrame, budgets: DataFrame) -> DataFrame:
     best source and concept don't fit, everything is omitted.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.astype(object).where(frame.notna(), None).sort_values("place").to_dict("records")
+    def run(rows: list[dict]) -> list[tuple]:
         of = lambda kind: [r for r in rows if r["kind"] == kind]
         sources = [{"path": r["item"]} | {c: r[c] for c in ("priority", "fresh", "detail", *LEVELS)} for r in of("source")]
         concepts = [{"locator": r["item"], "source_path": r["source_path"]} for r in of("concept")]
         relations = [{"key": r["item"], "from": r["from"], "to": r["to"]} for r in of("relation")]
         left = fit_joint(sources, concepts, relations, int(rows[0]["tokens"]) * 4)
         detail = {("source", s["path"]): s["detail"] for s in left.get("sources", [])} | {("concept", c["locator"]): None for c in left.get("concepts", [])} | {("relation", r["key"]): None for r in left.get("relations", [])}
-        return pd.DataFrame([(r["request"], r["kind"], r["item"], detail.get((r["kind"], r["item"])), (r["kind"], r["item"]) not in detail) for r in rows], columns=["request", "kind", "item", "detail", "omitted"])
+        return [(r["request"], r["kind"], r["item"], detail.get((r["kind"], r["item"])), (r["kind"], r["item"]) not in detail) for r in rows]
 
     kind = entries.schema["request"].dataType.simpleString()
-    return entries.join(budgets, "request").groupBy("request").applyInPandas(run, f"request {kind}, kind string, item string, detail string, omitted boolean")
+    return by_group(entries.join(shuffled(budgets), "request"), "request", ["place"], run, f"request {kind}, kind string, item string, detail string, omitted boolean")
