@@ -45,3 +45,22 @@ def test_trace_keeps_numbers_whole_beside_nulls(spark):
     edges = spark.createDataFrame([("a", "x", "a", "y", "y", "internal", 3, 1), ("a", "x", None, "z", "z", "external", None, 2)], "from_file string, from_symbol string, to_file string, to_symbol string, name string, kind string, line int, edge_ordinal int")
     got = [(r.step_index, r.symbol, r.line) for r in graph.traces(starts, edges, 2).orderBy("step_index").collect()]
     assert got == [(0, "x", None), (1, "y", 3), (2, "z", None)]
+
+
+def test_yaml_is_read_once_by_libyaml_and_refused_by_the_plain_parser(monkeypatch):
+    import pytest
+    import yaml
+
+    from tessera.sources import yaml_streams
+
+    text = "a: &x\n  n: 1\n  q: '1'\n  e:\n  t: !!str 2\n---\n- *y\n".replace("*y", "|\n  two\n  lines")
+    slow = yaml_streams._composed(text, True, yaml.SafeLoader)
+    seen, real = [], yaml_streams._composed
+    monkeypatch.setattr(yaml_streams, "_composed", lambda t, typed, loader: seen.append(loader) or real(t, typed, loader))
+    assert yaml_streams.compose(text, typed=True) == slow and seen == [yaml.CSafeLoader]
+    for wrong in ("a: 1\na: 2\n", "a: [1\n", "a: \x01\n", "*a\n", "a: !own 1\n", "a: \ud800\n"):
+        with pytest.raises(yaml_streams.Refused) as fast:
+            yaml_streams.compose(wrong)
+        with pytest.raises(yaml_streams.Refused) as plain:
+            real(wrong, False, yaml.SafeLoader)
+        assert str(fast.value) == str(plain.value)
