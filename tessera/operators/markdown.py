@@ -115,16 +115,20 @@ def own_texts(pages: DataFrame) -> DataFrame:
 
 
 def section_extents(found: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Parent, end and occurrence of headings (doc, start, level, title, length) with joins and windows alone.
+    """Parent, end and occurrence of headings (doc, start, level, title, length) with windows alone.
 
-    Pairs are formed within one document, whose headings are few; the end is the nearest later heading of no
-    greater level, the parent the nearest earlier one of a smaller level.
+    Each heading sees the places of its document's headings, which are few; the end is the nearest later heading of no
+    greater level, the parent the nearest earlier one of a smaller level. Equal headings are one.
     """
-    a, b = found.alias("a"), found.select(F.col(doc).alias("d"), F.col("start").alias("s"), F.col("level").alias("l")).alias("b")
-    pairs = a.join(b, (F.col(f"a.{doc}") == F.col("b.d")) & (F.col("b.s") != F.col("a.start")), "left")
-    end = F.min(F.when((F.col("b.s") > F.col("a.start")) & (F.col("b.l") <= F.col("a.level")), F.col("b.s")))
-    parent = F.max(F.when((F.col("b.s") < F.col("a.start")) & (F.col("b.l") < F.col("a.level")), F.col("b.s")))
-    out = pairs.groupBy(f"a.{doc}", "a.start", "a.level", "a.title", "a.length").agg(F.coalesce(end, F.first("a.length")).alias("end"), parent.alias("parent_start"))
+    per = Window.partitionBy(doc).orderBy("start", "level", "title", "length")
+    own, place = F.struct("start", "level", "title", "length"), F.struct(F.col("start").alias("s"), F.col("level").alias("l"))
+    around = F.collect_list(place).over(per.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # Headings without a document have no others around them.
+    seen = found.withColumns({"around": F.when(F.col(doc).isNotNull(), around), "again": F.lag(own).over(per).eqNullSafe(own)}).filter("NOT again")
+    starts = lambda which: F.transform(F.filter("around", which), lambda x: x["s"])
+    end = F.array_min(starts(lambda x: (x["s"] > F.col("start")) & (x["l"] <= F.col("level"))))
+    parent = F.array_max(starts(lambda x: (x["s"] < F.col("start")) & (x["l"] < F.col("level"))))
+    out = seen.select(doc, "start", "level", "title", "length", F.coalesce(end, F.col("length")).alias("end"), parent.alias("parent_start"))
     number = F.row_number().over(Window.partitionBy(doc, "parent_start", "title").orderBy("start"))
     return out.withColumn("occurrence", number)
 
