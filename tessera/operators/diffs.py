@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,11 +158,23 @@ def json_diff(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFra
 
 
 def audit_equal(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that only one side has, and repeated keys: empty if the record sets are equal."""
+    """Rows that only one side has (as often as the other lacks them), and repeated keys: empty if the record sets are equal.
+
+    Both sides are dealt by their keys and sorted once; each row's place among its equals, left ones first, says the rest.
+    """
     columns = left.columns
-    only = left.exceptAll(right.select(columns)).withColumn("problem", F.lit("left-only")).unionByName(right.select(columns).exceptAll(left).withColumn("problem", F.lit("right-only")))
-    twice = left.groupBy(*keys).count().filter("count > 1").select(*keys)
-    return only.unionByName(left.join(twice, keys, "left_semi").withColumn("problem", F.lit("repeated")))
+    both = left.withColumn("is_right", F.lit(False)).unionByName(right.select(columns).withColumn("is_right", F.lit(True)))
+    equal = Window.partitionBy(*keys, *[c for c in columns if c not in keys]).orderBy("is_right")
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = both.repartition(*keys).withColumns({"place": F.row_number().over(equal), "n_left": F.count_if(~F.col("is_right")).over(whole(equal)), "n": F.count("*").over(whole(equal))})
+    rows = rows.withColumn("n_key", F.count_if(~F.col("is_right")).over(Window.partitionBy(*keys)))
+    named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    problems = F.array_compact(F.array(
+        F.when(~F.col("is_right") & (F.col("place") > F.col("n") - F.col("n_left")), "left-only"),
+        F.when(F.col("is_right") & (F.col("place") > 2 * F.col("n_left")), "right-only"),
+        F.when(~F.col("is_right") & (F.col("n_key") > 1) & named, "repeated"),
+    ))
+    return rows.select(*columns, F.explode(problems).alias("problem"))
 
 
 def identity_collisions(allocations: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Steps whose memory, shuffles or broadcasts grew faster than they had to: their plans, and results at the edges."""
 
-from tessera.operators import markdown
+from tessera.operators import diffs, markdown
 
 
 def plan(df) -> str:
@@ -13,3 +13,12 @@ def test_section_extents_sort_once_and_join_nothing(spark):
     assert "Join" not in plan(found)
     got = sorted((tuple(r) for r in found.select("doc_id", "start", "end", "parent_start", "occurrence").collect()), key=str)
     assert got == sorted([(1, 0, 30, None, 1), (1, 10, 20, 0, 1), (1, 20, 30, 0, 2), (1, 30, 90, None, 2), (2, 5, 40, None, 1), (None, 0, 7, None, 1), (None, 5, 7, None, 1)], key=str)
+
+
+def test_an_audit_deals_both_sides_once(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (3, None), (None, "n"), (None, "n")], "path int, hash string")
+    right = spark.createDataFrame([(1, "a"), (2, "d"), (3, None), (4, "e"), (4, "e"), (None, "n")], "path int, hash string")
+    found = diffs.audit_equal(left, right, ["path"])
+    assert "Join" not in plan(found) and plan(found).count("Exchange hashpartitioning") == 1
+    got = sorted((tuple(r) for r in found.collect()), key=str)
+    assert got == sorted([(1, "a", "left-only"), (1, "b", "left-only"), (2, "c", "left-only"), (None, "n", "left-only"), (2, "d", "right-only"), (4, "e", "right-only"), (4, "e", "right-only"), (1, "a", "repeated"), (1, "a", "repeated"), (1, "b", "repeated")], key=str)
