@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
+from .graph import shuffled, stored
 
 # Fixed value: how deep a schema is read.
 MOST_DEPTH = 32
@@ -20,28 +20,29 @@ _BODY = ["api", "side", "method", "path", "location", "code", "name"]
 def body_fields(facts: DataFrame) -> DataFrame:
     """(api, side, method, path, location, code, name, fields, unknown) of each body: the fields that it requires, and whether
     composition, a cycle or a reference to nowhere hides some. Read-only fields aren't required."""
-    nodes = checkpointed(facts.filter("fact = 'node'").select(*_API, "pointer", "state", F.col("child").alias("to")))
-    edges = checkpointed(facts.filter("fact = 'edge'").select(*_API, "pointer", "child", "step", F.col("required").alias("needed")))
-    bodies = checkpointed(facts.filter("fact = 'body'").select(*_BODY, "pointer").withColumn("body", F.xxhash64(*_BODY)))
+    # A place is one row, with what stands inside it, so that a round is one join and one written table.
+    held = facts.filter("fact IN ('node', 'edge')").groupBy(*_API, "pointer").agg(
+        F.collect_list(F.when(F.col("fact") == "node", F.struct("state", F.col("child").alias("to")))).alias("nodes"),
+        F.collect_list(F.when(F.col("fact") == "edge", F.struct("child", "step", F.col("required").alias("needed")))).alias("edges"),
+    )
+    places = shuffled(stored(held.select(*_API, "pointer", F.explode_outer("nodes").alias("node"), "edges").select(*_API, "pointer", "node.state", "node.to", "edges")))
+    bodies = shuffled(stored(facts.filter("fact = 'body'").select(*_BODY, "pointer").withColumn("body", F.xxhash64(*_BODY))))
     waiting = bodies.filter("pointer IS NOT NULL").select(*_API, "body", "pointer", F.lit("").alias("field"), F.lit(False).alias("needed"), F.array("pointer").alias("passed"), F.lit(0).alias("depth"))
     out = None
-    while True:
-        waiting = checkpointed(waiting)
-        if waiting.isEmpty():
-            break
-        met = waiting.join(nodes, [*_API, "pointer"], "left")
+    while not waiting.isEmpty():
+        met = waiting.join(places, [*_API, "pointer"], "left")
         looped = F.array_contains("passed", F.col("to"))
         lost = F.col("state").isNull() | (F.col("state") == "unknown") | (F.col("depth") > MOST_DEPTH) | F.coalesce(looped, F.lit(False))
-        met = checkpointed(met.withColumn("lost", lost))
+        met = stored(met.withColumn("lost", lost).withColumn("edges", F.when(~F.col("lost") & (F.col("state") == "plain"), F.col("edges"))))
         said = met.filter(F.col("lost") | (F.col("needed") & (F.col("state") == "plain"))).select("body", F.when(F.col("needed"), F.col("field")).alias("field"), "lost")
         out = said if out is None else out.unionByName(said)
         known = met.filter(~F.col("lost"))
         onward = known.filter("state = 'reference'").select(*_API, "body", F.col("to").alias("pointer"), "field", "needed", F.concat("passed", F.array("to")).alias("passed"), "depth")
-        inside = known.filter("state = 'plain'").drop("needed", "state", "to").join(edges, [*_API, "pointer"])
-        inside = inside.select(*_API, "body", F.col("child").alias("pointer"), F.concat("field", "step").alias("field"), "needed", "passed", (F.col("depth") + 1).alias("depth"))
+        inside = known.filter("state = 'plain'").select(*_API, "body", "field", "passed", "depth", F.explode("edges").alias("e"))
+        inside = inside.select(*_API, "body", F.col("e.child").alias("pointer"), F.concat("field", "e.step").alias("field"), "e.needed", "passed", (F.col("depth") + 1).alias("depth"))
         waiting = onward.unionByName(inside)
     found = out.groupBy("body").agg(F.array_sort(F.collect_set("field")).alias("fields"), F.bool_or("lost").alias("unknown")) if out is not None else bodies.limit(0).select("body", F.array().cast("array<string>").alias("fields"), F.lit(False).alias("unknown"))
-    return bodies.join(found, "body", "left").select(*_BODY, F.coalesce("fields", F.array().cast("array<string>")).alias("fields"), F.coalesce("unknown", F.lit(False)).alias("unknown"))
+    return bodies.join(shuffled(found), "body", "left").select(*_BODY, F.coalesce("fields", F.array().cast("array<string>")).alias("fields"), F.coalesce("unknown", F.lit(False)).alias("unknown"))
 
 
 def api_differences(facts: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def api_differences(facts: DataFrame) -> DataFrame:
     Operations meet by method and route shape; a shape that several paths have is ambiguous. What can break a caller is
     `breaking`, unless a problem in either side's operation makes it uncertain; everything else is `advisory`.
     """
-    facts = checkpointed(facts)
+    facts = shuffled(stored(facts))  # what is derived from it isn't broadcast either
     route = F.regexp_replace("path", r"\{[^}]+\}", "{}")
     ops = facts.filter("fact = 'operation'").withColumn("route", route).withColumn("n", F.count("*").over(Window.partitionBy("api", "side", "method", "route")))
     keys = ["api", "method", "route"]
@@ -75,8 +76,8 @@ def api_differences(facts: DataFrame) -> DataFrame:
     for side, path in (("baseline", "path"), ("candidate", "new_path")):
         found = doubt(side, path)
         of_op = kept.select(*keys, path).join(found, ["api", path]).filter(F.col("m").isNull() | (F.col("m") == F.col("method"))).select(*keys, f"{side}_doubt").distinct()
-        kept = kept.join(of_op, keys, "left")
-    kept = checkpointed(kept.withColumn("severity", F.when(F.coalesce("baseline_doubt", F.lit(False)) | F.coalesce("candidate_doubt", F.lit(False)), "advisory").otherwise("breaking")))
+        kept = kept.join(shuffled(of_op), keys, "left")
+    kept = shuffled(stored(kept.withColumn("severity", F.when(F.coalesce("baseline_doubt", F.lit(False)) | F.coalesce("candidate_doubt", F.lit(False)), "advisory").otherwise("breaking"))))
     severity = F.col("severity")
     out = out.unionByName(made(kept.filter("new_required AND NOT old_required"), "required-input-added", severity, "request body"))
     out = out.unionByName(made(kept.filter("old_text <> new_text"), "contract-changed", "advisory", "schemas, security or metadata differ"))
@@ -86,20 +87,20 @@ def api_differences(facts: DataFrame) -> DataFrame:
     both = kept.select(*keys, "path", "new_path", "operation", "severity")
     before = both.join(given.filter("side = 'baseline'").drop("side"), ["api", "method", "path"]).select(*both.columns, "location", "name", F.col("k").alias("k0"), F.col("required").alias("required0"))
     after = both.join(given.filter("side = 'candidate'").drop("side").withColumnRenamed("path", "new_path"), ["api", "method", "new_path"]).select(*both.columns, "location", "name", F.col("k").alias("k1"), F.col("required").alias("required1"))
-    inputs = after.join(before.select(*wire, "k0", "required0"), wire, "full_outer")
+    inputs = after.join(shuffled(before.select(*wire, "k0", "required0")), wire, "full_outer")
     clash = (F.coalesce("k0", F.lit(1)) > 1) | (F.coalesce("k1", F.lit(1)) > 1)
     inputs = inputs.drop("operation", "severity", "route").join(both.select("api", "method", "path", "new_path", "operation", "severity"), ["api", "method", "path", "new_path"])
     named = F.concat_ws(" ", "location", "name")
     out = out.unionByName(made(inputs.filter(clash), "ambiguous-wire-input", "advisory", named))
     out = out.unionByName(made(inputs.filter(~clash & F.col("required1") & ~F.coalesce("required0", F.lit(False))), "required-input-added", severity, named))
     # Bodies: media types of both sides, and the fields that a request newly or a response no longer requires.
-    fields = body_fields(facts)
+    fields = shuffled(stored(body_fields(facts)))
     side = lambda name, path: fields.filter(F.col("side") == name).select("api", "method", F.col("path").alias(path), "location", "code", "name", F.col("fields").alias(f"{name}_fields"), F.col("unknown").alias(f"{name}_unknown"))
     one, two = both.join(side("baseline", "path"), ["api", "method", "path"]), both.join(side("candidate", "new_path"), ["api", "method", "new_path"])
     at = ["api", "method", "path", "new_path", "operation", "severity", "location", "name"]
     same_code = F.coalesce("code", F.lit(""))
-    pairs = one.withColumn("c", same_code).select(*at, "c", "baseline_fields", "baseline_unknown").join(two.withColumn("c", same_code).select(*at, "c", "candidate_fields", "candidate_unknown"), [*at, "c"], "full_outer")
-    pairs = checkpointed(pairs)
+    pairs = one.withColumn("c", same_code).select(*at, "c", "baseline_fields", "baseline_unknown").join(shuffled(two.withColumn("c", same_code).select(*at, "c", "candidate_fields", "candidate_unknown")), [*at, "c"], "full_outer")
+    pairs = shuffled(stored(pairs))
     hidden = F.coalesce("baseline_unknown", F.lit(False)) | F.coalesce("candidate_unknown", F.lit(False))
     place = F.concat_ws(" ", F.col("location"), F.when(F.col("c") != "", F.col("c")))
     unknown = pairs.filter(hidden).groupBy("api", "operation", "location").agg(F.count("*").alias("bodies"))
@@ -128,4 +129,4 @@ def api_status(exports: DataFrame, findings: DataFrame) -> DataFrame:
     counted = findings.groupBy("api").agg(breaking.alias("breaking_count"), (F.count("*") - breaking).alias("advisory_count"))
     b, a = F.coalesce("breaking_count", F.lit(0)), F.coalesce("advisory_count", F.lit(0))
     status = F.when(b > 0, "breaking").when(a > 0, "advisory").otherwise("compatible")
-    return exports.select("api").distinct().join(counted, "api", "left").select("api", status.alias("status"), b.cast("bigint").alias("breaking_count"), a.cast("bigint").alias("advisory_count"))
+    return exports.select("api").distinct().join(shuffled(counted), "api", "left").select("api", status.alias("status"), b.cast("bigint").alias("breaking_count"), a.cast("bigint").alias("advisory_count"))

@@ -1,6 +1,7 @@
 """Steps whose memory, shuffles or broadcasts grew faster than they had to: their plans, and results at the edges."""
 
-from tessera.operators import diffs, markdown
+from tessera.operators import api_schemas, diffs, markdown
+from tessera.sources.api_exports import export_facts
 
 
 def plan(df) -> str:
@@ -22,3 +23,12 @@ def test_an_audit_deals_both_sides_once(spark):
     assert "Join" not in plan(found) and plan(found).count("Exchange hashpartitioning") == 1
     got = sorted((tuple(r) for r in found.collect()), key=str)
     assert got == sorted([(1, "a", "left-only"), (1, "b", "left-only"), (2, "c", "left-only"), (None, "n", "left-only"), (2, "d", "right-only"), (4, "e", "right-only"), (4, "e", "right-only"), (1, "a", "repeated"), (1, "a", "repeated"), (1, "b", "repeated")], key=str)
+
+
+def test_api_differences_broadcast_nothing(spark):
+    body = lambda k: f'{{"requestBody": {{"content": {{"application/json": {{"schema": {{"type": "object", "required": [{k}], "properties": {{"a": {{"type": "string"}}}}}}}}}}}}}}'
+    document = lambda k: f'{{"openapi": "3.1.0", "paths": {{"/x": {{"post": {body(k)}}}}}}}'
+    exports = spark.createDataFrame([("one", "baseline", document("")), ("one", "candidate", document('"a"'))], "api string, side string, document string")
+    found = api_schemas.api_differences(export_facts(exports))
+    assert ("required-input-added", "application/json /a") in {(r.code, r.detail) for r in found.collect()}
+    assert "Broadcast" not in plan(found)  # as it was run: what compresses well would have become broadcasts on the way
