@@ -7,11 +7,12 @@ import re
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from ..functions.text import join_path, mask_fences
+from ..functions.text import SLICE, join_path, mask_fences
 
 HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*")
 TARGET = re.compile(r"(!?)\[([^\]\n]*)\]\(\s*<?([^\s)>]+)>?(?:\s+[\"'][^\"']*[\"'])?\s*\)")
@@ -101,17 +102,21 @@ def own_texts(pages: DataFrame) -> DataFrame:
     The text before the first section has ordinal -1 and level 0.
     """
 
-    def run(frames):
-        for frame in frames:
+    texts, number = pa.string(), pa.int32()
+    kinds = [texts, texts, texts, number, number, texts, texts, pa.list_(texts), number, number, texts]
+    made = pa.schema(list(zip([c.split()[0] for c in FIELD_SCHEMA.split(", ")], kinds)))
+
+    def run(batches):
+        for part in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             rows = []
-            for path, kind, page_id, content in zip(frame["path"], frame["kind"], frame["id"], frame["content"]):
+            for path, kind, page_id, content in zip(*(c.to_pylist() for c in part.columns)):
                 text, found = parse_sections(content or "", path)
                 first = found[0]["start"] if found else len(text)
                 rows.append((path, kind, page_id, -1, 0, "", "", [], 0, first, text[:first]))
                 rows += [(path, kind, page_id, s["ordinal"], s["level"], s["title"], s["chapter"], s["heading_path"], s["body_start"], s["stop"], text[s["body_start"] : s["stop"]]) for s in found]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FIELD_SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], schema=made)
 
-    return pages.select("path", "kind", "id", "content").mapInPandas(run, FIELD_SCHEMA)
+    return pages.select("path", "kind", "id", "content").mapInArrow(run, FIELD_SCHEMA)
 
 
 def section_extents(found: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -1,6 +1,9 @@
 """Steps whose memory, shuffles or broadcasts grew faster than they had to: their plans, and results at the edges."""
 
-from tessera.operators import api_schemas, diffs, markdown
+import pyarrow as pa
+
+from tessera.functions import text
+from tessera.operators import api_schemas, diffs, markdown, search
 from tessera.sources.api_exports import export_facts
 
 
@@ -32,3 +35,19 @@ def test_api_differences_broadcast_nothing(spark):
     found = api_schemas.api_differences(export_facts(exports))
     assert ("required-input-added", "application/json /a") in {(r.code, r.detail) for r in found.collect()}
     assert "Broadcast" not in plan(found)  # as it was run: what compresses well would have become broadcasts on the way
+
+
+def test_texts_are_python_strings_a_slice_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(text, "SLICE", 2)
+    column = pa.array(["Ab", None, "STRASSE", "Straße", "ΣΑΣ"])
+    assert text.order_key_udf.func(column).to_pylist() == ["ab", None, "strasse", "strasse", "σασ"]
+    assert text.folded_udf.func(column.slice(0, 2)).to_pylist() == ["ab", ""]
+    assert text.link_targets_udf.func(pa.array(["a/b.md", "c.md"]), pa.array(["[x](y.md)", None])).to_pylist() == [["a/y.md"], []]
+    assert text.order_key_udf.func(column.slice(0, 0)).to_pylist() == []
+
+
+def test_a_substring_search_returns_no_folded_text(spark):
+    pages = spark.createDataFrame([(1, "one STRASSE"), (2, "Straße two"), (3, None), (4, "nothing")], "ordinal int, content string")
+    found = search.substring_search(pages, "straße")
+    assert [(r.ordinal, r.snippet) for r in found.collect()] == [(1, "one STRASSE"), (2, "Straße two")]
+    assert "locate(" not in plan(found)
