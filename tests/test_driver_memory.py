@@ -5,6 +5,7 @@ import pytest
 from tessera.operators import scopes
 from tessera.plans import code_queries
 from tessera.plans.queries import QUERIES
+from tessera.sources.python_scopes import python_facts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -40,3 +41,9 @@ def test_symbol_resolves_calls_once(spark, monkeypatch):
     monkeypatch.setattr(scopes, "resolve_scoped_calls", lambda *a: seen.append(1) or real(*a))
     QUERIES["symbol_operation"](spark, DATA).count()
     assert len(seen) == 1
+
+
+def test_parsing_is_dealt_to_as_many_tasks_as_shuffles_have(spark):
+    files = spark.createDataFrame([(f"m{k}.py", "x = f()\n") for k in range(40)], "path string, content string")
+    facts = python_facts(files)
+    assert facts.rdd.getNumPartitions() == 4 and facts.filter("fact = 'call'").count() == 40
