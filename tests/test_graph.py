@@ -144,3 +144,19 @@ def test_graph_queries_take_all_orders_and_customers(spark, tmp_path):
     traces = QUERIES["flow_traces"](spark, str(tmp_path)).collect()
     assert len({r.flow_id for r in traces}) == 3000 and len(traces) == 3000 + 7
     assert [r.symbol for r in sorted(traces, key=lambda r: r.step_index) if r.flow_id == "f0"] == ["0", "1", "9"]
+
+
+def test_a_step_of_cycles_starts_from_what_the_last_one_changed(spark):
+    store, n = spark._jsparkSession.sharedState().statusStore(), 12
+    before = store.executionsList().size()
+    ring = spark.createDataFrame([(k, (k - 1) % n) for k in range(n)], "src int, dst int")
+    assert sorted((r.component, r.node, r.size) for r in graph.cycles(ring).collect()) == [("0", k, n) for k in range(n)]
+    done, joined = store.executionsList(), 0
+    for k in range(before, done.size()):
+        number = done.apply(k).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "Join" in node.name() and "Inner" in node.desc():
+                metrics = (node.metrics().apply(j) for j in range(node.metrics().size()))
+                joined += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    assert joined < 100  # each of the twelve steps would take all twelve edges
