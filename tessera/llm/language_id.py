@@ -3,7 +3,8 @@
 The network reads windows of bytes from both ends and gives every byte a distribution over the languages; a
 document's probabilities are the mean over all its bytes. Training and inference are numpy: many windows
 step through time together, so each step is a few matrix products. Weights are learned by backpropagation
-through time with Adam on a bounded, seeded sample of labelled text.
+through time: a start with Adam on a bounded, seeded sample of labelled text, then a step down the slope over the
+distinct words of all of it, weighted by how often they occur.
 """
 
 from __future__ import annotations
@@ -13,18 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import byte_view, fold_of, materialize, row_slices, sized, string_column
+from .common import byte_view, fold_of, materialize, release, row_slices, sized, string_column
 
 #: Hidden units of a direction, and bytes of a window.
 HIDDEN, WINDOW = 10, 48
-#: The fit's bounds: rows a language and in all (every language has one at least), whatever their length; steps and windows a step.
+#: The start's bounds: rows a language and in all (every language has one at least), whatever their length; steps and windows a step.
 ROWS, ROWS_IN_ALL, STEPS, BATCH = 300, 20_000, 260, 192
-#: One sample row of so many is kept from the fit; half the score that CLEAN of those reach is the least that identifies.
-KEPT_BACK, CLEAN = 5, 0.99
+#: Steps over all words, relative to each weight matrix, of which the first that lowers the loss is taken; bytes of a pass's task; windows at once.
+RATES, SHARE, WIDE = (0.004, 0.001, 0.0002, 0.0), 1 << 18, 1024
+#: Half the score that CLEAN of the labelled rows reach, found to one of BINS, is the least that identifies; fewer than LABELLED rows set none.
+CLEAN, BINS, LABELLED = 0.99, 1 << 16, 50
 SLICE = 1 << 18
 
 
@@ -62,7 +66,7 @@ class ByteLanguageModel:
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.languages, self.least = languages, 0.0
+        self.languages = languages
         self.forward, self.backward = Direction.random(rng, hidden), Direction.random(rng, hidden)
         self.out = rng.normal(0, 0.1, (2 * hidden, len(languages))).astype(np.float32)
         self.bias = np.zeros(len(languages), np.float32)
@@ -123,7 +127,7 @@ class ByteLanguageModel:
         grads = []
         for k, (direction, order, tape) in enumerate(tapes):
             g_in, g_gates, g_cand = (np.zeros_like(p) for p in (direction.inputs, direction.gates, direction.candidate))
-            carried = np.zeros((batch, n), np.float32)
+            carried, d_in = np.zeros((batch, n), np.float32), np.empty((steps, batch, 3 * n), np.float32)
             for t in reversed(order):
                 h, z, r, c = tape[t]
                 dh = carried + d_both[t, :, k * n : (k + 1) * n]
@@ -135,7 +139,10 @@ class ByteLanguageModel:
                 carried = dh * (1 - z) + drh * r + dzr @ direction.gates.T
                 g_cand += (r * h).T @ dc
                 g_gates += h.T @ dzr
-                np.add.at(g_in, windows[t], np.concatenate((dzr, dc), axis=1))
+                d_in[t, :, : 2 * n], d_in[t, :, 2 * n :] = dzr, dc
+            by_byte = np.argsort(windows, axis=None, kind="stable")
+            seen, firsts = np.unique(windows.ravel()[by_byte], return_index=True)
+            g_in[seen] = np.add.reduceat(d_in.reshape(-1, 3 * n)[by_byte], firsts, axis=0)
             grads += [g_in, g_gates, g_cand]
         return loss, grads + grads_out
 
@@ -179,13 +186,18 @@ def fit(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 11) -> B
     return model
 
 
+def _teaches() -> Column:
+    """Whether a row's label may be learned from."""
+    return F.col("lang").isNotNull() & (F.col("lang") != "") & (F.length("text") > 0) & (fold_of(F.col("doc_id"), 4) != 2)
+
+
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(language, whole text) of at most ROWS rows a language and ROWS_IN_ALL in all, drawn by a hash of the id.
+    """The start's (language, whole text): at most ROWS rows a language and ROWS_IN_ALL in all, drawn by a hash of the id.
 
     Each language's least hashes are found in the cluster over (language, hash, id); only the drawn texts travel.
     """
     lang, number = F.col("lang").cast("string").alias("l"), F.col("doc_id").cast("string")
-    labelled = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "") & (F.length("text") > 0) & (fold_of(F.col("doc_id"), 4) != 2))
+    labelled = docs.filter(_teaches())
     draw = F.pmod(F.xxhash64(number, F.lit(5)), F.lit(1 << 40)).alias("d")
     ids = labelled.select(lang, draw, "doc_id").distinct()
     counts = sized(ids.groupBy("l").agg(F.count("*").alias("n")), "languages")
@@ -229,7 +241,8 @@ def scores_of(model: ByteLanguageModel, flat: np.ndarray, ends: np.ndarray) -> n
 
 
 def identify(docs: DataFrame, model: ByteLanguageModel | None) -> DataFrame:
-    """Rows (row, lang, score): each row as a struct, its language (und for a null text or one without a letter), its probability.
+    """Rows (row, lang, score, own): each row as a struct, its language (und for a null text or one without a letter), its
+    probability, and that of the row's own label where the label may be learned from and the text has a letter (else null).
 
     Map-only; every byte of every text is read. Memory is bounded by SLICE bytes of windows: a longer text is taken a
     slice at a time. Of languages as likely the first by name is taken. Repeated rows come as often as they are there, an
@@ -240,37 +253,114 @@ def identify(docs: DataFrame, model: ByteLanguageModel | None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: ByteLanguageModel | None = shared.value
+        model: ByteLanguageModel | None = shared.value
         for batch in batches:
             letter = np.asarray(batch.column(1).to_pylist(), bool)
-            lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            if own is not None and batch.num_rows:
+            lang, score, own = ["und"] * batch.num_rows, np.zeros(batch.num_rows), [None] * batch.num_rows
+            if model is not None and batch.num_rows:
                 text = pa.RecordBatch.from_arrays([batch.column(0).field(at)], names=["text"])
-                p = scores_of(own, *byte_view(string_column(text, "text")))
+                p = scores_of(model, *byte_view(string_column(text, "text")))
                 best = p.argmax(axis=1)
                 score = np.where(letter, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
-                lang = [own.languages[b] if ok else "und" for b, ok in zip(best, letter)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang", "score"])
+                lang = [model.languages[b] if ok else "und" for b, ok in zip(best, letter)]
+                labels = pc.index_in(batch.column(2), value_set=pa.array(model.languages, pa.string())).to_pylist()
+                own = [None if k is None or not ok else min(1.0, float(p[i, k])) for i, (k, ok) in enumerate(zip(labels, letter))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(own, pa.float64())], names=["row", "lang", "score", "own"])
+
+    label = F.when(_teaches(), F.col("lang").cast("string")) if {"lang", "doc_id"} <= set(docs.columns) else F.lit(None).cast("string")
+    rows = docs.select(F.struct("*").alias("row"), letter.alias("letter"), label.alias("label"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("lang", StringType()), StructField("score", DoubleType()), StructField("own", DoubleType())]))
+
+
+def labelled_words(docs: DataFrame) -> DataFrame:
+    """(l, w, n): every distinct word of the rows that teach, by language, and how often it occurs. Longer words are cut at 16 characters."""
+    words = docs.filter(_teaches()).select(F.col("lang").cast("string").alias("l"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"\S{1,16}"), F.lit(0))).alias("w"))
+    return words.groupBy("l", "w").agg(F.count("*").alias("n"))
+
+
+def whole_loss(words: DataFrame, model: ByteLanguageModel, totals: dict[str, int], tasks: int, slope: bool) -> tuple[float, list[np.ndarray]]:
+    """The mean cross-entropy of a byte over all words, each language as likely as the others, and its gradient if asked for.
+
+    A task lays its words end to end, a language at a time, and sends one row of sums.
+    """
+    shapes = [p.shape for p in model.parameters()]
+    place = pa.array(model.languages, pa.string())
+    share = np.asarray([1 / (totals[lang] * len(totals)) if lang in totals else 0 for lang in model.languages])
 
-    rows = docs.select(F.struct("*").alias("row"), letter.alias("letter"))
-    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("lang", StringType()), StructField("score", DoubleType())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, sums = 0.0, [np.zeros(x) for x in shapes]
+        for batch in batches:
+            labels = pc.index_in(batch.column(0), value_set=place)
+            for k in pc.unique(labels.drop_null()).to_pylist():
+                rows = batch.filter(pc.equal(labels, k))
+                data, ends = byte_view(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), string_column(rows, "w"), pa.scalar("", pa.large_string())))
+                weights = np.repeat(rows.column(2).to_numpy() * share[k], np.diff(ends))
+                windows = windows_of(data[ends[0] : ends[-1]])
+                mask = np.zeros(windows.size, np.float32)
+                mask[: len(weights)] = weights
+                mask = mask.reshape(windows.shape)
+                for low in range(0, len(windows), WIDE):
+                    x, m = np.ascontiguousarray(windows[low : low + WIDE].T), np.ascontiguousarray(mask[low : low + WIDE].T)
+                    if slope:
+                        one, grads = model.gradients(x, m, np.full(x.shape[1], k))
+                        for total, g in zip(sums, grads):
+                            total += g
+                    else:
+                        one = -float((np.log(model.probabilities(x)[:, :, k] + 1e-9) * m).sum())
+                    loss += one
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([np.concatenate([x.ravel() for x in sums]).tobytes() if slope else b""])], names=["loss", "sums"])
+
+    loss, flat = 0.0, np.zeros(sum(int(np.prod(x)) for x in shapes))
+    dealt = words.repartition(tasks, "w").sortWithinPartitions("l", "w")
+    for r in dealt.mapInArrow(run, "loss double, sums binary").collect():
+        loss += r.loss
+        if slope:
+            flat += np.frombuffer(r.sums)
+    ends = np.cumsum([int(np.prod(x)) for x in shapes])
+    return loss, [part.reshape(x) for part, x in zip(np.split(flat, ends[:-1]), shapes)]
+
+
+def taught(model: ByteLanguageModel, docs: DataFrame) -> ByteLanguageModel:
+    """`model`, led down the slope of its loss over every word of all rows that teach, by the first of RATES that lowers it (the last stays).
+
+    The words are counted in the cluster. A pass sends the driver a row a task, and has as many tasks as shuffles at most.
+    """
+    words = materialize(labelled_words(docs), "words")
+    size = F.octet_length("w") + 1
+    per = words.groupBy("l").agg(F.sum(F.col("n") * size).alias("bytes"), F.sum(size).alias("distinct")).collect()
+    if len(model.languages) > 1 and per:
+        width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        tasks = max(1, min(width, sum(r.distinct for r in per) // SHARE))
+        parameters, totals = model.parameters(), {r.l: r.bytes for r in per}
+        start = [p.copy() for p in parameters]
+        least, slope = whole_loss(words, model, totals, tasks, True)
+        for rate in RATES:
+            for p, kept, g in zip(parameters, start, slope):
+                p[...] = kept - rate * np.linalg.norm(kept) / (np.linalg.norm(g) + 1e-12) * g
+            if whole_loss(words, model, totals, tasks, False)[0] < least:
+                break
+    release(words)
+    return model
 
 
 def fitted(docs: DataFrame) -> ByteLanguageModel | None:
-    """A model learned from the documents whose fold is not held out; None if none has a language.
+    """A model learned from all documents whose fold is not held out; None if none has a language.
 
-    Its `least` is half the score that nearly all sample rows kept back from the fit reach in their own language.
+    A bounded sample gives the weights to start from, all words the gradient of the step from there.
     """
     samples = training_sample(docs)
-    if not samples:
-        return None
-    back = samples[::KEPT_BACK] if len(samples) >= 10 * KEPT_BACK else []
-    model = fit([s for k, s in enumerate(samples) if k % KEPT_BACK or not back])
-    back = [(lang, text) for lang, text in back if lang in model.languages]
-    if back:
-        p = scores_of(model, *byte_view(pa.array([t for _, t in back], pa.large_string())))
-        model.least = 0.5 * float(np.quantile(p[np.arange(len(back)), [model.languages.index(lang) for lang, _ in back]], 1 - CLEAN))
-    return model
+    return taught(fit(samples), docs) if samples else None
+
+
+def least_score(scored: DataFrame) -> float:
+    """Half the score that nearly all labelled rows reach in their own language (`own`), counted in bins over all of them."""
+    bins = scored.filter("own IS NOT NULL").groupBy(F.floor(F.col("own") * BINS).alias("b")).agg(F.count("*").alias("n")).collect()
+    bins = sorted((r.b, r.n) for r in bins)
+    rows = sum(n for _, n in bins)
+    if rows < LABELLED:
+        return 0.0
+    below = np.cumsum([n for _, n in bins])
+    return 0.5 * bins[int(np.searchsorted(below, (1 - CLEAN) * (rows - 1), side="right"))][0] / BINS
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -284,7 +374,6 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents with a language: not `und`, and with the model's least score for one."""
-    model = fitted(docs)
-    out = identify(docs, model)
-    return out.filter((F.col("lang") != "und") & (F.col("score") >= (model.least if model else 0.0))).select("row.*")
+    """The documents with a language: not `und`, and with the least score for one. Scored rows are written, since that score is found over all of them."""
+    scored = materialize(identify(docs, fitted(docs)), "identified")
+    return scored.filter((F.col("lang") != "und") & (F.col("score") >= least_score(scored))).select("row.*")
