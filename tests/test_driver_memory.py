@@ -27,6 +27,11 @@ def test_code_queries_broadcast_nothing(spark, name):
     assert broadcasts(spark, name) == 0
 
 
+@pytest.mark.parametrize("name", ["flow_boundaries", "typed_edge_coverage"])
+def test_what_reads_flows_and_edges_broadcasts_nothing(spark, name):
+    assert broadcasts(spark, name) == 0
+
+
 def test_surface_resolves_no_calls(spark, monkeypatch):
     def never(*_):
         raise AssertionError("the surface needs no calls")
