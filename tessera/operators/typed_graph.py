@@ -1,7 +1,7 @@
 """A typed graph from inventories: containment, imports, calls, entry points, reads and writes, declared dependencies.
 
-Every source gives observations of one shape; their union is merged once. An edge keeps its least samples only, which a
-task already does for the rows that it has, so an edge seen a billion times costs a billion small rows and no list.
+Every source gives observations of one shape; their union is read and merged once. A task already counts equal ones among
+the rows that it has, and an edge keeps its least samples only, so one seen a billion times costs small rows and no list.
 Symbols stand for the concept that owns them: their own, their class's, else their file's; one that several concepts
 claim is never given to one of them.
 """
@@ -19,25 +19,32 @@ from .graph import shuffled
 # Kinds of edges and of what they lead to.
 KINDS = ("contains", "imports", "calls", "entrypoint_for", "reads", "writes", "depends_on", "supersedes")
 CONCEPT, EXTERNAL, UNRESOLVED = "concept", "external", "unresolved"
-OBSERVATION = ["kind", "source", "target_kind", "target", "origin", "resolution", "evidence"]
+IDENTITY = ["kind", "source", "target_kind", "target", "origin", "resolution"]
+OBSERVATION = [*IDENTITY, "evidence"]
 SAMPLES = 3
 
 
+def _owned(places: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(path, named, locator): the concept that owns each place (path, named), an empty name for the file; null where there is none.
+
+    All steps but one are dealt by (path, named), so that places, owners and what asks for them are moved once each.
+    """
+    own = concepts.groupBy(F.col("source_path").alias("path"), F.coalesce("symbol", F.lit("")).alias("tried")).agg(F.count("*").alias("n"), F.min("locator").alias("found")).filter("n = 1").drop("n")
+    names = F.array_distinct(F.array(F.col("named"), F.substring_index("named", ".", 1), F.lit("")))
+    tried = places.distinct().select("path", "named", F.posexplode(names).alias("rank", "tried")).join(shuffled(own), ["path", "tried"], "left")
+    return tried.groupBy("path", "named").agg(F.min_by("found", F.when(F.col("found").isNotNull(), F.col("rank"))).alias("locator"))
+
+
 def owners(places: DataFrame, concepts: DataFrame) -> DataFrame:
     """(path, symbol, locator): the concept that owns each place; null where there is none."""
-    own = concepts.groupBy(F.col("source_path").alias("path"), F.coalesce("symbol", F.lit("")).alias("named")).agg(F.count("*").alias("n"), F.min("locator").alias("locator")).filter("n = 1").drop("n")
-    wanted = places.select("path", "symbol").distinct()
-    class_of = F.substring_index("symbol", ".", 1)
-    tried = wanted.select("path", "symbol", F.posexplode(F.array(F.coalesce("symbol", F.lit("")), F.coalesce(class_of, F.lit("")), F.lit(""))).alias("rank", "named"))
-    best = tried.join(shuffled(own), ["path", "named"]).groupBy("path", "symbol").agg(F.min_by("locator", "rank").alias("locator"))
-    keyed = best.withColumnsRenamed({"path": "p", "symbol": "s"})
-    return wanted.join(shuffled(keyed), (F.col("path") == F.col("p")) & F.col("symbol").eqNullSafe(F.col("s")), "left").select("path", "symbol", "locator")
+    return _lifted(places.select("path", "symbol").distinct(), concepts, "path", "symbol", "locator")
 
 
 def _lifted(rows: DataFrame, concepts: DataFrame, path: str, symbol: str, name: str) -> DataFrame:
-    found = owners(rows.filter(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(symbol).alias("symbol")), concepts)
-    found = found.select(F.col("path").alias("lp"), F.col("symbol").alias("ls"), F.col("locator").alias(name))
-    return rows.join(shuffled(found), (F.col(path) == F.col("lp")) & F.col(symbol).eqNullSafe(F.col("ls")), "left").drop("lp", "ls")
+    named = F.coalesce(F.col(symbol), F.lit(""))
+    found = _owned(rows.filter(F.col(path).isNotNull()).select(F.col(path).alias("path"), named.alias("named")), concepts)
+    found = found.withColumnsRenamed({"path": "lp", "named": "ln", "locator": name})
+    return rows.join(shuffled(found), (F.col(path) == F.col("lp")) & (named == F.col("ln")), "left").drop("lp", "ln")
 
 
 def _observed(rows: DataFrame, kind: Column | str, origin: str, target_kind: Column | str, resolution: Column | str) -> DataFrame:
@@ -93,20 +100,28 @@ def dependency_observations(dependencies: DataFrame, concepts: DataFrame) -> Dat
     return _observed(rows, "depends_on", "manifest", EXTERNAL, "external")
 
 
-def merged(*observations: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """One edge for each (kind, source, target, origin, resolution): its key, its `samples` least pieces of evidence, how many
-    observations it has, how many of the different pieces are shown, and whether some aren't. No order of rows matters."""
+def pieces_of(*observations: DataFrame) -> DataFrame:
+    """Different observations, each with how often it was made (n). No order of rows matters."""
     rows = reduce(DataFrame.unionByName, [o.select(OBSERVATION) for o in observations])
-    identity = ["kind", "source", "target_kind", "target", "origin", "resolution"]
-    rows = rows.withColumn("key", digest(F.concat_ws("\x1f", *identity)))
-    pieces = rows.groupBy("key", *identity, "evidence").agg(F.count("*").alias("n"))
-    counts = pieces.groupBy("key", *identity).agg(F.sum("n").alias("observed"), F.count("evidence").alias("pieces"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("evidence"))
-    least = pieces.filter("evidence IS NOT NULL").select("key", "evidence").withColumn("place", place).filter(F.col("place") <= samples)
-    held = least.groupBy("key").agg(F.array_sort(F.collect_list("evidence")).alias("samples"))
-    out = counts.join(shuffled(held), "key", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
-    emitted = F.size("samples").cast("bigint")
-    return out.withColumn("emitted", emitted).withColumn("truncated", F.col("pieces") > emitted).drop("pieces")
+    return rows.groupBy(*OBSERVATION).agg(F.count("*").alias("n"))
+
+
+def edges_of(pieces: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """One edge for each (kind, source, target, origin, resolution): its key, its `samples` least pieces of evidence, how many
+    observations it has, how many of the different pieces are shown, and whether some aren't.
+
+    Pieces are dealt by edge, once, and numbered and counted where they are; keys, which don't compress, are made of what is left.
+    """
+    place = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(F.asc_nulls_last("evidence")))
+    least = F.array_sort(F.collect_list(F.when(F.col("place") <= samples, F.col("evidence")))).alias("samples")
+    out = pieces.withColumn("place", place).groupBy(*IDENTITY).agg(F.sum("n").alias("observed"), F.count("evidence").alias("pieces"), least)
+    emitted = F.least("pieces", F.lit(samples).cast("bigint"))
+    return out.select(digest(F.concat_ws("\x1f", *IDENTITY)).alias("key"), *IDENTITY, "observed", "samples", emitted.alias("emitted"), (F.col("pieces") > emitted).alias("truncated"))
+
+
+def merged(*observations: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """The edges of all observations."""
+    return edges_of(pieces_of(*observations), samples)
 
 
 def coverage(edges: DataFrame) -> DataFrame:
