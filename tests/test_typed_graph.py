@@ -51,3 +51,13 @@ def test_problems_are_told(spark):
     edges = g.merged(*observed).limit(1)
     bad = edges.withColumn("kind", g.F.lit("odd")).unionByName(edges.withColumn("key", g.F.lit("k"))).unionByName(edges.withColumn("target", g.F.lit("none")).withColumn("target_kind", g.F.lit("concept"))).unionByName(edges.withColumn("kind", g.F.lit("vendor/contains")).withColumn("target_kind", g.F.lit("external")))
     assert sorted(r.problem for r in g.problems(bad, concepts).collect())[:2] == ["unknown-concept", "unknown-kind"] and g.problems(bad, concepts).count() == 4
+
+
+def test_observations_are_read_once(spark):
+    """Pieces are counted, then dealt by edge: nothing is joined, and no key, which doesn't compress, is moved."""
+    row = lambda target, evidence: ("calls", "c", "external", target, "o", "external", evidence)
+    rows = [row("a", e) for e in ("4", "2", None, "1", "3", "2")] + [row("b", None), row("b", None), row("c", "1")]
+    found = g.merged(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in g.OBSERVATION)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2 and not any("key#" in line for line in plan.split("\n") if "Exchange" in line)
+    assert {r.target: (r.observed, r.emitted, r.samples, r.truncated) for r in found.collect()} == {"a": (6, 3, ["1", "2", "3"], True), "b": (2, 0, [], False), "c": (1, 1, ["1"], False)}
